@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 #: Runtime settings: results are defined in UTC, plans are re-planned at run time.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,6 +34,15 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> S
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver found it. On a cluster whose nodes
+    do not have that folder, the package is sent with --py-files."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if HOME not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, HOME]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path may be of any file system Spark reads."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
