@@ -17,7 +17,7 @@ NONE = np.int32(2**31 - 1)
 #: merge a round over a wide matrix would cost the square of the length.
 WIDEST = 256
 #: Distinct pieces a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: The split pattern of the public byte-level vocabularies, and the same pattern for
 #: texts of ASCII and accented Latin-1 letters only, which the faster `re` can match.
 COMMON = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -206,23 +206,21 @@ class Encoder:
         return gather(self.flat, self.start[at], count), count
 
 
+def ranks(ranks_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
+
+
 class ByteBPE:
     """Byte-level ranks file: rank = id, a pair merges if its joined bytes have a rank."""
 
     def __init__(self, ranks_file: bytes, pattern: str):
-        self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
+        self.rank = ranks(ranks_file)
         splits = [(self.rank[t[:i]], self.rank[t[i:]], r) for t, r in self.rank.items() for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank]
         left, right, rank = np.array(splits, np.int64).T
         first = np.array([self.rank.get(bytes([i]), -1) for i in range(256)])
         self.encoder = Encoder(PairTable(left, right, rank, rank), first, first)
         self.find = regex.compile(pattern).findall
         self.find_plain = re.compile(PLAIN).findall if pattern == COMMON else None
-        table = [b""] * (max(self.rank.values()) + 1)
-        for token, r in self.rank.items():
-            table[r] = token
-        self.size = np.fromiter(map(len, table), np.int64, len(table))
-        self.begin = np.cumsum(self.size) - self.size
-        self.bytes = np.frombuffer(b"".join(table), np.uint8)
 
     def _new(self, names: list[str]):
         raw = [x.encode() for x in names]
@@ -242,6 +240,19 @@ class ByteBPE:
         upto = total[ends]
         return ids, np.diff(np.concatenate([[0], upto]))
 
+
+class TokenBytes:
+    """The bytes of each id of a ranks file."""
+
+    def __init__(self, ranks_file: bytes):
+        rank = ranks(ranks_file)
+        table = [b""] * (max(rank.values()) + 1)
+        for token, r in rank.items():
+            table[r] = token
+        self.size = np.fromiter(map(len, table), np.int64, len(table))
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(table), np.uint8)
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all ids in order, number of bytes of each id)."""
         size = self.size[ids]

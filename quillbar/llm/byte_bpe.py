@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbar.llm.bpe import ByteBPE, loaded
+from quillbar.llm.bpe import ByteBPE, TokenBytes, loaded
 from quillbar.llm.common import slices, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -45,19 +45,19 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", text:
     return out.mapInArrow(run, f"key {kind}, n_tokens long, ids binary").withColumnRenamed("key", key)
 
 
-def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the bytes that its ids stand for; an id without a token fails the job."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     at = df.columns.index(ids)
 
     def run(batches):
-        bpe = loaded(ByteBPE, shared.value, pattern)
+        tokens = loaded(TokenBytes, shared.value)
         for batch in batches:
             for lo, hi in slices(batch.column(at), 2 * TOGETHER):
                 part = batch.slice(lo, hi - lo)
                 raw = [x or b"" for x in part.column(at).to_pylist()]
                 count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-                text, size = bpe.decode(np.frombuffer(b"".join(raw), "<u4").astype(np.int64))
+                text, size = tokens.decode(np.frombuffer(b"".join(raw), "<u4").astype(np.int64))
                 each = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])].astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(each), pa.py_buffer(text)])
                 yield pa.RecordBatch.from_arrays([*part.columns, packed], [*part.schema.names, out])
@@ -73,7 +73,7 @@ def ranks_file(name: str = RANKS) -> bytes:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     ranks, pattern = ranks_file(), public_tokenizers.PATTERN
-    found = decode(encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    found = decode(encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

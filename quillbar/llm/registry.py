@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillbar.llm import byte_bpe
+from quillbar.llm import byte_bpe, html, language, nearest, packing, topk
 
-MODULES = [byte_bpe]
+MODULES = [language, packing, html, nearest, topk, byte_bpe]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
