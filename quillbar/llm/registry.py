@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillbar.llm import byte_bpe, html, jaccard, language, lines, nearest, packing, topk
+from quillbar.llm import byte_bpe, html, jaccard, language, licenses, lines, nearest, packing, topk, training_order
 
-MODULES = [jaccard, lines, language, packing, html, nearest, topk, byte_bpe]
+MODULES = [jaccard, lines, training_order, language, packing, html, nearest, topk, licenses, byte_bpe]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

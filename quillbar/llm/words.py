@@ -7,6 +7,8 @@ import numpy as np
 # Bytes that end a word, and odd 64-bit multipliers.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that do not belong to words of letters and digits.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE, _STEP, _MIX_1, _MIX_2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -20,12 +22,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, begin, end of each word, number of words of each text). Words are runs of bytes other
-    than white space, with A-Z in lower case; begin and end count from the start of the text."""
+    than those in `between` (white space), with A-Z in lower case; begin and end count from the start of the text."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    inside = ~_SPACE[raw]
+    inside = ~between[raw]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     length = end - begin
