@@ -11,7 +11,8 @@ Plan (every step is a Spark job over partitioned rows; nothing that grows with t
 3. The remaining sets are read again and keep the features that some other remaining set has; a set
    that keeps under 3/4 of its features cannot link.
 4. Each group is a star: its smallest set against the others, verified on the features. So a family of
-   near copies costs its size, not its square. Components of these links are one class already.
+   near copies costs its size, not its square. First each set meets the smallest of its stars' centres,
+   then, after components of these links are found, those centres that are of another class still.
 5. Members of one group in different classes remain. |x & y| <= min(|x & l|, |y & l|) + min of what x
    and y keep outside l, for the group's smallest set l: pairs that this bound rules out are dropped, the
    others are verified, and components are closed over both kinds of links.
@@ -39,11 +40,13 @@ from quillbar.llm.words import feature_sets, mix
 
 WIDTH = 5
 #: Characters of text for each block of signatures, and features for each block of features.
-TEXT_IN_BLOCK = 12_000_000
+TEXT_IN_BLOCK = 6_000_000
 FEATURES_IN_BLOCK = 1_500_000
 #: Signatures that a task holds before it sends them, members of a group that one row holds.
-HELD = 1_500_000
+HELD = 500_000
 CHUNK = 2048
+#: Members in a chunk when pairs within a group are looked for.
+PAIRED = 128
 #: Rows of up to 32 bytes that may be broadcast (16 MB); beyond it joins shuffle both sides.
 MOST_BROADCAST = 500_000
 
@@ -230,6 +233,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", F.size("fa").alias("ka"), F.size("fb").alias("kb"), overlap("fa", "fb").alias("shared"))
 
 
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of the classes (node, root) and further links."""
+    if not bounded_count(links):
+        return classes
+    return components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
 def _possible_pairs(batches):
     """Rows of (left, right): chunks of one group's members, left those outside the class of the group's
     smallest set. Pairs of different classes that the bound of step 5 does not rule out."""
@@ -277,11 +287,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = met.where("kind = 2").select(F.col("x").alias("g"), F.explode("members").alias("s")).join(held, "s")
     least = members.groupBy("g").agg(F.min("s").alias("l"), F.count(F.lit(1)).alias("m")).where("m > 1")
     grouped = materialize(members.join(least, "g"), "groups")
-    sized = held.select(F.col("s").alias("l"), F.col("n").alias("nl"))
-    star = grouped.where("s <> l").select("l", "s", "n").distinct().join(sized, "l").where("4 * least(n, nl) >= 3 * greatest(n, nl)")
-    checked = materialize(_verified(star.select(F.col("l").alias("a"), F.col("s").alias("b")), sets), "checked")
-    links = checked.where(linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
-    classes = components(links)
+    sized = held.select(F.col("s").alias("l"), F.col("n").alias("nl"), F.col("k").alias("kl"))
+    possible = "4 * least(n, nl) >= 3 * greatest(n, nl) and 7 * least(k, kl) >= 3 * (n + nl)"
+    star = grouped.where("s <> l").select("l", "s", "n", "k").distinct().join(sized, "l").where(possible)
+    star = materialize(star.select(F.col("l").alias("a"), F.col("s").alias("b")), "star")
+    checked = materialize(_verified(star.groupBy("b").agg(F.min("a").alias("a")), sets), "checked")
+    similar = lambda df: df.where(linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
+    classes = components(similar(checked))
+    rooted_as = lambda x: classes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    apart = star.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(rooted_as("a"), "a", "left").join(rooted_as("b"), "b", "left")
+    apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    second = materialize(_verified(apart, sets), "checked")
+    classes = _joined(classes, materialize(similar(second), "links"))
+    checked = checked.unionByName(second)
 
     # What the star leaves open: groups of three or more whose members are of different classes.
     roots = classes.select(F.col("node").alias("s"), "root")
@@ -294,15 +312,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     open_ = labelled.join(span.where("lo <> hi"), "g")
     reach = F.least("a", "most_a") + F.least(F.col("k") - F.col("a"), F.col("most_k"))
     hopeful = materialize(open_.where(7 * reach >= 3 * (F.col("n") + F.greatest("least_n", F.ceil(0.75 * F.col("n"))))), "open")
-    chunk = F.pmod(F.xxhash64("s"), F.ceil(F.col("m") / CHUNK)).alias("c")
+    chunk = F.pmod(F.xxhash64("s"), F.ceil(F.col("m") / PAIRED)).alias("c")
     packed = lambda df, name: df.groupBy("g", chunk).agg(F.collect_list(F.struct("s", "n", "k", "a", "root")).alias(name)).drop("c")
     outside = packed(hopeful.where("root <> root_l"), "left")
     blocks_of_pairs = outside.join(packed(hopeful, "right"), "g").select("left", "right")
     pairs = blocks_of_pairs.mapInArrow(_possible_pairs, "a long, b long").distinct()
     more = _verified(pairs, sets)
-    more = materialize(more.where(linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b"), "links")
-    if bounded_count(more):
-        classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    classes = _joined(classes, materialize(similar(more), "links"))
 
     rooted = names.join(classes.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     smallest = rooted.groupBy("root").agg(F.min("key").alias("component_id"))

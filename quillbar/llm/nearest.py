@@ -2,17 +2,19 @@
 
 Method: vectors are scaled to length 1 and turned by a random rotation, so that any few of their
 columns estimate a whole distance. A bounded sample fits the centres of inverted lists; every row is
-indexed in the list of its nearest centre. A query probes its nearest lists. In a list, candidates are
-scanned by column blocks: after each block a hypothesis test compares the scaled partial distance with
-the k-th distance found so far and abandons those that are very likely farther. Survivors are scored
-exactly, in double precision, on the original vectors.
+indexed in the list of its nearest centre. A query probes its nearest lists: as many as hold the share
+`TARGET` of true neighbours within the sample, which is many lists where vectors have no clusters, and
+further ones until they hold k other rows. Its k-th distance within the sample bounds its k-th distance
+overall, and the k nearest of the sample are results to start from. In a list, candidates are scanned by column blocks: after each block a hypothesis test compares
+the scaled partial distance with that bound and abandons those that are very likely farther. Survivors
+are scored exactly, in double precision, on the original vectors.
 
 Lists are dealt to blocks of bounded size by a hash, so a list that a third of all rows share is
-scanned by many tasks. A query probes further lists until they hold at least k other rows.
+scanned by many tasks; queries are dealt to blocks as well.
 
 Cases: rows without id or vector, with a null or non-finite component or without length take no part;
 vectors of unequal length count as zero where they have no component; a row never finds rows of its own
-id; repeated rows are separate candidates; an empty table gives no rows.
+id; rows that repeat id and vector count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillbar.llm.common import materialize, table
-from quillbar.llm.vectors import best, clean, matrix, merged
+from quillbar.llm.vectors import clean, matrix, merged
 
 SAMPLE = 20_000
 MOST_LISTS = 1024
@@ -31,7 +33,8 @@ BLOCK = 4096
 COLUMNS = 16
 #: Standard deviations by which a partial distance must exceed its expectation.
 EPSILON = 2.1
-PROBED = 0.3
+TARGET = 0.97
+QUERIES_TOGETHER = 4096
 SEED = 7
 
 
@@ -39,20 +42,33 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def fit_lists(rows: DataFrame, count: int, width: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(rotation, centres) from at most `sample` rows, chosen by a hash of id and vector."""
+def padded_to(width: int, vectors) -> np.ndarray:
+    whole = np.zeros((len(vectors), width))
+    given = matrix(vectors)
+    whole[:, : given.shape[1]] = given
+    return whole
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, in double precision; equal rows give equal results wherever they are computed."""
+    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+
+
+def fit_lists(rows: DataFrame, count: int, width: int, k: int, sample: int = SAMPLE, target: float = TARGET) -> dict:
+    """Rotation, centres, the turned sample with its ids, and how many lists to probe. The sample has at
+    most `sample` rows, chosen by a hash of id and vector."""
     share = min(1.0, 0.9 * sample / max(count, 1))
     few = rows.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1_000_000)) < share * 1_000_000)
     got = few.select("vec_id", "vector").orderBy("vec_id").limit(sample).collect()
     rng = np.random.default_rng(SEED)
     rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
-    data = np.zeros((len(got), width))
+    data, ids = np.zeros((len(got), width)), np.array([r["vec_id"] for r in got], np.int64)
     if got:
-        padded = matrix([r["vector"] for r in got])
-        data[:, : padded.shape[1]] = padded
-        data = unit(data) @ rotation
+        padded = padded_to(width, [r["vector"] for r in got])
+        data = unit(padded) @ rotation
     lists = int(min(MOST_LISTS, max(1, round(count**0.5 / 2)), max(1, len(data))))
     centres = data[rng.choice(len(data), lists, replace=False)] if len(data) else np.zeros((1, width))
+    near = np.zeros(len(data), np.int64)
     for _ in range(8):
         if not len(data):
             break
@@ -61,48 +77,77 @@ def fit_lists(rows: DataFrame, count: int, width: int, sample: int = SAMPLE) ->
         np.add.at(total, near, data)
         n = np.bincount(near, minlength=lists)
         centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
-    return rotation, centres
-
-
-def scan(turned: np.ndarray, query: np.ndarray, k: int, epsilon: float = EPSILON, columns: int = COLUMNS, chunk: int = 512) -> np.ndarray:
-    """Rows of `turned` that the adaptive scan could not rule out among the k nearest to `query`."""
-    width, out, least = turned.shape[1], [], np.inf
-    nearest = np.zeros(0)
-    for lo in range(0, len(turned), chunk):
-        part = turned[lo : lo + chunk]
-        alive, distance = np.arange(len(part)), np.zeros(len(part))
-        for at in range(0, width, columns):
-            step = part[alive, at : at + columns] - query[at : at + columns]
-            distance = distance + np.einsum("ij,ij->i", step, step)
-            seen = min(at + columns, width)
-            slack = 1.0 if seen == width else (1 + epsilon / np.sqrt(seen)) ** 2 * seen / width
-            kept = distance <= least * slack + 1e-9
-            if not kept.all():
-                alive, distance = alive[kept], distance[kept]
-                if not len(alive):
-                    break
-        out.append(alive + lo)
-        nearest = np.sort(np.concatenate([nearest, distance]))[:k]
-        if len(nearest) == k:
-            least = nearest[-1]
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def search(rows: DataFrame, is_query, k: int, probed: float = PROBED) -> DataFrame:
+    probed = len(centres)
+    if len(data) > k + 1:
+        near = (data @ centres.T - (centres * centres).sum(1) / 2).argmax(1)
+        asked = rng.choice(len(data), min(256, len(data)), replace=False)
+        likeness = data[asked] @ data.T
+        likeness[ids[asked][:, None] == ids[None, :]] = -np.inf
+        true = np.argpartition(-likeness, k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(data[asked] @ centres.T - (centres * centres).sum(1) / 2), axis=1), axis=1)
+        probed = int(np.quantile(np.take_along_axis(place, near[true], 1), target)) + 1
+    return {"rotation": rotation, "centres": centres, "sample": data.astype(np.float32), "own": padded if got else data, "ids": ids, "probed": probed}
+
+
+def within_sample(model: dict, turned: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(upper bound of each query's k-th squared distance, places of its k nearest in the sample)."""
+    sample = model["sample"]
+    distance = 2 - 2 * (turned.astype(np.float32) @ sample.T)
+    distance[own[:, None] == model["ids"][None, :]] = np.inf
+    near = np.argpartition(distance, min(k, len(sample)) - 1, axis=1)[:, :k] if len(sample) else np.zeros((len(turned), 0), np.int64)
+    found = np.take_along_axis(distance, near, 1)
+    return (found.max(1) + 1e-4 if near.shape[1] == k else np.full(len(turned), np.inf)), np.where(np.isinf(found), -1, near)
+
+
+def scan(turned: np.ndarray, queries: np.ndarray, most: np.ndarray, epsilon: float = EPSILON, columns: int = COLUMNS) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, queries) that the adaptive scan could not rule out. most: bound of each query's distance."""
+    width, dense = turned.shape[1], True
+    row = query = distance = None
+    for at in range(0, width, columns):
+        x, q = turned[:, at : at + columns], queries[:, at : at + columns]
+        seen = min(at + columns, width)
+        slack = 1.0 if seen == width else (1 + epsilon / np.sqrt(seen)) ** 2 * seen / width
+        if dense:  # while many are alive, a block is one matrix product
+            step = (x * x).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (x @ q.T)
+            distance = step if distance is None else distance + step
+            alive = distance <= (most * slack)[None, :]
+            if seen == width or alive.mean() < 0.1:
+                row, query = np.nonzero(alive)
+                distance, dense = distance[row, query], False
+        else:
+            step = x[row] - q[query]
+            distance = distance + (step * step).sum(1)
+            alive = distance <= most[query] * slack
+            row, query, distance = row[alive], query[alive], distance[alive]
+    return row, query
+
+
+def search(rows: DataFrame, is_query, k: int) -> DataFrame:
     """rows: vec_id, vector. The k nearest other rows found for each row where is_query."""
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("w")).first()
-    width = max(1, size["w"])
-    rotation, centres = fit_lists(rows, size["n"], width)
-    model = rows.sparkSession.sparkContext.broadcast((rotation, centres))  # width x width and at most MOST_LISTS x width numbers
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("w")).first()
+    width, together = max(1, size["w"]), max(1, -(-size["q"] // QUERIES_TOGETHER))
+    fitted = fit_lists(rows, size["n"], width, k)
+    # width x width, at most MOST_LISTS x width and at most SAMPLE x width numbers
+    model = rows.sparkSession.sparkContext.broadcast(fitted)
+
+    def padded(vectors) -> np.ndarray:
+        return padded_to(width, vectors)
 
     def turn(vectors) -> np.ndarray:
-        whole = np.zeros((len(vectors), width))
-        padded = matrix(vectors)
-        whole[:, : padded.shape[1]] = padded
-        return unit(whole) @ model.value[0]
+        return unit(padded(vectors)) @ model.value["rotation"]
+
+    def first(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):
+                some = pdf.iloc[lo : lo + 256]
+                ids, given = some["vec_id"].to_numpy(), padded(some["vector"].tolist())
+                near = within_sample(model.value, turn(some["vector"].tolist()), ids, k)[1]
+                q, at = np.nonzero(near >= 0)
+                row = near[q, at]
+                yield pd.DataFrame({"query_id": ids[q], "vec_id": model.value["ids"][row], "score": cosine(model.value["own"][row], given[q])})
 
     def index(batches):
-        centre = model.value[1]
+        centre = model.value["centres"]
         for pdf in batches:
             if len(pdf):
                 turned = turn(pdf["vector"].tolist())
@@ -112,49 +157,54 @@ def search(rows: DataFrame, is_query, k: int, probed: float = PROBED) -> DataFra
 
     schema = "vec_id long, vector array<double>, list int, turned array<float>"
     indexed = materialize(rows.select("vec_id", "vector").mapInPandas(index, schema), "lists")
-    held = np.zeros(len(centres), np.int64)
+    held = np.zeros(len(fitted["centres"]), np.int64)
     for row in indexed.groupBy("list").count().collect():  # one row a list, MOST_LISTS at most
         held[row["list"]] = row["count"]
     blocks = np.maximum(1, -(-held // BLOCK))
     sizes = rows.sparkSession.sparkContext.broadcast((held, blocks))
-    most = max(1, round(len(centres) * probed))
 
     def probe(batches):
-        centre = model.value[1]
+        centre, (count, parts) = model.value["centres"], sizes.value
         for pdf in batches:
-            for query, vector in zip(pdf["vec_id"], pdf["vector"], strict=True):
-                turned = turn([vector])[0]
-                order = np.argsort(-(centre @ turned - (centre * centre).sum(1) / 2), kind="stable")
-                enough = int(np.searchsorted(np.cumsum(sizes.value[0][order]), min(k + 1, sizes.value[0].sum()))) + 1
-                lists = order[: max(most, enough)]
-                n = sizes.value[1][lists]
-                part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"list": np.repeat(lists, n).astype(np.int32), "part": part.astype(np.int32), "query_id": query, "vector": [vector] * int(n.sum())})
-
-    asked = rows.where(is_query).select("vec_id", "vector").mapInPandas(probe, "list int, part int, query_id long, vector array<double>")
+            for lo in range(0, len(pdf), 256):
+                some = pdf.iloc[lo : lo + 256]
+                turned = turn(some["vector"].tolist())
+                most = within_sample(model.value, turned, some["vec_id"].to_numpy(), k)[0]
+                order = np.argsort(-(turned @ centre.T - (centre * centre).sum(1) / 2), axis=1, kind="stable")
+                for query, vector, bound, lists in zip(some["vec_id"], some["vector"], most, order, strict=True):
+                    enough = int(np.searchsorted(np.cumsum(count[lists]), min(k + 1, count.sum()))) + 1
+                    lists = lists[: max(model.value["probed"], enough)]
+                    n = parts[lists]
+                    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    yield pd.DataFrame({"list": np.repeat(lists, n).astype(np.int32), "part": part.astype(np.int32), "query_id": query, "most": bound, "vector": [vector] * int(n.sum())})
+
+    together_of = F.pmod(F.xxhash64("query_id"), F.lit(together)).cast("int")
+    asked = rows.where(is_query).select("vec_id", "vector").mapInPandas(probe, "list int, part int, query_id long, most double, vector array<double>").withColumn("q", together_of)
     deal = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list") + 1)
-    dealt = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), deal).cast("int"))
+    dealt = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), deal).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(together - 1))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if len(left) and len(right):
-            ids, turned = left["vec_id"].to_numpy(np.int64), np.stack(left["turned"].to_list()).astype(np.float64)
-            own = np.zeros((len(ids), width))
-            padded = matrix(left["vector"].tolist())
-            own[:, : padded.shape[1]] = padded
-            norm = np.sqrt((own * own).sum(1))
-            for query, vector in zip(right["query_id"], right["vector"], strict=True):
-                q = np.zeros(width)
-                q[: len(vector)] = vector
-                other = np.flatnonzero(ids != query)
-                near = other[scan(turned[other], turn([vector])[0], k)]
-                score = (own[near] * q).sum(1) / (norm[near] * np.sqrt((q * q).sum()))
-                top = best(score, ids[near], k)
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near][top], "score": score[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    partial = dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(run, "query_id long, vec_id long, score double")
-    return merged(partial, k)
+            ids, turned, own = left["vec_id"].to_numpy(np.int64), np.stack(left["turned"].to_list()), padded(left["vector"].tolist())
+            for lo in range(0, len(right), 512):
+                some = right.iloc[lo : lo + 512]
+                query, given = some["query_id"].to_numpy(np.int64), padded(some["vector"].tolist())
+                row, q = scan(turned, turn(some["vector"].tolist()).astype(np.float32), some["most"].to_numpy())
+                other = ids[row] != query[q]
+                row, q = row[other], q[other]
+                score = cosine(own[row], given[q])
+                order = np.lexsort((ids[row], -score, q))
+                row, q, score = row[order], q[order], score[order]
+                first = np.flatnonzero(np.diff(q, prepend=-1))
+                place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+                kept = place < k
+                out.append(pd.DataFrame({"query_id": query[q[kept]], "vec_id": ids[row[kept]], "score": score[kept]}))
+        return pd.concat(out)
+
+    partial = dealt.groupBy("list", "part", "q").cogroup(asked.groupBy("list", "part", "q")).applyInPandas(run, "query_id long, vec_id long, score double")
+    start = rows.where(is_query).select("vec_id", "vector").mapInPandas(first, "query_id long, vec_id long, score double")
+    return merged(partial.unionByName(start).distinct(), k)
 
 
 def with_length(rows: DataFrame) -> DataFrame:
