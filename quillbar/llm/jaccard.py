@@ -246,9 +246,9 @@ def _possible_pairs(batches):
     for batch in batches:
         out = []
         for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-            x, y = ({n: np.asarray(side.values.field(n)) for n in ("s", "n", "k", "a", "root")} for side in (left, right))
-            s, n, k, a, root = ((x[f][:, None], y[f][None, :]) for f in ("s", "n", "k", "a", "root"))
-            most = np.minimum(*a) + np.minimum(k[0] - a[0], k[1] - a[1])
+            x, y = ({n: np.asarray(side.values.field(n)) for n in ("s", "n", "w", "a", "root")} for side in (left, right))
+            s, n, w, a, root = ((x[f][:, None], y[f][None, :]) for f in ("s", "n", "w", "a", "root"))
+            most = np.minimum(*a) + np.minimum(*w)
             ok = (root[0] != root[1]) & (s[0] != s[1]) & (7 * most >= 3 * (n[0] + n[1])) & (4 * np.minimum(*n) >= 3 * np.maximum(*n))
             i, j = np.nonzero(ok)
             if len(i):
@@ -306,14 +306,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     of_least = classes.select(F.col("node").alias("l"), F.col("root").alias("root_l"))
     known = checked.select(F.col("a").alias("l"), F.col("b").alias("s"), "shared")
     open_groups = grouped.where("m > 2").join(known, ["l", "s"], "left").join(roots, "s", "left").join(of_least, "l", "left")
-    at_most = F.coalesce(F.when(F.col("s") == F.col("l"), F.col("k")), F.col("shared"), F.col("k")).cast("long")
-    labelled = open_groups.select("g", "s", "l", "m", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), at_most.alias("a"), F.coalesce("root", "s").alias("root"), F.coalesce("root_l", "l").alias("root_l"))
-    span = labelled.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("a").alias("most_a"), F.max(F.col("k") - F.col("a")).alias("most_k"), F.min("n").alias("least_n"))
+    # a: features in common with the smallest set, w: others; where they were not counted, k bounds both.
+    own = F.when(F.col("s") == F.col("l"), F.col("k")).otherwise(F.col("shared"))
+    at_most, others = F.coalesce(own, "k").cast("long"), F.coalesce(F.col("k") - own, "k").cast("long")
+    labelled = open_groups.select("g", "s", "l", "m", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), at_most.alias("a"), others.alias("w"), F.coalesce("root", "s").alias("root"), F.coalesce("root_l", "l").alias("root_l"))
+    span = labelled.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("a").alias("most_a"), F.max("w").alias("most_w"), F.min("n").alias("least_n"))
     open_ = labelled.join(span.where("lo <> hi"), "g")
-    reach = F.least("a", "most_a") + F.least(F.col("k") - F.col("a"), F.col("most_k"))
+    reach = F.least("a", "most_a") + F.least("w", "most_w")
     hopeful = materialize(open_.where(7 * reach >= 3 * (F.col("n") + F.greatest("least_n", F.ceil(0.75 * F.col("n"))))), "open")
     chunk = F.pmod(F.xxhash64("s"), F.ceil(F.col("m") / PAIRED)).alias("c")
-    packed = lambda df, name: df.groupBy("g", chunk).agg(F.collect_list(F.struct("s", "n", "k", "a", "root")).alias(name)).drop("c")
+    packed = lambda df, name: df.groupBy("g", chunk).agg(F.collect_list(F.struct("s", "n", "w", "a", "root")).alias(name)).drop("c")
     outside = packed(hopeful.where("root <> root_l"), "left")
     blocks_of_pairs = outside.join(packed(hopeful, "right"), "g").select("left", "right")
     pairs = blocks_of_pairs.mapInArrow(_possible_pairs, "a long, b long").distinct()
