@@ -31,14 +31,23 @@ MIN_WORDS = 8
 MOST_BROADCAST = 500_000
 
 
+#: Fixed value: the white space between words.
+SPACE = " \t\n\x0b\x0c\r"
+
+
 def words_of(line):
-    return F.filter(F.split(line, r"\s+"), lambda x: x != "")
+    """Words of a line that has any."""
+    return F.split(F.btrim(line, F.lit(SPACE)), r"\s+")
+
+
+def has_words(line):
+    return F.btrim(line, F.lit(SPACE)) != ""
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, pos, words of every line that has words."""
     split = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    return split.select("doc", "pos", words_of("line").alias("words")).where(F.size("words") > 0)
+    return split.where(has_words(F.col("line"))).select("doc", "pos", words_of(F.col("line")).alias("words"))
 
 
 def _half_keys(n, words):
@@ -62,12 +71,14 @@ def _xor(values):
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc, pos, kept_doc, kept_pos of every line that goes, and the earliest line it repeats."""
     lines = lines_of(docs, key, text)
-    known = lines.select("doc", "pos", F.xxhash64("words").alias("line"), F.size("words").alias("n"), "words")
+    numbered = lines.select("doc", "pos", F.xxhash64("words").alias("line"), F.size("words").alias("n"), "words")
+    keys = F.when(F.col("n") >= min_words, _half_keys(F.col("n"), F.col("words")))
+    known = materialize(numbered.select("doc", "pos", "line", "n", keys.alias("keys")), "lines")
     first = F.min(_place("doc", "pos")).alias("first")
-    distinct = known.where(F.col("n") >= min_words).withColumn("keys", _half_keys(F.col("n"), F.col("words"))).groupBy("line", "n").agg(first, F.min("keys").alias("keys"))
-    keyed = distinct.select("line", "n", "first", F.explode("keys").alias("half"))
+    keyed = known.where("keys is not null").select("line", "n", "doc", "pos", F.explode("keys").alias("half"))
     shared = keyed.groupBy("half").agg(F.min("line").alias("l"), F.max("line").alias("h")).where("l <> h").select("half")
-    able = materialize(keyed.join(shared, "half", "left_semi").select("line", "n", "first.doc", "first.pos").distinct(), "lines")
+    able = keyed.join(shared, "half", "left_semi").groupBy("line", "n").agg(first)
+    able = materialize(able.select("line", "n", "first.doc", "first.pos"), "lines")
 
     places = able.groupBy("doc").agg(F.collect_list(_place("pos", "line", "n")).alias("at"))
     if bounded_count(able) <= MOST_BROADCAST:
@@ -80,11 +91,13 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     # Word i of the line has the code of its place, and the code it gets if a word before it goes.
     code = F.transform("words", lambda w, i: F.xxhash64(i, w))
     moved = F.transform("words", lambda w, i: F.xxhash64(i - 1, w))
-    spread = candidates.select("line", "n", "doc", "pos", _xor(code).alias("whole"), _xor(moved).alias("all_moved"), F.posexplode(F.arrays_zip(code.alias("c"), moved.alias("m"))).alias("i", "w"))
+    coded = candidates.select("line", "n", "doc", "pos", code.alias("c"), moved.alias("m"))
+    coded = coded.select("line", "n", "doc", "pos", _xor("c").alias("whole"), _xor("m").alias("all_moved"), F.arrays_zip("c", "m").alias("codes"))
+    spread = coded.select("line", "n", "doc", "pos", "all_moved", F.posexplode("codes").alias("i", "w"))
     upto = W.partitionBy("line", "n").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     run = spread.select("line", "n", "doc", "pos", "i", "all_moved", F.col("w.c").alias("c"), F.expr("bit_xor(w.c)").over(upto).alias("before"), F.expr("bit_xor(w.m)").over(upto).alias("behind"))
     fewer = run.select(F.xxhash64(F.col("n") - 1, F.col("before").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("all_moved")).bitwiseXOR(F.col("behind"))).alias("variant"), F.col("i").alias("gap"), "line", "n", "doc", "pos")
-    entire = candidates.select(F.xxhash64("n", _xor(code)).alias("variant"), F.lit(-1).alias("gap"), "line", "n", "doc", "pos")
+    entire = coded.select(F.xxhash64("n", "whole").alias("variant"), F.lit(-1).alias("gap"), "line", "n", "doc", "pos")
     variants = fewer.unionByName(entire).select("variant", "gap", _place("doc", "pos", "line", "n").alias("at"))
 
     # The earliest line for each (variant, gap); a line without a word meets the same gap and the whole line.
@@ -98,8 +111,8 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     verified = left.join(right, ["with_line", "with_n"]).where(within_one_edit(F.col("a"), F.col("b")))
     near = verified.groupBy("line", "n").agg(F.min("partner").alias("partner"))
 
-    every = lines.select("doc", "pos", F.xxhash64("words").alias("line"), F.size("words").alias("n"))
-    firsts = every.groupBy("line", "n").agg(first).join(near, ["line", "n"], "left")
+    every = known.select("doc", "pos", "line", "n")
+    firsts = every.groupBy("line", "n").agg(first, F.count(F.lit(1)).alias("k")).join(near, ["line", "n"], "left").where("k > 1 or partner is not null")
     keeper = firsts.select("line", "n", F.least(F.col("first"), F.col("partner")).alias("kept"))
     found = every.join(keeper, ["line", "n"]).where(_place("doc", "pos") != F.col("kept"))
     return found.select("doc", "pos", F.col("kept.doc").alias("kept_doc"), F.col("kept.pos").alias("kept_pos"))
@@ -126,7 +139,7 @@ def without_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     joined = docs.join(gone, F.col(key).cast("long") == F.col("_doc"), "left")
     left = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col("_removed"), i))
     kept = joined.withColumn("_left", F.when(F.col("_removed").isNotNull(), left))
-    with_words = F.exists("_left", lambda line: F.size(words_of(line)) > 0)
+    with_words = F.exists("_left", has_words)
     kept = kept.where(F.col("_removed").isNull() | with_words).withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join("_left", "\n")))
     return kept.select(*docs.columns)
 
@@ -134,7 +147,7 @@ def without_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     gone = by_document(removed_lines(docs))
-    count = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    count = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     out = count.join(gone, F.col("doc_id") == F.col("doc"), "left")
     empty = F.array().cast("array<bigint>")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.col("removed").cast("array<bigint>"), empty).alias("removed"), F.coalesce("kept_in", empty).alias("kept_in"))
