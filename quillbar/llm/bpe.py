@@ -17,7 +17,9 @@ NONE = np.int32(2**31 - 1)
 #: merge a round over a wide matrix would cost the square of the length.
 WIDEST = 256
 #: Distinct pieces a worker remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
+#: Cells of one padded matrix.
+CELLS = 1 << 19
 #: The split pattern of the public byte-level vocabularies, and the same pattern for
 #: texts of ASCII and accented Latin-1 letters only, which the faster `re` can match.
 COMMON = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -168,8 +170,8 @@ class Encoder:
         width = 2
         while width <= WIDEST:
             rows = np.flatnonzero((size <= width) & (size > (width // 2 if width > 2 else 0)))
-            for lo in range(0, len(rows), 1 << 15):
-                part = rows[lo : lo + (1 << 15)]
+            for lo in range(0, len(rows), CELLS // width):
+                part = rows[lo : lo + CELLS // width]
                 n = size[part]
                 raw = np.frombuffer(b"".join([pieces[i] for i in part.tolist()]), np.uint8)
                 row = np.repeat(np.arange(len(part)), n)

@@ -85,7 +85,7 @@ def sequences(docs: DataFrame, tokenizer: bytes, bases: dict[int, int], size: in
         at, limit = shared.value[1].get(partition, 0), shared.value[1].get(partition + 1, size)
         for batch in batches:
             keys, texts = batch.column(0).fill_null(-1).to_numpy(), batch.column(1)
-            for lo, hi in slices(texts, 4 << 20):
+            for lo, hi in slices(texts, 2 << 20):
                 ids, count = bpe.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 raw = memoryview(np.insert(ids, np.cumsum(count), END_ID).astype("<u2").tobytes())
                 count = count + 1
