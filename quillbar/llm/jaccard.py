@@ -245,11 +245,19 @@ def _possible_pairs(batches):
     smallest set. Pairs of different classes that the bound of step 5 does not rule out."""
     for batch in batches:
         out = []
-        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+        for centre, left, right in zip(batch.column("l").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
             x, y = ({n: np.asarray(side.values.field(n)) for n in ("s", "n", "w", "a", "root")} for side in (left, right))
             s, n, w, a, root = ((x[f][:, None], y[f][None, :]) for f in ("s", "n", "w", "a", "root"))
             most = np.minimum(*a) + np.minimum(*w)
             ok = (root[0] != root[1]) & (s[0] != s[1]) & (7 * most >= 3 * (n[0] + n[1])) & (4 * np.minimum(*n) >= 3 * np.maximum(*n))
+            before = [[[c for c in cs if c < centre] for cs in side.values.field("centres").to_pylist()] for side in (left, right)]
+            number = {c: m for m, c in enumerate({c for cs in before[0] for c in cs})}
+            if number and ok.any():
+                marks = [np.zeros((len(side), len(number)), np.float32) for side in before]
+                for mark, side in zip(marks, before, strict=True):
+                    for row, cs in zip(mark, side, strict=True):
+                        row[[number[c] for c in cs if c in number]] = 1
+                ok &= (marks[0] @ marks[1].T) == 0
             i, j = np.nonzero(ok)
             if len(i):
                 p, q = x["s"][i], y["s"][j]
@@ -301,23 +309,27 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = _joined(classes, materialize(similar(second), "links"))
     checked = checked.unionByName(second)
 
-    # What the star leaves open: groups of three or more whose members are of different classes.
+    # What the star leaves open: groups of three or more whose members are of different classes. All
+    # groups of one smallest set are looked at together, and a pair at the least one they share only.
     roots = classes.select(F.col("node").alias("s"), "root")
     of_least = classes.select(F.col("node").alias("l"), F.col("root").alias("root_l"))
     known = checked.select(F.col("a").alias("l"), F.col("b").alias("s"), "shared")
-    open_groups = grouped.where("m > 2").join(known, ["l", "s"], "left").join(roots, "s", "left").join(of_least, "l", "left")
+    stars = materialize(grouped.where("m > 2").select("l", "s", "n", "k").distinct(), "stars")
+    centres = stars.groupBy("s").agg(F.sort_array(F.collect_list("l")).alias("centres"))
+    open_groups = stars.join(known, ["l", "s"], "left").join(roots, "s", "left").join(of_least, "l", "left")
     # a: features in common with the smallest set, w: others; where they were not counted, k bounds both.
     own = F.when(F.col("s") == F.col("l"), F.col("k")).otherwise(F.col("shared"))
     at_most, others = F.coalesce(own, "k").cast("long"), F.coalesce(F.col("k") - own, "k").cast("long")
-    labelled = open_groups.select("g", "s", "l", "m", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), at_most.alias("a"), others.alias("w"), F.coalesce("root", "s").alias("root"), F.coalesce("root_l", "l").alias("root_l"))
-    span = labelled.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("a").alias("most_a"), F.max("w").alias("most_w"), F.min("n").alias("least_n"))
-    open_ = labelled.join(span.where("lo <> hi"), "g")
+    labelled = open_groups.select("s", "l", F.col("n").cast("long").alias("n"), at_most.alias("a"), others.alias("w"), F.coalesce("root", "s").alias("root"), F.coalesce("root_l", "l").alias("root_l"))
+    span = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("a").alias("most_a"), F.max("w").alias("most_w"), F.min("n").alias("least_n"))
+    open_ = labelled.join(span.where("lo <> hi"), "l")
     reach = F.least("a", "most_a") + F.least("w", "most_w")
-    hopeful = materialize(open_.where(7 * reach >= 3 * (F.col("n") + F.greatest("least_n", F.ceil(0.75 * F.col("n"))))), "open")
+    hopeful = open_.where(7 * reach >= 3 * (F.col("n") + F.greatest("least_n", F.ceil(0.75 * F.col("n")))))
+    hopeful = materialize(hopeful.join(centres, "s"), "open")
     chunk = F.pmod(F.xxhash64("s"), F.ceil(F.col("m") / PAIRED)).alias("c")
-    packed = lambda df, name: df.groupBy("g", chunk).agg(F.collect_list(F.struct("s", "n", "w", "a", "root")).alias(name)).drop("c")
+    packed = lambda df, name: df.groupBy("l", chunk).agg(F.collect_list(F.struct("s", "n", "w", "a", "root", "centres")).alias(name)).drop("c")
     outside = packed(hopeful.where("root <> root_l"), "left")
-    blocks_of_pairs = outside.join(packed(hopeful, "right"), "g").select("left", "right")
+    blocks_of_pairs = outside.join(packed(hopeful, "right"), "l").select("l", "left", "right")
     pairs = blocks_of_pairs.mapInArrow(_possible_pairs, "a long, b long").distinct()
     more = _verified(pairs, sets)
     classes = _joined(classes, materialize(similar(more), "links"))
