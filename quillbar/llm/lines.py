@@ -51,12 +51,13 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _half_keys(n, words):
+    """Keys of the first (even) and the second half (odd) of a line, were it the shorter or the longer one."""
     keys = []
     for m in (n, n - 1):
         half = F.floor(m / 2).cast("int")
         rest = m - half
-        keys.append(F.xxhash64(F.lit(0), m, F.slice(words, F.lit(1), half)))
-        keys.append(F.xxhash64(F.lit(1), m, F.slice(words, n - rest + 1, rest)))
+        keys.append(F.xxhash64(F.lit(0), m, F.slice(words, F.lit(1), half)).bitwiseAND(F.lit(-2)))
+        keys.append(F.xxhash64(F.lit(1), m, F.slice(words, n - rest + 1, rest)).bitwiseOR(F.lit(1)))
     return F.array(*keys)
 
 
@@ -75,27 +76,33 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     keys = F.when(F.col("n") >= min_words, _half_keys(F.col("n"), F.col("words")))
     known = materialize(numbered.select("doc", "pos", "line", "n", keys.alias("keys")), "lines")
     first = F.min(_place("doc", "pos")).alias("first")
-    keyed = known.where("keys is not null").select("line", "n", "doc", "pos", F.explode("keys").alias("half"))
+    keyed = known.where("keys is not null").select("line", F.explode("keys").alias("half"))
     shared = keyed.groupBy("half").agg(F.min("line").alias("l"), F.max("line").alias("h")).where("l <> h").select("half")
-    able = keyed.join(shared, "half", "left_semi").groupBy("line", "n").agg(first)
-    able = materialize(able.select("line", "n", "first.doc", "first.pos"), "lines")
-
-    places = able.groupBy("doc").agg(F.collect_list(_place("pos", "line", "n")).alias("at"))
+    odd = F.col("half").bitwiseAND(F.lit(1)) == 1
+    halves = keyed.join(shared, "half", "left_semi").groupBy("line").agg(F.bool_or(~odd).alias("head"), F.bool_or(odd).alias("tail"))
+    halves = materialize(halves, "lines")
+    hint = F.broadcast if bounded_count(halves) <= MOST_BROADCAST else (lambda df: df)  # 10 bytes a line
+    able = known.where("keys is not null").select("line", "n", "doc", "pos").join(hint(halves), "line").groupBy("line", "n", "head", "tail").agg(first)
+    able = materialize(able.select("line", "n", "head", "tail", "first.doc", "first.pos"), "lines")
+
+    places = able.groupBy("doc").agg(F.collect_list(_place("pos", "line", "n", "head", "tail")).alias("at"))
     if bounded_count(able) <= MOST_BROADCAST:
         places = F.broadcast(places)  # 20 bytes a line, 10 MB at most
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.split(F.col(text), "\n").alias("all"))
     fetched = texts.join(places, "doc").select("doc", "all", F.explode("at").alias("at"))
     words = words_of(F.element_at("all", F.col("at.pos") + 1))
-    candidates = materialize(fetched.select(F.col("at.line").alias("line"), F.col("at.n").alias("n"), "doc", F.col("at.pos").alias("pos"), words.alias("words")).dropDuplicates(["line", "n"]), "lines")
+    candidates = materialize(fetched.select("at.line", "at.n", "at.head", "at.tail", "doc", "at.pos", words.alias("words")).dropDuplicates(["line", "n"]), "lines")
 
     # Word i of the line has the code of its place, and the code it gets if a word before it goes.
     code = F.transform("words", lambda w, i: F.xxhash64(i, w))
     moved = F.transform("words", lambda w, i: F.xxhash64(i - 1, w))
-    coded = candidates.select("line", "n", "doc", "pos", code.alias("c"), moved.alias("m"))
-    coded = coded.select("line", "n", "doc", "pos", _xor("c").alias("whole"), _xor("m").alias("all_moved"), F.arrays_zip("c", "m").alias("codes"))
-    spread = coded.select("line", "n", "doc", "pos", "all_moved", F.posexplode("codes").alias("i", "w"))
+    coded = candidates.select("line", "n", "head", "tail", "doc", "pos", code.alias("c"), moved.alias("m"))
+    coded = coded.select("line", "n", "head", "tail", "doc", "pos", _xor("c").alias("whole"), _xor("m").alias("all_moved"), F.arrays_zip("c", "m").alias("codes"))
+    spread = coded.select("line", "n", "head", "tail", "doc", "pos", "all_moved", F.posexplode("codes").alias("i", "w"))
     upto = W.partitionBy("line", "n").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = spread.select("line", "n", "doc", "pos", "i", "all_moved", F.col("w.c").alias("c"), F.expr("bit_xor(w.c)").over(upto).alias("before"), F.expr("bit_xor(w.m)").over(upto).alias("behind"))
+    run = spread.select("line", "n", "head", "tail", "doc", "pos", "i", "all_moved", F.col("w.c").alias("c"), F.expr("bit_xor(w.c)").over(upto).alias("before"), F.expr("bit_xor(w.m)").over(upto).alias("behind"))
+    # With the first half in common the edit is in the second, and the other way round.
+    run = run.where((F.col("head") & (F.col("i") >= F.floor((F.col("n") - 1) / 2))) | (F.col("tail") & (F.col("i") <= F.floor(F.col("n") / 2) + 1)))
     fewer = run.select(F.xxhash64(F.col("n") - 1, F.col("before").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("all_moved")).bitwiseXOR(F.col("behind"))).alias("variant"), F.col("i").alias("gap"), "line", "n", "doc", "pos")
     entire = coded.select(F.xxhash64("n", "whole").alias("variant"), F.lit(-1).alias("gap"), "line", "n", "doc", "pos")
     variants = fewer.unionByName(entire).select("variant", "gap", _place("doc", "pos", "line", "n").alias("at"))
