@@ -87,11 +87,14 @@ def fit(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", label:
 def predict(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """key, (carried columns), lang_pred, score of every row's whole text."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # landmarks x dim floats: 4 MB
+    kept = list(dict.fromkeys([key, *carry]))
+    source = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])  # each column once
+    at = source.columns.index(text)
 
     def run(batches):
         labels = shared.value["labels"]
         for batch in batches:
-            texts = batch.column(0)
+            texts = batch.column(at)
             for lo, hi in slices(texts, 2 << 20, ROWS):
                 part = texts.slice(lo, hi - lo).to_pylist()
                 known = np.array([bool(t and labels and _LETTER(t)) for t in part], bool)
@@ -104,11 +107,9 @@ def predict(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text",
                     best = found.argmax(1)
                     names[known] = np.array(labels, object)[best]
                     scores[known] = np.clip((found[np.arange(len(best)), best].astype(np.float64) + 1) / 2, 0, 1)
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names[1:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), pa.array(names, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
-    kept = list(dict.fromkeys([key, *carry]))
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    source = df.select(F.col(text).cast("string").alias("_text"), *[F.col(f"`{c}`") for c in kept])
     return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
