@@ -117,7 +117,7 @@ def empirical_rank(samples: DataFrame, asked: DataFrame, keys: list[str], value:
 def page(df: DataFrame, order: list, size: int, after: tuple | None = None, columns: list[str] | None = None) -> DataFrame:
     """The next `size` + 1 rows of a descending order after a row value; the extra one tells of more."""
     if after is not None:
-        df = df.where(F.struct(*columns) < F.struct(*[F.lit(x) for x in after]))
+        df = df.where(F.struct(*columns) < F.struct(*[F.lit(x).cast(df.schema[c].dataType).alias(c) for x, c in zip(after, columns, strict=True)]))
     return df.orderBy(*order).limit(size + 1)
 
 

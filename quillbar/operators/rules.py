@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillbar.functions.decimals import dec, fmt, ratio, times
 
@@ -188,7 +189,7 @@ def paths(claims: DataFrame, bars: DataFrame) -> DataFrame:
     return out.select("claim_id", F.greatest("base", F.coalesce("h", "base")).alias("highest"), F.least("base", F.coalesce("l", "base")).alias("lowest"), "threshold_at", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), F.coalesce("crossed", F.lit(False)).alias("crossed"))
 
 
-RESULT = "state string, reason string, mfe string, mae string, signed_return string"
+RESULT = T.StructType([T.StructField(n, T.StringType()) for n in ("state", "reason", "mfe", "mae", "signed_return")])
 
 
 @F.pandas_udf(RESULT)

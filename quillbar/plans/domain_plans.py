@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Window as W
@@ -15,6 +16,7 @@ from quillbar.plans.bar_plans import B1
 from quillbar.plans.catalog import query
 from quillbar.sources import files
 from quillbar.sources.fixtures import LINE, bars, calls, fills, load, ticks
+from quillbar.streaming import watch
 
 NTZ = "timestamp_ntz"
 
@@ -309,8 +311,31 @@ def svg_chart(spark, d):
 
 @query("export_manifest")
 def export_manifest(spark, d):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillbar-")
-    import uuid
+    out = files.export(load(spark, d, "orders"), _shared(spark, "export"), 5000)
+    return out.groupBy().agg(F.sum("rows").alias("rows"))
+
+
+@query("watch_stream")
+def watch_stream(spark, d):
+    """Watches over the ticks of their symbol, fed in three batches; the last result of each."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows, path = watch.rows_of(_watches(spark, d), ticks(spark, d)), _shared(spark, "trades")
+    edges = [F.lit(x).cast(NTZ) for x in ("2024-01-01", "2024-01-10", "2024-01-20", "2024-03-01")]
+    for start, end in zip(edges, edges[1:], strict=False):
+        at = F.timestamp_micros("at").cast(NTZ)
+        rows.where((at >= start) & (at < end)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out, state = _shared(spark, "watched"), _shared(spark, "state")
+    watch.incremental(watch.watch_stream(stream), lambda batch, number: batch.write.mode("append").parquet(out), state, "update").awaitTermination()
+    return watch.latest(spark.read.parquet(out))
+
 
-    out = files.export(load(spark, d, "orders"), f"{shared.rstrip('/')}/export-{uuid.uuid4().hex}", 5000)
-    return out.select("rows").groupBy().agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("n_files"))
+def _watches(spark, d):
+    e = load(spark, d, "events").where("event_id % 100 = 0")
+    criteria = F.to_json(_criteria("T1", direction=F.lit("L"), threshold_ratio=F.lit("0.05"), horizon_hours=F.lit(200)))
+    return e.select(F.col("event_id").cast("string").alias("watch_id"), F.col("event_type").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("submitted_at"), F.col("value").cast("string").alias("base"), criteria.alias("criteria"))
+
+
+def _shared(spark, name):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillbar-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

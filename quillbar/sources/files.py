@@ -103,7 +103,7 @@ def export(df: DataFrame, path: str, rows_in_file: int = 20_000) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
-    lines = F.size(F.split(F.decode("content", F.lit("UTF-8")), "\n")) - 1
+    lines = F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), lines.alias("rows"), F.sha2("content", 256).alias("sha256"))
 
 

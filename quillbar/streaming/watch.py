@@ -12,6 +12,8 @@ from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -161,10 +163,25 @@ def watch_stream(rows: DataFrame) -> DataFrame:
     return rows.groupBy("watch_id").transformWithStateInPandas(WatchProcessor(), RESULT, "Update", "None")
 
 
-def incremental(stream: DataFrame, apply, checkpoint: str):
+def rows_of(watches: DataFrame, trades: DataFrame) -> DataFrame:
+    """Input rows of the processor: each watch (watch_id, symbol, submitted_at, base, criteria) with the
+    trades (symbol, tick_id, at, price) of its symbol from its submission on, numbered without gap."""
+    number = F.row_number().over(W.partitionBy("symbol").orderBy("at", "tick_id"))
+    numbered = trades.select("symbol", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), number.cast("long").alias("trade_id"), F.col("price").cast("string").alias("price"))
+    met = watches.join(numbered, "symbol").where(F.col("at") >= F.col("submitted_at"))
+    return met.select("watch_id", "at", "trade_id", "price", "criteria", "submitted_at", "base")
+
+
+def latest(results: DataFrame) -> DataFrame:
+    """The last result of each watch."""
+    rest = [c for c in results.columns if c not in ("watch_id", "through")]
+    return results.groupBy("watch_id").agg(F.max("through").alias("through"), F.max_by(F.struct(*rest), "through").alias("r")).select("watch_id", "through", "r.*")
+
+
+def incremental(stream: DataFrame, apply, checkpoint: str, mode: str = "append"):
     """Runs apply(batch, number) for each micro-batch with its own checkpoint: projections that touch only
     the books a batch holds."""
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
 def rebuilt_books(batch: DataFrame, history: DataFrame, key: str = "symbol") -> DataFrame:
@@ -175,7 +192,5 @@ def rebuilt_books(batch: DataFrame, history: DataFrame, key: str = "symbol") ->
 
 def event_counts(stream: DataFrame, at: str, key: str, width: str, late: str) -> DataFrame:
     """Rows of each key and event-time window, with a watermark."""
-    from pyspark.sql import functions as F
-
     timed = stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
     return timed.groupBy(F.window("_at", width), key).agg(F.count(F.lit(1)).alias("n"))
