@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 import json
 import re
@@ -10,6 +11,7 @@ import unicodedata
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 NONE = np.int32(2**31 - 1)
@@ -154,8 +156,34 @@ class Encoder:
     def forget(self):
         self.index = _Index()
         self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.met = np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
 
+    def thin(self):
+        """Forgets the pieces met once only since the last time, all if that leaves too many."""
+        n = len(self.index)
+        kept = self.met[:n] > 1
+        if kept.sum() > REMEMBERED // 2:
+            return self.forget()
+        names = [x for x, k in zip(self.index, kept.tolist(), strict=True) if k]
+        start, count = self.start[:n][kept], self.count[:n][kept]
+        flat = gather(self.flat, start, count)
+        self.forget()
+        for name in names:
+            self.index[name]  # numbers it
+        self.index.new = []
+        self._store(flat, np.cumsum(count) - count, count, 0)
+
+    def _store(self, ids, start, count, have):
+        n = len(self.index)
+        while len(self.start) < n:
+            self.start, self.count, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.met))
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[have:n], self.count[have:n] = self.used + start, count
+        self.used += len(ids)
+
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start of each piece in them, number of each piece's ids): pieces of like length
         (to a power of two) share a padded matrix."""
@@ -191,19 +219,13 @@ class Encoder:
         """(ids of all pieces in order, number of ids of each piece). ids_of_new: list of unknown
         pieces -> what merge() returns."""
         if len(self.index) > REMEMBERED:
-            self.forget()
+            self.thin()
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         if new := self.index.new:
             have = len(self.index) - len(new)
-            ids, start, count = ids_of_new(new)
-            while len(self.start) < len(self.index):
-                self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-            while len(self.flat) < self.used + len(ids):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[have : len(self.index)], self.count[have : len(self.index)] = self.used + start, count
-            self.used += len(ids)
+            self._store(*ids_of_new(new), have)
             self.index.new = []
+        self.met[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         count = self.count[at]
         return gather(self.flat, self.start[at], count), count
 
@@ -335,6 +357,13 @@ class WordBPE:
 _LOADED: dict = {}
 
 
+def unload() -> None:
+    """Frees what loaded() keeps, for tasks that need the memory for something else."""
+    _LOADED.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def loaded(kind, *args):
     """kind(*args), kept by the Python worker for its later tasks."""
     key = (kind, *map(hash, args))

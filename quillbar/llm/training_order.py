@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbar.llm.bpe import WordBPE, loaded
+from quillbar.llm.bpe import WordBPE, loaded, unload
 from quillbar.llm.common import shared_path, slices, table
 from quillbar.llm.words import mix
 
@@ -85,7 +85,7 @@ def sequences(docs: DataFrame, tokenizer: bytes, bases: dict[int, int], size: in
         at, limit = shared.value[1].get(partition, 0), shared.value[1].get(partition + 1, size)
         for batch in batches:
             keys, texts = batch.column(0).fill_null(-1).to_numpy(), batch.column(1)
-            for lo, hi in slices(texts, 2 << 20):
+            for lo, hi in slices(texts, 4 << 20):
                 ids, count = bpe.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 raw = memoryview(np.insert(ids, np.cumsum(count), END_ID).astype("<u2").tobytes())
                 count = count + 1
@@ -128,6 +128,7 @@ def write_shards(docs: DataFrame, tokenizer: bytes, path: str, key: str = "doc_i
     dealt = found.withColumn("shard", F.floor(F.col("slot") / F.lit(max(1, -(-size // shards)))).cast("int"))
 
     def run(batches):
+        unload()
         store, folder = pa.fs.FileSystem.from_uri(path)
         task = TaskContext.get().taskAttemptId()
         now, out, held, crc, name = None, None, 0, 0, ""
@@ -178,6 +179,7 @@ def read_shards(manifest: DataFrame, path: str, start: int = 0) -> DataFrame:
     parts = spark.createDataFrame(plan_rows, "shard int, file string, base long, skip long, n long").repartition(max(1, len(plan_rows)), "shard")
 
     def run(batches):
+        unload()
         store, folder = pa.fs.FileSystem.from_uri(path)
         for batch in batches:
             for row in batch.to_pylist():
