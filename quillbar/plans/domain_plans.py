@@ -309,10 +309,15 @@ def svg_chart(spark, d):
     return files.svg_chart(bars(spark, d, "1w"))
 
 
-@query("export_manifest")
+@query("raster_chart")
+def raster_chart(spark, d):
+    return files.raster_chart(bars(spark, d, "1w"))
+
+
+@query("export_manifest", "SELECT count(*) AS rows FROM orders")
 def export_manifest(spark, d):
     out = files.export(load(spark, d, "orders"), _shared(spark, "export"), 5000)
-    return out.groupBy().agg(F.sum("rows").alias("rows"))
+    return out.groupBy().agg(F.sum("rows").cast("long").alias("rows"))
 
 
 @query("watch_stream")
