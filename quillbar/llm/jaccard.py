@@ -316,15 +316,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     known = checked.select(F.col("a").alias("l"), F.col("b").alias("s"), "shared")
     stars = materialize(grouped.where("m > 2").select("l", "s", "n", "k").distinct(), "stars")
     centres = stars.groupBy("s").agg(F.sort_array(F.collect_list("l")).alias("centres"))
-    open_groups = stars.join(known, ["l", "s"], "left").join(roots, "s", "left").join(of_least, "l", "left")
-    # a: features in common with the smallest set, w: others; where they were not counted, k bounds both.
-    own = F.when(F.col("s") == F.col("l"), F.col("k")).otherwise(F.col("shared"))
-    at_most, others = F.coalesce(own, "k").cast("long"), F.coalesce(F.col("k") - own, "k").cast("long")
-    labelled = open_groups.select("s", "l", F.col("n").cast("long").alias("n"), at_most.alias("a"), others.alias("w"), F.coalesce("root", "s").alias("root"), F.coalesce("root_l", "l").alias("root_l"))
-    span = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("a").alias("most_a"), F.max("w").alias("most_w"), F.min("n").alias("least_n"))
-    open_ = labelled.join(span.where("lo <> hi"), "l")
+    rooted_stars = stars.join(roots, "s", "left").join(of_least, "l", "left").withColumn("root", F.coalesce("root", "s")).withColumn("root_l", F.coalesce("root_l", "l"))
+    mixed = rooted_stars.groupBy("l").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("l", "m")
+    open_groups = materialize(rooted_stars.join(mixed, "l").join(known, ["l", "s"], "left"), "open")
+    rest = _verified(open_groups.where("shared is null and s <> l").select(F.col("l").alias("a"), F.col("s").alias("b")), sets)
+    counted = materialize(rest.select(F.col("a").alias("l"), F.col("b").alias("s"), F.col("shared").alias("late")), "checked")
+    # a: features in common with the smallest set, w: others.
+    a = F.coalesce(F.when(F.col("s") == F.col("l"), F.col("k")), F.col("shared"), F.col("late")).cast("long")
+    labelled = open_groups.join(counted, ["l", "s"], "left").select("s", "l", "m", "root", "root_l", F.col("n").cast("long").alias("n"), a.alias("a"), (F.col("k") - a).alias("w"))
+    span = labelled.groupBy("l").agg(F.max("a").alias("most_a"), F.max("w").alias("most_w"), F.min("n").alias("least_n"))
     reach = F.least("a", "most_a") + F.least("w", "most_w")
-    hopeful = open_.where(7 * reach >= 3 * (F.col("n") + F.greatest("least_n", F.ceil(0.75 * F.col("n")))))
+    hopeful = labelled.join(span, "l").where(7 * reach >= 3 * (F.col("n") + F.greatest("least_n", F.ceil(0.75 * F.col("n")))))
     hopeful = materialize(hopeful.join(centres, "s"), "open")
     chunk = F.pmod(F.xxhash64("s"), F.ceil(F.col("m") / PAIRED)).alias("c")
     packed = lambda df, name: df.groupBy("l", chunk).agg(F.collect_list(F.struct("s", "n", "w", "a", "root", "centres")).alias(name)).drop("c")
