@@ -13,16 +13,17 @@ def components(links: DataFrame) -> DataFrame:
     its component. Each round links the larger neighbours of a node to its smallest neighbour, then the
     smaller ones; sums meet in partial minima, so a node with very many links is no single task's."""
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    mark = lambda e: e.select(F.xxhash64("a", "b").alias("h")).agg(F.count("h").alias("n"), F.expr("bit_xor(h)").alias("x")).first()
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = mark(edges)
     while True:
         around = both(edges)
         least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        new = materialize(small, "links")
-        gone = edges.select(F.xxhash64("a", "b").alias("h")).agg(F.count("h").alias("n"), F.expr("bit_xor(h)").alias("x")).first()
-        came = new.select(F.xxhash64("a", "b").alias("h")).agg(F.count("h").alias("n"), F.expr("bit_xor(h)").alias("x")).first()
-        edges = new
-        if gone == came:
+        edges = materialize(small, "links")
+        now = mark(edges)
+        if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before = now
