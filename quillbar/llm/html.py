@@ -13,6 +13,7 @@ other columns are dropped first.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -63,8 +64,15 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.held: Counter[str] = Counter()  # open elements of each name
+
+    def _cut(self, at: int) -> None:
+        self.held.subtract(x.tag for x in self.open[at:])
+        del self.open[at:]
 
     def _close(self, names, barriers) -> None:
+        if not any(self.held[n] for n in names):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
             if tag in barriers:
@@ -76,7 +84,7 @@ class TreeBuilder(HTMLParser):
                     if any(x.tag in barriers for x in self.open[upper + 1 : lowest]):
                         break
                     lowest = upper
-                del self.open[lowest:]
+                self._cut(lowest)
                 return
 
     def handle_starttag(self, tag, attrs):
@@ -88,19 +96,21 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.held[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag and tag not in BLOCKS:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        if tag == "p" and not any(x.tag == "p" for x in self.open):
-            self.open[-1].children.append(Node("p"))
+        if not self.held[tag]:
+            if tag == "p":
+                self.open[-1].children.append(Node("p"))
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html"):
                 return
