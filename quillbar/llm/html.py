@@ -148,6 +148,13 @@ class Page:
             self.blank = False
         self.now, self.space = [], False
 
+    def raw(self) -> None:
+        """Ends a line of preformatted text, which may be empty."""
+        if self.blank and self.lines:
+            self.lines.append("")
+        self.lines.append("".join(self.now).rstrip())
+        self.now, self.blank = [], False
+
     def whole(self, lines: list[str]) -> None:
         self.end()
         if lines:
@@ -188,8 +195,7 @@ def render(root: Node, depth: int = 0) -> list[str]:
             if pre:
                 for i, line in enumerate(node.split("\n")):
                     if i:
-                        page.lines.append("".join(page.now).rstrip())
-                        page.now = []
+                        page.raw()
                     page.now.append(line)
             else:
                 page.text(node)
