@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quillbar.llm.common import materialize
 
 
+LINKS_IN_TASK = 100_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (long). (node, root) of every node that has a link, root being the smallest node of
     its component. Each round links the larger neighbours of a node to its smallest neighbour, then the
@@ -22,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = materialize(small, "links")
+        # As many tasks as there are links write the round: their number does not grow.
+        edges = materialize(small.coalesce(1 + before["n"] // LINKS_IN_TASK), "links")
         now = mark(edges)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
