@@ -10,11 +10,12 @@ Plan (every step is a Spark job over partitioned rows; nothing that grows with t
    any similar pair must share is dropped (see partenum.signatures).
 3. The remaining sets are read again and keep the features that some other remaining set has; a set
    that keeps under 3/4 of its features cannot link.
-4. Each group is a star: its smallest set against the others, verified on the features. So a family of
-   near copies costs its size, not its square. First each set meets the smallest of its stars' centres,
+4. Each group is a star: the set with the fewest features of its own, its centre, against the others,
+   verified on the features. So a family of near copies costs its size, not its square; what most of them
+   have in common is likely whole in the centre. First each set meets the best of its stars' centres,
    then, after components of these links are found, those centres that are of another class still.
 5. Members of one group in different classes remain. |x & y| <= min(|x & l|, |y & l|) + min of what x
-   and y keep outside l, for the group's smallest set l: pairs that this bound rules out are dropped, the
+   and y keep outside l, for the group's centre l: pairs that this bound rules out are dropped, the
    others are verified, and components are closed over both kinds of links.
 
 Hash collisions apart (64 bits a feature), no link is lost and none is invented.
@@ -233,6 +234,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", F.size("fa").alias("ka"), F.size("fb").alias("kb"), overlap("fa", "fb").alias("shared"))
 
 
+def _centre_order(name: str, size: str, common: str):
+    """Orders candidates for the centre of a star: fewest features of its own, then by a hash."""
+    return F.shiftleft((F.col(size) - F.col(common)).cast("long"), 32).bitwiseOR(F.xxhash64(name).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Components of the classes (node, root) and further links."""
     if not bounded_count(links):
@@ -241,8 +247,7 @@ def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _possible_pairs(batches):
-    """Rows of (left, right): chunks of one group's members, left those outside the class of the group's
-    smallest set. Pairs of different classes that the bound of step 5 does not rule out."""
+    """Rows of (centre, left, right): chunks of a centre's members, left those outside its class. Pairs of different classes that the bound of step 5 does not rule out."""
     for batch in batches:
         out = []
         for centre, left, right in zip(batch.column("l").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
@@ -293,13 +298,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     held = small(sets.select("s", "n", F.size("common").alias("k")))
     members = met.where("kind = 2").select(F.col("x").alias("g"), F.explode("members").alias("s")).join(held, "s")
-    least = members.groupBy("g").agg(F.min("s").alias("l"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    least = members.groupBy("g").agg(F.min_by("s", _centre_order("s", "n", "k")).alias("l"), F.count(F.lit(1)).alias("m")).where("m > 1")
     grouped = materialize(members.join(least, "g"), "groups")
     sized = held.select(F.col("s").alias("l"), F.col("n").alias("nl"), F.col("k").alias("kl"))
     possible = "4 * least(n, nl) >= 3 * greatest(n, nl) and 7 * least(k, kl) >= 3 * (n + nl)"
     star = grouped.where("s <> l").select("l", "s", "n", "k").distinct().join(sized, "l").where(possible)
-    star = materialize(star.select(F.col("l").alias("a"), F.col("s").alias("b")), "star")
-    checked = materialize(_verified(star.groupBy("b").agg(F.min("a").alias("a")), sets), "checked")
+    star = materialize(star.select(F.col("l").alias("a"), F.col("s").alias("b"), _centre_order("l", "nl", "kl").alias("order")), "star")
+    checked = materialize(_verified(star.groupBy("b").agg(F.min_by("a", "order").alias("a")), sets), "checked")
     similar = lambda df: df.where(linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
     classes = components(similar(checked))
     rooted_as = lambda x: classes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
@@ -310,7 +315,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     checked = checked.unionByName(second)
 
     # What the star leaves open: groups of three or more whose members are of different classes. All
-    # groups of one smallest set are looked at together, and a pair at the least one they share only.
+    # groups of one centre are looked at together, and a pair at the least centre they share only.
     roots = classes.select(F.col("node").alias("s"), "root")
     of_least = classes.select(F.col("node").alias("l"), F.col("root").alias("root_l"))
     known = checked.select(F.col("a").alias("l"), F.col("b").alias("s"), "shared")
@@ -321,7 +326,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     open_groups = materialize(rooted_stars.join(mixed, "l").join(known, ["l", "s"], "left"), "open")
     rest = _verified(open_groups.where("shared is null and s <> l").select(F.col("l").alias("a"), F.col("s").alias("b")), sets)
     counted = materialize(rest.select(F.col("a").alias("l"), F.col("b").alias("s"), F.col("shared").alias("late")), "checked")
-    # a: features in common with the smallest set, w: others.
+    # a: features in common with the centre, w: others.
     a = F.coalesce(F.when(F.col("s") == F.col("l"), F.col("k")), F.col("shared"), F.col("late")).cast("long")
     labelled = open_groups.join(counted, ["l", "s"], "left").select("s", "l", "m", "root", "root_l", F.col("n").cast("long").alias("n"), a.alias("a"), (F.col("k") - a).alias("w"))
     span = labelled.groupBy("l").agg(F.max("a").alias("most_a"), F.max("w").alias("most_w"), F.min("n").alias("least_n"))
