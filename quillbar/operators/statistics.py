@@ -136,23 +136,28 @@ EPISODE_HOURS = 120
 
 def episodes(calls: DataFrame, keys: list[str]) -> DataFrame:
     """Episode of each call: that of the latest anchor at most 120 hours before, else a new one that the
-    call anchors (explicit; later calls are suggested). The chain of anchors is sequential, key by key."""
+    call anchors (explicit; later calls are suggested). The chain of anchors is sequential: partitions sorted
+    by key and time are folded as they stream by."""
     hours = pd.Timedelta(hours=EPISODE_HOURS)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["submitted_at", "call_id"])
-        anchor, number, out = None, -1, []
-        for at in pdf["submitted_at"]:
-            new = anchor is None or at > anchor + hours
-            if new:
-                anchor, number = at, number + 1
-            out.append((number, anchor, "explicit" if new else "suggested"))
-        extra = pd.DataFrame(out, columns=["episode_no", "anchor", "link_status"], index=pdf.index)
-        return pd.concat([pdf, extra], axis=1)
+    def run(batches):
+        last, anchor, number = None, None, -1
+        for pdf in batches:
+            out = []
+            for key, at in zip(pdf[keys].itertuples(index=False, name=None), pdf["submitted_at"], strict=True):
+                if key != last:
+                    last, anchor, number = key, None, -1
+                new = anchor is None or at > anchor + hours
+                if new:
+                    anchor, number = at, number + 1
+                out.append((number, anchor, "explicit" if new else "suggested"))
+            extra = pd.DataFrame(out, columns=["episode_no", "anchor", "link_status"], index=pdf.index)
+            yield pd.concat([pdf, extra], axis=1)
 
     fields = ", ".join(f"{n} {t}" for n, t in calls.dtypes)
     known = calls.where(" and ".join(f"{k} is not null" for k in keys))
-    return known.groupBy(*keys).applyInPandas(run, f"{fields}, episode_no int, anchor timestamp_ntz, link_status string")
+    ordered = known.repartition(*keys).sortWithinPartitions(*keys, "submitted_at", "call_id")
+    return ordered.mapInPandas(run, f"{fields}, episode_no int, anchor timestamp_ntz, link_status string")
 
 
 def review_bucket(draft: Column, reviewed_at: Column, outcome_at: Column, snoozed_until: Column, now: Column) -> tuple[Column, Column]:
