@@ -5,7 +5,7 @@ A document's set holds the hashes of its distinct shingles of `width` words. Two
 
 Plan (every step is a Spark job over partitioned rows; nothing that grows with the corpus is collected):
 1. One scan makes sets and PartEnum signatures. Sets are named by a hash of their features, so copies
-   are one set from here on. Signatures travel as packed blocks, dealt by their leading bits.
+   are one set from here on. Signatures travel as packed blocks, dealt by band and leading bits.
 2. Where two sets meet in a signature, a group is kept. A set that meets others in fewer signatures than
    any similar pair must share is dropped (see partenum.signatures).
 3. The remaining sets are read again and keep the features that some other remaining set has; a set
@@ -40,8 +40,8 @@ from quillbar.llm.components import components
 from quillbar.llm.words import feature_sets, mix
 
 WIDTH = 5
-#: Characters of text for each block of signatures, and features for each block of features.
-TEXT_IN_BLOCK = 6_000_000
+#: Signatures for each block of signatures, and features for each block of features.
+SIGNATURES_IN_BLOCK = 800_000
 FEATURES_IN_BLOCK = 1_500_000
 #: Signatures that a task holds before it sends them, members of a group that one row holds.
 HELD = 500_000
@@ -64,22 +64,42 @@ def _blocks(leading: np.ndarray, blocks: int) -> np.ndarray:
     return (((leading >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int32)
 
 
-def _sketch(blocks: int, width: int):
+def _block_ranges(source: DataFrame) -> dict[int, tuple[int, int]]:
+    """(first block, blocks) of each band, so that a block holds about SIGNATURES_IN_BLOCK. A set sends to the
+    blocks of its bands only. Words are estimated by spaces; where that is wrong blocks differ in size."""
+    n = F.greatest(F.lit(4), F.length("text") - F.length(F.replace("text", F.lit(" "))) - 3)
+    own = F.length(F.bin(n)) - 1
+    above = F.when(F.floor(4 * n / 3) >= F.pow(F.lit(2), own + 1), own + 1)
+    sized = source.where("text is not null").select(F.explode(F.array_compact(F.array(own, above))).alias("band"))
+    rows = sorted(sized.groupBy("band").count().collect())  # a row a band
+    ranges, first = {}, 0
+    for band, count in rows:
+        ranges[band] = (first, -(-count * partenum.parts(band) // SIGNATURES_IN_BLOCK))
+        first += ranges[band][1]
+    return ranges
+
+
+def _sketch(ranges: dict[int, tuple[int, int]], width: int):
     """Batches of (key, text) -> rows of (block, docs, signatures)."""
+    blocks = max(1, sum(n for _, n in ranges.values()))
 
     def flush(entries, found):
-        signature = np.concatenate([x[3] for x in entries])
-        entry = np.repeat(np.arange(len(entries)), [len(x[3]) for x in entries])
-        name, band, surely = np.array([x[0] for x in entries], "<i8"), np.array([x[1] for x in entries], "u1"), np.array([x[2] for x in entries], "<i4")
-        block = _blocks(signature, blocks)
-        order = np.argsort(block, kind="stable")
-        signature, entry, block = signature[order], entry[order], block[order]
-        edges = np.flatnonzero(np.diff(block, prepend=-1))
-        for lo, hi in zip(edges, [*edges[1:], len(block)], strict=True):
-            own, count = np.unique(entry[lo:hi], return_counts=True)
-            low = signature[lo:hi] & np.uint64((1 << 40) - 1)
-            body = [np.array([len(own), hi - lo], "<i4"), name[own], band[own], surely[own], count.astype("<i4"), low.astype("<u4"), (low >> np.uint64(32)).astype("u1")]
-            found.append((int(block[lo]), None, b"".join(x.tobytes() for x in body)))
+        of_band = {}
+        for x in entries:
+            of_band.setdefault(x[1], []).append(x)
+        for band, own in of_band.items():
+            first, n = ranges.get(band, (0, blocks))
+            signature, name = np.concatenate([x[2] for x in own]), np.array([x[0] for x in own], "<i8")
+            entry = np.repeat(np.arange(len(own)), [len(x[2]) for x in own])
+            block = _blocks(signature, n)
+            order = np.argsort(block, kind="stable")
+            signature, entry, block = signature[order], entry[order], block[order]
+            edges = np.flatnonzero(np.diff(block, prepend=-1))
+            for lo, hi in zip(edges, [*edges[1:], len(block)], strict=True):
+                sent, count = np.unique(entry[lo:hi], return_counts=True)
+                low, wide = signature[lo:hi] & np.uint64((1 << 40) - 1), 1 if count.max() < 256 else 4
+                body = [np.array([len(sent), hi - lo, band, wide], "<i4"), name[sent], count.astype(f"<u{wide}"), low.astype("<u4"), (low >> np.uint64(32)).astype("u1")]
+                found.append((first + int(block[lo]), None, b"".join(x.tobytes() for x in body)))
 
     def batch_of(found):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.binary())], ["block", "docs", "signatures"])
@@ -89,18 +109,19 @@ def _sketch(blocks: int, width: int):
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             for lo, hi in slices(texts, 4 << 20):
-                found, names, sizes = [], [], []
+                found, names, sizes, surely = [], [], [], []
                 for features in feature_sets([t or b"" for t in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()], width):
-                    name = set_name(features)
+                    name, least = set_name(features), [0, 0]
                     names.append(name)
                     sizes.append(len(features))
                     if name not in met and len(features):
                         met.add(name)
                         for band, difference in partenum.bands(len(features)):
-                            signature, surely = partenum.signatures(features, band, difference)
-                            entries.append((name, band, surely, signature))
+                            signature, least[band >= len(features).bit_length()] = partenum.signatures(features, band, difference)
+                            entries.append((name, band, signature))
                             held += len(signature)
-                docs = np.stack([keys[lo:hi].astype("<i8"), np.array(names, "<i8"), np.array(sizes, "<i8")])
+                    surely.append(least)
+                docs = np.stack([keys[lo:hi].astype("<i8"), np.array(names, "<i8"), np.array(sizes, "<i8"), *np.array(surely, "<i8").T])
                 found.append((int(abs(names[0]) % blocks), docs.tobytes(), None))
                 if held > HELD:
                     flush(entries, found)
@@ -120,27 +141,32 @@ def _empty(kinds: dict) -> pa.Table:
     return pa.table({n: pa.array([], t) for n, t in kinds.items()})
 
 
-_MEETINGS = {"kind": pa.int32(), "x": pa.int64(), "y": pa.int64(), "z": pa.int64(), "members": pa.list_(pa.int64())}
+_MEETINGS = {"kind": pa.int32(), "x": pa.int64(), "y": pa.int64(), "z": pa.int64(), "own": pa.int32(), "above": pa.int32(), "members": pa.list_(pa.int64())}
+
+
+def _rows(kind: int, n: int, **columns) -> pa.Table:
+    return pa.table([(columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t)) if c in columns else pa.array(np.full(n, kind, np.int32)) if c == "kind" else pa.nulls(n, t) for c, t in _MEETINGS.items()], names=list(_MEETINGS))
 
 
 def _meet(found: pa.Table) -> pa.Table:
-    """One block -> its documents (kind 0: key, set, size), how often each set of a band meets others
-    (kind 1: set, meetings, surely) and the groups that meet (kind 2: number of the group, members)."""
+    """One block -> its documents (kind 0: key, set, size, what the set surely shares in its own band and
+    the one above), how often each set of a band meets others (kind 1: set, meetings, band) and the groups
+    that meet (kind 2: number of the group, members)."""
     block, parts = int(found.column("block")[0].as_py()), []
     for raw in found.column("docs").drop_null().to_pylist():
-        docs = np.frombuffer(raw, "<i8").reshape(3, -1)
-        parts.append(pa.table([pa.array(np.zeros(docs.shape[1], np.int32)), *map(pa.array, docs), pa.nulls(docs.shape[1], _MEETINGS["members"])], names=list(_MEETINGS)))
-    names, bands, surely, count, signature = [], [], [], [], []
+        x, y, z, own, above = np.frombuffer(raw, "<i8").reshape(5, -1)
+        parts.append(_rows(0, len(x), x=x, y=y, z=z, own=own.astype(np.int32), above=above.astype(np.int32)))
+    names, bands, count, signature = [], [], [], []
     for raw in found.column("signatures").drop_null().to_pylist():
-        k, m = np.frombuffer(raw, "<i4", 2)
-        at = 8
-        for out, kind, n in ((names, "<i8", k), (bands, "u1", k), (surely, "<i4", k), (count, "<i4", k)):
-            out.append(np.frombuffer(raw, kind, n, at))
-            at += np.dtype(kind).itemsize * n
+        k, m, band, wide = np.frombuffer(raw, "<i4", 4).tolist()
+        at = 16 + (8 + wide) * k
+        names.append(np.frombuffer(raw, "<i8", k, 16))
+        count.append(np.frombuffer(raw, f"<u{wide}", k, 16 + 8 * k).astype(np.int64))
+        bands.append(np.full(k, band))
         low, high = np.frombuffer(raw, "<u4", m, at), np.frombuffer(raw, "u1", m, at + 4 * m)
         signature.append(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)))
     if names:
-        names, bands, surely, count, signature = map(np.concatenate, (names, bands, surely, count, signature))
+        names, bands, count, signature = map(np.concatenate, (names, bands, count, signature))
         entry = np.repeat(np.arange(len(names)), count)
         order = np.lexsort((names[entry], signature))
         signature, entry = signature[order], entry[order]
@@ -153,18 +179,17 @@ def _meet(found: pa.Table) -> pa.Table:
         entry, name, size = entry[many], name[many], size[size > 1]
         if len(size):
             order = np.lexsort((bands[entry], name))
-            n, b, s = name[order], bands[entry][order], surely[entry][order]
+            n, b = name[order], bands[entry][order]
             first = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (b[1:] != b[:-1])]))
             met = np.diff(np.append(first, len(n)))
-            parts.append(pa.table([pa.array(np.ones(len(first), np.int32)), pa.array(n[first]), pa.array(met), pa.array((b[first].astype(np.int64) << 32) | s[first]), pa.nulls(len(first), _MEETINGS["members"])], names=list(_MEETINGS)))
+            parts.append(_rows(1, len(first), x=n[first], y=met, z=b[first]))
             # Long groups take several rows of the same number.
             rows = -(-size // CHUNK)
             of = np.repeat(np.arange(len(size)), rows)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
             edges = np.append((np.cumsum(size) - size)[of] + nth * CHUNK, len(name)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(name))
-            none = pa.nulls(len(of), pa.int64())
-            parts.append(pa.table([pa.array(np.full(len(of), 2, np.int32)), pa.array((np.int64(block) << 40) + of), none, none, lists], names=list(_MEETINGS)))
+            parts.append(_rows(2, len(of), x=(np.int64(block) << 40) + of, members=lists))
     return pa.concat_tables(parts) if parts else _empty(_MEETINGS)
 
 
@@ -275,17 +300,15 @@ def _possible_pairs(batches):
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """key, n_shingles, component_id (smallest key of the component) of every row with a key."""
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    length = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(8, -(-length // TEXT_IN_BLOCK))
-    dealt = source.mapInArrow(_sketch(blocks, width), "block int, docs binary, signatures binary")
-    met = materialize(dealt.groupBy("block").applyInArrow(_meet, "kind int, x long, y long, z long, members array<long>"), "meetings")
-    rows = met.where("kind = 0").select(F.col("x").alias("key"), F.col("y").alias("s"), F.col("z").alias("n"))
-
-    surely = F.max(F.col("z").bitwiseAND(F.lit(0xFFFFFFFF)))
-    often = met.where("kind = 1").groupBy("x", F.shiftright("z", 32).alias("band")).agg(F.sum("y").alias("met"), surely.alias("surely"))
-    able = often.where(F.col("met") >= F.greatest("surely", F.lit(1))).select(F.col("x").alias("s")).distinct()
-    names = rows.groupBy("s").agg(F.min("key").alias("key"), F.min("n").alias("n"))
-    passing = materialize(names.join(able, "s", "left_semi"), "passing")
+    dealt = source.mapInArrow(_sketch(_block_ranges(source), width), "block int, docs binary, signatures binary")
+    met = materialize(dealt.groupBy("block").applyInArrow(_meet, "kind int, x long, y long, z long, own int, above int, members array<long>"), "meetings")
+    rows = met.where("kind = 0").select(F.col("x").alias("key"), F.col("y").alias("s"), F.col("z").alias("n"), "own", "above")
+
+    names = rows.groupBy("s").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.max("own").alias("own"), F.max("above").alias("above"))
+    often = met.where("kind = 1").groupBy(F.col("x").alias("s"), F.col("z").alias("band")).agg(F.sum("y").alias("met"))
+    surely = F.when(F.col("band") < F.length(F.bin("n")), F.col("own")).otherwise(F.col("above"))
+    able = often.join(names, "s").where(F.col("met") >= F.greatest(surely, F.lit(1)))
+    passing = materialize(able.select("s", "key", "n").distinct(), "passing")
 
     total = passing.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("features")).first()
     few = total["rows"] <= MOST_BROADCAST
