@@ -15,8 +15,8 @@ Plan (every step is a Spark job over partitioned rows; nothing that grows with t
    have in common is likely whole in the centre. First each set meets the best of its stars' centres,
    then, after components of these links are found, those centres that are of another class still.
 5. Members of one group in different classes remain. |x & y| <= min(|x & l|, |y & l|) + min of what x
-   and y keep outside l, for the group's centre l: pairs that this bound rules out are dropped, the
-   others are verified, and components are closed over both kinds of links.
+   and y keep outside l, for the group's centre l: pairs that this bound rules out are dropped, and so
+   are those whose features, counted by their low bits, are too different. The others are verified, and components are closed over both kinds of links.
 
 Hash collisions apart (64 bits a feature), no link is lost and none is invented.
 
@@ -48,6 +48,8 @@ HELD = 500_000
 CHUNK = 2048
 #: Members in a chunk when pairs within a group are looked for.
 PAIRED = 128
+#: Values of low bits by which a set's features are counted.
+MOST_VALUES = 4096
 #: Rows of up to 32 bytes that may be broadcast (16 MB); beyond it joins shuffle both sides.
 MOST_BROADCAST = 500_000
 
@@ -251,6 +253,27 @@ def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
+@F.pandas_udf(T.BinaryType())
+def counts_by_bits(common: pd.Series) -> pd.Series:
+    """How many features have each value of their low bits, a byte a value, half as many values as
+    features at least and MOST_VALUES at most; empty if a count does not fit."""
+
+    def of(features):
+        values = min(MOST_VALUES, 1 << max(0, len(features).bit_length() - 1))
+        count = np.bincount(features & (values - 1), minlength=values)
+        return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
+
+    return pd.Series([of(np.asarray(x)) for x in common], dtype=object)
+
+
+def _most_shared(left: list[bytes], right: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Upper bound of the features that left[i] and right[j] share: what they have of each value of the low bits."""
+    values = min((len(x) for x in (*left, *right) if x), default=1)
+    folded = [np.stack([np.frombuffer(x, np.uint8).reshape(-1, values).sum(0, dtype=np.int32) if x else np.full(values, 1 << 20, np.int32) for x in side]) for side in (left, right)]
+    step = max(1, 2_000_000 // values)
+    return np.concatenate([np.minimum(folded[0][i[k : k + step]], folded[1][j[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step)])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with their sizes and `shared`."""
     left = sets.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("common").alias("fa"))
@@ -289,6 +312,10 @@ def _possible_pairs(batches):
                         row[[number[c] for c in cs if c in number]] = 1
                 ok &= (marks[0] @ marks[1].T) == 0
             i, j = np.nonzero(ok)
+            if len(i):
+                most = _most_shared(left.values.field("counts").to_pylist(), right.values.field("counts").to_pylist(), i, j)
+                able = 7 * most >= 3 * (x["n"][i] + y["n"][j])
+                i, j = i[able], j[able]
             if len(i):
                 p, q = x["s"][i], y["s"][j]
                 out.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0))
@@ -317,7 +344,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     feature_blocks = max(8, -(-total["features"] // FEATURES_IN_BLOCK))
     parts = wanted.mapInArrow(_features(feature_blocks, width), "block int, features binary").groupBy("block").applyInArrow(_common, "s long, part array<long>")
     common = parts.groupBy("s").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("common"))
-    sets = materialize(common.join(passing.select("s", "n"), "s").where(4 * F.size("common") >= 3 * F.col("n")), "sets")
+    sets = materialize(common.join(passing.select("s", "n"), "s").where(4 * F.size("common") >= 3 * F.col("n")).withColumn("counts", counts_by_bits("common")), "sets")
 
     held = small(sets.select("s", "n", F.size("common").alias("k")))
     members = met.where("kind = 2").select(F.col("x").alias("g"), F.explode("members").alias("s")).join(held, "s")
@@ -355,9 +382,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     span = labelled.groupBy("l").agg(F.max("a").alias("most_a"), F.max("w").alias("most_w"), F.min("n").alias("least_n"))
     reach = F.least("a", "most_a") + F.least("w", "most_w")
     hopeful = labelled.join(span, "l").where(7 * reach >= 3 * (F.col("n") + F.greatest("least_n", F.ceil(0.75 * F.col("n")))))
-    hopeful = materialize(hopeful.join(centres, "s"), "open")
+    hopeful = materialize(hopeful.join(centres, "s").join(sets.select("s", "counts"), "s"), "open")
     chunk = F.pmod(F.xxhash64("s"), F.ceil(F.col("m") / PAIRED)).alias("c")
-    packed = lambda df, name: df.groupBy("l", chunk).agg(F.collect_list(F.struct("s", "n", "w", "a", "root", "centres")).alias(name)).drop("c")
+    packed = lambda df, name: df.groupBy("l", chunk).agg(F.collect_list(F.struct("s", "n", "w", "a", "root", "centres", "counts")).alias(name)).drop("c")
     outside = packed(hopeful.where("root <> root_l"), "left")
     blocks_of_pairs = outside.join(packed(hopeful, "right"), "l").select("l", "left", "right")
     pairs = blocks_of_pairs.mapInArrow(_possible_pairs, "a long, b long").distinct()
