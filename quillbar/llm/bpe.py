@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import ctypes
 import gc
 import heapq
 import json
@@ -358,10 +359,26 @@ _LOADED: dict = {}
 
 
 def unload() -> None:
-    """Frees what loaded() keeps, for tasks that need the memory for something else."""
+    """Frees what loaded() keeps and gives free memory back to the system: an idle Python worker of an
+    earlier stage otherwise holds it while other work needs it. Loading anew takes a fifth of a second."""
     _LOADED.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def then_unload(run):
+    """run (batches -> batches), with unload() at its end."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            unload()
+
+    return whole
 
 
 def loaded(kind, *args):

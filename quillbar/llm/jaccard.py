@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillbar.llm import partenum
+from quillbar.llm.bpe import then_unload
 from quillbar.llm.common import bounded_count, materialize, slices, table
 from quillbar.llm.components import components
 from quillbar.llm.words import feature_sets, mix
@@ -327,7 +328,7 @@ def _possible_pairs(batches):
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """key, n_shingles, component_id (smallest key of the component) of every row with a key."""
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    dealt = source.mapInArrow(_sketch(_block_ranges(source), width), "block int, docs binary, signatures binary")
+    dealt = source.mapInArrow(then_unload(_sketch(_block_ranges(source), width)), "block int, docs binary, signatures binary")
     met = materialize(dealt.groupBy("block").applyInArrow(_meet, "kind int, x long, y long, z long, own int, above int, members array<long>"), "meetings")
     rows = met.where("kind = 0").select(F.col("x").alias("key"), F.col("y").alias("s"), F.col("z").alias("n"), "own", "above")
 
@@ -342,7 +343,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     small = F.broadcast if few else (lambda df: df)
     wanted = source.join(small(passing.select("key", "s")), "key").select("s", "text")
     feature_blocks = max(8, -(-total["features"] // FEATURES_IN_BLOCK))
-    parts = wanted.mapInArrow(_features(feature_blocks, width), "block int, features binary").groupBy("block").applyInArrow(_common, "s long, part array<long>")
+    parts = wanted.mapInArrow(then_unload(_features(feature_blocks, width)), "block int, features binary").groupBy("block").applyInArrow(_common, "s long, part array<long>")
     common = parts.groupBy("s").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("common"))
     sets = materialize(common.join(passing.select("s", "n"), "s").where(4 * F.size("common") >= 3 * F.col("n")).withColumn("counts", counts_by_bits("common")), "sets")
 

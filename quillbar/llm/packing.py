@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillbar.llm.bpe import WordBPE, loaded
+from quillbar.llm.bpe import WordBPE, loaded, then_unload
 from quillbar.llm.common import materialize, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -63,7 +63,7 @@ def pieces(df: DataFrame, tokenizer: bytes, longest: int = LONGEST, end_id: int
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(then_unload(run), schema).withColumnRenamed("key", key)
 
 
 def best_two_fit(counts: np.ndarray, longest: int) -> list[tuple[int, list[tuple[int, int]]]]:
