@@ -13,23 +13,27 @@ from quillbar.operators import ledger as L
 from quillbar.operators import rules, shapes
 from quillbar.operators import statistics as S
 from quillbar.plans.bar_plans import B1
-from quillbar.plans.catalog import query
+from quillbar.plans.catalog import query, without
 from quillbar.sources import files
 from quillbar.sources.fixtures import LINE, bars, calls, fills, load, ticks
 from quillbar.streaming import watch
 
 NTZ = "timestamp_ntz"
 
-# Claims on the bars: every tenth event is a rule on its type's price.
+TENTH = " WHERE event_id % 10 = 0"
+# Claims on the bars: every tenth event is a rule on its type's price; queries over all events end in _all.
 CLAIMS = """c AS (SELECT event_id AS claim_id, event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "start",
   time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 25 HOUR AS through, value AS base, CASE WHEN event_id % 20 = 0 THEN 'S' ELSE 'L' END AS direction, value * 0.25 AS distance FROM events WHERE event_id % 10 = 0)"""
 
 
-def _claims(spark, d):
+def _tenth(spark, d):
+    return load(spark, d, "events").where("event_id % 10 = 0")
+
+
+def _claims(e):
     from quillbar.functions import interval
 
     hour = interval.floor(F.col("ts"), "1h")
-    e = load(spark, d, "events").where("event_id % 10 = 0")
     return e.select(F.col("event_id").alias("claim_id"), F.col("event_type").alias("symbol"), (hour + F.expr("interval 1 hour")).alias("start"), (hour + F.expr("interval 25 hours")).alias("through"), F.col("value").alias("base"), F.when(F.col("event_id") % 20 == 0, "S").otherwise("L").alias("direction"), (F.col("value") * 0.25).alias("distance"))
 
 
@@ -38,7 +42,12 @@ def _claims(spark, d):
 g AS (SELECT claim_id, max(high) FILTER (inside) AS h, min(low) FILTER (inside) AS l, min(s) FILTER (inside AND gained >= distance) AS threshold_at, count(*) FILTER (inside) AS n_bars, bool_or(NOT inside) AS crossed FROM m GROUP BY 1)
 SELECT c.claim_id, greatest(base, coalesce(h, base)) AS highest, least(base, coalesce(l, base)) AS lowest, threshold_at, coalesce(n_bars, 0) AS n_bars, coalesce(crossed, false) AS crossed FROM c LEFT JOIN g ON c.claim_id = g.claim_id""")
 def path_extremes(spark, d):
-    return rules.paths(_claims(spark, d), bars(spark, d))
+    return rules.paths(_claims(_tenth(spark, d)), bars(spark, d))
+
+
+@query("path_extremes_all", without("path_extremes", TENTH))
+def path_extremes_all(spark, d):
+    return rules.paths(_claims(load(spark, d, "events")), bars(spark, d))
 
 
 def _criteria(kind: str, **given):
@@ -54,9 +63,17 @@ t AS (SELECT claim_id, e.ts AS at_, e.value AS p FROM c JOIN events e ON NOT by_
 k AS (SELECT claim_id, b."end" AS at_, b."close" AS p FROM c JOIN b ON by_bar AND b.symbol = c.symbol AND b."end" > c."start" AND b."end" <= c."start" + INTERVAL 12 HOUR AND b."close" >= c.price)
 SELECT claim_id, min(at_) AS trigger_at, arg_min(p, at_) AS trigger_price FROM (SELECT * FROM t UNION ALL SELECT * FROM k) GROUP BY 1""")
 def trigger_search(spark, d):
+    return _triggered(_tenth(spark, d), spark, d)
+
+
+@query("trigger_search_all", without("trigger_search", TENTH))
+def trigger_search_all(spark, d):
+    return _triggered(load(spark, d, "events"), spark, d)
+
+
+def _triggered(e, spark, d):
     from quillbar.functions import interval
 
-    e = load(spark, d, "events").where("event_id % 10 = 0")
     trigger = F.struct(F.when(F.col("event_id") % 20 == 0, "bar_close").otherwise("trade_touch").alias("kind"), F.lit("gte").alias("comparator"), (F.col("value") * 1.3).cast("string").alias("price"), F.lit(12).alias("window_hours"), F.lit(3600).alias("interval_seconds"))
     claims = e.select(F.col("event_id").alias("claim_id"), F.col("event_type").alias("symbol"), interval.floor(F.col("ts"), "1h").alias("start"), F.lit("2030-01-01").cast(NTZ).alias("evaluated_at"), F.col("value").alias("base"), _criteria("T3", direction=F.lit("L"), trigger=trigger).alias("criteria"))
     return rules.triggers(claims, ticks(spark, d), bars(spark, d))
@@ -64,7 +81,7 @@ def trigger_search(spark, d):
 
 @query("settle")
 def settle(spark, d):
-    claims = _claims(spark, d)
+    claims = _claims(load(spark, d, "events"))
     found = bars(spark, d)
     reduced = rules.paths(claims, found).join(claims, "claim_id")
     at_end = found.select("symbol", F.col("end").alias("through"), F.col("close").alias("end_price"))
@@ -336,7 +353,7 @@ def watch_stream(spark, d):
 
 
 def _watches(spark, d):
-    e = load(spark, d, "events").where("event_id % 100 = 0")
+    e = load(spark, d, "events")
     criteria = F.to_json(_criteria("T1", direction=F.lit("L"), threshold_ratio=F.lit("0.05"), horizon_hours=F.lit(200)))
     return e.select(F.col("event_id").cast("string").alias("watch_id"), F.col("event_type").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("submitted_at"), F.col("value").cast("string").alias("base"), criteria.alias("criteria"))
 

@@ -9,7 +9,7 @@ from quillbar.functions import decimals, text
 from quillbar.operators import relational as R
 from quillbar.operators import retrieval, shapes
 from quillbar.plans.bar_plans import B1
-from quillbar.plans.catalog import query
+from quillbar.plans.catalog import query, without
 from quillbar.sources.fixtures import bars, calls, fills, load
 
 NTZ = "timestamp_ntz"
@@ -83,7 +83,15 @@ def json_fields(spark, d):
 
 @query("json_rows", "SELECT o_custkey, o_orderkey, len(o_orderpriority) AS n FROM orders WHERE o_orderkey % 10 = 0")
 def json_rows(spark, d):
-    o = load(spark, d, "orders").where("o_orderkey % 10 = 0")
+    return _json_rows(load(spark, d, "orders").where("o_orderkey % 10 = 0"))
+
+
+@query("json_rows_all", without("json_rows", " WHERE o_orderkey % 10 = 0"))
+def json_rows_all(spark, d):
+    return _json_rows(load(spark, d, "orders"))
+
+
+def _json_rows(o):
     body = o.groupBy("o_custkey").agg(F.to_json(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("body"))
     rows = body.select("o_custkey", F.inline(F.from_json("body", "array<struct<o_orderkey:bigint,o_orderpriority:string>>")))
     return rows.select("o_custkey", "o_orderkey", F.length("o_orderpriority").cast("long").alias("n"))
@@ -146,7 +154,17 @@ def either_join(spark, d):
 SELECT e.event_id, s.span_id FROM events e JOIN s ON e.event_type = s.k AND e.ts >= s.a AND e.ts <= s.b""")
 def interval_join(spark, d):
     e = load(spark, d, "events").select(F.col("event_type").alias("k"), "event_id", F.col("ts").alias("at"))
-    spans = e.where("event_id % 20 = 0").select("k", F.col("event_id").alias("span_id"), F.col("at").alias("start"), (F.col("at") + F.expr("interval 2 hours")).alias("end"))
+    return _spans_met(e, e.where("event_id % 20 = 0"))
+
+
+@query("interval_join_all", without("interval_join", " WHERE event_id % 20 = 0"))
+def interval_join_all(spark, d):
+    e = load(spark, d, "events").select(F.col("event_type").alias("k"), "event_id", F.col("ts").alias("at"))
+    return _spans_met(e, e)
+
+
+def _spans_met(e, begun):
+    spans = begun.select("k", F.col("event_id").alias("span_id"), F.col("at").alias("start"), (F.col("at") + F.expr("interval 2 hours")).alias("end"))
     return R.interval_join(e, spans, ["k"], "at").select("event_id", "span_id")
 
 
@@ -419,7 +437,15 @@ def utf8_chunks(spark, d):
 
 @query("decimal_text", "SELECT l_orderkey, l_linenumber, rtrim(rtrim(CAST(CAST(l_extendedprice AS DECIMAL(18, 4)) AS VARCHAR), '0'), '.') AS plain FROM lineitem WHERE l_orderkey % 50 = 0")
 def decimal_text(spark, d):
-    rows = load(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    return _plain(load(spark, d, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+@query("decimal_text_all", without("decimal_text", " WHERE l_orderkey % 50 = 0"))
+def decimal_text_all(spark, d):
+    return _plain(load(spark, d, "lineitem"))
+
+
+def _plain(rows):
     price = F.col("l_extendedprice").cast("decimal(18,4)").cast("string")
     return rows.select("l_orderkey", "l_linenumber", decimals.trimmed(price).alias("plain"))
 
