@@ -3,7 +3,8 @@
 Method: the tags of the standard library's tokenizer build a tree, with end tags implied where HTML
 implies them; hidden parts are left out; the tree is then walked once, with blank lines around blocks,
 markers before list items, and the cells of a table padded to the width of their columns. All visible
-text is emitted: navigation, advertisements and footers too. One scan and one map stage.
+text is emitted: navigation, advertisements and footers too. What stands in a table outside its cells is
+shown before it, as browsers do. One scan and one map stage.
 
 Cases: null html gives null text; empty or tagless html gives its own text; markup nested to any depth
 is walked with an explicit stack; repeated rows give repeated results; an empty table gives no rows;
@@ -24,8 +25,13 @@ from quillbar.llm.common import slices, table
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title datalist object iframe svg math canvas audio video select textarea".split())
-BLOCKS = frozenset("address article aside blockquote body details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table ul".split())
+UNSEEN = frozenset("head script style template noscript title datalist object iframe canvas audio video annotation annotation-xml".split())
+#: Parts of SVG that are not drawn where they stand.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern".split())
+#: Start tags that leave head open.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+TABLE_PARTS = frozenset("caption col colgroup tbody td tfoot th thead tr".split())
+BLOCKS = frozenset("address article aside blockquote body details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table textarea ul".split())
 SPACED = frozenset("article blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre section table ul".split())
 #: Open elements that a start tag ends, up to the nearest of the elements after them.
 IMPLIED = {
@@ -41,20 +47,21 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
-_P_ENDS = (BLOCKS - {"body", "html", "li", "dt", "dd"}) | {"table"}
+_P_ENDS = BLOCKS - {"body", "html", "li", "dt", "dd", "textarea"}
 _BARRIERS = frozenset({"button", "td", "th", "table", "caption", "html"})
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I).search
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "start", "tag")
+    __slots__ = ("children", "hidden", "parts", "start", "tag")
 
     def __init__(self, tag: str, attrs=()):
         named = dict(attrs)
         self.tag, self.children = tag, []
-        self.hidden = tag in UNSEEN or "hidden" in named or (named.get("aria-hidden") or "").lower() == "true" or bool(_HIDDEN(named.get("style") or ""))
+        self.hidden = tag in UNSEEN or "hidden" in named or bool(_HIDDEN(named.get("style") or ""))
         self.start = named.get("start") if tag == "ol" else None
+        self.parts = False  # holds parts of a table around it
 
 
 class TreeBuilder(HTMLParser):
@@ -87,12 +94,25 @@ class TreeBuilder(HTMLParser):
                 self._cut(lowest)
                 return
 
+    def _leave_head(self) -> None:
+        """Ends an open head at what may not stand in it; templates and the like keep what is theirs."""
+        if self.held["head"] and self.open[-1].tag == "head":
+            self._cut(len(self.open) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._leave_head()
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
         if tag in _P_ENDS:
             self._close({"p"}, _BARRIERS)
+        if tag in TABLE_PARTS:
+            for x in reversed(self.open):
+                if x.tag == "table" or x.parts:
+                    break
+                x.parts = True
         node = Node(tag, attrs)
+        node.hidden |= tag in UNDRAWN and self.held["svg"] > 0
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -116,6 +136,10 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if _SPACE.sub("", data):
+            self._leave_head()
+        if self.held["svg"] and not self.held["text"] and not self.held["foreignobject"]:
+            return  # SVG draws the strings of these alone
         self.open[-1].children.append(data)
 
 
@@ -164,20 +188,39 @@ class Page:
             self.blank = False
 
 
-def _cells(table_node: Node) -> tuple[list[list[Node]], list[Node]]:
-    """Rows of cells of a table without those of tables inside, and its captions."""
-    rows, captions, stack = [], [], list(reversed(table_node.children))
+def _cells(table_node: Node) -> tuple[list[list[Node]], list[Node], list[Node | str], list[Node]]:
+    """Rows of cells of a table without those of tables inside, its captions, what stands outside its
+    cells and is shown before it, and tables outside its cells, which follow it."""
+    rows, captions, before, after = [], [], [], []
+    stack, loose = [(c, None) for c in reversed(table_node.children)], None
     while stack:
-        node = stack.pop()
-        if isinstance(node, str) or node.hidden:
+        node, row = stack.pop()
+        if isinstance(node, str):
+            if _SPACE.sub("", node):
+                before.append(node)
+        elif node.hidden:
             continue
-        if node.tag == "tr":
-            rows.append([c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden])
+        elif node.tag in ("td", "th"):
+            if row is None:  # a row that no tag began
+                if loose is None:
+                    loose = []
+                    rows.append(loose)
+                row = loose
+            row.append(node)
         elif node.tag == "caption":
             captions.append(node)
-        elif node.tag != "table":
-            stack += reversed(node.children)
-    return [r for r in rows if r], captions
+        elif node.tag == "table":
+            after.append(node)
+        elif node.tag in TABLE_PARTS or node.parts:
+            if node.tag == "tr":
+                row, loose = [], None
+                rows.append(row)
+            elif node.tag in TABLE_PARTS:
+                row = loose = None
+            stack += [(c, row) for c in reversed(node.children)]
+        else:
+            before.append(node)
+    return [r for r in rows if r], captions, before, after
 
 
 def _aligned(rows: list[list[str]]) -> list[str]:
@@ -203,6 +246,15 @@ def render(root: Node, depth: int = 0) -> list[str]:
         tag = node.tag
         if node.hidden:
             continue
+        if isinstance(leaving, tuple):
+            rows, captions = leaving
+            page.end()
+            page.blank = True
+            for caption in captions:
+                page.whole([x for x in render_children(caption, depth + 1) if x])
+            page.whole(_aligned([[" ".join(x for x in render_children(c, depth + 1) if x) for c in r] for r in rows]))
+            page.blank = True
+            continue
         if leaving:
             page.end()
             page.blank |= tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1)
@@ -210,7 +262,7 @@ def render(root: Node, depth: int = 0) -> list[str]:
                 lists.pop()
             elif tag == "li":
                 page.marker = ""
-            elif tag == "pre":
+            elif tag in ("pre", "textarea"):
                 pre -= 1
             continue
         if tag == "br":
@@ -220,13 +272,10 @@ def render(root: Node, depth: int = 0) -> list[str]:
         elif tag == "hr":
             page.whole(["---"])
         elif tag == "table" and depth < 8:
-            rows, captions = _cells(node)
-            page.end()
-            page.blank = True
-            for caption in captions:
-                page.whole([x for x in render_children(caption, depth + 1) if x])
-            page.whole(_aligned([[" ".join(x for x in render_children(c, depth + 1) if x) for c in r] for r in rows]))
-            page.blank = True
+            rows, captions, before, after = _cells(node)
+            stack += [(t, False) for t in reversed(after)]
+            stack.append((node, (rows, captions)))
+            stack += [(x, False) for x in reversed(before)]
         elif tag in BLOCKS:
             page.end()
             page.blank |= tag in SPACED and not (tag in ("ul", "ol") and lists)
@@ -237,12 +286,12 @@ def render(root: Node, depth: int = 0) -> list[str]:
                 kind = lists[-1] if lists else ["ul", 1]
                 page.marker = "  " * max(0, len(lists) - 1) + ("- " if kind[0] == "ul" else f"{kind[1]}. ")
                 kind[1] += 1
-            elif tag == "pre":
+            elif tag in ("pre", "textarea"):
                 pre += 1
             stack.append((node, True))
             stack += [(c, False) for c in reversed(node.children)]
         else:
-            if tag in ("td", "th"):
+            if tag in ("td", "th", "text", "option"):
                 page.space = True
             stack += [(c, False) for c in reversed(node.children)]
     page.end()

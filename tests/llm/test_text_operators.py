@@ -242,3 +242,17 @@ def test_training_order_round_trip(spark, texts, tmp_path):
     assert docs_in_order != sorted(docs_in_order)
     empty = training_order.write_shards(docs.limit(0), open(P.path("word_bpe_49k.json"), "rb").read(), f"file://{tmp_path}/none")
     assert empty.count() == 0
+
+
+def test_html_keeps_all_visible_text():
+    """Open heads, strings and forms in tables, tables in tables, form fields, SVG and aria-hidden."""
+    assert html.extract("<html><head><title>T</title><h1>Hi</h1><p>text") == "Hi\n\ntext"
+    assert html.extract("<head><meta charset=x><script>s</script>\nplain") == "plain"
+    assert html.extract("<head><noscript><p>n</p></noscript><style>p{}</style></head>x") == "x"
+    assert html.extract("<table>loose<tr><form><td>x</td></form><td>y</td></tr></table>") == "loose\n\nx | y"
+    assert html.extract("<table><tr><td>a</td>b<div>c</div></tr><td>d<td>e</table>") == "b\nc\n\na\nd | e"
+    assert html.extract("<table><tr><td>a</td></tr><table><tr><td>b</td></tr></table></table>") == "a\n\nb"
+    assert html.extract("<p>a <span aria-hidden=true>b</span></p>") == "a b"
+    assert html.extract("<select><option>one<option>two</select><textarea>x\n y</textarea>") == "one two\nx\n y"
+    assert html.extract("<svg><title>t</title><defs><text>d</text></defs><text>a</text> z <text>b</text></svg>") == "a b"
+    assert html.extract("<table><tr>" + "<div>" * 5000 + "<td>x</td>" + "</div>" * 5000 + "</table>") == "x"
