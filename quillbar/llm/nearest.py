@@ -124,6 +124,10 @@ def scan(turned: np.ndarray, queries: np.ndarray, most: np.ndarray, epsilon: flo
 
 def search(rows: DataFrame, is_query, k: int) -> DataFrame:
     """rows: vec_id, vector. The k nearest other rows found for each row where is_query."""
+    # Copies would take the places of other neighbours, in the sample and in each block.
+    query = F.max(is_query).alias("is_query")
+    rows = materialize(rows.groupBy("vec_id", "vector").agg(query), "vectors")
+    is_query = F.col("is_query")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("w")).first()
     width, together = max(1, size["w"]), max(1, -(-size["q"] // QUERIES_TOGETHER))
     fitted = fit_lists(rows, size["n"], width, k)

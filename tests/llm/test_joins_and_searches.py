@@ -145,6 +145,19 @@ def test_nearest_odd_inputs(spark):
     assert nearest.search(rows.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+@pytest.mark.parametrize("times", [2, 6])
+def test_nearest_of_repeated_rows(spark, times):
+    rng = np.random.default_rng(8)
+    once = [(i, rng.normal(size=8).round(3).tolist()) for i in range(400)]
+    rows = [(i, v, 0) for i, v in once * times]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>, other int").repartition(4)
+    want, found = cosine_oracle(once, 5, 50), {}
+    for r in nearest.search(frame, F.col("vec_id") % 50 == 0, 5).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert all(sorted(found[q]) == [1, 2, 3, 4, 5] and len(set(found[q].values())) == 5 for q in want)
+    assert sum(len({j for _, j in want[q]} & set(found[q].values())) for q in want) >= 0.9 * 5 * len(want)
+
+
 def test_adaptive_scan_keeps_the_nearest():
     rng = np.random.default_rng(2)
     data = nearest.unit(rng.standard_normal((3000, 64)) + 2 * rng.standard_normal((8, 64))[rng.integers(0, 8, 3000)])
