@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillbar.session import table
 
-__all__ = ["table", "shared_dir", "materialize", "slices", "bounded_count"]
+__all__ = ["table", "shared_dir", "materialize", "slices", "bounded_count", "rows_apart"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,3 +56,14 @@ def slices(column: pa.Array | pa.ChunkedArray, most_bytes: int, most_rows: int =
 def bounded_count(df: DataFrame) -> int:
     """Row count as one aggregated row."""
     return df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+
+
+def rows_apart(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """docs and the name of a long column that orders rows as key does and differs where texts do: key
+    itself, or a further column _row where a key has several texts. It is null where key is null."""
+    named = docs.withColumn("_key", F.col(key).cast("long")).withColumn("_text", F.xxhash64(text))
+    ids = named.where("_key is not null").select("_key", "_text").distinct()
+    if not ids.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return docs, key
+    numbered = materialize(ids.orderBy("_key", "_text").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return named.join(numbered, ["_key", "_text"], "left").select(*docs.columns, "_row"), "_row"

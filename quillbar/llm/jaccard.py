@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from quillbar.llm import partenum
 from quillbar.llm.bpe import then_unload
-from quillbar.llm.common import bounded_count, materialize, slices, table
+from quillbar.llm.common import bounded_count, materialize, rows_apart, slices, table
 from quillbar.llm.components import components
 from quillbar.llm.words import feature_sets, mix
 
@@ -401,13 +401,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those whose component has a smaller key; of rows that share a key one stays."""
-    found = jaccard_components(docs, key, text)
-    gone = materialize(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "gone")
+    """docs without those whose component has an earlier row, by key; of rows that share key and text one
+    stays, and rows that share a key alone are documents of their own. Rows without a key all stay."""
+    named, row = rows_apart(docs, key, text)
+    found = materialize(jaccard_components(named, row, text), "components")
+    gone = materialize(found.where(F.col(row) != F.col("component_id")).select(F.col(row).alias("_gone")).distinct(), "gone")
     hint = F.broadcast if bounded_count(gone) <= MOST_BROADCAST else (lambda df: df)
-    kept = docs.join(hint(gone), F.col(key) == F.col("_gone"), "left_anti")
-    again = found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates([key]) if again else kept
+    kept = named.join(hint(gone), F.col(row) == F.col("_gone"), "left_anti")
+    if found.groupBy(row).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        kept = kept.where(F.col(row).isNotNull()).dropDuplicates([row]).unionByName(kept.where(F.col(row).isNull()))
+    return kept.select(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

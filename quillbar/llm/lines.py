@@ -14,7 +14,8 @@ line whose half-keys are all its own is left out. Variant hashes are running exc
 places, so a line of a million words costs a million rows and no more.
 
 Cases: null text has no lines; lines without words are never removed; a null doc_id takes no part and
-keeps all its lines; rows that repeat a doc_id share their places, so neither loses lines to the other;
+keeps all its lines; rows that repeat a doc_id share their places, so neither loses lines to the other
+(in `without_removed` rows of one doc_id and several texts are documents of their own);
 an empty table gives no rows; other columns are kept by `without_removed` and dropped by `removed_lines`.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillbar.llm.common import bounded_count, materialize, table
+from quillbar.llm.common import bounded_count, materialize, rows_apart, table
 
 MIN_WORDS = 8
 #: Lines whose places are broadcast when their words are fetched; beyond it they are joined by shuffle.
@@ -90,8 +91,10 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
         places = F.broadcast(places)  # 20 bytes a line, 10 MB at most
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.split(F.col(text), "\n").alias("all"))
     fetched = texts.join(places, "doc").select("doc", "all", F.explode("at").alias("at"))
-    words = words_of(F.element_at("all", F.col("at.pos") + 1))
-    candidates = materialize(fetched.select("at.line", "at.n", "at.head", "at.tail", "doc", "at.pos", words.alias("words")).dropDuplicates(["line", "n"]), "lines")
+    words = words_of(F.get("all", F.col("at.pos")))
+    words = fetched.select("at.line", "at.n", "at.head", "at.tail", "doc", "at.pos", words.alias("words"))
+    words = words.where(F.xxhash64("words") == F.col("line"))  # another text of the id has other lines there
+    candidates = materialize(words.dropDuplicates(["line", "n"]), "lines")
 
     # Word i of the line has the code of its place, and the code it gets if a word before it goes.
     code = F.transform("words", lambda w, i: F.xxhash64(i, w))
@@ -142,8 +145,9 @@ def by_document(removed: DataFrame) -> DataFrame:
 
 def without_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with their remaining lines as text; a document that had lines with words and lost them all goes."""
-    gone = by_document(removed_lines(docs, key, text, min_words)).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
-    joined = docs.join(gone, F.col(key).cast("long") == F.col("_doc"), "left")
+    named, row = rows_apart(docs, key, text)
+    gone = by_document(removed_lines(named, row, text, min_words)).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
+    joined = named.join(gone, F.col(row).cast("long") == F.col("_doc"), "left")
     left = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col("_removed"), i))
     kept = joined.withColumn("_left", F.when(F.col("_removed").isNotNull(), left))
     with_words = F.exists("_left", has_words)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillbar.llm import jaccard, language, nearest, packing, partenum, topk, vectors, words
+from quillbar.llm import jaccard, language, lines, nearest, packing, partenum, topk, vectors, words
 from quillbar.llm.components import components
 from quillbar.session import table
 
@@ -90,6 +90,22 @@ def test_jaccard_odd_inputs(spark):
     assert [tuple(r) for r in jaccard.jaccard_components(only_null).collect()] == [(1, 0, 1)]
 
 
+def test_rows_that_share_or_lack_a_key_are_kept(spark):
+    many = "one two three four five six seven eight nine ten"
+    rows = [(None, "x y z"), (None, "u v w"), (5, "a b c d e f g"), (5, "a b c d e f g"), (5, "h i j k l m n"), (3, many), (7, many), (7, "p q r s t u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in jaccard.one_of_each(docs).collect())
+    assert kept == sorted([(0, "x y z"), (0, "u v w"), (5, "a b c d e f g"), (5, "h i j k l m n"), (3, many), (7, "p q r s t u")])
+
+
+def test_lines_of_rows_that_share_a_key(spark):
+    line = lambda c: " ".join(f"{c}{i}" for i in range(9))
+    rows = [(1, line("a")), (2, line("b") + "\n" + line("a")), (2, line("c") + "\n" + line("d") + "\n" + line("e")), (2, line("f")), (None, line("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in lines.without_removed(docs).collect())
+    assert got == sorted([(0, line("a")), (1, line("a")), (2, line("b")), rows[2], (2, line("f"))])
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
