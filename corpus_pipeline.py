@@ -14,9 +14,13 @@ from quillbar.session import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without text or letters go."""
+    """Documents whose language is recognised; those without text or letters go. Where nothing is labelled,
+    nothing is learned, and letters alone decide."""
     ship(spark)
-    found = language.predict(docs, language.fit(docs, language.held_out()), carry=("text", *docs.columns))
+    model = language.fit(docs, language.held_out())
+    if not model["labels"]:
+        return docs.where(language.has_letters("text"))
+    found = language.predict(docs, model, carry=("text", *docs.columns))
     return found.where(found["lang_pred"] != language.UNKNOWN).select(*docs.columns)
 
 

@@ -51,6 +51,10 @@ def _kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left @ right.T) / np.sqrt(np.maximum(left.sum(1), 1)[:, None] * np.maximum(right.sum(1), 1)[None, :])
 
 
+def has_letters(text: str):
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def fit(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
     """held_out: column, true for rows that nothing may be learned from."""
     usable = df.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out & F.col(text).rlike(r"\p{L}"))

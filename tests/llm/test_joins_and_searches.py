@@ -106,6 +106,13 @@ def test_lines_of_rows_that_share_a_key(spark):
     assert got == sorted([(0, line("a")), (1, line("a")), (2, line("b")), rows[2], (2, line("f"))])
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(1, "Some words", None), (2, "12 + 3", None), (3, None, None), (4, "слово", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 4}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
