@@ -272,7 +272,9 @@ def _most_shared(left: list[bytes], right: list[bytes], i: np.ndarray, j: np.nda
     values = min((len(x) for x in (*left, *right) if x), default=1)
     folded = [np.stack([np.frombuffer(x, np.uint8).reshape(-1, values).sum(0, dtype=np.int32) if x else np.full(values, 1 << 20, np.int32) for x in side]) for side in (left, right)]
     step = max(1, 2_000_000 // values)
-    return np.concatenate([np.minimum(folded[0][i[k : k + step]], folded[1][j[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step)])
+    most = np.concatenate([np.minimum(folded[0][i[k : k + step]], folded[1][j[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step)])
+    none = [np.array([not x for x in side]) for side in (left, right)]  # counts that do not fit bound nothing
+    return np.where(none[0][i] | none[1][j], np.iinfo(np.int64).max // 16, most)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

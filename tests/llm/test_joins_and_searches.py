@@ -1,6 +1,7 @@
 """Operators 1, 7 and 8 and the pipeline against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,15 @@ def test_lines_of_rows_that_share_a_key(spark):
     assert got == sorted([(0, line("a")), (1, line("a")), (2, line("b")), rows[2], (2, line("f"))])
 
 
+def test_bound_of_very_large_sets_rules_nothing_out():
+    features = np.arange(1_300_000, dtype=np.int64)
+    counts = [jaccard.counts_by_bits.func(pd.Series([x])).iloc[0] for x in (features, features[:1000])]
+    assert counts[0] == b"" and counts[1]
+    at = np.array([0, 1, 0, 1]), np.array([0, 0, 1, 1])
+    most = jaccard._most_shared(counts, counts, *at)
+    assert most[0] >= len(features) and (7 * most[:3] > 6 * len(features)).all() and most[3] == 1000
+
+
 def test_language_stage_without_labels(spark):
     rows = [(1, "Some words", None), (2, "12 + 3", None), (3, None, None), (4, "слово", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
