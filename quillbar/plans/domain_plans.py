@@ -201,11 +201,19 @@ x AS (SELECT claim_id, symbol, s, s - INTERVAL (k) DAY AS origin, s - INTERVAL (
 p AS (SELECT claim_id, a."close" AS base, z."close" AS last FROM x JOIN b a ON a.symbol = x.symbol AND a."end" = origin JOIN b z ON z.symbol = x.symbol AND z."end" = until WHERE until < s)
 SELECT claim_id, count(*) FILTER (last - base >= base * 0.05) AS wins, count(*) AS n, round(count(*) FILTER (last - base >= base * 0.05) / count(*), 9) AS rate FROM p GROUP BY 1""")
 def baseline_rate(spark, d):
+    return _baseline(_tenth(spark, d), spark, d, 20)
+
+
+@query("baseline_rate_all", without("baseline_rate", TENTH).replace("range(1, 21)", "range(1, 251)"))
+def baseline_rate_all(spark, d):
+    return _baseline(load(spark, d, "events"), spark, d)
+
+
+def _baseline(e, spark, d, days=250):
     from quillbar.functions import interval
 
-    e = load(spark, d, "events").where("event_id % 10 = 0")
     claims = e.select(F.col("event_id").alias("claim_id"), F.col("event_type").alias("symbol"), interval.floor(F.col("ts"), "1h").alias("submitted_at"), F.lit(6).alias("horizon_hours"))
-    samples = S.baseline_origins(claims, bars(spark, d), 20)
+    samples = S.baseline_origins(claims, bars(spark, d), days)
     return S.baseline_rate(samples, 0.05).withColumn("rate", F.round("rate", 9))
 
 
@@ -339,13 +347,14 @@ def export_manifest(spark, d):
 
 @query("watch_stream")
 def watch_stream(spark, d):
-    """Watches over the ticks of their symbol, fed in three batches; the last result of each."""
+    """Watches over the ticks of their symbol, fed in three batches of equal spans of time; the last result of each."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows, path = watch.rows_of(_watches(spark, d), ticks(spark, d)), _shared(spark, "trades")
-    edges = [F.lit(x).cast(NTZ) for x in ("2024-01-01", "2024-01-10", "2024-01-20", "2024-03-01")]
-    for start, end in zip(edges, edges[1:], strict=False):
-        at = F.timestamp_micros("at").cast(NTZ)
-        rows.where((at >= start) & (at < end)).coalesce(1).write.mode("append").parquet(path)
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    span = ticks(spark, d).agg(F.coalesce(F.min(micros), F.lit(0)).alias("a"), F.coalesce(F.max(micros), F.lit(0)).alias("b")).first()
+    first, second = (span["a"] + (span["b"] - span["a"]) * k // 3 for k in (1, 2))
+    for part in (F.col("at") < first, (F.col("at") >= first) & (F.col("at") < second), F.col("at") >= second):
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     out, state = _shared(spark, "watched"), _shared(spark, "state")
     watch.incremental(watch.watch_stream(stream), lambda batch, number: batch.write.mode("append").parquet(out), state, "update").awaitTermination()

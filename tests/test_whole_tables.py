@@ -1,6 +1,7 @@
 """Queries that once read a subset of the ids give results for every row."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillbar.plans.registry import QUERIES
 from quillbar.sources.fixtures import load
@@ -24,3 +25,17 @@ def test_every_row_has_its_result(spark, sf, name, key, source, of):
 def test_triggers_are_sought_for_every_event(spark, sf):
     got = {r.claim_id for r in QUERIES["trigger_search_all"](spark, sf).select("claim_id").collect()}
     assert {i % 10 for i in got} == set(range(10))
+
+
+def test_watches_see_ticks_of_any_date(spark, sf, tmp_path):
+    load(spark, sf, "events").where("event_id % 20 = 0").withColumn("ts", F.col("ts") + F.expr("interval 400 days")).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["watch_stream"](spark, f"file://{tmp_path}").collect()
+    assert len(got) == 50 and all(r.error is None for r in got)
+
+
+def test_baseline_has_samples_of_250_days(spark, sf):
+    """Samples reach beyond the first 20 days before a claim."""
+    got = {r.claim_id: r.n for r in QUERIES["baseline_rate_all"](spark, sf).collect()}
+    few = {r.claim_id: r.n for r in QUERIES["baseline_rate"](spark, sf).collect()}
+    assert all(got[k] >= n for k, n in few.items()) and len(got) > len(few)
+    assert sum(got[k] for k in few) > sum(few.values())
