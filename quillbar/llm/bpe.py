@@ -20,7 +20,7 @@ NONE = np.int32(2**31 - 1)
 #: merge a round over a wide matrix would cost the square of the length.
 WIDEST = 256
 #: Distinct pieces a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Cells of one padded matrix.
 CELLS = 1 << 19
 #: The split pattern of the public byte-level vocabularies, and the same pattern for

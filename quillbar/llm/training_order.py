@@ -3,23 +3,27 @@
 Method: documents become sequences of at most LENGTH ids. A sequence's index is its number within its
 scan partition above that partition's base; bases come from an upper bound on the number of sequences by
 text length, so texts are tokenized once only. A keyed Feistel network over the next power of four, with
-cycle-walking, permutes the index domain: a sequence's slot. Ranges of slots are shards; one task sorts a
-shard by slot and writes it as a file of fixed-stride records. Slots that no sequence has (the bound was
+cycle-walking, permutes the index domain: a sequence's slot. Ranges of slots are shards and partitions of
+the shuffle; one task sorts a shard by slot and writes it as a file of fixed-stride records. Slots that no sequence has (the bound was
 not met) are left out of the file, so record i of a shard is its i-th sequence, and the manifest's counts
 give every sequence its global position. A reader resumes at any (shard, record) by one multiplication.
 
 The scan must be repeatable (a table), as Spark's own recovery assumes; files appear by rename, so a task
 that is run again replaces nothing half-written.
 
-Record, little-endian: document id (int64), piece (int32), number of ids (int32), LENGTH ids (uint16).
+Shards go to any file system that pyarrow opens (local, HDFS, object stores); a path without a scheme is
+of Spark's default file system, and one that pyarrow does not open is refused before any work is done.
 
-Cases: a null text counts as empty and becomes one sequence of the end id alone; a null key is written as
--1; repeated rows are separate sequences; an empty table writes no shard; other columns are dropped first.
+Record, little-endian: document id (int64), piece (int32), number of ids (uint16), flags (uint16, 1: no
+document id), LENGTH ids (uint16).
+
+Cases: a null text counts as empty and becomes one sequence of the end id alone; a null key is null again
+when read; repeated rows are separate sequences; an empty table writes no shard; other columns are dropped
+first.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbar.llm.bpe import WordBPE, loaded, unload
+from quillbar.llm.bpe import WordBPE, loaded, then_unload
 from quillbar.llm.common import shared_path, slices, table
 from quillbar.llm.words import mix
 
@@ -42,7 +46,8 @@ ROUNDS = 6
 TEXT_IN_SHARD = 48_000_000
 #: Ids that a byte of text can become: composition and lower case can lengthen a text.
 IDS_PER_BYTE = 4
-RECORD = np.dtype([("doc", "<i8"), ("piece", "<i4"), ("n", "<i4"), ("ids", "<u2", (LENGTH,))])
+RECORD = np.dtype([("doc", "<i8"), ("piece", "<i4"), ("n", "<u2"), ("flags", "<u2"), ("ids", "<u2", (LENGTH,))])
+NO_KEY = 1
 
 
 class Feistel:
@@ -84,7 +89,7 @@ def sequences(docs: DataFrame, tokenizer: bytes, bases: dict[int, int], size: in
         partition = TaskContext.get().partitionId()
         at, limit = shared.value[1].get(partition, 0), shared.value[1].get(partition + 1, size)
         for batch in batches:
-            keys, texts = batch.column(0).fill_null(-1).to_numpy(), batch.column(1)
+            keys, texts = batch.column(0), batch.column(1)
             for lo, hi in slices(texts, 4 << 20):
                 ids, count = bpe.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 raw = memoryview(np.insert(ids, np.cumsum(count), END_ID).astype("<u2").tobytes())
@@ -99,10 +104,10 @@ def sequences(docs: DataFrame, tokenizer: bytes, bases: dict[int, int], size: in
                 slot = order.forward(np.arange(at, at + len(row)))
                 at += len(row)
                 parts = [raw[2 * a : 2 * b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(keys[lo:hi][row]), pa.array(piece.astype(np.int32)), pa.array(parts, pa.binary())], ["slot", "doc", "piece", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), keys.slice(lo, hi - lo).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(parts, pa.binary())], ["slot", "doc", "piece", "ids"])
 
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "slot long, doc long, piece int, ids binary")
+    return source.mapInArrow(then_unload(run), "slot long, doc long, piece int, ids binary")
 
 
 def plan(docs: DataFrame, text: str = "text") -> tuple[dict[int, int], int, int]:
@@ -117,18 +122,38 @@ def plan(docs: DataFrame, text: str = "text") -> tuple[dict[int, int], int, int]
     return bases, total, sum(r["bytes"] or 0 for r in rows)
 
 
+def store_uri(spark, path: str) -> str:
+    """path with its scheme, as Spark would complete it; fails if pyarrow cannot open its file system."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    uri = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(hadoop).toString()
+    uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file:///") else uri
+    pa.fs.FileSystem.from_uri(uri)
+    return uri
+
+
+def _records(batch: pa.RecordBatch) -> np.ndarray:
+    """Batch of (shard, doc, piece, ids) -> fixed-stride records."""
+    records = np.zeros(batch.num_rows, RECORD)
+    doc, ids = batch.column(1), batch.column(3)
+    records["doc"], records["piece"] = doc.fill_null(0).to_numpy(), batch.column(2).to_numpy()
+    records["flags"] = np.where(doc.is_null().to_numpy(zero_copy_only=False), NO_KEY, 0)
+    records["n"] = n = pa.compute.binary_length(ids).to_numpy(zero_copy_only=False) // 2
+    row = np.repeat(np.arange(len(n)), n)
+    records["ids"][row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = np.frombuffer(b"".join(ids.to_pylist()), "<u2")
+    return records
+
+
 def write_shards(docs: DataFrame, tokenizer: bytes, path: str, key: str = "doc_id", text: str = "text", seed: int = KEY) -> DataFrame:
-    """Writes shard files below path (of any file system that pyarrow opens) and returns the manifest:
-    shard, file, sequences, crc32."""
+    """Writes shard files below path and returns the manifest: shard, file, sequences, crc32."""
     spark = docs.sparkSession
-    narrow = docs.select(key, text)
+    path, narrow = store_uri(spark, path), docs.select(key, text)
     bases, size, length = plan(narrow, text)
     shards = max(1, min(-(-length // TEXT_IN_SHARD), max(1, size)))
     found = sequences(narrow, tokenizer, bases, size, key, text, seed)
     dealt = found.withColumn("shard", F.floor(F.col("slot") / F.lit(max(1, -(-size // shards)))).cast("int"))
 
     def run(batches):
-        unload()
         store, folder = pa.fs.FileSystem.from_uri(path)
         task = TaskContext.get().taskAttemptId()
         now, out, held, crc, name = None, None, 0, 0, ""
@@ -139,12 +164,7 @@ def write_shards(docs: DataFrame, tokenizer: bytes, path: str, key: str = "doc_i
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name]), pa.array([held], pa.int64()), pa.array([crc], pa.int64())], ["shard", "file", "sequences", "crc32"])
 
         for batch in batches:
-            shard = batch.column(0).to_numpy()
-            records = np.zeros(len(shard), RECORD)
-            records["doc"], records["piece"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for record, ids in zip(records, batch.column(3).to_pylist(), strict=True):
-                record["n"] = len(ids) // 2
-                record["ids"][: len(ids) // 2] = np.frombuffer(ids, "<u2")
+            shard, records = batch.column(0).to_numpy(), _records(batch)
             edges = np.flatnonzero(np.diff(shard, prepend=-1))
             for lo, hi in zip(edges, [*edges[1:], len(shard)], strict=True):
                 if shard[lo] != now:
@@ -160,8 +180,8 @@ def write_shards(docs: DataFrame, tokenizer: bytes, path: str, key: str = "doc_i
         if out is not None:
             yield close()
 
-    ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "slot").select("shard", "doc", "piece", "ids")
-    manifest = ordered.mapInArrow(run, "shard int, file string, sequences long, crc32 long")
+    ordered = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "slot").select("shard", "doc", "piece", "ids")
+    manifest = ordered.mapInArrow(then_unload(run), "shard int, file string, sequences long, crc32 long")
     rows = sorted(manifest.collect())  # a row a shard
     return spark.createDataFrame(rows, "shard int, file string, sequences long, crc32 long")
 
@@ -175,11 +195,10 @@ def read_shards(manifest: DataFrame, path: str, start: int = 0) -> DataFrame:
         if before + n > start:
             plan_rows.append((shard, file, before, max(0, start - before), n))
         before += n
-    spark = manifest.sparkSession
+    spark, path = manifest.sparkSession, store_uri(manifest.sparkSession, path)
     parts = spark.createDataFrame(plan_rows, "shard int, file string, base long, skip long, n long").repartition(max(1, len(plan_rows)), "shard")
 
     def run(batches):
-        unload()
         store, folder = pa.fs.FileSystem.from_uri(path)
         for batch in batches:
             for row in batch.to_pylist():
@@ -188,18 +207,17 @@ def read_shards(manifest: DataFrame, path: str, start: int = 0) -> DataFrame:
                     at = row["base"] + row["skip"]
                     while raw := f.read(4096 * RECORD.itemsize):
                         records = np.frombuffer(raw, RECORD)
-                        ids = [r["ids"][: r["n"]].tobytes() for r in records]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(records))), pa.array(records["doc"].astype(np.int64)), pa.array(records["piece"].astype(np.int32)), pa.array(records["n"].astype(np.int32)), pa.array(ids, pa.binary())], ["position", "doc", "piece", "n", "ids"])
+                        ids = [x[:n].tobytes() for x, n in zip(records["ids"], records["n"].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(records))), pa.array(records["doc"].astype(np.int64), mask=records["flags"] == NO_KEY), pa.array(records["piece"].astype(np.int32)), pa.array(records["n"].astype(np.int32)), pa.array(ids, pa.binary())], ["position", "doc", "piece", "n", "ids"])
                         at += len(records)
 
-    return parts.mapInArrow(run, "position long, doc long, piece int, n int, ids binary")
+    return parts.mapInArrow(then_unload(run), "position long, doc long, piece int, n int, ids binary")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
         tokenizer = f.read()
     path = shared_path(spark, "shards")
-    path = "file://" + os.path.abspath(path) if "://" not in path and not path.startswith("file:") else path
     manifest = write_shards(table(spark, sf_dir, "documents"), tokenizer, path)
     found = read_shards(manifest, path)
     return found.select("position", F.col("doc").alias("doc_id"), "piece", F.col("n").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
