@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 
 from quillbar.session import table
 
-__all__ = ["table", "shared_dir", "materialize", "slices", "bounded_count", "rows_apart"]
+__all__ = ["table", "shared_dir", "materialize", "slices", "bounded_count", "framed"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset, as in
-    tests) a new temporary folder that is then set for this session."""
+    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset and the master
+    is local, as in tests) a new temporary folder that is then set for this session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("quillbar.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillbar-")
         spark.conf.set("quillbar.shared.dir", found)
     return found.rstrip("/")
@@ -58,12 +60,14 @@ def bounded_count(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
 
 
-def rows_apart(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
-    """docs and the name of a long column that orders rows as key does and differs where texts do: key
-    itself, or a further column _row where a key has several texts. It is null where key is null."""
-    named = docs.withColumn("_key", F.col(key).cast("long")).withColumn("_text", F.xxhash64(text))
-    ids = named.where("_key is not null").select("_key", "_text").distinct()
-    if not ids.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        return docs, key
-    numbered = materialize(ids.orderBy("_key", "_text").withColumn("_row", F.monotonically_increasing_id()), "rows")
-    return named.join(numbered, ["_key", "_text"], "left").select(*docs.columns, "_row"), "_row"
+def framed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """(rows, apart). rows: whole (a struct of all columns of docs, whatever their names), doc (key as long), text, row: a long
+    that orders rows as key does and differs where texts do. It is the key itself, or a number where some
+    key has several texts (then apart is true); null where the key is null. select("whole.*") gives docs."""
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    named = docs.select(columns, F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    ids = named.where("doc is not null").select("doc", F.xxhash64("text").alias("h")).distinct()
+    if not ids.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return named.withColumn("row", F.col("doc")), False
+    numbered = materialize(ids.orderBy("doc", "h").withColumn("row", F.monotonically_increasing_id()), "rows")
+    return named.withColumn("h", F.xxhash64("text")).join(numbered, ["doc", "h"], "left").drop("h"), True

@@ -21,8 +21,9 @@ Plan (every step is a Spark job over partitioned rows; nothing that grows with t
 Hash collisions apart (64 bits a feature), no link is lost and none is invented.
 
 Cases: a text without words, or null, has an empty set, links with nothing and is its own component;
-fewer words than `width` are one shingle; a row without key is left out; repeated rows are linked like
-copies; an empty table gives no rows; other columns are dropped first.
+fewer words than `width` are one shingle; a row without key links like others but gives no component its
+name (it has the smallest key it reaches, null if there is none); repeated rows are linked like copies; an
+empty table gives no rows; other columns are dropped first.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from quillbar.llm import partenum
 from quillbar.llm.bpe import then_unload
-from quillbar.llm.common import bounded_count, materialize, rows_apart, slices, table
+from quillbar.llm.common import bounded_count, framed, materialize, slices, table
 from quillbar.llm.components import components
 from quillbar.llm.words import feature_sets, mix
 
@@ -67,10 +68,10 @@ def _blocks(leading: np.ndarray, blocks: int) -> np.ndarray:
     return (((leading >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int32)
 
 
-def _block_ranges(source: DataFrame) -> dict[int, tuple[int, int]]:
+def _block_ranges(source: DataFrame, width: int) -> dict[int, tuple[int, int]]:
     """(first block, blocks) of each band, so that a block holds about SIGNATURES_IN_BLOCK. A set sends to the
-    blocks of its bands only. Words are estimated by spaces; where that is wrong blocks differ in size."""
-    n = F.greatest(F.lit(4), F.length("text") - F.length(F.replace("text", F.lit(" "))) - 3)
+    blocks of its bands only. Repeated shingles are counted each."""
+    n = F.greatest(F.lit(4), F.regexp_count("text", F.lit(r"[^ \t-\r]++")) - (width - 1))
     own = F.length(F.bin(n)) - 1
     above = F.when(F.floor(4 * n / 3) >= F.pow(F.lit(2), own + 1), own + 1)
     sized = source.where("text is not null").select(F.explode(F.array_compact(F.array(own, above))).alias("band"))
@@ -83,7 +84,7 @@ def _block_ranges(source: DataFrame) -> dict[int, tuple[int, int]]:
 
 
 def _sketch(ranges: dict[int, tuple[int, int]], width: int):
-    """Batches of (key, text) -> rows of (block, docs, signatures)."""
+    """Batches of (at, no key, text) -> rows of (block, docs, signatures)."""
     blocks = max(1, sum(n for _, n in ranges.values()))
 
     def flush(entries, found):
@@ -110,7 +111,7 @@ def _sketch(ranges: dict[int, tuple[int, int]], width: int):
     def run(batches):
         entries, held, met = [], 0, set()
         for batch in batches:
-            keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            at, without, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for lo, hi in slices(texts, 4 << 20):
                 found, names, sizes, surely = [], [], [], []
                 for features in feature_sets([t or b"" for t in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()], width):
@@ -124,7 +125,7 @@ def _sketch(ranges: dict[int, tuple[int, int]], width: int):
                             entries.append((name, band, signature))
                             held += len(signature)
                     surely.append(least)
-                docs = np.stack([keys[lo:hi].astype("<i8"), np.array(names, "<i8"), np.array(sizes, "<i8"), *np.array(surely, "<i8").T])
+                docs = np.stack([at[lo:hi].astype("<i8"), without[lo:hi].astype("<i8"), np.array(names, "<i8"), np.array(sizes, "<i8"), *np.array(surely, "<i8").T])
                 found.append((int(abs(names[0]) % blocks), docs.tobytes(), None))
                 if held > HELD:
                     flush(entries, found)
@@ -144,7 +145,7 @@ def _empty(kinds: dict) -> pa.Table:
     return pa.table({n: pa.array([], t) for n, t in kinds.items()})
 
 
-_MEETINGS = {"kind": pa.int32(), "x": pa.int64(), "y": pa.int64(), "z": pa.int64(), "own": pa.int32(), "above": pa.int32(), "members": pa.list_(pa.int64())}
+_MEETINGS = {"kind": pa.int32(), "x": pa.int64(), "y": pa.int64(), "z": pa.int64(), "nokey": pa.int32(), "own": pa.int32(), "above": pa.int32(), "members": pa.list_(pa.int64())}
 
 
 def _rows(kind: int, n: int, **columns) -> pa.Table:
@@ -152,13 +153,13 @@ def _rows(kind: int, n: int, **columns) -> pa.Table:
 
 
 def _meet(found: pa.Table) -> pa.Table:
-    """One block -> its documents (kind 0: key, set, size, what the set surely shares in its own band and
+    """One block -> its documents (kind 0: key or hash, set, size, whether it has no key, what the set surely shares in its own band and
     the one above), how often each set of a band meets others (kind 1: set, meetings, band) and the groups
     that meet (kind 2: number of the group, members)."""
     block, parts = int(found.column("block")[0].as_py()), []
     for raw in found.column("docs").drop_null().to_pylist():
-        x, y, z, own, above = np.frombuffer(raw, "<i8").reshape(5, -1)
-        parts.append(_rows(0, len(x), x=x, y=y, z=z, own=own.astype(np.int32), above=above.astype(np.int32)))
+        x, without, y, z, own, above = np.frombuffer(raw, "<i8").reshape(6, -1)
+        parts.append(_rows(0, len(x), x=x, y=y, z=z, nokey=without.astype(np.int32), own=own.astype(np.int32), above=above.astype(np.int32)))
     names, bands, count, signature = [], [], [], []
     for raw in found.column("signatures").drop_null().to_pylist():
         k, m, band, wide = np.frombuffer(raw, "<i4", 4).tolist()
@@ -329,21 +330,24 @@ def _possible_pairs(batches):
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """key, n_shingles, component_id (smallest key of the component) of every row with a key."""
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    dealt = source.mapInArrow(then_unload(_sketch(_block_ranges(source), width)), "block int, docs binary, signatures binary")
-    met = materialize(dealt.groupBy("block").applyInArrow(_meet, "kind int, x long, y long, z long, own int, above int, members array<long>"), "meetings")
-    rows = met.where("kind = 0").select(F.col("x").alias("key"), F.col("y").alias("s"), F.col("z").alias("n"), "own", "above")
-
-    names = rows.groupBy("s").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.max("own").alias("own"), F.max("above").alias("above"))
+    # A row without key goes by a hash of its text.
+    at, source = F.coalesce("key", F.xxhash64("text")), docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    source = source.select(at.alias("at"), F.col("key").isNull().cast("int").alias("nokey"), "text")
+    dealt = source.mapInArrow(then_unload(_sketch(_block_ranges(source, width), width)), "block int, docs binary, signatures binary")
+    kinds = "kind int, x long, y long, z long, nokey int, own int, above int, members array<long>"
+    met = materialize(dealt.groupBy("block").applyInArrow(_meet, kinds), "meetings")
+    rows = met.where("kind = 0").select(F.col("x").alias("at"), "nokey", F.when(F.col("nokey") == 0, F.col("x")).alias("key"), F.col("y").alias("s"), F.col("z").alias("n"), "own", "above")
+
+    names = rows.groupBy("s").agg(F.min("key").alias("key"), F.min("at").alias("at"), F.min("n").alias("n"), F.max("own").alias("own"), F.max("above").alias("above"))
     often = met.where("kind = 1").groupBy(F.col("x").alias("s"), F.col("z").alias("band")).agg(F.sum("y").alias("met"))
     surely = F.when(F.col("band") < F.length(F.bin("n")), F.col("own")).otherwise(F.col("above"))
     able = often.join(names, "s").where(F.col("met") >= F.greatest(surely, F.lit(1)))
-    passing = materialize(able.select("s", "key", "n").distinct(), "passing")
+    passing = materialize(able.select("s", F.coalesce("key", "at").alias("at"), F.col("key").isNull().cast("int").alias("nokey"), "n").distinct(), "passing")
 
     total = passing.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("features")).first()
     few = total["rows"] <= MOST_BROADCAST
     small = F.broadcast if few else (lambda df: df)
-    wanted = source.join(small(passing.select("key", "s")), "key").select("s", "text")
+    wanted = source.join(small(passing.select("at", "nokey", "s")), ["at", "nokey"]).select("s", "text")
     feature_blocks = max(8, -(-total["features"] // FEATURES_IN_BLOCK))
     parts = wanted.mapInArrow(then_unload(_features(feature_blocks, width)), "block int, features binary").groupBy("block").applyInArrow(_common, "s long, part array<long>")
     common = parts.groupBy("s").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("common"))
@@ -368,35 +372,36 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     checked = checked.unionByName(second)
 
     # What the star leaves open: groups of three or more whose members are of different classes. All
-    # groups of one centre are looked at together, and a pair at the least centre they share only.
-    roots = classes.select(F.col("node").alias("s"), "root")
-    of_least = classes.select(F.col("node").alias("l"), F.col("root").alias("root_l"))
+    # groups of one centre are looked at together, and a pair at the least centre they share only. Tables by
+    # centre are written before they are joined, so that a join can split the rows of a hot centre.
+    root_of = lambda x, name: small(classes.select(F.col("node").alias(x), F.col("root").alias(name)))
     known = checked.select(F.col("a").alias("l"), F.col("b").alias("s"), "shared")
-    stars = materialize(grouped.where("m > 2").select("l", "s", "n", "k").distinct(), "stars")
+    stars = grouped.where("m > 2").select("l", "s", "n", "k").distinct().join(root_of("s", "root"), "s", "left").join(root_of("l", "root_l"), "l", "left")
+    stars = materialize(stars.withColumn("root", F.coalesce("root", "s")).withColumn("root_l", F.coalesce("root_l", "l")), "stars")
     centres = stars.groupBy("s").agg(F.sort_array(F.collect_list("l")).alias("centres"))
-    rooted_stars = stars.join(roots, "s", "left").join(of_least, "l", "left").withColumn("root", F.coalesce("root", "s")).withColumn("root_l", F.coalesce("root_l", "l"))
-    mixed = rooted_stars.groupBy("l").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("l", "m")
-    open_groups = materialize(rooted_stars.join(mixed, "l").join(known, ["l", "s"], "left"), "open")
+    mixed = materialize(stars.groupBy("l").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("l", "m"), "mixed")
+    open_groups = materialize(stars.join(small(mixed), "l").join(known, ["l", "s"], "left"), "open")
     rest = _verified(open_groups.where("shared is null and s <> l").select(F.col("l").alias("a"), F.col("s").alias("b")), sets)
     counted = materialize(rest.select(F.col("a").alias("l"), F.col("b").alias("s"), F.col("shared").alias("late")), "checked")
     # a: features in common with the centre, w: others.
     a = F.coalesce(F.when(F.col("s") == F.col("l"), F.col("k")), F.col("shared"), F.col("late")).cast("long")
     labelled = open_groups.join(counted, ["l", "s"], "left").select("s", "l", "m", "root", "root_l", F.col("n").cast("long").alias("n"), a.alias("a"), (F.col("k") - a).alias("w"))
-    span = labelled.groupBy("l").agg(F.max("a").alias("most_a"), F.max("w").alias("most_w"), F.min("n").alias("least_n"))
+    span = materialize(labelled.groupBy("l").agg(F.max("a").alias("most_a"), F.max("w").alias("most_w"), F.min("n").alias("least_n")), "span")
     reach = F.least("a", "most_a") + F.least("w", "most_w")
-    hopeful = labelled.join(span, "l").where(7 * reach >= 3 * (F.col("n") + F.greatest("least_n", F.ceil(0.75 * F.col("n")))))
-    hopeful = materialize(hopeful.join(centres, "s").join(sets.select("s", "counts"), "s"), "open")
+    hopeful = labelled.join(small(span), "l").where(7 * reach >= 3 * (F.col("n") + F.greatest("least_n", F.ceil(0.75 * F.col("n")))))
+    hopeful = hopeful.join(centres, "s").join(sets.select("s", "counts"), "s").withColumn("outside", F.col("root") != F.col("root_l"))
     chunk = F.pmod(F.xxhash64("s"), F.ceil(F.col("m") / PAIRED)).alias("c")
-    packed = lambda df, name: df.groupBy("l", chunk).agg(F.collect_list(F.struct("s", "n", "w", "a", "root", "centres", "counts")).alias(name)).drop("c")
-    outside = packed(hopeful.where("root <> root_l"), "left")
-    blocks_of_pairs = outside.join(packed(hopeful, "right"), "l").select("l", "left", "right")
-    pairs = blocks_of_pairs.mapInArrow(_possible_pairs, "a long, b long").distinct()
+    members = F.collect_list(F.struct("s", "n", "w", "a", "root", "centres", "counts", "outside")).alias("right")
+    chunks = materialize(hopeful.groupBy("l", chunk).agg(members).select("l", "right"), "open")
+    outside = chunks.select("l", F.filter("right", lambda x: x["outside"]).alias("left")).where(F.size("left") > 0)
+    pairs = outside.join(chunks, "l").select("l", "left", "right").mapInArrow(_possible_pairs, "a long, b long").distinct()
     more = _verified(pairs, sets)
     classes = _joined(classes, materialize(similar(more), "links"))
 
-    rooted = names.join(classes.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    smallest = rooted.groupBy("root").agg(F.min("key").alias("component_id"))
-    named = rooted.join(smallest, "root").select("s", "component_id")
+    linked_sets = names.select("s", "key").join(small(classes.withColumnRenamed("node", "s")), "s")
+    smallest = materialize(linked_sets.groupBy("root").agg(F.min("key").alias("component_id")), "smallest")
+    of_class = linked_sets.join(small(smallest), "root").select("s", "component_id")
+    named = names.select("s", "key").join(small(of_class), "s", "left").select("s", F.coalesce("component_id", "key").alias("component_id"))
     whole = rows.where("n > 0").join(named, "s").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
     return whole.unionByName(alone)
@@ -405,14 +410,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those whose component has an earlier row, by key; of rows that share key and text one
     stays, and rows that share a key alone are documents of their own. Rows without a key all stay."""
-    named, row = rows_apart(docs, key, text)
-    found = materialize(jaccard_components(named, row, text), "components")
-    gone = materialize(found.where(F.col(row) != F.col("component_id")).select(F.col(row).alias("_gone")).distinct(), "gone")
+    named, _ = framed(docs, key, text)
+    found = materialize(jaccard_components(named, "row", "text"), "components")
+    gone = materialize(found.where("row <> component_id").select("row").distinct(), "gone")
     hint = F.broadcast if bounded_count(gone) <= MOST_BROADCAST else (lambda df: df)
-    kept = named.join(hint(gone), F.col(row) == F.col("_gone"), "left_anti")
-    if found.groupBy(row).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        kept = kept.where(F.col(row).isNotNull()).dropDuplicates([row]).unionByName(kept.where(F.col(row).isNull()))
-    return kept.select(*docs.columns)
+    kept = named.join(hint(gone), "row", "left_anti")
+    if found.where("row is not null").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        kept = kept.where("row is not null").dropDuplicates(["row"]).unionByName(kept.where("row is null"))
+    return kept.select("whole.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

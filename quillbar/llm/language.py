@@ -16,13 +16,12 @@ are predicted alike; an empty table gives no rows; other columns are dropped fir
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillbar.llm.common import slices, table
 
@@ -34,7 +33,6 @@ UNKNOWN = "und"
 #: Rows whose profiles are multiplied together.
 ROWS = 256
 _FOLD = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint32)
-_LETTER = re.compile(r"[^\W\d_]").search
 _BITS = DIM.bit_length() - 1
 
 
@@ -52,13 +50,14 @@ def _kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def has_letters(text: str):
-    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    """Whether a text has a letter: the one rule of learning, prediction and the pipeline."""
+    return F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
 
 
 def fit(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
     """held_out: column, true for rows that nothing may be learned from."""
-    usable = df.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out & F.col(text).rlike(r"\p{L}"))
-    rows = usable.select(F.col(label).cast("string").alias("label"), F.xxhash64(key).alias("h"), F.col(text).alias("text"))
+    usable = df.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out & has_letters(text))
+    rows = usable.select(F.col(label).cast("string").alias("label"), F.xxhash64(key).alias("h"), F.col(text).cast("string").alias("text"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row a language
     if not counts:
         return {"labels": []}
@@ -88,33 +87,35 @@ def fit(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", label:
     return {"labels": names, "points": points, "weights": (weights / np.sqrt(points.sum(1))[:, None]).astype(np.float32)}
 
 
-def predict(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, (carried columns), lang_pred, score of every row's whole text."""
+def predict(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, lang_pred, score of every row's whole text."""
+    return predicted(df.select(key, text), model, text).select(F.col("whole").getField(key).alias(key), "lang_pred", "score")
+
+
+def predicted(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """whole (a struct of all columns of df, whatever their names), lang_pred, score of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # landmarks x dim floats: 4 MB
-    kept = list(dict.fromkeys([key, *carry]))
-    source = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])  # each column once
-    at = source.columns.index(text)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole")
+    source, at = df.select(whole, has_letters(f"`{text}`").alias("known")), df.columns.index(text)
 
     def run(batches):
         labels = shared.value["labels"]
         for batch in batches:
-            texts = batch.column(at)
+            texts, letters = batch.column(0).field(at).cast(pa.string()), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi in slices(texts, 2 << 20, ROWS):
-                part = texts.slice(lo, hi - lo).to_pylist()
-                known = np.array([bool(t and labels and _LETTER(t)) for t in part], bool)
+                known = letters[lo:hi] & bool(labels)
                 names, scores = np.full(hi - lo, UNKNOWN, object), np.zeros(hi - lo)
                 if known.any():
                     grams = np.zeros((int(known.sum()), DIM), np.float32)
-                    for row, t in zip(grams, [t for t, k in zip(part, known, strict=True) if k], strict=True):
+                    for row, t in zip(grams, [t for t, k in zip(texts.slice(lo, hi - lo).to_pylist(), known, strict=True) if k], strict=True):
                         profile(t, row)
                     found = (grams @ shared.value["points"].T) @ shared.value["weights"] / np.sqrt(grams.sum(1))[:, None]
                     best = found.argmax(1)
                     names[known] = np.array(labels, object)[best]
                     scores[known] = np.clip((found[np.arange(len(best)), best].astype(np.float64) + 1) / 2, 0, 1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), pa.array(names, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(scores)], ["whole", "lang_pred", "score"])
 
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return source.mapInArrow(run, T.StructType([source.schema["whole"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(key: str = "doc_id"):

@@ -14,9 +14,10 @@ line whose half-keys are all its own is left out. Variant hashes are running exc
 places, so a line of a million words costs a million rows and no more.
 
 Cases: null text has no lines; lines without words are never removed; a null doc_id takes no part and
-keeps all its lines; rows that repeat a doc_id share their places, so neither loses lines to the other
-(in `without_removed` rows of one doc_id and several texts are documents of their own);
-an empty table gives no rows; other columns are kept by `without_removed` and dropped by `removed_lines`.
+keeps all its lines; rows that repeat doc_id and text share their places, so neither loses lines to the
+other; rows of one doc_id with different texts are documents of their own, in the order of a hash of
+their texts; an empty table gives no rows; other columns, whatever their names, are kept by `marked` and
+`without_removed` and dropped by `removed_lines`.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillbar.llm.common import bounded_count, materialize, rows_apart, table
+from quillbar.llm.common import bounded_count, framed, materialize, table
 
 MIN_WORDS = 8
-#: Lines whose places are broadcast when their words are fetched; beyond it they are joined by shuffle.
-MOST_BROADCAST = 500_000
+#: Lines that are broadcast, at up to 64 bytes a line (13 MB); beyond it both sides are shuffled.
+MOST_BROADCAST = 200_000
+#: A line that occurs oftener is dealt to several tasks; MOST_HOT is the most there can be of them.
+OFTEN, MOST_HOT = 2_000, 20_000
 
 
 #: Fixed value: the white space between words.
@@ -71,7 +74,8 @@ def _xor(values):
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, pos, kept_doc, kept_pos of every line that goes, and the earliest line it repeats."""
+    """doc, pos, kept_doc, kept_pos of every line that goes, and the earliest line it repeats; for tables
+    where rows that share a key share their text (see `marked` for others)."""
     lines = lines_of(docs, key, text)
     numbered = lines.select("doc", "pos", F.xxhash64("words").alias("line"), F.size("words").alias("n"), "words")
     keys = F.when(F.col("n") >= min_words, _half_keys(F.col("n"), F.col("words")))
@@ -82,13 +86,13 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     odd = F.col("half").bitwiseAND(F.lit(1)) == 1
     halves = keyed.join(shared, "half", "left_semi").groupBy("line").agg(F.bool_or(~odd).alias("head"), F.bool_or(odd).alias("tail"))
     halves = materialize(halves, "lines")
-    hint = F.broadcast if bounded_count(halves) <= MOST_BROADCAST else (lambda df: df)  # 10 bytes a line
+    hint = F.broadcast if bounded_count(halves) <= MOST_BROADCAST else (lambda df: df)
     able = known.where("keys is not null").select("line", "n", "doc", "pos").join(hint(halves), "line").groupBy("line", "n", "head", "tail").agg(first)
     able = materialize(able.select("line", "n", "head", "tail", "first.doc", "first.pos"), "lines")
 
     places = able.groupBy("doc").agg(F.collect_list(_place("pos", "line", "n", "head", "tail")).alias("at"))
     if bounded_count(able) <= MOST_BROADCAST:
-        places = F.broadcast(places)  # 20 bytes a line, 10 MB at most
+        places = F.broadcast(places)
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.split(F.col(text), "\n").alias("all"))
     fetched = texts.join(places, "doc").select("doc", "all", F.explode("at").alias("at"))
     words = words_of(F.get("all", F.col("at.pos")))
@@ -119,12 +123,19 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     left = pairs.join(candidates.select("line", "n", F.col("words").alias("a")), ["line", "n"])
     right = candidates.select(F.col("line").alias("with_line"), F.col("n").alias("with_n"), F.col("words").alias("b"))
     verified = left.join(right, ["with_line", "with_n"]).where(within_one_edit(F.col("a"), F.col("b")))
-    near = verified.groupBy("line", "n").agg(F.min("partner").alias("partner"))
-
     every = known.select("doc", "pos", "line", "n")
-    firsts = every.groupBy("line", "n").agg(first, F.count(F.lit(1)).alias("k")).join(near, ["line", "n"], "left").where("k > 1 or partner is not null")
-    keeper = firsts.select("line", "n", F.least(F.col("first"), F.col("partner")).alias("kept"))
-    found = every.join(keeper, ["line", "n"]).where(_place("doc", "pos") != F.col("kept"))
+    repeated = materialize(every.groupBy("line", "n").agg(first, F.count(F.lit(1)).alias("k")).where("k > 1"), "lines")
+    # A line near to an earlier one is here by its own first place, even if it occurs once.
+    near = verified.groupBy("line", "n").agg(F.min("partner").alias("kept")).withColumn("k", F.lit(1).cast("long"))
+    keeper = repeated.select("line", "n", F.col("first").alias("kept"), "k").unionByName(near)
+    keeper = keeper.groupBy("line", "n").agg(F.min("kept").alias("kept"), F.max("k").alias("k"))
+    often = max(OFTEN, -(-bounded_count(known) // MOST_HOT))
+    parts = F.ceil(F.col("k") / often).cast("int")
+    hot = repeated.where(F.col("k") > often).select("line", "n", parts.alias("parts"))
+    part = F.pmod(F.xxhash64("doc", "pos"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = every.join(F.broadcast(hot), ["line", "n"], "left").withColumn("part", part)  # at most MOST_HOT rows
+    keeper = keeper.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("k") > often, parts - 1).otherwise(0))))
+    found = dealt.join(keeper, ["line", "n", "part"]).where(_place("doc", "pos") != F.col("kept"))
     return found.select("doc", "pos", F.col("kept.doc").alias("kept_doc"), F.col("kept.pos").alias("kept_pos"))
 
 
@@ -137,31 +148,38 @@ def within_one_edit(a, b):
     return (differ == 0) | F.when(differ > 0, same)
 
 
-def by_document(removed: DataFrame) -> DataFrame:
-    """doc, removed (sorted places), kept_in (sorted ids of the documents that keep those lines)."""
-    grouped = removed.groupBy("doc").agg(F.collect_set("pos").alias("removed"), F.collect_set("kept_doc").alias("kept_in"))
-    return grouped.select("doc", F.sort_array("removed").alias("removed"), F.sort_array("kept_in").alias("kept_in"))
+def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Of every row of docs: whole (a struct of its columns), doc, text, removed (sorted places of the lines
+    that go), kept_in (sorted keys of the documents that keep them); both null where no line goes."""
+    named, apart = framed(docs, key, text)
+    gone = removed_lines(named, "row", "text", min_words)
+    if apart:
+        gone = materialize(gone, "removed")
+    by_row = gone.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("removed"), F.sort_array(F.collect_set("kept_doc")).alias("kept_in"))
+    if not apart:
+        return named.join(by_row.withColumnRenamed("doc", "row"), "row", "left").select("whole", "doc", "text", "removed", "kept_in")
+    keys = named.where("row is not null").select(F.col("row").alias("kept_doc"), F.col("doc").alias("kept_key")).distinct()
+    sources = gone.select("doc", "kept_doc").distinct().join(keys, "kept_doc").groupBy("doc").agg(F.sort_array(F.collect_set("kept_key")).alias("kept_in"))
+    by_row = by_row.drop("kept_in").join(sources, "doc").withColumnRenamed("doc", "row")
+    return named.join(by_row, "row", "left").select("whole", "doc", "text", "removed", "kept_in")
 
 
 def without_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with their remaining lines as text; a document that had lines with words and lost them all goes."""
-    named, row = rows_apart(docs, key, text)
-    gone = by_document(removed_lines(named, row, text, min_words)).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
-    joined = named.join(gone, F.col(row).cast("long") == F.col("_doc"), "left")
-    left = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col("_removed"), i))
-    kept = joined.withColumn("_left", F.when(F.col("_removed").isNotNull(), left))
-    with_words = F.exists("_left", has_words)
-    kept = kept.where(F.col("_removed").isNull() | with_words).withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join("_left", "\n")))
-    return kept.select(*docs.columns)
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("removed"), i))
+    found = marked(docs, key, text, min_words).withColumn("left", F.when(F.col("removed").isNotNull(), left))
+    kept = found.where(F.col("removed").isNull() | F.exists("left", has_words))
+    shown = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join("left", "\n"))
+    columns = [shown.alias(c) if c == text else F.col("whole").getField(c).alias(c) for c in docs.columns]
+    return kept.select(*columns)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = by_document(removed_lines(docs))
-    count = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    out = count.join(gone, F.col("doc_id") == F.col("doc"), "left")
+    found = marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     empty = F.array().cast("array<bigint>")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.col("removed").cast("array<bigint>"), empty).alias("removed"), F.coalesce("kept_in", empty).alias("kept_in"))
+    removed = F.coalesce(F.col("removed").cast("array<bigint>"), empty)
+    return found.select("whole.doc_id", lines.cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), removed.alias("removed"), F.coalesce("kept_in", empty).alias("kept_in"))
 
 
 QUERIES = {"op2_line_dedup": op2}

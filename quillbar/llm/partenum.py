@@ -2,11 +2,12 @@
 
 Sets with Jaccard similarity of at least 3/4 differ in at most (a + b) / 7 features, a and b being their
 sizes. Band c holds the pairs whose larger set has 2^c to 2^(c+1) - 1 features, so its difference is
-bounded by `bound(c)`. The feature domain is cut into `parts(c)` partitions, more than the bound: by the
-pigeonhole principle any similar pair agrees on all features of some partitions, parts - difference of
-them at least. Enumerated are the single partitions; a signature is the hash of a set's features in one.
+bounded by `bound(c)`. The feature domain is cut into `groups(c)` first-level partitions of CELLS cells
+each, and the subsets of CELLS - 1 cells of each partition are enumerated; a signature is the hash of a
+set's features in one subset. Differing features spoil all subsets of a partition only if they lie in two
+of its cells, so any similar pair agrees on `agreed` subsets at least (pigeonhole), which is above zero.
 
-Empty partitions would make unlike sets agree, so they count only where they must: a set with so many
+Empty subsets would make unlike sets agree, so they count only where they must: a set with so many
 empty ones that they might be its only agreement emits them too, as does, then, its partner.
 """
 
@@ -17,6 +18,9 @@ import numpy as np
 from quillbar.llm.words import mix
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
+CELLS = 3
+#: The cells of each subset.
+_FIRST, _SECOND = np.array([0, 0, 1]), np.array([1, 2, 2])
 
 
 def bound(band: int) -> int:
@@ -24,8 +28,22 @@ def bound(band: int) -> int:
     return 2 * (2 ** (band + 1) - 1) // 7
 
 
+def groups(band: int) -> int:
+    """First-level partitions: more than half the bound, so that some subset is never spoilt; by how much
+    decides how many agreements tell similar pairs from others."""
+    return -(-(bound(band) + max(6, -(-3 * bound(band) // 20))) // 2)
+
+
 def parts(band: int) -> int:
-    return bound(band) + max(6, -(-3 * bound(band) // 10))
+    """Signatures of a set."""
+    return CELLS * groups(band)
+
+
+def agreed(band: int, difference: int) -> int:
+    """Subsets on which two sets agree at least. In a partition, a first differing cell spoils two of its
+    three subsets and a second one the third, so a difference spoils most by meeting every partition once."""
+    once = min(difference, groups(band))
+    return parts(band) - 2 * once - min(difference - once, groups(band))
 
 
 def bands(size: int) -> list[tuple[int, int]]:
@@ -41,11 +59,12 @@ def bands(size: int) -> list[tuple[int, int]]:
 def signatures(features: np.ndarray, band: int, difference: int) -> tuple[np.ndarray, int]:
     """(signatures of a set in a band, how many it surely shares with any similar set)."""
     n = parts(band)
-    part = ((features >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    cell = ((features >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
     total = np.zeros(n, np.uint64)
-    np.add.at(total, part, mix(features))
-    held = np.bincount(part, minlength=n) > 0
-    surely = n - difference - int((~held).sum())
-    number = np.arange(n, dtype=np.uint64) + (np.uint64(band) << np.uint64(40))
-    found = mix(total + mix(number * _STEP + np.uint64(1)))
+    np.add.at(total, cell, mix(features))
+    total, held = total.reshape(-1, CELLS), np.bincount(cell, minlength=n).reshape(-1, CELLS) > 0
+    held = (held[:, _FIRST] | held[:, _SECOND]).ravel()
+    surely = agreed(band, difference) - int((~held).sum())
+    number = mix((np.arange(n, dtype=np.uint64) + (np.uint64(band) << np.uint64(40))) * _STEP + np.uint64(1))
+    found = mix(mix(total[:, _FIRST].ravel() + number) + total[:, _SECOND].ravel())
     return (found[held], surely) if surely > 0 else (found, 0)
