@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs, language.held_out())
     if not model["labels"]:
         return docs.where(language.has_letters("text"))
-    found = language.predict(docs, model, carry=("text", *docs.columns))
-    return found.where(found["lang_pred"] != language.UNKNOWN).select(*docs.columns)
+    found = language.predicted(docs, model)
+    return found.where(found["lang_pred"] != language.UNKNOWN).select("whole.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
