@@ -7,7 +7,8 @@ two map stages without a shuffle, so a lost executor costs the partitions it hel
 
 Cases: a null text is encoded as the empty text (no ids); an empty table gives an empty result;
 repeated rows give repeated results; a null id is carried; columns other than the two named are
-dropped first, so their names cannot clash.
+dropped first, so their names cannot clash; a text of over 2^29 ids fails the job with a clear message,
+because its ids would not fit a row of any table.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbar.llm.bpe import ByteBPE, TokenBytes, loaded
+from quillbar.llm.bpe import ByteBPE, TokenBytes, loaded, then_unload
 from quillbar.llm.common import slices, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -37,12 +38,15 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", text:
             texts = batch.column(1)
             for lo, hi in slices(texts, TOGETHER):
                 ids, count = bpe.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
-                ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32) * 4
+                ends = np.concatenate([[0], np.cumsum(count)]) * 4
+                if ends[-1] >= 1 << 31:  # one text alone: several are at most TOGETHER bytes
+                    raise ValueError("a text has more ids than a row can hold")
+                ends = ends.astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), packed], ["key", "n_tokens", "ids"])
 
     out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return out.mapInArrow(run, f"key {kind}, n_tokens long, ids binary").withColumnRenamed("key", key)
+    return out.mapInArrow(then_unload(run), f"key {kind}, n_tokens long, ids binary").withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -63,7 +67,7 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded")
                 yield pa.RecordBatch.from_arrays([*part.columns, packed], [*part.schema.names, out])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.mapInArrow(run, f"{fields}, `{out}` binary")
+    return df.mapInArrow(then_unload(run), f"{fields}, `{out}` binary")
 
 
 def ranks_file(name: str = RANKS) -> bytes:

@@ -125,18 +125,19 @@ def _places(mixes, longest: int):
     return (found[:, 0] << 44) + found[:, 1], found[:, 1], found[:, 2], found[:, 3], found[:, 4]
 
 
-def pack(found: DataFrame, longest: int = LONGEST, key: str = "doc_id") -> DataFrame:
-    """found (key, piece, length, ...) with sequence_id and offset. Read twice: give it materialized."""
+def pack(found: DataFrame, longest: int = LONGEST, at: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+    """found (length, ...) with sequence_id and offset. at: columns that tell its rows apart and order them.
+    Read twice: give it materialized."""
     spark = found.sparkSession
     histogram = np.zeros(longest + 1, np.int64)
     for row in found.groupBy("length").count().collect():  # one row for each length, `longest` at most
         histogram[row["length"]] = row["count"]
     shared = spark.sparkContext.broadcast(_places(best_two_fit(histogram, longest), longest))
     buckets = max(1, -(-int(histogram.sum()) // BUCKET))
-    dealt = found.withColumn("_bucket", F.pmod(F.xxhash64(key, "piece"), F.lit(buckets)).cast("int"))
+    dealt = found.withColumn("_bucket", F.pmod(F.xxhash64(*at), F.lit(buckets)).cast("int"))
     before = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     base = dealt.groupBy("_bucket", "length").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    within = W.partitionBy("_bucket", "length").orderBy(key, "piece")
+    within = W.partitionBy("_bucket", "length").orderBy(*at)
     ranked = dealt.withColumn("_within", F.row_number().over(within)).join(base.drop("_n"), ["_bucket", "length"])
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -158,8 +159,10 @@ def tokenizer_file(name: str = TOKENIZER) -> bytes:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    found = materialize(pieces(docs, tokenizer_file(), keep_ids=False), "pieces")
-    return pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    found = pieces(docs.select("doc_id", "text"), tokenizer_file(), keep_ids=False)
+    # Numbers that are written with the pieces spread them evenly, even those of one repeated document.
+    found = materialize(found.withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    return pack(found, at=("_at",)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
