@@ -2,9 +2,13 @@
 
 Method: the tags of the standard library's tokenizer build a tree, with end tags implied where HTML
 implies them; hidden parts are left out; the tree is then walked once, with blank lines around blocks,
-markers before list items, and the cells of a table padded to the width of their columns. All visible
-text is emitted: navigation, advertisements and footers too. What stands in a table outside its cells is
-shown before it, as browsers do. One scan and one map stage.
+markers before list items, and the cells of a table, of several lines each if need be, padded to the width
+of their columns; cells that span columns or rows keep their place. All visible text is emitted:
+navigation, advertisements and footers too. What stands in a table outside its cells is shown before it, as
+browsers do. Tables are laid out from the innermost outwards, at any depth. One scan and one map stage.
+
+Visibility: attributes (hidden, style with display or visibility, open of dialog and details) decide, and
+`visibility: visible` shows again what an element around it hides; style sheets are not evaluated.
 
 Cases: null html gives null text; empty or tagless html gives its own text; markup nested to any depth
 is walked with an explicit stack; repeated rows give repeated results; an empty table gives no rows;
@@ -49,19 +53,33 @@ IMPLIED = {
 }
 _P_ENDS = BLOCKS - {"body", "html", "li", "dt", "dd", "textarea"}
 _BARRIERS = frozenset({"button", "td", "th", "table", "caption", "html"})
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I).search
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I).findall
+#: Kinds of input whose value is no text on the screen.
+_NO_TEXT = frozenset("hidden checkbox radio password file image color range".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "parts", "start", "tag")
+    __slots__ = ("children", "closed", "hidden", "parts", "shown", "spans", "start", "tag")
 
-    def __init__(self, tag: str, attrs=()):
+    def __init__(self, tag: str, attrs=(), shown: bool = True):
         named = dict(attrs)
+        style = {n.lower(): v.lower() for n, v in _STYLE(named.get("style") or "")}
         self.tag, self.children = tag, []
-        self.hidden = tag in UNSEEN or "hidden" in named or bool(_HIDDEN(named.get("style") or ""))
+        self.hidden = tag in UNSEEN or "hidden" in named or style.get("display") == "none" or (tag == "dialog" and "open" not in named)
+        self.shown = style["visibility"] == "visible" if style.get("visibility") in ("visible", "hidden", "collapse") else shown
+        self.closed = tag == "details" and "open" not in named
         self.start = named.get("start") if tag == "ol" else None
         self.parts = False  # holds parts of a table around it
+        self.spans = (_span(named.get("colspan"), 1, 1000), _span(named.get("rowspan"), 0, 65534)) if tag in ("td", "th") else None
+        if tag == "input" and named.get("value") and (named.get("type") or "").lower() not in _NO_TEXT:
+            self.children.append(named["value"])
+
+
+def _span(value: str | None, least: int, most: int) -> int:
+    """A number of columns or rows; 0 rows: all that follow."""
+    n = int(value.strip()) if value and re.fullmatch(r"\s*\d{1,9}\s*", value) else 1
+    return min(n, most) if n >= least else 1
 
 
 class TreeBuilder(HTMLParser):
@@ -111,7 +129,7 @@ class TreeBuilder(HTMLParser):
                 if x.tag == "table" or x.parts:
                     break
                 x.parts = True
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, self.open[-1].shown)
         node.hidden |= tag in UNDRAWN and self.held["svg"] > 0
         self.open[-1].children.append(node)
         if tag not in VOID:
@@ -140,7 +158,8 @@ class TreeBuilder(HTMLParser):
             self._leave_head()
         if self.held["svg"] and not self.held["text"] and not self.held["foreignobject"]:
             return  # SVG draws the strings of these alone
-        self.open[-1].children.append(data)
+        if self.open[-1].shown:
+            self.open[-1].children.append(data)
 
 
 class Page:
@@ -223,14 +242,54 @@ def _cells(table_node: Node) -> tuple[list[list[Node]], list[Node], list[Node |
     return [r for r in rows if r], captions, before, after
 
 
-def _aligned(rows: list[list[str]]) -> list[str]:
-    width = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows), default=0))]
-    return [x for r in rows if (x := " | ".join(c.ljust(width[i]) for i, c in enumerate(r)).rstrip()).strip(" |")]
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table. rows: (lines, columns, rows) of each cell."""
+    placed, busy, width = [], {}, Counter()
+    for r, row in enumerate(rows):
+        at, cells = 0, []
+        for lines, across, down in row:
+            while busy.get(at, -1) >= r:
+                at += 1
+            cells.append((at, across, lines))
+            if down != 1:
+                busy |= dict.fromkeys(range(at, at + across), r + down - 1 if down else len(rows))
+            at += across
+        placed.append(cells)
+    for wide in (False, True):  # cells that span columns widen the last of them if they must
+        for cells in placed:
+            for at, across, lines in cells:
+                if (across > 1) == wide:
+                    need = max(map(len, lines), default=0) - sum(width[at + i] + 3 for i in range(across - 1))
+                    width[at + across - 1] = max(width[at + across - 1], need)
+    out = []
+    for cells in placed:
+        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
+            parts, free = [], 0
+            for at, across, lines in cells:
+                parts += [" " * width[c] for c in range(free, at)]
+                free = at + across
+                whole = sum(width[c] for c in range(at, free)) + 3 * (across - 1)
+                parts.append((lines[i] if i < len(lines) else "").ljust(whole))
+            if (line := " | ".join(parts).rstrip()).strip(" |"):
+                out.append(line)
+    return out
+
+
+def _tables(root: Node) -> list[Node]:
+    """Tables that are not hidden, each before those inside it."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if not isinstance(node, str) and not node.hidden:
+            if node.tag == "table":
+                found.append(node)
+            stack += reversed(node.children)
+    return found
 
 
-def render(root: Node, depth: int = 0) -> list[str]:
-    """Visible lines below root. Tables within tables are rendered inside their cell."""
-    page, stack, lists = Page(), [(root, False)], []
+def render(nodes: list, laid: dict[int, tuple]) -> list[str]:
+    """Visible lines of the nodes. laid: what `_laid_out` gives for the tables among and below them."""
+    page, stack, lists = Page(), [(x, False) for x in reversed(nodes)], []
     pre = 0
     while stack:
         node, leaving = stack.pop()
@@ -246,19 +305,13 @@ def render(root: Node, depth: int = 0) -> list[str]:
         tag = node.tag
         if node.hidden:
             continue
-        if isinstance(leaving, tuple):
-            rows, captions = leaving
-            page.end()
-            page.blank = True
-            for caption in captions:
-                page.whole([x for x in render_children(caption, depth + 1) if x])
-            page.whole(_aligned([[" ".join(x for x in render_children(c, depth + 1) if x) for c in r] for r in rows]))
-            page.blank = True
-            continue
         if leaving:
             page.end()
             page.blank |= tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1)
-            if tag in ("ul", "ol"):
+            if tag == "table":
+                page.whole(laid[id(node)][0])
+                page.blank = True
+            elif tag in ("ul", "ol"):
                 lists.pop()
             elif tag == "li":
                 page.marker = ""
@@ -271,10 +324,10 @@ def render(root: Node, depth: int = 0) -> list[str]:
             page.blank |= not line and bool(page.lines)
         elif tag == "hr":
             page.whole(["---"])
-        elif tag == "table" and depth < 8:
-            rows, captions, before, after = _cells(node)
-            stack += [(t, False) for t in reversed(after)]
-            stack.append((node, (rows, captions)))
+        elif tag == "table":
+            _, before, after = laid[id(node)]
+            stack += [(x, False) for x in reversed(after)]
+            stack.append((node, True))
             stack += [(x, False) for x in reversed(before)]
         elif tag in BLOCKS:
             page.end()
@@ -289,26 +342,33 @@ def render(root: Node, depth: int = 0) -> list[str]:
             elif tag in ("pre", "textarea"):
                 pre += 1
             stack.append((node, True))
-            stack += [(c, False) for c in reversed(node.children)]
+            inside = node.children
+            if node.closed:
+                inside = [x for x in inside if not isinstance(x, str) and x.tag == "summary"][:1]
+            stack += [(c, False) for c in reversed(inside)]
         else:
-            if tag in ("td", "th", "text", "option"):
+            if tag in ("td", "th", "text", "option", "input"):
                 page.space = True
             stack += [(c, False) for c in reversed(node.children)]
     page.end()
     return page.lines
 
 
-def render_children(node: Node, depth: int) -> list[str]:
-    inner = Node("#root")
-    inner.children = node.children
-    return render(inner, depth)
+def _laid_out(table_node: Node, laid: dict[int, tuple]) -> tuple[list[str], list, list]:
+    """(lines of the table, what is shown before it, tables that follow it); those inside it are in laid."""
+    rows, captions, before, after = _cells(table_node)
+    lines = [x for caption in captions for x in render(caption.children, laid)]
+    return lines + _aligned([[(render(c.children, laid), *c.spans) for c in r] for r in rows]), before, after
 
 
 def extract(html: str) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return "\n".join(render(builder.root)).strip("\n")
+    laid: dict[int, tuple] = {}
+    for node in reversed(_tables(builder.root)):  # the innermost first
+        laid[id(node)] = _laid_out(node, laid)
+    return "\n".join(render(builder.root.children, laid)).strip("\n")
 
 
 def extract_text(df: DataFrame, key: str = "page_id", html: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
