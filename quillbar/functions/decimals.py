@@ -91,3 +91,61 @@ def label_number(text: Column) -> Column:
     unit = F.upper(F.regexp_extract(clean, r"^\s*([+-]?\d+(?:\.\d+)?)\s*([KMBkmb]?)\s*$", 2))
     scale = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)
     return F.when(value != "", value.cast("double") * scale)
+
+
+#: Text of a signed plain decimal, as the exact operations below take it; others give null.
+_PLAIN = r"^\s*([+-]?)(\d*)(?:\.(\d*))?\s*$"
+
+
+def _parts(text: Column) -> tuple[Column, Column, Column]:
+    """(valid, sign, digits) and fraction of plain decimal text."""
+    whole, fraction = F.regexp_extract(text, _PLAIN, 2), F.regexp_extract(text, _PLAIN, 3)
+    return text.rlike(_PLAIN) & (F.concat(whole, fraction) != ""), whole, fraction
+
+
+def _joined(negative: Column, whole: Column, fraction: Column) -> Column:
+    fraction = F.regexp_replace(fraction, r"0+$", "")
+    whole = F.regexp_replace(whole, r"^0+(?=\d)", "")
+    body = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+    return F.concat(F.when(negative & body.rlike("[1-9]"), "-").otherwise(""), body)
+
+
+def shifted(text: Column, places: int) -> Column:
+    """The point moved `places` to the right (left, if negative), on digits: exact at any length."""
+    valid, whole, fraction = _parts(text)
+    negative, n = F.trim(text).startswith("-"), abs(places)
+    if places >= 0:
+        long = F.rpad(fraction, F.greatest(F.length(fraction), F.lit(n)), F.lit("0"))
+        whole, fraction = F.concat(whole, F.substring(long, F.lit(1), F.lit(n))), F.substring(long, F.lit(n + 1), F.length(long))
+    else:
+        long = F.lpad(whole, F.greatest(F.length(whole), F.lit(n)), F.lit("0"))
+        cut = F.length(long) - n
+        whole, fraction = F.substring(long, F.lit(1), cut), F.concat(F.substring(long, cut + 1, F.lit(n)), fraction)
+    return F.when(valid, _joined(negative, whole, fraction))
+
+
+@F.pandas_udf(T.StringType())
+def _half_up(text: pd.Series, places: pd.Series) -> pd.Series:
+    wide = decimal.Context(prec=10_000, rounding=decimal.ROUND_HALF_UP)
+    return pd.Series([None if x is None else plain(Decimal(x).quantize(Decimal(1).scaleb(-int(n)), context=wide)) for x, n in zip(text, places, strict=True)], dtype=object)
+
+
+def rounded(text: Column, places: int) -> Column:
+    """Rounded half up to `places`, on digits."""
+    valid, whole, fraction = _parts(text)
+    return _half_up(F.when(valid, _joined(F.trim(text).startswith("-"), whole, fraction)), F.lit(places))
+
+
+def grouped(text: Column) -> Column:
+    """Thousands separators in the whole part; the fraction is left alone."""
+    valid, whole, fraction = _parts(text)
+    body = F.regexp_replace(F.when(whole == "", "0").otherwise(whole), r"\B(?=(\d{3})+(?!\d))", ",")
+    tail = F.when(text.contains(".") & (fraction != ""), F.concat(F.lit("."), fraction)).otherwise("")
+    return F.when(valid, F.concat(F.when(F.trim(text).startswith("-"), "-").otherwise(""), body, tail)).otherwise(text)
+
+
+def percent(text: Column, places: int = 2) -> Column:
+    """A ratio as a signed percentage: the point moved, never multiplied."""
+    value = rounded(shifted(text, 2), places)
+    sign = F.when(value.startswith("-") | ~value.rlike("[1-9]"), "").otherwise("+")
+    return F.concat(sign, value, F.lit("%"))

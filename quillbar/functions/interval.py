@@ -105,14 +105,23 @@ def nearest(seconds_per_bar: Column, most_ratio: float = 1.6) -> Column:
 
 def session_close(calls, sessions, market: Column, submitted: Column, days: Column):
     """Close of the Nth exchange session strictly after the New York date of submission; other markets
-    count natural days. sessions: day (date), close (timestamp), one row a day."""
+    count natural days. sessions: day (date), close (timestamp), one row a day: a few thousand in all, so they
+    are ranked in one window; calls meet the one session whose rank they ask for."""
     from pyspark.sql import Window as W
 
-    ranked = sessions.dropDuplicates(["day"]).withColumn("_rank", F.row_number().over(W.orderBy("day")))
+    rank = F.row_number().over(W.orderBy("day"))
+    ranked = sessions.dropDuplicates(["day"]).select("day", "close", rank.alias("_rank"))
+    following = F.lead("day").over(W.orderBy("day"))
+    # Every date from a session to the next has that session's rank: at most one row a calendar day.
+    until = F.coalesce(F.date_sub(following, 1), F.col("day"))
+    dates = ranked.select(F.explode(F.sequence("day", until)).alias("_day"), F.col("_rank").alias("_before"))
+    edge = ranked.agg(F.max("day").alias("_last"), F.max("_rank").alias("_most"))
     local = F.from_utc_timestamp(submitted.cast("timestamp"), "America/New_York").cast("date")
     keyed = calls.withColumn("_day", local).withColumn("_n", days)
-    before = keyed.join(F.broadcast(ranked.select("day", "_rank")), F.col("day") <= F.col("_day"), "left").groupBy(*calls.columns, "_day", "_n").agg(F.coalesce(F.max("_rank"), F.lit(0)).alias("_before"))
-    hit = before.join(F.broadcast(ranked.select(F.col("_rank").alias("_r"), "close")), F.col("_r") == F.col("_before") + F.col("_n"), "left")
+    met = keyed.join(F.broadcast(dates), "_day", "left").crossJoin(F.broadcast(edge))  # edge is one row
+    before = F.coalesce("_before", F.when(F.col("_day") > F.col("_last"), F.col("_most")).otherwise(0))
+    asked = met.withColumn("_r", before + F.col("_n"))
+    hit = asked.join(F.broadcast(ranked.select(F.col("_rank").alias("_r"), "close")), "_r", "left")
     natural = submitted + F.make_dt_interval(F.col("_n"))
     return hit.withColumn("due", F.when(market == "us_equity", F.col("close")).otherwise(natural.cast("timestamp"))).select(*calls.columns, "due")
 
@@ -125,3 +134,47 @@ def floor_value(at: dt.datetime, name: str) -> dt.datetime:
     s = (at - dt.datetime(1970, 1, 1)) // dt.timedelta(seconds=1)
     shift = SHIFT_BEFORE.get(name, SHIFT.get(name, 0)) if s < GRID_MOVED else SHIFT.get(name, 0)
     return dt.datetime(1970, 1, 1) + dt.timedelta(seconds=(s + shift) // step * step - shift)
+
+
+#: First letters of month names in time labels.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def time_label(text: Column) -> Column:
+    """(year, month, day, hour, minute) of a chart's time label, null where it has none: `MM-DD HH:mm`,
+    `MM/DD HH:mm`, `YYYY/MM/DD HH:mm`, `MM-DD`, `HH:mm`, `DD MMM`, `MMM DD`, and labels that lost their month
+    (`-04 22:00`) or their minutes (`09-10 05:`). Null for anything else."""
+    words = F.filter(F.split(F.trim(text), "[ \u00a0,]+"), lambda w: w != "")
+    name = rf"(?i)^({'|'.join(MONTHS)})[^a-zA-Z]*$"
+    clock, dated = r"^(\d{1,2}):(\d{0,2})(?::\d+)?$", r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$"
+    pair, late, lone = r"^(\d{1,2})[-/](\d{1,2})$", r"^[-/](\d{1,2})$", r"^\d{1,2}$"
+    first = lambda pattern: F.get(F.filter(words, lambda w: w.rlike(pattern)), F.lit(0))
+    part = lambda pattern, i: F.regexp_extract(first(pattern), pattern, i).try_cast("int")
+    number = F.lit(None).cast("int")
+    for i, m in enumerate(MONTHS, 1):
+        number = F.when(F.lower(F.regexp_extract(first(name), name, 1)) == m, i).otherwise(number)
+    month = F.coalesce(number, part(dated, 2), part(pair, 1))
+    day = F.coalesce(part(dated, 3), part(pair, 2), part(late, 1), first(lone).try_cast("int"))
+    hour, minute = part(clock, 1), F.coalesce(part(clock, 2), F.when(part(clock, 1).isNotNull(), 0))
+    known = F.forall(words, lambda w: w.rlike(name) | w.rlike(clock) | w.rlike(dated) | w.rlike(pair) | w.rlike(late) | w.rlike(lone))
+    sound = F.coalesce(month.between(1, 12), F.lit(True)) & F.coalesce(day.between(1, 31), F.lit(True)) & F.coalesce(hour <= 23, F.lit(True)) & F.coalesce(minute <= 59, F.lit(True))
+    enough = (day.isNotNull() & (month.isNotNull() | hour.isNotNull())) | hour.isNotNull()
+    found = F.struct(part(dated, 1).alias("year"), month.alias("month"), day.alias("day"), hour.alias("hour"), minute.alias("minute"))
+    return F.when(known & sound & enough & (F.length(F.trim(text)).between(1, 24)), found)
+
+
+def stamp(label: Column, near: Column, offset_minutes: Column) -> Column:
+    """Moment of a label with month and day: the year nearest to `near` where it names none; the label's clock is
+    `offset_minutes` ahead of UTC."""
+    local = near + F.make_dt_interval(F.lit(0), F.lit(0), offset_minutes.cast("int"))
+    year = F.coalesce(label["year"], F.year(local))
+    at = lambda y: F.try_make_timestamp_ntz(y, label["month"], label["day"], F.coalesce(label["hour"], F.lit(0)), F.coalesce(label["minute"], F.lit(0)), F.lit(0)) - F.make_dt_interval(F.lit(0), F.lit(0), offset_minutes.cast("int"))
+    away = lambda x: F.abs(F.unix_micros(x.cast("timestamp")) - F.unix_micros(near.cast("timestamp")))
+    options = [F.struct(away(at(year + k)).alias("away"), F.lit(abs(k)).alias("k"), at(year + k).alias("at")) for k in (0, -1, 1)]
+    best = F.array_min(F.filter(F.array(*options), lambda x: x["at"].isNotNull()))
+    return F.when(label["year"].isNotNull(), at(year)).otherwise(best["at"])
+
+
+def utc_offsets(preferred: int | None, local: int) -> list[int]:
+    """Offsets in minutes to try: the preferred one, the local one, UTC and +8, each once."""
+    return list(dict.fromkeys([local if preferred is None else preferred, local, 0, 480]))

@@ -128,3 +128,59 @@ def falling_length(values: Column) -> Column:
     """Length of the longest strictly falling subsequence of an array of doubles."""
     best = F.aggregate(values, F.array().cast("array<struct<v:double,n:int>>"), lambda acc, x: F.concat(acc, F.array(F.struct(x.cast("double").alias("v"), (F.coalesce(F.array_max(F.transform(F.filter(acc, lambda a: a["v"] > x), lambda a: a["n"])), F.lit(0)) + 1).cast("int").alias("n")))))
     return F.coalesce(F.array_max(F.transform(best, lambda a: a["n"])), F.lit(0))
+
+
+#: Fields of a JSON document that name other records, and the kind of record they name.
+REFERENCES = {"call_id": "call", "attachment_id": "attachment", "statistics_run_id": "job", "baseline_run_id": "job", "search_run_id": "job", "job_id": "job", "session_id": "session", "set_snapshot_id": "set", "export_id": "export"}
+REFERENCE_LISTS = {"call_ids": "call", "attachments": "attachment"}
+REFERENCE_ITEMS = {"call_id": "call", "attachment_id": "attachment"}
+UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def reference_ids(body: Column) -> Column:
+    """Distinct (kind, id) of the records that JSON text refers to; what is no UUID is left out."""
+    single = [F.struct(F.lit(kind).alias("kind"), F.get_json_object(body, f"$.{field}").alias("id")) for field, kind in REFERENCES.items()]
+    listed = [F.transform(F.coalesce(F.from_json(F.get_json_object(body, f"$.{field}"), "array<string>"), F.array().cast("array<string>")), lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), x.alias("id"))) for field, kind in REFERENCE_LISTS.items()]
+    items = F.coalesce(F.from_json(F.get_json_object(body, "$.items"), "array<struct<call_id:string,attachment_id:string>>"), F.array().cast("array<struct<call_id:string,attachment_id:string>>"))
+    inside = [F.transform(items, lambda x, f=field, kind=kind: F.struct(F.lit(kind).alias("kind"), x[f].alias("id"))) for field, kind in REFERENCE_ITEMS.items()]
+    every = F.concat(F.array(*single), *listed, *inside)
+    known = F.filter(every, lambda x: F.coalesce(x["id"].rlike(UUID), F.lit(False)))
+    return F.array_distinct(F.transform(known, lambda x: F.struct(x["kind"].alias("kind"), F.lower(x["id"]).alias("id"))))
+
+
+def price_label(price: Column) -> Column:
+    """Prices of axis labels: fewer places for larger prices."""
+    places = F.when(price >= 1000, 2).when(price >= 1, 4).otherwise(6)
+    text = F.when(places == 2, F.format_number(price, 2)).when(places == 4, F.format_number(price, 4)).otherwise(F.format_number(price, 6))
+    return F.regexp_replace(text, r"\.?0+$", "")
+
+
+def volume_label(volume: Column) -> Column:
+    """Volumes in K, M and B with two places at most."""
+    scaled = lambda by, unit: F.concat(F.regexp_replace(F.format_number(volume / by, 2), r"\.?0+$", ""), F.lit(unit))
+    return F.when(volume >= 1e9, scaled(1e9, "B")).when(volume >= 1e6, scaled(1e6, "M")).when(volume >= 1e3, scaled(1e3, "K")).otherwise(scaled(1, ""))
+
+
+def without_key(body: Column, *keys: str) -> Column:
+    """JSON object text without the named keys."""
+    fields = F.from_json(body, "map<string,string>")
+    return F.to_json(F.map_filter(fields, lambda k, v: ~k.isin(*keys)))
+
+
+def merged_json(left: Column, right: Column) -> Column:
+    """The fields of two JSON objects; the right one wins."""
+    kind = "map<string,string>"
+    a, b = F.from_json(left, kind), F.from_json(right, kind)
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b))
+
+
+def has_key(body: Column, key: str) -> Column:
+    return F.array_contains(F.json_object_keys(body), key)
+
+
+def contains_json(body: Column, wanted: dict[str, str]) -> Column:
+    """Whether a JSON object has all the given fields with these values."""
+    hit = F.lit(True)
+    for k, v in wanted.items():
+        hit = hit & F.coalesce(F.get_json_object(body, f"$.{k}") == v, F.lit(False))
+    return hit

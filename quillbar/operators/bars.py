@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillbar.functions import interval
+from quillbar.operators.relational import asof
 
 
 def gaps(bars: DataFrame, key: str = "symbol") -> DataFrame:
@@ -52,10 +55,12 @@ def missing(intervals: DataFrame, keys: list[str], start: Column, end: Column) -
 
 
 def covers(intervals: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
-    """requests (keys, want_start, want_end) with whether one island of the intervals contains them."""
-    islands = merged(intervals, keys)
-    held = requests.join(islands, keys, "left").groupBy(*requests.columns).agg(F.max((F.col("start") <= F.col("want_start")) & (F.col("end") >= F.col("want_end"))).alias("covered"))
-    return held.withColumn("covered", F.coalesce("covered", F.lit(False)))
+    """Distinct requests (keys, want_start, want_end) with whether one island of the intervals contains them:
+    islands are apart, so only the last one that starts by then can. One as-of pass, no pairs."""
+    islands = merged(intervals, keys).select(*keys, F.col("start").alias("want_start"), F.col("end").alias("_until"))
+    met = asof(requests.distinct(), islands, keys, "want_start", ["_until"])
+    covered = F.coalesce(F.col("_until") >= F.col("want_end"), F.lit(False))
+    return met.select(*requests.columns, covered.alias("covered"))
 
 
 def deduplicated(bars: DataFrame, priority: Column, keys: tuple[str, ...] = ("symbol", "start")) -> DataFrame:
@@ -157,3 +162,92 @@ def backward_spans(end: Column, step: str, window: int = 256, overlap: int = 255
     span = 3 * window
     at = lambda i: interval.add_bars(end, -(i * (span - overlap)), step)
     return F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.struct(interval.add_bars(end, -(i * (span - overlap) + span), step).alias("start"), at(i).alias("end")))
+
+
+#: Intervals among which the level of detail is chosen, and pixels of a bar that is neither too
+#: dense nor too sparse.
+LADDER = ("1m", "5m", "15m", "1h", "4h", "1d", "1w")
+DENSE, SPARSE, COMFORT = 2.0, 14.0, 6.0
+
+
+def ladder_for(own: str) -> list[str]:
+    """LADDER with the record's own interval in its place."""
+    steps = set(LADDER) | ({own} if own in interval.LEAST_SECONDS else set())
+    return sorted(steps, key=lambda s: interval.LEAST_SECONDS[s])
+
+
+def level_of_detail(width: Column, seconds: Column, current: Column, base: str | None = None, comfort: float = COMFORT) -> Column:
+    """Interval whose bars of a span of `seconds` on `width` pixels are comfortable: the current one while its
+    bars are; else, of those that fit, the nearest to the base (or to the comfortable density), and where none
+    fits, the one of nearest density."""
+    steps = ladder_for(base or LADDER[0])
+    pixels = lambda s: width * interval.LEAST_SECONDS[s] / seconds
+    fits = lambda s: pixels(s).between(DENSE, SPARSE)
+    ranked = []
+    for place, s in enumerate(steps):
+        off = F.abs(F.log(pixels(s) / comfort))
+        near = F.lit(abs(math.log(interval.LEAST_SECONDS[s] / interval.LEAST_SECONDS[base]))) if base else off
+        ranked.append(F.struct(F.when(fits(s), near).otherwise(off + 10).alias("rank"), F.lit(place).alias("place"), F.lit(s).alias("step")))
+    stays = F.lit(False)
+    for s in steps:
+        stays = stays | ((current == s) & fits(s))
+    usable = (width > 0) & (seconds > 0)
+    return F.when(~F.coalesce(usable, F.lit(False)) | stays, current).otherwise(F.array_min(F.array(*ranked))["step"])
+
+
+def next_level(current: Column, pixels: Column, steps: list[str]) -> Column:
+    """One step coarser where bars are too dense, one finer where they are too sparse."""
+    names = F.array(*[F.lit(s) for s in steps])
+    at = F.array_position(names, current)  # from 1; 0: not on the ladder
+    moved = F.when((pixels < DENSE) & (at > 0), F.get(names, at.cast("int"))).when((pixels > SPARSE) & (at > 1), F.get(names, (at - 2).cast("int")))
+    return F.coalesce(moved, current)
+
+
+def compared_outline(bars: DataFrame, outlines: DataFrame, key: str = "symbol") -> DataFrame:
+    """A drawn outline (values from 0 to 1) over the bars that end by the cutoff: positions and amplitudes are
+    mapped linearly onto them, so later bars cannot change the fit. outlines: key, values, cutoff. Fewer than two
+    values or bars, values outside 0 to 1 and flat bars give no row."""
+    good = F.forall("values", lambda v: v.isNotNull() & ~F.isnan(v) & v.between(0.0, 1.0)) & (F.size("values") >= 2)
+    matched = bars.select(key, "start", "end", "high", "low").join(outlines.where(good), key).where(F.col("end") <= F.col("cutoff"))
+    whole = W.partitionBy(key, "cutoff")
+    n, place = F.count(F.lit(1)).over(whole), F.row_number().over(whole.orderBy("start")) - 1
+    low, high = F.min("low").over(whole), F.max("high").over(whole)
+    placed = matched.select(key, "cutoff", "start", "values", n.alias("_n"), place.alias("_i"), low.alias("_low"), high.alias("_high")).where("_n >= 2 and _high > _low")
+    position = F.col("_i") * (F.size("values") - 1) / (F.col("_n") - 1)
+    before = F.floor(position).cast("int")
+    mix = position - before
+    value = F.get("values", before) * (1 - mix) + F.get("values", F.least(before + 1, F.size("values") - 1)) * mix
+    return placed.select(key, "cutoff", "start", (F.col("_low") + value * (F.col("_high") - F.col("_low"))).alias("value"))
+
+
+def lattice(view_start: Column, view_end: Column, step: Column, anchor: Column, cap: int) -> Column:
+    """(origin, count) of a grid of slots that covers the view and two spans on both sides, in phase with the
+    anchor; beyond `cap` slots it is centred on the view. Times and step are seconds."""
+    span = F.greatest(step, view_end - view_start)
+    phase = F.pmod(anchor, step)
+    aligned = lambda x: F.floor((x - phase) / step) * step + phase
+    origin = aligned(view_start - 2 * span)
+    count = F.floor((view_end + 2 * span - origin) / step) + 1
+    centred = aligned((view_start + view_end) / 2 - step * (cap / 2))
+    return F.struct(F.when(count > cap, centred).otherwise(origin).cast("long").alias("origin"), F.least(count, F.lit(cap)).cast("long").alias("count"))
+
+
+def slot_of(at: Column, grid: Column, step: Column) -> Column:
+    """Slot of a bar's time in a lattice, null outside it."""
+    slot = F.round((at - grid["origin"]) / step).cast("long")
+    return F.when(slot.between(0, grid["count"] - 1), slot)
+
+
+def page_of(bars: DataFrame, start: Column, end: Column, now: Column, key: str = "symbol", most: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(bars wholly inside [start, end) and closed by now, the others that touch it: incomplete or on the edge).
+    More than `most` a key fail the job."""
+    touching = bars.where((F.col("start") < end) & (F.col("end") > start))
+    whole = (F.col("start") >= start) & (F.col("end") <= end) & (F.col("end") <= now)
+    n = F.count(F.lit(1)).over(W.partitionBy(key))
+    checked = touching.withColumn("_n", n).where(F.when(F.col("_n") <= most, True).otherwise(F.raise_error(F.lit("page_too_long")).cast("boolean"))).drop("_n")
+    return checked.where(whole), checked.where(~whole)
+
+
+def in_bounds(requests: DataFrame, known: DataFrame, listing: DataFrame, key: str = "symbol") -> DataFrame:
+    """Requests with what is known of their key: first and last bar, and when it was listed and delisted."""
+    return requests.join(known, key, "left").join(listing, key, "left")

@@ -1,5 +1,5 @@
-"""Indicators over bars. What a frame can say is a window function; recursive averages are folded key by
-key in numpy, in time linear in the series."""
+"""Indicators over bars. What a frame can say is a window function; recursive averages are folded over sorted
+partitions in numpy, in time linear in the series and without holding one."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillbar.functions.decimals import dec, fmt, q, ratio
+from quillbar.operators.folds import folded
 
 
 def _order(key: str):
@@ -35,35 +36,65 @@ def true_range(bars: DataFrame, key: str = "symbol") -> DataFrame:
     return bars.withColumn("true_range", wide)
 
 
-def recursive_mean(values: np.ndarray, n: int, alpha: float) -> np.ndarray:
+class RecursiveMean:
     """Null until the n-th value that is not null, there the mean of the first n, then moved by alpha
-    towards each value. Linear in the length."""
-    out = np.full(len(values), np.nan)
-    known = np.flatnonzero(~np.isnan(values))
-    if len(known) >= n:
+    towards each value. Series may be pushed in parts."""
+
+    def __init__(self, n: int, alpha: float):
+        self.n, self.alpha, self.first, self.last = n, alpha, [], None
+
+    def push(self, values: np.ndarray) -> np.ndarray:
+        out = np.full(len(values), np.nan)
+        known = np.flatnonzero(~np.isnan(values))
         x = values[known]
-        seeded = np.concatenate([[x[:n].mean()], x[n:]])
-        out[known[n - 1 :]] = pd.Series(seeded).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-    return out
+        if self.last is None:
+            need = self.n - len(self.first)
+            self.first.extend(x[:need])
+            if len(self.first) < self.n:
+                return out
+            self.last = float(np.mean(self.first))
+            out[known[need - 1]] = self.last
+            known, x = known[need:], x[need:]
+        if len(x):
+            moved = pd.Series(np.concatenate([[self.last], x])).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()
+            out[known], self.last = moved[1:], float(moved[-1])
+        return out
+
+
+def recursive_mean(values: np.ndarray, n: int, alpha: float) -> np.ndarray:
+    """RecursiveMean of one whole series."""
+    return RecursiveMean(n, alpha).push(values)
 
 
-def _folded(bars: DataFrame, key: str, fields: list[str], fold, names: list[str]) -> DataFrame:
-    """fold(arrays of the fields in order of start) -> arrays of the named results, key by key."""
+def _folded(bars: DataFrame, key: str, fields: list[str], begin, names: list[str]) -> DataFrame:
+    """begin() -> a function from the next values of the fields to those of the named results; the bars of
+    a key are read in order of start."""
     kind = bars.schema[key].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        found = fold(*(pdf[f].to_numpy(np.float64) for f in fields))
-        return pd.DataFrame({key: pdf[key], "start": pdf["start"]} | dict(zip(names, found, strict=True)))
+    class Fold:
+        def __init__(self, _):
+            self.step = begin()
+
+        def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
+            found = self.step(*(pdf[f].to_numpy(np.float64) for f in fields))
+            return pd.DataFrame({key: pdf[key], "start": pdf["start"]} | dict(zip(names, found, strict=True)))
+
+        def done(self) -> None:
+            return None
 
     schema = f"{key} {kind}, start timestamp_ntz, " + ", ".join(f"{n} double" for n in names)
-    out = bars.select(key, "start", *fields).groupBy(key).applyInPandas(run, schema)
+    out = folded(bars.select(key, "start", *fields), [key], ["start"], Fold, schema)
     return out.select(key, "start", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
 
 
 def ema(bars: DataFrame, n: int, key: str = "symbol", value: str = "close") -> DataFrame:
     """Exponential mean with alpha 2 / (n + 1), seeded with the mean of the first n values."""
-    return _folded(bars, key, [value], lambda v: [recursive_mean(v, n, 2 / (n + 1))], ["ema"])
+
+    def begin():
+        mean = RecursiveMean(n, 2 / (n + 1))
+        return lambda v: [mean.push(v)]
+
+    return _folded(bars, key, [value], begin, ["ema"])
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, key: str = "symbol") -> DataFrame:
@@ -71,32 +102,47 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, key:
     if not (1 <= fast < slow <= 500 and 1 <= signal <= 500):
         raise ValueError("invalid_macd_periods")
 
-    def fold(close):
-        dif = recursive_mean(close, fast, 2 / (fast + 1)) - recursive_mean(close, slow, 2 / (slow + 1))
-        dea = recursive_mean(dif, signal, 2 / (signal + 1))
-        return [dif, dea, 2 * (dif - dea)]
+    def begin():
+        quick, calm, line = (RecursiveMean(n, 2 / (n + 1)) for n in (fast, slow, signal))
+
+        def step(close):
+            dif = quick.push(close) - calm.push(close)
+            dea = line.push(dif)
+            return [dif, dea, 2 * (dif - dea)]
+
+        return step
 
-    return _folded(bars, key, ["close"], fold, ["dif", "dea", "hist"])
+    return _folded(bars, key, ["close"], begin, ["dif", "dea", "hist"])
 
 
 def atr(bars: DataFrame, n: int = 14, key: str = "symbol") -> DataFrame:
     """Wilder's mean of true ranges, the first being high - low."""
     ranged = true_range(bars, key)
-    return _folded(ranged, key, ["true_range"], lambda v: [recursive_mean(v, n, 1 / n)], ["atr"])
+
+    def begin():
+        mean = RecursiveMean(n, 1 / n)
+        return lambda v: [mean.push(v)]
+
+    return _folded(ranged, key, ["true_range"], begin, ["atr"])
 
 
 def rsi(bars: DataFrame, n: int = 14, key: str = "symbol") -> DataFrame:
     """100 - 100 / (1 + up / down) by Wilder's means of rises and falls; 100 where down is 0; null up to
     the n-th change."""
 
-    def fold(close):
-        change = np.diff(close, prepend=np.nan)
-        up = recursive_mean(np.maximum(change, 0), n, 1 / n)
-        down = recursive_mean(np.maximum(-change, 0), n, 1 / n)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return [np.where(np.isnan(up), np.nan, np.where(down == 0, 100.0, 100 - 100 / (1 + up / down)))]
+    def begin():
+        rises, falls, before = RecursiveMean(n, 1 / n), RecursiveMean(n, 1 / n), np.nan
+
+        def step(close):
+            nonlocal before
+            change, before = np.diff(close, prepend=before), close[-1]
+            up, down = rises.push(np.maximum(change, 0)), falls.push(np.maximum(-change, 0))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return [np.where(np.isnan(up), np.nan, np.where(down == 0, 100.0, 100 - 100 / (1 + up / down)))]
+
+        return step
 
-    return _folded(bars, key, ["close"], fold, ["rsi"])
+    return _folded(bars, key, ["close"], begin, ["rsi"])
 
 
 def _settlement_atr(pdf: pd.DataFrame) -> str | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from decimal import Decimal
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillbar.functions.decimals import plain, q, ratio, times
 from quillbar.operators.bars import covers
+from quillbar.operators.folds import folded
 
 
 def import_rows(stored: DataFrame, staged: DataFrame, keys: list[str], body: list[str]) -> DataFrame:
@@ -39,26 +41,39 @@ def fill_error() -> Column:
     )
 
 
+PROTOCOL = "book-1"
+
+
 class Book:
-    """Folds one book's fills into cycles of a position that starts and ends flat."""
+    """Folds one book's fills into cycles of a position that starts and ends flat. checkpoint() is its whole
+    state as text; resumed() goes on from there, as if the fills before had just been folded."""
 
     def __init__(self, quantity: Decimal | None = Decimal(0), cost: Decimal | None = None, multiplier: Decimal = Decimal(1), inverse: bool = False, hedge: int = 0):
         self.quantity, self.cost, self.multiplier, self.inverse, self.hedge = quantity, cost, multiplier, inverse, hedge
         self.ordinal, self.last, self.cycles, self.allocations, self.unknown = 0, None, [], [], 0
+        self.paid: list[dict] = []  # commissions by asset of each of the cycles
         self.track_venue = True  # a fill without venue result leaves the cycle's venue result unknown
         self._clear()
 
     def _clear(self):
-        self.pnl, self.fees, self.venue, self.opened, self.direction = Decimal(0), Decimal(0), Decimal(0), None, 0
+        self.pnl, self.commissions, self.venue, self.opened, self.direction = Decimal(0), {}, Decimal(0), None, 0
+
+    @property
+    def fees(self) -> Decimal:
+        """Fees of the open cycle, whatever their assets."""
+        return q(sum(self.commissions.values(), Decimal(0)))
 
-    def fill(self, at, trade_id: int, side: str, price: Decimal, quantity: Decimal, fee: Decimal, venue_pnl: Decimal | None = None):
+    def _charge(self, asset: str, fee: Decimal):
+        self.commissions[asset] = q(self.commissions.get(asset, Decimal(0)) + fee)
+
+    def fill(self, at, trade_id: int, side: str, price: Decimal, quantity: Decimal, fee: Decimal, venue_pnl: Decimal | None = None, asset: str = ""):
         if self.last is not None and (at, trade_id) <= self.last:
             raise ValueError("fill_order_unproven")
         self.last = (at, trade_id)
         delta = quantity if side == "BUY" else -quantity
         if self.quantity is None:  # an unknown opening never invents a cycle
             self.unknown += 1
-            self.fees = q(self.fees + fee)
+            self._charge(asset, fee)
             self.allocations.append((self.ordinal, trade_id, "opening_unknown", quantity, fee, None))
             return
         closing = self.quantity != 0 and (self.quantity > 0) != (delta > 0)
@@ -67,14 +82,15 @@ class Book:
         if self.hedge and closing and opened:
             raise ValueError("hedge_over_close")
         closing_fee = ratio(times(fee, closed), quantity) if closed else Decimal(0)
+        sign = 1 if delta > 0 else -1
         if closed:
-            self._close(trade_id, price, closed, closing_fee, venue_pnl, at, 1 if delta > 0 else -1)
+            self._close(trade_id, price, closed, closing_fee, venue_pnl, at, sign, asset)
         if opened:
             if not closed and venue_pnl:
                 raise ValueError("opening_fill_with_pnl")
-            self._open(at, trade_id, price, opened, q(fee - closing_fee), None if closed else venue_pnl, bool(closed), 1 if delta > 0 else -1)
+            self._open(at, trade_id, price, opened, q(fee - closing_fee), None if closed else venue_pnl, bool(closed), sign, asset)
 
-    def _close(self, trade_id, price, closed, fee, venue_pnl, at, sign):
+    def _close(self, trade_id, price, closed, fee, venue_pnl, at, sign, asset):
         gained = None
         if self.cost is not None:
             if self.inverse:
@@ -83,15 +99,16 @@ class Book:
                 gained = times(times(closed, self.multiplier), q(price - self.cost)) * -sign
         self.pnl = None if gained is None or self.pnl is None else q(self.pnl + gained)
         self.venue = None if venue_pnl is None or self.venue is None else q(self.venue + venue_pnl)
-        self.fees = q(self.fees + fee)
+        self._charge(asset, fee)
         self.allocations.append((self.ordinal, trade_id, "close", closed, fee, gained))
         self.quantity = q(self.quantity + closed * sign)
         if not self.quantity:
-            self.cycles.append((self.ordinal, self.direction, self.opened, at, self.pnl, self.fees, self.venue, "closed"))
+            self.cycles.append(self._summary(at, "closed"))
+            self.paid.append(self.commissions)
             self.ordinal, self.cost = self.ordinal + 1, None
             self._clear()
 
-    def _open(self, at, trade_id, price, opened, fee, venue_pnl, after_close, sign):
+    def _open(self, at, trade_id, price, opened, fee, venue_pnl, after_close, sign, asset):
         before = abs(self.quantity)
         after = q(before + opened)
         if not before:
@@ -103,44 +120,112 @@ class Book:
                 self.cost = ratio(q(times(before, self.cost) + times(opened, price)), after)
         if not after_close and venue_pnl is None and self.track_venue:
             self.venue = None
-        self.fees = q(self.fees + fee)
+        self._charge(asset, fee)
         self.allocations.append((self.ordinal, trade_id, "open", opened, fee, None))
         self.quantity = q(self.quantity + opened * sign)
 
-    def open_cycle(self):
-        if self.quantity:
-            return [(self.ordinal, self.direction, self.opened, None, self.pnl, self.fees, self.venue, "open")]
-        return []
-
+    def _summary(self, closed_at, status: str) -> tuple:
+        return (self.ordinal, self.direction, self.opened, closed_at, self.pnl, self.fees, self.venue, status)
 
-def _projected(pdf: pd.DataFrame) -> Book:
-    book = Book()
-    for row in pdf.sort_values(["at", "trade_id"]).itertuples():
-        book.fill(row.at, int(row.trade_id), row.side, row.price, row.quantity, row.fee)
-    return book
+    def open_cycle(self):
+        return [self._summary(None, "open")] if self.quantity else []
+
+    def checkpoint(self) -> str:
+        number = lambda x: None if x is None else str(x)
+        state = {k: number(getattr(self, k)) for k in ("quantity", "cost", "multiplier", "pnl", "venue")}
+        state |= {k: getattr(self, k) for k in ("inverse", "hedge", "ordinal", "unknown", "direction", "track_venue")}
+        state["commissions"] = {k: str(v) for k, v in self.commissions.items()}
+        state["opened"] = None if self.opened is None else pd.Timestamp(self.opened).isoformat()
+        state["last"] = None if self.last is None else [pd.Timestamp(self.last[0]).isoformat(), self.last[1]]
+        return json.dumps({"protocol": PROTOCOL, "state": state}, sort_keys=True)
+
+    @classmethod
+    def resumed(cls, checkpoint: str) -> Book:
+        found = json.loads(checkpoint)
+        if found.get("protocol") != PROTOCOL:
+            raise ValueError("book_checkpoint_of_another_protocol")
+        state, number = found["state"], lambda x: None if x is None else Decimal(x)
+        book = cls(number(state["quantity"]), number(state["cost"]), number(state["multiplier"]), state["inverse"], state["hedge"])
+        book.pnl, book.venue = number(state["pnl"]), number(state["venue"])
+        for name in ("ordinal", "unknown", "direction", "track_venue"):
+            setattr(book, name, state[name])
+        book.commissions = {k: Decimal(v) for k, v in state["commissions"].items()}
+        book.opened = state["opened"] and pd.Timestamp(state["opened"])
+        book.last = state["last"] and (pd.Timestamp(state["last"][0]), state["last"][1])
+        return book
+
+
+STEPS = "row string, ordinal int, trade_id long, kind string, quantity string, fee string, direction string, opened_at timestamp_ntz, closed_at timestamp_ntz, pnl string, fees string, commissions map<string,string>, status string, checkpoint string"
+
+
+def books(fills: DataFrame, checkpoints: DataFrame | None = None, key: str = "symbol") -> DataFrame:
+    """One fold of every book in strict order of (time, trade id): rows of kind `cycle` (closed, and the one
+    still open), `allocation` (parts of fills that opened or closed a cycle) and `checkpoint` (one a book).
+    checkpoints: key, checkpoint of an earlier fold; fills before them must not come again. fills may have
+    fee_asset."""
+    kind = fills.schema[key].dataType.simpleString()
+    names = [key, *(x.split()[0] for x in STEPS.split(", "))]
+    asset = F.col("fee_asset") if "fee_asset" in fills.columns else F.lit("")
+    rows = fills.select(key, "at", "trade_id", "side", "price", "quantity", "fee", asset.alias("fee_asset"), F.lit(None).cast("string").alias("checkpoint"))
+    if checkpoints is not None:
+        nulls = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:-1]]
+        rows = rows.unionByName(checkpoints.select(key, *nulls, "checkpoint"))
+    text = lambda x: None if x is None else plain(x)
+
+    class Fold:
+        def __init__(self, found):
+            self.key, self.book = found[0], Book()
+
+        def _cycle(self, c, commissions) -> tuple:
+            ordinal, direction, opened, closed, pnl, fees, _, status = c
+            return (self.key, "cycle", ordinal, None, None, None, None, "long" if direction > 0 else "short", opened, closed, text(pnl), text(fees), {k: plain(v) for k, v in commissions.items()}, status, None)
+
+        def _taken(self, rest=()) -> pd.DataFrame:
+            out = [self._cycle(*c) for c in zip(self.book.cycles, self.book.paid, strict=True)]
+            out += [(self.key, "allocation", o, t, k, plain(n), plain(fee), *[None] * 8) for o, t, k, n, fee, _ in self.book.allocations]
+            self.book.cycles, self.book.paid, self.book.allocations = [], [], []
+            found = pd.DataFrame([*out, *rest], columns=names)
+            for c in ("ordinal", "trade_id"):
+                found[c] = found[c].astype("Int64")
+            for c in ("opened_at", "closed_at"):
+                found[c] = pd.to_datetime(found[c])
+            return found
+
+        def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
+            for row in pdf.itertuples():
+                if row.checkpoint is not None:  # sorted before the fills
+                    self.book = Book.resumed(row.checkpoint)
+                else:
+                    self.book.fill(row.at, int(row.trade_id), row.side, row.price, row.quantity, row.fee, asset=row.fee_asset)
+            return self._taken()
+
+        def done(self) -> pd.DataFrame:
+            still = [self._cycle(c, self.book.commissions) for c in self.book.open_cycle()]
+            return self._taken([*still, (self.key, "checkpoint", *[None] * 12, self.book.checkpoint())])
+
+    return folded(rows, [key], ["at", "trade_id"], Fold, f"{key} {kind}, {STEPS}")
+
+
+def cycles_of(steps: DataFrame, key: str = "symbol") -> DataFrame:
+    return steps.where("row = 'cycle'").select(key, "ordinal", "direction", "opened_at", "closed_at", "pnl", "fees", "commissions", "status")
+
+
+def allocations_of(steps: DataFrame, key: str = "symbol") -> DataFrame:
+    return steps.where("row = 'allocation'").select(key, "ordinal", "trade_id", "kind", "quantity", "fee")
+
+
+def checkpoints_of(steps: DataFrame, key: str = "symbol") -> DataFrame:
+    return steps.where("row = 'checkpoint'").select(key, "checkpoint")
 
 
 def positions(fills: DataFrame, key: str = "symbol") -> DataFrame:
-    """Cycles of each book in strict order of (time, trade id). A book's fold is sequential by nature;
-    books are independent groups."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        book = _projected(pdf)
-        text = lambda x: None if x is None else plain(x)
-        rows = [(pdf[key].iloc[0], o, "long" if d > 0 else "short", opened, closed, text(pnl), text(fees), status) for o, d, opened, closed, pnl, fees, _, status in [*book.cycles, *book.open_cycle()]]
-        return pd.DataFrame(rows, columns=[key, "ordinal", "direction", "opened_at", "closed_at", "pnl", "fees", "status"])
-
-    return fills.groupBy(key).applyInPandas(run, f"{key} string, ordinal int, direction string, opened_at timestamp_ntz, closed_at timestamp_ntz, pnl string, fees string, status string")
+    """Cycles of each book."""
+    return cycles_of(books(fills, key=key), key)
 
 
 def allocations(fills: DataFrame, key: str = "symbol") -> DataFrame:
     """Parts of fills that opened or closed each cycle."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(pdf[key].iloc[0], o, t, kind, plain(n), plain(fee)) for o, t, kind, n, fee, _ in _projected(pdf).allocations]
-        return pd.DataFrame(rows, columns=[key, "ordinal", "trade_id", "kind", "quantity", "fee"])
-
-    return fills.groupBy(key).applyInPandas(run, f"{key} string, ordinal int, trade_id long, kind string, quantity string, fee string")
+    return allocations_of(books(fills, key=key), key)
 
 
 def cycle_totals(parts: DataFrame, fills: DataFrame, key: str = "symbol") -> DataFrame:

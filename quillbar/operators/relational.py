@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 
 import pandas as pd
@@ -9,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillbar.operators.folds import folded, numbered
+from quillbar.session import written
+
 
 def optional(df: DataFrame, **wanted) -> DataFrame:
     """Equality with each value that is given; None leaves a column open."""
@@ -58,15 +62,22 @@ def unpivot(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     return df.unpivot(ids, columns, "key", "value")
 
 
-def ancestry(df: DataFrame, node: str, parent: str, depth: int = 8) -> DataFrame:
-    """node, ancestor, level of every chain of parents, `depth` levels at most."""
-    links = df.select(F.col(node).alias("_n"), F.col(parent).alias("_p")).where("_p is not null")
-    level = links.select(F.col("_n").alias("node"), F.col("_p").alias("ancestor"), F.lit(1).alias("level"))
-    found = level
-    for i in range(2, depth + 1):
-        level = level.join(links, F.col("ancestor") == F.col("_n")).select("node", F.col("_p").alias("ancestor"), F.lit(i).alias("level"))
-        found = found.unionByName(level)
-    return found
+def ancestry(df: DataFrame, node: str, parent: str) -> DataFrame:
+    """node, ancestor, level of every chain of parents, of any depth. Rounds double the levels that are
+    known, so a chain of a thousand takes ten of them; each round is written. A circle is an error."""
+    links = df.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).where("ancestor is not null").distinct()
+    known = written(links.withColumn("level", F.lit(1)), "ancestry")
+    nodes, reach = known.count(), 1
+    while True:
+        # Chains of exactly `reach` levels go on with all that is known of their end.
+        further = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("level").alias("_more"))
+        longer = known.where(F.col("level") == reach).join(further, "ancestor")
+        longer = written(longer.select("node", F.col("_next").alias("ancestor"), (F.col("level") + F.col("_more")).alias("level")), "ancestry")
+        if longer.isEmpty():
+            return known
+        known, reach = known.unionByName(longer), reach * 2
+        if reach > nodes:
+            raise ValueError("ancestry_has_a_circle")
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -139,53 +150,77 @@ def diversity_cap(ranked: DataFrame, keys: list[str], order: list, most: int) ->
     return ranked.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
-def _suppress(conflict):
-    """Greedy: a row stays unless it conflicts with a kept one. Rows come best first."""
+def _suppressed(ranked: DataFrame, keys: list[str], conflict) -> DataFrame:
+    """Greedy, best first: a row stays unless it conflicts with a kept one. Rows can conflict only if their
+    spans, widened by half, overlap; stretches of time that no widened span bridges are groups of their own, so
+    a key with very many rows is many small groups. conflict(start, end, starts, ends): of one row with others."""
+    half = (F.col("end") - F.col("start")) / 2
+    reach = F.greatest(F.col("end"), F.col("start") + half)
+    order = W.partitionBy(*keys).orderBy(F.col("start") - half, reach)
+    before = F.max(reach).over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.when(before.isNull() | (F.col("start") - half > before), 1).otherwise(0)
+    stretch = F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    dealt = ranked.withColumn("_fresh", fresh).withColumn("_stretch", stretch).drop("_fresh")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        rows = pdf.sort_values(["score", "id"], ascending=[False, True])
-        for row in rows.itertuples():
-            if not any(conflict(row, other) for other in kept):
-                kept.append(row)
-        return rows.loc[[r.Index for r in kept]]
-
-    return run
+        rows = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
+        start, end = rows["start"].to_numpy(), rows["end"].to_numpy()
+        widest = (end - start).max()
+        kept: list[int] = []
+        starts: list = []  # sorted, with the end of each beside it
+        ends: list = []
+        for i in range(len(rows)):
+            lo, hi = bisect.bisect_left(starts, start[i] - widest), bisect.bisect_right(starts, max(end[i], start[i] + widest))
+            if not any(conflict(start[i], end[i], a, b) for a, b in zip(starts[lo:hi], ends[lo:hi], strict=True)):
+                at = bisect.bisect_left(starts, start[i])
+                starts.insert(at, start[i])
+                ends.insert(at, end[i])
+                kept.append(i)
+        return rows.iloc[kept].drop(columns="_stretch")
+
+    return dealt.groupBy(*keys, "_stretch").applyInPandas(run, ranked.schema)
 
 
 def nms_half_width(ranked: DataFrame, keys: list[str]) -> DataFrame:
     """Drops rows whose start (a number) is within half a width of a better kept one of their key."""
-    near = lambda a, b: abs(a.start - b.start) < max(a.end - a.start, b.end - b.start) / 2
-    return ranked.groupBy(*keys).applyInPandas(_suppress(near), ranked.schema)
+    return _suppressed(ranked, keys, lambda a, b, c, d: abs(a - c) < max(b - a, d - c) / 2)
 
 
 def nms_overlap(ranked: DataFrame, keys: list[str], most: float = 0.5) -> DataFrame:
     """Drops rows that share over `most` of the shorter span with a better kept one of their key."""
-    shared = lambda a, b: min(a.end, b.end) - max(a.start, b.start) > most * min(a.end - a.start, b.end - b.start)
-    return ranked.groupBy(*keys).applyInPandas(_suppress(shared), ranked.schema)
+    return _suppressed(ranked, keys, lambda a, b, c, d: min(b, d) - max(a, c) > most * min(b - a, d - c))
 
 
 def runner_ups(ranked: DataFrame, keys: list[str], others: int = 2) -> DataFrame:
     """The best row of each key and the next ones that overlap none before them."""
-    apart = lambda a, b: a.start < b.end and a.end > b.start
-    kept = ranked.groupBy(*keys).applyInPandas(_suppress(apart), ranked.schema)
+    kept = _suppressed(ranked, keys, lambda a, b, c, d: a < d and b > c)
     return diversity_cap(kept, keys, [F.desc("score"), "id"], others + 1)
 
 
 def fetch_groups(ranges: DataFrame, keys: list[str], most: int = 2000) -> DataFrame:
-    """Sorted ranges of bars (start, end as numbers) joined greedily while a group stays within `most`."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, head = [], tuple(pdf[k].iloc[0] for k in keys)
-        for a, b in sorted(zip(pdf["start"], pdf["end"], strict=True)):
-            if out and max(out[-1][1], b) - out[-1][0] <= most:
-                out[-1] = (out[-1][0], max(out[-1][1], b), out[-1][2] + 1)
-            else:
-                out.append((a, b, 1))
-        return pd.DataFrame([(*head, *x) for x in out], columns=[*keys, "start", "end", "n_ranges"])
+    """Sorted ranges of bars (start, end as numbers) joined greedily while a group stays within `most`; a
+    fold over sorted ranges that holds one group."""
+    names = [*keys, "start", "end", "n_ranges"]
+
+    class Fold:
+        def __init__(self, key):
+            self.key, self.now = key, None
+
+        def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for a, b in zip(pdf["start"].tolist(), pdf["end"].tolist(), strict=True):
+                if self.now and max(self.now[1], b) - self.now[0] <= most:
+                    self.now = (self.now[0], max(self.now[1], b), self.now[2] + 1)
+                else:
+                    out += [(*self.key, *self.now)] if self.now else []
+                    self.now = (a, b, 1)
+            return pd.DataFrame(out, columns=names)
+
+        def done(self) -> pd.DataFrame:
+            return pd.DataFrame([(*self.key, *self.now)], columns=names)
 
     kinds = ", ".join(f"{k} {ranges.schema[k].dataType.simpleString()}" for k in keys)
-    return ranges.groupBy(*keys).applyInPandas(run, f"{kinds}, start long, end long, n_ranges long")
+    return folded(ranges.select(*keys, "start", "end"), keys, ["start", "end"], Fold, f"{kinds}, start long, end long, n_ranges long")
 
 
 def fair_queue(waiting: DataFrame, running: DataFrame, capacity: dict[str, int]) -> DataFrame:
@@ -202,13 +237,13 @@ def retained_difference(features: DataFrame, retained: DataFrame, key: str) -> D
     return features.join(retained.select(key), key, "left_anti")
 
 
-def borda(df: DataFrame, first: str, second: str, tie: str) -> DataFrame:
-    """Sum of the ranks by two measures, greatest first; ties by name."""
+def borda(df: DataFrame, first: str, second: str, tie: str, unknown: Column | None = None) -> DataFrame:
+    """Sum of the ranks by two measures, greatest first; ties by name. Rows that lack a measure, or that
+    `unknown` marks (a contract without known size has no turnover), are left out."""
     known = df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
-    by = lambda c: F.row_number().over(W.orderBy(F.desc(c), tie))  # noqa: E731  a catalogue: thousands of rows
-    both = known.withColumn("rank_first", by(first)).withColumn("rank_second", by(second))
-    score = F.col("rank_first") + F.col("rank_second")
-    return both.withColumn("score", score).withColumn("place", F.row_number().over(W.orderBy(score, tie)))
+    known = known if unknown is None else known.where(~F.coalesce(unknown, F.lit(False)))
+    both = numbered(numbered(known, [F.desc(first), tie], "rank_first"), [F.desc(second), tie], "rank_second")
+    return numbered(both.withColumn("score", F.col("rank_first") + F.col("rank_second")), ["score", tie], "place")
 
 
 def top_snapshot(ranked: DataFrame, n: int, taken_at) -> DataFrame:

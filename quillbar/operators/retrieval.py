@@ -37,6 +37,32 @@ def image_and_text(images: DataFrame, texts: DataFrame, key: str, missing: int =
     return both.withColumn("score", 1.0 / (61 + F.col("image_rank")) + 1.0 / (60 + F.coalesce("text_rank", F.lit(missing))))
 
 
+def dense(chunks: DataFrame, vectors: DataFrame, query: list[float], limit: int = 60, kinds: tuple[str, ...] = (), before: Column | None = None, dirty: DataFrame | None = None) -> DataFrame:
+    """Chunks nearest to a query vector by cosine, with rank0; those of documents whose index is out of date do
+    not count. chunks: chunk_id, document_id, occurred_at and, if kinds are given, kind; vectors: chunk_id,
+    embedding; dirty: document_id."""
+    from quillbar.operators.shapes import nearest
+
+    able = chunks.where(F.col("kind").isin(*kinds)) if kinds else chunks
+    able = able if before is None else able.where(F.col("occurred_at") < before)
+    able = able if dirty is None else able.join(dirty.select("document_id"), "document_id", "left_anti")
+    found = nearest(able.join(vectors, "chunk_id").withColumn("id", F.col("chunk_id")), query, limit)
+    return ranked(found.drop("id"), ["distance", "chunk_id"])
+
+
+def model_pair(geometry: DataFrame, visual: DataFrame, limit: int, most: int = 50) -> DataFrame:
+    """Fusion of two models' lists of `most` hits (call_id, group_id, rank0): sums of 1 / (61 + rank), the best call
+    of each group, ties by call_id."""
+    lists = [x.where(F.col("rank0") < most) for x in (geometry, visual)]
+    return fused([x.select("call_id", "group_id", "rank0") for x in lists], "call_id", "group_id", limit)
+
+
+def in_order_of(hits: DataFrame, wanted: list, column: str) -> DataFrame:
+    """Hits sorted as their values stand in a list; others last."""
+    place = F.array_position(F.array(*[F.lit(x) for x in wanted]), F.col(column))
+    return hits.orderBy(F.when(place == 0, len(wanted) + 1).otherwise(place), column)
+
+
 def index_status(sources: DataFrame, indexed: DataFrame) -> DataFrame:
     """One row: documents pending, the oldest of them, and documents indexed. sources: document_id,
     version, occurred_at; indexed: document_id, version."""
@@ -69,9 +95,10 @@ def catalogue(instruments: DataFrame, phrase: str, popular: str = "popularity")
 
 
 def after_rank(hits: DataFrame, symbol: str) -> DataFrame:
-    """Hits after the one of a symbol, by (search_rank, inactive, popularity, symbol)."""
-    cursor = hits.where(F.col("symbol") == symbol).select(F.struct("search_rank", "inactive", "popularity", "symbol").alias("_c"))
-    return hits.join(F.broadcast(cursor.limit(1))).where(F.struct("search_rank", "inactive", "popularity", "symbol") > F.col("_c")).drop("_c")
+    """Hits after the one of a symbol, by (search_rank, inactive, popularity, symbol); unknown popularity last."""
+    place = F.struct("search_rank", "inactive", F.col("popularity").isNull().alias("unknown"), F.coalesce("popularity", F.lit(0)).alias("popularity"), "symbol")
+    cursor = hits.where(F.col("symbol") == symbol).select(place.alias("_c")).limit(1)
+    return hits.crossJoin(F.broadcast(cursor)).where(place > F.col("_c")).drop("_c")  # the cursor is one row
 
 
 def tagged(records: DataFrame, tags: DataFrame, wanted: str) -> DataFrame:

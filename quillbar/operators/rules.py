@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillbar.functions import interval
 from quillbar.functions.decimals import dec, fmt, ratio, times
 
 STATES = ["realized", "unrealized", "pending", "insufficient_data", "not_triggered", "no_criteria"]
@@ -151,40 +152,95 @@ def levels(c: dict, base: str, atr: str | None) -> dict:
     return {"threshold": None if wanted is None else fmt(wanted), "target": target, "invalidation": c.get("invalidation"), "boundary": c.get("boundary"), "trigger": (c.get("trigger") or {}).get("price")}
 
 
+#: Steps by which a search for the first price that reaches a level is narrowed.
+STEPS = ("1d", "1h")
+
+
+def _narrowed(asked: DataFrame, points: DataFrame, step: str) -> DataFrame:
+    """asked: claim_id, source, symbol, lo, hi, level, up. Each search (lo, hi] becomes two at most: the rest
+    of its first interval of the grid, and the first later interval whose extreme reaches the level."""
+    extremes = points.groupBy("source", "symbol", interval.floor(F.col("at"), step).alias("slot")).agg(F.max("price").alias("_max"), F.min("price").alias("_min"))
+    width, tick = F.expr(f"interval {interval.SECONDS[step]} seconds"), F.expr("interval 1 microsecond")
+    own = interval.floor(F.col("lo"), step)
+    slots = F.explode(F.sequence(own, interval.floor(F.col("hi"), step), width))
+    met = asked.where("lo < hi").withColumn("slot", slots).join(extremes, ["source", "symbol", "slot"])
+    met = met.where(F.when(F.col("up"), F.col("_max") >= F.col("level")).otherwise(F.col("_min") <= F.col("level")))
+    kept = met.groupBy("claim_id", "source", "symbol", "lo", "hi", "level", "up").agg(F.min(F.when(F.col("slot") == own, F.col("slot"))).alias("_own"), F.min(F.when(F.col("slot") > own, F.col("slot"))).alias("_later"))
+    slot = kept.withColumn("slot", F.explode(F.array_compact(F.array("_own", "_later"))))
+    lo, hi = F.greatest(F.col("lo"), F.col("slot") - tick), F.least(F.col("hi"), F.col("slot") + width - tick)
+    return slot.select("claim_id", "source", "symbol", lo.alias("lo"), hi.alias("hi"), "level", "up")
+
+
+def first_reaching(asked: DataFrame, points: DataFrame) -> DataFrame:
+    """claim_id, trigger_at, trigger_price of the first point of (lo, hi] that reaches the level. Extremes by day
+    and by hour narrow each search to a few hours before it meets single points. points: source, symbol, at,
+    point_id, price."""
+    for step in STEPS:
+        asked = _narrowed(asked, points, step)
+    hour = points.withColumn("slot", interval.floor(F.col("at"), STEPS[-1]))
+    found = asked.withColumn("slot", interval.floor(F.col("hi"), STEPS[-1])).join(hour, ["source", "symbol", "slot"])
+    reached = F.when(F.col("up"), F.col("price") >= F.col("level")).otherwise(F.col("price") <= F.col("level"))
+    found = found.where((F.col("at") > F.col("lo")) & (F.col("at") <= F.col("hi")) & reached)
+    return found.groupBy("claim_id").agg(F.min("at").alias("trigger_at"), F.min_by("price", F.struct("at", "point_id")).alias("trigger_price"))
+
+
 def triggers(claims: DataFrame, trades: DataFrame, bars: DataFrame) -> DataFrame:
     """Start and base of each T3 claim's horizon: the base itself, the first trade in (start, expiry] or
     the first bar of the exact length that ends there, whichever the rule names. claims: claim_id,
     symbol, start, evaluated_at, base (double), criteria."""
     t = F.col("criteria")["trigger"]
     expiry = F.col("start") + F.make_dt_interval(F.lit(0), t["window_hours"])
-    waiting = claims.where(F.col("criteria")["template"] == "T3").withColumn("expiry", expiry)
-    price = t["price"].cast("double")
-    reached = lambda v: F.when(t["comparator"] == "gte", v >= price).otherwise(v <= price)
-    inside = lambda at: (at > F.col("start")) & (at <= F.col("expiry")) & (at <= F.col("evaluated_at"))
-    touch = waiting.where(t["kind"] == "trade_touch")
-    at_once = touch.where(reached(F.col("base"))).select("claim_id", F.col("start").alias("trigger_at"), F.col("base").alias("trigger_price"))
-    ticks = trades.select("symbol", F.col("at").alias("_at"), F.col("price").alias("_p"), "tick_id")
-    first = touch.where(~reached(F.col("base"))).join(ticks, "symbol").where(inside(F.col("_at")) & reached(F.col("_p"))).groupBy("claim_id").agg(F.min("_at").alias("trigger_at"), F.min_by("_p", F.struct("_at", "tick_id")).alias("trigger_price"))
-    long = (F.unix_micros(F.col("_e").cast("timestamp")) - F.unix_micros(F.col("_s").cast("timestamp"))) / 1_000_000 == F.coalesce(t["interval_seconds"], F.lit(60))
-    closed = waiting.where(t["kind"] == "bar_close").join(bars.select("symbol", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("close").alias("_c")), "symbol")
-    by_bar = closed.where(inside(F.col("_e")) & long & reached(F.col("_c"))).groupBy("claim_id").agg(F.min("_e").alias("trigger_at"), F.min_by("_c", "_e").alias("trigger_price"))
-    return at_once.unionByName(first).unionByName(by_bar)
-
-
-def paths(claims: DataFrame, bars: DataFrame) -> DataFrame:
+    level, up, touch = t["price"].cast("double"), t["comparator"] == "gte", t["kind"] == "trade_touch"
+    # Trades are one source of points; bars of each length in seconds are others.
+    source = F.when(touch, 0.0).otherwise(F.coalesce(t["interval_seconds"], F.lit(60)).cast("double"))
+    waiting = claims.where((F.col("criteria")["template"] == "T3") & t["kind"].isin("trade_touch", "bar_close"))
+    asked = waiting.select("claim_id", "symbol", "base", touch.alias("touch"), source.alias("source"), F.col("start").alias("lo"), F.least(expiry, F.col("evaluated_at")).alias("hi"), level.alias("level"), up.alias("up"))
+    reached = F.col("touch") & F.when(F.col("up"), F.col("base") >= F.col("level")).otherwise(F.col("base") <= F.col("level"))
+    at_once = asked.where(reached).select("claim_id", F.col("lo").alias("trigger_at"), F.col("base").alias("trigger_price"))
+    seconds = (F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 1_000_000
+    points = trades.select(F.lit(0.0).alias("source"), "symbol", "at", F.col("tick_id").alias("point_id"), "price")
+    points = points.unionByName(bars.select(seconds.alias("source"), "symbol", F.col("end").alias("at"), F.lit(0).cast("long").alias("point_id"), F.col("close").alias("price")))
+    return at_once.unionByName(first_reaching(asked.where(~F.coalesce(reached, F.lit(False))), points))
+
+
+def paths(claims: DataFrame, bars: DataFrame, trades: DataFrame | None = None) -> DataFrame:
     """Highest, lowest, first bar at the threshold and whether a bar crosses an edge, of the bars within
-    (start, through] of each claim. claims: claim_id, symbol, start, through, base, direction, distance."""
-    b = bars.select("symbol", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("high").alias("_h"), F.col("low").alias("_l"))
-    met = claims.join(b, "symbol").where((F.col("_e") > F.col("start")) & (F.col("_s") < F.col("through")))
-    inside = (F.col("_s") >= F.col("start")) & (F.col("_e") <= F.col("through"))
+    (start, through] of each claim; trades (symbol, at, price) there extend the extremes. claims: claim_id,
+    symbol, start, through, base, direction, distance.
+
+    Days that lie inside a claim whole count by their extremes; single bars are met on its first and last
+    days, and on the first whole day that reaches the threshold."""
+    day = lambda c: F.date_trunc("day", F.col(c).cast("timestamp")).cast("timestamp_ntz")
+    b = bars.select("symbol", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("high").alias("_h"), F.col("low").alias("_l")).withColumn("_day", day("_s"))
+    days = b.groupBy("symbol", "_day").agg(F.max("_h").alias("_h"), F.min("_l").alias("_l"), F.count(F.lit(1)).alias("_n"), F.max("_e").alias("_last"))
+    longest = F.broadcast(b.agg(F.max(F.unix_micros(F.col("_e").cast("timestamp")) - F.unix_micros(F.col("_s").cast("timestamp"))).alias("_longest")))  # one row
+    early = F.timestamp_micros(F.unix_micros(F.col("start").cast("timestamp")) - F.coalesce("_longest", F.lit(0))).cast("timestamp_ntz")
+    spread = claims.crossJoin(longest).withColumn("_early", early).where("_early <= through")
+    spread = spread.withColumn("_day", F.explode(F.sequence(day("_early"), day("through"), F.expr("interval 1 day")))).drop("_early", "_longest")
     gained = F.when(F.col("direction") == "S", F.col("base") - F.col("_l")).otherwise(F.col("_h") - F.col("base"))
-    found = met.groupBy("claim_id").agg(
+    met = spread.join(days, ["symbol", "_day"])
+    whole = (F.col("_day") >= F.col("start")) & (F.col("_last") <= F.col("through"))
+    nothing = F.lit(None).cast("timestamp_ntz")
+    full = met.where(whole).groupBy("claim_id").agg(F.max("_h").alias("h"), F.min("_l").alias("l"), F.sum("_n").alias("n"), F.min(F.when(gained >= F.col("distance"), F.col("_day"))).alias("_first"))
+    single = met.where(~whole).select(*claims.columns, "_day").join(b, ["symbol", "_day"]).where((F.col("_e") > F.col("start")) & (F.col("_s") < F.col("through")))
+    inside = (F.col("_s") >= F.col("start")) & (F.col("_e") <= F.col("through"))
+    parts = single.groupBy("claim_id").agg(
         F.max(F.when(inside, F.col("_h"))).alias("h"),
         F.min(F.when(inside, F.col("_l"))).alias("l"),
-        F.min(F.when(inside & (gained >= F.col("distance")), F.col("_s"))).alias("threshold_at"),
-        F.count_if(inside).alias("n_bars"),
+        F.count_if(inside).alias("n"),
+        F.min(F.when(inside & (gained >= F.col("distance")), F.col("_s"))).alias("at"),
         F.bool_or(~inside).alias("crossed"),
     )
+    reaching = claims.join(full.where("_first is not null").select("claim_id", F.col("_first").alias("_day")), "claim_id").join(b, ["symbol", "_day"])
+    reaching = reaching.where(gained >= F.col("distance")).groupBy("claim_id").agg(F.min("_s").alias("at"))
+    none, zero, no = F.lit(None).cast(b.schema["_h"].dataType), F.lit(0).cast("long"), F.lit(False)
+    every = parts.unionByName(full.select("claim_id", "h", "l", "n", nothing.alias("at"), no.alias("crossed")))
+    every = every.unionByName(reaching.select("claim_id", none.alias("h"), none.alias("l"), zero.alias("n"), "at", no.alias("crossed")))
+    if trades is not None:
+        ticks = trades.select("symbol", F.col("at").alias("_at"), F.col("price").alias("_p")).withColumn("_day", day("_at"))
+        near = spread.join(ticks, ["symbol", "_day"]).where((F.col("_at") > F.col("start")) & (F.col("_at") <= F.col("through")))
+        every = every.unionByName(near.groupBy("claim_id").agg(F.max("_p").alias("h"), F.min("_p").alias("l"), zero.alias("n"), nothing.alias("at"), no.alias("crossed")))
+    found = every.groupBy("claim_id").agg(F.max("h").alias("h"), F.min("l").alias("l"), F.min("at").alias("threshold_at"), F.sum("n").alias("n_bars"), F.bool_or("crossed").alias("crossed"))
     out = claims.join(found, "claim_id", "left")
     return out.select("claim_id", F.greatest("base", F.coalesce("h", "base")).alias("highest"), F.least("base", F.coalesce("l", "base")).alias("lowest"), "threshold_at", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), F.coalesce("crossed", F.lit(False)).alias("crossed"))
 
@@ -195,13 +251,11 @@ RESULT = T.StructType([T.StructField(n, T.StringType()) for n in ("state", "reas
 @F.pandas_udf(RESULT)
 def judged(criteria: pd.DataFrame, start: pd.Series, evaluated: pd.Series, prices: pd.DataFrame, covered: pd.Series, proven: pd.Series) -> pd.DataFrame:
     """verdict() of reduced rows; prices: base, highest, lowest, atr, end_price as text."""
+    known = lambda pdf: pdf.astype(object).where(pdf.notna(), None).to_dict("records")
     out = []
-    for i in range(len(start)):
-        c = {k: (None if pd.isna(v) else v) for k, v in criteria.iloc[i].items() if k != "trigger"}
-        if c.get("horizon_hours") is not None:
-            c["horizon_hours"] = int(c["horizon_hours"])
-        p = {k: (None if pd.isna(v) else v) for k, v in prices.iloc[i].items()}
-        out.append(verdict(Reduced(c, start.iloc[i].to_pydatetime(), evaluated.iloc[i].to_pydatetime(), p["base"], p["highest"], p["lowest"], bool(covered.iloc[i]), bool(proven.iloc[i]), p["atr"], p["end_price"])))
+    for c, p, a, b, whole, end in zip(known(criteria.drop(columns="trigger")), known(prices), [x.to_pydatetime() for x in start], [x.to_pydatetime() for x in evaluated], covered.tolist(), proven.tolist(), strict=True):
+        c["horizon_hours"] = None if c["horizon_hours"] is None else int(c["horizon_hours"])
+        out.append(verdict(Reduced(c, a, b, p["base"], p["highest"], p["lowest"], bool(whole), bool(end), p["atr"], p["end_price"])))
     return pd.DataFrame(out, columns=["state", "reason", "mfe", "mae", "signed_return"])
 
 
@@ -221,3 +275,13 @@ def outcome_heads(outcomes: DataFrame) -> DataFrame:
     replaced = outcomes.where("supersedes is not null").select(F.col("supersedes").alias("outcome_id"))
     left = outcomes.join(replaced, "outcome_id", "left_anti")
     return left.groupBy("call_id", "claim_no").agg(F.max_by(F.struct("outcome_id", "state"), "revision").alias("h")).select("call_id", "claim_no", "h.*")
+
+
+def replayed(outcomes: DataFrame, previews: DataFrame) -> DataFrame:
+    """outcomes with replays of rules appended as kind `rule_replay`: one for each claim and digest of input
+    and result, however often it is replayed; they are no formal samples. previews: call_id, claim_no, input
+    (text), result (text)."""
+    digest = F.sha2(F.concat_ws("\x1f", "input", "result"), 256)
+    fresh = previews.select("call_id", "claim_no", F.lit("rule_replay").alias("kind"), "result", digest.alias("digest")).dropDuplicates(["call_id", "claim_no", "digest"])
+    known = outcomes.where("kind = 'rule_replay'").select("call_id", "claim_no", "digest")
+    return outcomes.unionByName(fresh.join(known, ["call_id", "claim_no", "digest"], "left_anti").select(*outcomes.columns))

@@ -5,13 +5,17 @@ Kernels are small numpy functions; Spark deals the contracts or candidates they
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillbar.operators.relational import diversity_cap, first_by, nms_half_width, nms_overlap
+from quillbar.functions.text import nearest_two
+from quillbar.operators.folds import folded
+from quillbar.operators.relational import diversity_cap, first_by, interval_join, nms_half_width, nms_overlap
 
 POINTS, WARP, STEP_COST = 64, 6, 0.025
 #: Weights of open, high, low, close in a warped comparison.
@@ -55,14 +59,22 @@ def descriptor(ohlc: np.ndarray) -> np.ndarray:
 def warped(a: np.ndarray, b: np.ndarray) -> float:
     """Score in (0, 1] of two normalized shapes: banded dynamic time warping with a price on steps, and a
     penalty on the difference of their net moves."""
-    cost = (np.abs(a[:, None, :] - b[None, :, :]) * WEIGHTS).sum(2)
-    best = np.full((POINTS + 1, POINTS + 1), np.inf)
-    best[0, 0] = 0
-    for i in range(1, POINTS + 1):
-        for j in range(max(1, i - WARP), min(POINTS, i + WARP) + 1):
-            best[i, j] = cost[i - 1, j - 1] + min(best[i - 1, j - 1], best[i - 1, j] + STEP_COST, best[i, j - 1] + STEP_COST)
-    net = abs((a[-1, 3] - a[0, 0]) - (b[-1, 3] - b[0, 0]))
-    return float(np.exp(-6 * (best[-1, -1] / POINTS + 0.15 * net)))
+    return float(warped_all(a, b[None])[0])
+
+
+def warped_all(a: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """warped() of one shape with each of many (count x 64 x 4), cell by cell for all of them together."""
+    before = np.full((POINTS + 1, len(many)), np.inf)
+    before[0] = 0
+    for i in range(POINTS):
+        lo, hi = max(0, i - WARP), min(POINTS, i + WARP + 1)
+        cost = (np.abs(many[:, lo:hi] - a[i]) * WEIGHTS).sum(2).T
+        now = np.full_like(before, np.inf)
+        for j in range(lo, hi):
+            now[j + 1] = cost[j - lo] + np.minimum(before[j], np.minimum(before[j + 1], now[j]) + STEP_COST)
+        before = now
+    net = np.abs((a[-1, 3] - a[0, 0]) - (many[:, -1, 3] - many[:, 0, 0]))
+    return np.exp(-6 * (before[-1] / POINTS + 0.15 * net))
 
 
 def same_direction(a: np.ndarray, b: np.ndarray) -> bool:
@@ -91,14 +103,55 @@ def sweep(query: np.ndarray, series: np.ndarray, shortest: int, longest: int, st
     left out."""
     q, out = normalize(query), []
     for n in range(max(shortest, 16), min(longest, len(series), 2000) + 1, step):
+        starts, shaped = [], []
         for start in range(len(series) - n + 1):
             try:
-                out.append((warped(q, normalize(series[start : start + n])), start, n))
+                shaped.append(normalize(series[start : start + n]))
+                starts.append(start)
             except ValueError:
                 continue
+        for lo in range(0, len(starts), 512):
+            scores = warped_all(q, np.stack(shaped[lo : lo + 512]))
+            out += zip(scores.tolist(), starts[lo : lo + 512], [n] * len(scores), strict=True)
     return sorted(out, key=lambda x: -x[0])
 
 
+def located(query: np.ndarray, series: np.ndarray, n: int, band: tuple[int, int] | None = None) -> dict | None:
+    """Where in a series of bars a chart of about n bars was taken: the best window of 90 to 110 per cent in either
+    reading of colours, the next best ones that overlap none before them, and how far the best stands out
+    of all. band: (place of the last bar, bars it may be off); None if nothing fits."""
+    if len(series) < 16 or len(query) < 16:
+        return None
+    shortest, longest = max(16, n * 9 // 10), min(len(series), n * 11 // 10)
+    found = max((sweep(x, series, shortest, longest, 2) for x in (query, flipped(query))), key=lambda f: f[0][0] if f else 0.0)
+    fit = found if band is None else [x for x in found if abs(x[1] + x[2] - 1 - band[0]) <= band[1]]
+    if not fit:
+        return None
+    best, others = fit[0], []
+    for x in found:
+        if len(others) < 2 and all(x[1] >= y[1] + y[2] or y[1] >= x[1] + x[2] for y in (best, *others)):
+            others.append(x)
+    scores = np.array([x[0] for x in found])
+    spread = scores.std()
+    return {"score": best[0], "start": best[1], "length": best[2], "second": others[0][0] if others else 0.0, "z": float((best[0] - scores.mean()) / spread) if spread > 1e-9 else 0.0}
+
+
+def locate(query: np.ndarray, rows: DataFrame, n: int) -> DataFrame:
+    """located() of each row (id, ohlc: array of arrays of four doubles; optionally last, slack: its band)."""
+    kind = "score double, start int, length int, second double, z double"
+    banded = "last" in rows.columns
+
+    def run(batches):
+        names = ["score", "start", "length", "second", "z"]
+        for pdf in batches:
+            bands = zip(pdf["last"], pdf["slack"], strict=True) if banded else [None] * len(pdf)
+            found = [located(query, np.stack(x), n, None if b is None or pd.isna(b[0]) else (int(b[0]), int(b[1]))) for x, b in zip(pdf["ohlc"], bands, strict=True)]
+            got = pd.DataFrame([{k: None if f is None else f[k] for k in names} for f in found], columns=names, index=pdf.index)
+            yield pd.concat([pdf[["id"]], got.astype({"start": "Int64", "length": "Int64"})], axis=1)
+
+    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, {kind}")
+
+
 def best_window(query: np.ndarray, series: np.ndarray) -> tuple[float, int, int] | None:
     """The best window of 85 to 115 per cent of the query's length, in either reading of colours."""
     n = len(query)
@@ -135,22 +188,34 @@ def recall_distance(query: np.ndarray, candidate: np.ndarray, bars: int, indexed
 
 def windows(bars: DataFrame, size: int, stride: int, key: str = "symbol") -> DataFrame:
     """Index rows of every window of `size` bars at the stride, without holes: start, end, descriptor and
-    a content id that names the same window again. One key's bars are one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        ohlc, start, end = pdf[["open", "high", "low", "close"]].to_numpy(np.float64), pdf["start"].to_numpy(), pdf["end"].to_numpy()
-        rows = []
-        for at in range(0, len(pdf) - size + 1, stride):
-            part = slice(at, at + size)
-            if (end[part][:-1] == start[part][1:]).all():
-                try:
-                    rows.append((pdf[key].iloc[0], start[at], end[at + size - 1], descriptor(ohlc[part]).tolist()))
-                except ValueError:
-                    continue
-        return pd.DataFrame(rows, columns=[key, "start", "end", "embedding"])
-
-    found = bars.groupBy(key).applyInPandas(run, f"{key} string, start timestamp_ntz, end timestamp_ntz, embedding array<float>")
+    a content id that names the same window again. Bars stream by; a window's length of them is held."""
+
+    class Fold:
+        def __init__(self, found):
+            self.key, self.held, self.skip = found[0], None, 0
+
+        def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf if self.held is None else pd.concat([self.held, pdf])
+            ohlc, start, end = pdf[["open", "high", "low", "close"]].to_numpy(np.float64), pdf["start"].to_numpy(), pdf["end"].to_numpy()
+            rows, at = [], self.skip
+            while at + size <= len(pdf):
+                part = slice(at, at + size)
+                if (end[part][:-1] == start[part][1:]).all():
+                    try:
+                        rows.append((self.key, start[at], end[at + size - 1], descriptor(ohlc[part]).tolist()))
+                    except ValueError:
+                        pass
+                at += stride
+            kept = min(at, len(pdf))
+            self.held, self.skip = pdf.iloc[kept:], at - kept
+            return pd.DataFrame(rows, columns=[key, "start", "end", "embedding"])
+
+        def done(self) -> None:
+            return None
+
+    kind = bars.schema[key].dataType.simpleString()
+    rows = bars.select(key, "start", "end", "open", "high", "low", "close")
+    found = folded(rows, [key], ["start"], Fold, f"{key} {kind}, start timestamp_ntz, end timestamp_ntz, embedding array<float>")
     return found.withColumn("feature_id", F.md5(F.to_json(F.struct(key, "start", "end", F.lit(size).alias("bars"), "embedding"))))
 
 
@@ -182,6 +247,51 @@ def nearest(rows: DataFrame, query: list[float], k: int, excluded: tuple[int, ..
     return scored.orderBy(F.col("distance") + 0, "id").limit(k)
 
 
+#: Bytes of queries that are broadcast together.
+QUERY_BYTES = 4 << 20
+
+
+def nearest_of_many(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, distance, rank of the k rows nearest to each query by cosine distance, exactly, ties by id.
+    rows: id, embedding, model, market, symbol, end; queries: query_id, embedding, model and, null where open, market,
+    symbol, cutoff (rows must end by it) and excluded (ids). Every task keeps the k best of its rows for each
+    query. Queries are broadcast in slices of a stated size, and one scan serves a slice."""
+    total = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("w")).first()
+    slices = max(1, -(-8 * total["n"] * total["w"] // QUERY_BYTES))
+    parts = [_nearest_of_slice(rows, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i), k) for i in range(slices)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest_of_slice(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    asked = [r.asDict() for r in queries.collect()]  # at most QUERY_BYTES
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
+    kinds = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"id {rows.schema['id'].dataType.simpleString()}", "distance double"]
+
+    def run(batches):
+        for pdf in batches:
+            data = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
+            size = np.sqrt((data * data).sum(1))
+            for q in shared.value:
+                vector = np.asarray(q["embedding"], np.float64)
+                ok = (pdf["model"] == q["model"]).to_numpy(bool) & (size > 0) & ~pdf["id"].isin(q.get("excluded") or []).to_numpy(bool)
+                for name in ("market", "symbol"):
+                    if q.get(name) is not None:
+                        ok &= (pdf[name] == q[name]).to_numpy(bool)
+                if q.get("cutoff") is not None:
+                    ok &= (pdf["end"] <= q["cutoff"]).to_numpy(bool)
+                at = np.flatnonzero(ok)
+                distance = 1 - data[at] @ vector / (size[at] * np.sqrt(vector @ vector))
+                ids = pdf["id"].to_numpy()[at]
+                first = np.lexsort((ids, distance))[:k]
+                yield pd.DataFrame({"query_id": [q["query_id"]] * len(first), "id": ids[first], "distance": distance[first]})
+
+    found = rows.select("id", "embedding", "model", "market", "symbol", "end").mapInPandas(run, ", ".join(kinds))
+    order = W.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def candidates(ranked: DataFrame, contract: list[str], budget: int = 300) -> DataFrame:
     """Public candidates: greedy suppression of near starts and three a contract, within the budget.
     ranked: contract columns, id, score, start, end (numbers)."""
@@ -189,14 +299,75 @@ def candidates(ranked: DataFrame, contract: list[str], budget: int = 300) -> Dat
     return kept.orderBy(F.desc("score"), "id").limit(budget)
 
 
+def public_candidates(features: DataFrame, query: list[float], bars: int, contract: list[str], cutoff: Column, pool: int = 10_000, budget: int = 300, excluded: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(candidates, one row with how many had no proof of their source). The pool nearest by cosine among published
+    windows of the two nearest lengths that end by the cutoff, ranked again by the aligned distance of
+    descriptors, then suppressed and capped by contract. features: contract columns, id, embedding, bars, start,
+    end (numbers), published, generation_id (null: unproven)."""
+    sizes = nearest_two([64, 128, 256], F.lit(bars))
+    able = features.where(F.col("published") & (F.col("end") <= cutoff) & F.array_contains(sizes, F.col("bars")))
+    found = nearest(able, query, pool, excluded)
+    unproven = found.agg(F.count_if(F.col("generation_id").isNull()).alias("unproven"))
+    vector = np.asarray(query, np.float32)
+
+    @F.pandas_udf(T.DoubleType())
+    def aligned(embedding: pd.Series, indexed: pd.Series) -> pd.Series:
+        return pd.Series([recall_distance(vector, np.asarray(x, np.float32), bars, int(n)) for x, n in zip(embedding, indexed, strict=True)], dtype=float)
+
+    scored = found.where("generation_id is not null").withColumn("score", -aligned("embedding", "bars")).where(F.col("score") > float("-inf"))
+    return candidates(scored.select(*contract, "id", "score", "start", "end"), contract, budget), unproven
+
+
+def exact_rerank(query: np.ndarray, chosen: DataFrame, bars: DataFrame, key: str = "symbol") -> DataFrame:
+    """id, status, score, at, length: the best window of each candidate's own bars. A candidate whose bars no
+    longer have the hash it was indexed with is `source_changed`, one without bars `source_missing`, and neither is
+    scored. chosen: id, key, start, end (times), source_hash; see source_hash()."""
+    spans = chosen.select(key, "id", "start", "end", "source_hash")
+    points = bars.select(key, F.col("start").alias("_at"), F.col("end").alias("_end"), "open", "high", "low", "close")
+    met = interval_join(points, spans, [key], "_at").where((F.col("_at") < F.col("end")) & (F.col("_end") <= F.col("end")))
+    grouped = met.groupBy("id").agg(source_hash("_at").alias("_hash"), F.transform(F.sort_array(F.collect_list(F.struct("_at", "open", "high", "low", "close"))), lambda x: F.array(x["open"], x["high"], x["low"], x["close"])).alias("ohlc"))
+    joined = chosen.select("id", "source_hash").join(grouped, "id", "left")
+    status = F.when(F.col("_hash").isNull(), "source_missing").when(F.col("_hash") != F.col("source_hash"), "source_changed").otherwise("exact")
+    checked = joined.select("id", status.alias("status"), F.when(status == "exact", F.col("ohlc")).alias("ohlc"))
+    return rerank(query, checked).select("id", "status", "score", "at", "length")
+
+
+def source_hash(at: str) -> Column:
+    """Aggregate: hash of a window's bars in order of time."""
+    rows = F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("at"), "open", "high", "low", "close")))
+    return F.sha2(F.to_json(rows), 256)
+
+
+def repaired_lineage(features: DataFrame, links: DataFrame, generations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links to add, ids to unpublish) of published features that no generation links: the latest ready
+    generation of their contract, window and model that covers them takes them; the rest lose their place. features:
+    feature_id, market, symbol, interval, bars, model, start, end, published; generations: generation_id, status,
+    market, symbol, interval, bars, models, start, end, published_at."""
+    orphans = features.where("published").join(links.select("feature_id"), "feature_id", "left_anti")
+    ready = generations.where("status = 'ready'").select("generation_id", "market", "symbol", "interval", "bars", "models", F.col("start").alias("_s"), F.col("end").alias("_e"), "published_at")
+    met = orphans.join(ready, ["market", "symbol", "interval", "bars"]).where(F.array_contains("models", F.col("model")) & (F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end")))
+    added = first_by(met, ["feature_id"], [F.desc_nulls_last("published_at"), "generation_id"]).select("generation_id", "feature_id")
+    return added, orphans.select("feature_id").join(added.select("feature_id"), "feature_id", "left_anti")
+
+
+def feedback_heads(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Feedback of a search session as an append-only log read by its latest entry a candidate. Both:
+    session_id, candidate_id, verdict, created_at, feedback_id."""
+    both = stored.unionByName(fresh).dropDuplicates(["feedback_id"])
+    return first_by(both, ["session_id", "candidate_id"], [F.desc("created_at"), F.desc("feedback_id")])
+
+
 def level(score: Column) -> Column:
     return F.when(score >= 0.75, "sure").when(score >= 0.60, "likely").when(score >= 0.45, "weak").otherwise("none")
 
 
 def final_ranking(scored: DataFrame, contract: list[str], limit: int = 5, floor: float = 0.60) -> DataFrame:
-    """Hits above the floor, without those that share over half of a better one, one a contract."""
-    good = scored.where((F.col("score") >= floor) & ~F.isnan("score"))
-    one = first_by(nms_overlap(good, contract), contract, [F.desc("score"), "id"])
+    """Hits above the floor, without those that share over half of a better one or repeat one in the other
+    dollar quote (where base, quote and interval are known), one a contract."""
+    good = nms_overlap(scored.where((F.col("score") >= floor) & ~F.isnan("score")), contract)
+    if {"base", "quote", "interval"} <= set(scored.columns):
+        good = quote_variants(good)
+    one = first_by(good, contract, [F.desc("score"), "id"])
     return one.orderBy(F.desc("score"), "id").limit(limit).withColumn("level", level(F.col("score")))
 
 
@@ -230,7 +401,7 @@ def rerank(query: np.ndarray, rows: DataFrame) -> DataFrame:
 
     @F.pandas_udf(kind)
     def scored(ohlc: pd.Series) -> pd.DataFrame:
-        out = [best_window(query, np.stack(x)) or (None, None, None) for x in ohlc]
+        out = [(None if x is None else best_window(query, np.stack(x))) or (None, None, None) for x in ohlc]
         return pd.DataFrame(out, columns=["score", "at", "length"])
 
     return rows.withColumn("_m", scored("ohlc")).select(*rows.columns, "_m.*")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillbar.operators.relational import counts_of, exact_median, first_by
+from quillbar.functions.text import canonical_json, digest
+from quillbar.operators.relational import counts_of, exact_median, first_by, optional
 from quillbar.operators.rules import STATES
 
 
@@ -23,16 +26,111 @@ def exclusion(voided: Column, historical: Column, unconfirmed: Column, formation
     )
 
 
-def freeze(calls: DataFrame, links: DataFrame, claims: DataFrame, heads: DataFrame) -> DataFrame:
+@dataclass
+class SampleFilters:
+    """Optional filters of a frozen sample; None leaves a column open. Times are columns or literals."""
+
+    start_at: Column | None = None
+    end_at: Column | None = None
+    instrument: str | None = None
+    market: str | None = None
+    timeframe: str | None = None
+    path: str | None = None
+    stance: str | None = None
+    source_entry: str | None = None
+    tag_id: str | None = None
+    tag_phase: str | None = None
+    playbook_id: str | None = None
+    adoption: str | None = None
+    result_states: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        if self.tag_phase not in (None, "hot", "cold") or self.adoption not in (None, "planned", "executed", "not_executed", "unknown") or not set(self.result_states) <= set(STATES):
+            raise ValueError("invalid_sample_filter")
+
+
+@dataclass
+class SampleSources:
+    """Tables that only filters and exclusion reasons ask for. tags: call_id, tag_id, phase; adoptions: call_id,
+    playbook_id; playbooks: playbook_id, created_at, evidence_call_ids; executions: link_id, call_id, relation,
+    supersedes; assessments: call_id, claim_no, state."""
+
+    tags: DataFrame | None = None
+    adoptions: DataFrame | None = None
+    playbooks: DataFrame | None = None
+    executions: DataFrame | None = None
+    assessments: DataFrame | None = None
+
+
+def sample_calls(calls: DataFrame, filters: SampleFilters, sources: SampleSources) -> DataFrame:
+    """The calls that pass every filter that is given: comparisons, and semi-joins on call_id."""
+    out = calls
+    if filters.start_at is not None:
+        out = out.where(F.col("submitted_at") >= filters.start_at)
+    if filters.end_at is not None:
+        out = out.where(F.col("submitted_at") < filters.end_at)
+    out = optional(out, **{k: getattr(filters, k) for k in ("instrument", "market", "timeframe", "path", "stance", "source_entry")})
+    if filters.tag_id is not None:
+        out = out.join(optional(sources.tags, tag_id=filters.tag_id, phase=filters.tag_phase).select("call_id"), "call_id", "left_semi")
+    if filters.playbook_id is not None:
+        out = out.join(sources.adoptions.where(F.col("playbook_id") == filters.playbook_id).select("call_id"), "call_id", "left_semi")
+    if filters.adoption == "planned":
+        out = out.join(sources.adoptions.select("call_id"), "call_id", "left_semi")
+    elif filters.adoption == "unknown":
+        known = sources.executions.where(F.col("relation").isin("executed", "rejected")).select("call_id")
+        out = out.join(known, "call_id", "left_anti")
+    elif filters.adoption:
+        replaced = sources.executions.where("supersedes is not null").select(F.col("supersedes").alias("link_id"))
+        wanted = "executed" if filters.adoption == "executed" else "rejected"
+        current = sources.executions.join(replaced, "link_id", "left_anti").where(F.col("relation") == wanted)
+        out = out.join(current.select("call_id"), "call_id", "left_semi")
+    return out
+
+
+def formation_cases(calls: DataFrame, playbook_id: str, sources: SampleSources) -> DataFrame:
+    """call_id of adopting calls that formed the playbook: its evidence, or submitted before it was made."""
+    book = sources.playbooks.where(F.col("playbook_id") == playbook_id).select("created_at", "evidence_call_ids")
+    adopted = sources.adoptions.where(F.col("playbook_id") == playbook_id).select("call_id").distinct()
+    both = calls.select("call_id", "submitted_at").join(adopted, "call_id").crossJoin(F.broadcast(book.limit(1)))  # one playbook
+    return both.where(F.array_contains("evidence_call_ids", F.col("call_id")) | (F.col("submitted_at") <= F.col("created_at"))).select("call_id")
+
+
+def rule_signature(criteria: dict[str, Column], instrument: Column, market: Column) -> Column:
+    """sha256 of the canonical JSON of a rule without who selected it, where it applies, and the policies."""
+    rule = canonical_json({k: v for k, v in criteria.items() if k != "selected_by"})
+    return digest({"criteria": rule, "instrument": instrument, "market": market, "calendar": F.lit("natural_hours"), "price_policy": F.lit("asof_last_eligible_trade")})
+
+
+def freeze(calls: DataFrame, links: DataFrame, claims: DataFrame, heads: DataFrame, filters: SampleFilters | None = None, sources: SampleSources | None = None, grouping: str = "episode_rule") -> DataFrame:
     """Members of a sample: calls with their latest episode link and claims (claim 0 where there is none),
-    the head outcome of each, eligibility and representatives. Links: call_id, episode_id, status,
-    created_at, link_id. Claims: call_id, claim_no, signature. Heads: call_id, claim_no, state."""
+    the head outcome of each, eligibility and representatives. Calls: call_id, submitted_at, voided and, if
+    known, historical and the columns that filters name. Links: call_id, episode_id, status, created_at,
+    link_id. Claims: call_id, claim_no, signature (null: no criteria). Heads: call_id, claim_no, state.
+    Groups are episodes that are not only suggested, or calls."""
+    filters, sources = filters or SampleFilters(), sources or SampleSources()
+    by_episode = F.lit(grouping == "episode_rule")
+    chosen = sample_calls(calls, filters, sources)
     latest = first_by(links, ["call_id"], [F.desc("created_at"), F.desc("link_id")]).select("call_id", "episode_id", F.col("status").alias("link_status"))
-    base = calls.join(latest, "call_id", "left").join(claims, "call_id", "left")
+    formed = F.lit(False)
+    base = chosen.join(latest, "call_id", "left").join(claims, "call_id", "left")
+    if filters.playbook_id is not None and sources.playbooks is not None:
+        cases = formation_cases(chosen, filters.playbook_id, sources).distinct().withColumn("_formed", F.lit(True))
+        base, formed = base.join(cases, "call_id", "left"), F.coalesce("_formed", F.lit(False))
     base = base.withColumn("claim_no", F.coalesce("claim_no", F.lit(0)))
     joined = base.join(heads, ["call_id", "claim_no"], "left")
-    reason = exclusion(F.col("voided"), F.lit(False), F.coalesce(F.col("link_status") == "suggested", F.lit(False)), F.lit(False), F.col("signature"), F.lit(True))
-    return representatives(joined.withColumn("exclusion", reason).withColumn("eligible", F.col("exclusion").isNull()))
+    confirmed = F.lit(True)
+    if sources.assessments is not None:
+        joined = joined.join(sources.assessments.select("call_id", "claim_no", F.col("state").alias("processing_state")), ["call_id", "claim_no"], "left")
+        confirmed = ~F.coalesce(F.col("processing_state") == "awaiting_input", F.lit(False))
+    historical = F.coalesce("historical", F.lit(False)) if "historical" in calls.columns else F.lit(False)
+    suggested = by_episode & F.coalesce(F.col("link_status") == "suggested", F.lit(False))
+    reason = exclusion(F.col("voided"), historical, suggested, formed, F.col("signature"), confirmed)
+    wanted = F.col("state").isin(*filters.result_states) if filters.result_states else F.lit(True)
+    found = joined.withColumn("exclusion", reason).withColumn("eligible", F.col("exclusion").isNull())
+    if grouping != "episode_rule":
+        found = found.withColumn("episode_id", F.lit(None).cast(found.schema["episode_id"].dataType))
+    found = found.drop("_formed") if "_formed" in found.columns else found
+    return representatives(found).withColumn("selected", F.col("selected") & F.coalesce(wanted, F.lit(False)))
 
 
 def representatives(members: DataFrame) -> DataFrame:
@@ -63,6 +161,11 @@ def state_histogram(members: DataFrame) -> DataFrame:
     return counts_of(members.where("selected"), "state", STATES)
 
 
+def processing_histogram(members: DataFrame) -> DataFrame:
+    """Members by the state of their assessment; `absent` where there is none."""
+    return members.groupBy(F.coalesce("processing_state", F.lit("absent")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def group_metrics(members: DataFrame) -> DataFrame:
     """For each signature of selected members: wins, settled, rate, the same of the ten latest settled,
     and whether the rate has fallen by a fifth and asks for a recheck (exact, in integers)."""
@@ -124,9 +227,14 @@ def baseline_origins(claims: DataFrame, bars: DataFrame, days: int = 250) -> Dat
     return first.join(price, (first["symbol"] == price["symbol"]) & (F.col("until") == F.col("_at"))).select("claim_id", first["symbol"], "day", "base", F.col("close").alias("end_price"))
 
 
-def baseline_rate(samples: DataFrame, least_return: float) -> DataFrame:
-    """Share of a claim's historical samples that gained at least the ratio; claims weigh alike."""
-    won = F.col("end_price") - F.col("base") >= F.col("base") * least_return
+def baseline_rate(samples: DataFrame, least_return: float | None = None) -> DataFrame:
+    """Share of a claim's historical samples that gained at least what the rule asks for: a ratio of the base,
+    or, without one, `atr` times `atr_multiple` of each sample (daily ATR14 as of its origin); short rules gain
+    by falling. Claims weigh alike."""
+    gained = F.col("end_price") - F.col("base")
+    if "direction" in samples.columns:
+        gained = F.when(F.col("direction") == "S", -gained).otherwise(gained)
+    won = gained >= (F.col("base") * least_return if least_return is not None else F.col("atr") * F.col("atr_multiple"))
     each = samples.groupBy("claim_id").agg(F.count_if(won).alias("wins"), F.count(F.lit(1)).alias("n"))
     return each.withColumn("rate", F.try_divide("wins", "n"))
 
@@ -168,6 +276,20 @@ def review_bucket(draft: Column, reviewed_at: Column, outcome_at: Column, snooze
     return effective, reason
 
 
+def summarized(members: DataFrame) -> DataFrame:
+    """Of an exploratory set: settled representatives of each signature, wins, rate and what is due."""
+    settled = representatives(members).where("selected and state in ('realized', 'unrealized')")
+    found = settled.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == "realized").alias("wins"))
+    return found.select("signature", "n", "wins", F.try_divide("wins", "n").alias("rate"), verdict_status(F.col("n")).alias("status"))
+
+
+def collectable(records: DataFrame, references: DataFrame, before: Column, held: DataFrame | None = None) -> DataFrame:
+    """Files that garbage collection could take: older than `before`, referred to by nothing and held by no
+    open job; a report only. records: record_id, created_at; held: record_id."""
+    free = deletion_closure(records.where(F.col("created_at") < before), references)
+    return free if held is None else free.join(held.select("record_id").distinct(), "record_id", "left_anti")
+
+
 def deletion_closure(records: DataFrame, references: DataFrame) -> DataFrame:
     """Records that nothing refers to: a report of what could go, nothing is deleted."""
     return records.join(references.select("record_id").distinct(), "record_id", "left_anti")

@@ -253,14 +253,29 @@ def atr_14(spark, d):
     return I.atr(bars(spark, d), 14).select("symbol", "start", F.round("atr", 5).alias("atr"))
 
 
-@query("macd")
+def mean_cte(name: str, source: str, n: int, alpha: float) -> str:
+    """CTE of the seeded recursive mean of source (symbol, k from 1 on, x)."""
+    return f"""{name}_seed AS (SELECT symbol, avg(x) AS v FROM {source} WHERE k <= {n} GROUP BY symbol HAVING count(*) = {n}),
+{name} AS (SELECT symbol, CAST({n} AS BIGINT) AS k, v FROM {name}_seed UNION ALL SELECT s.symbol, s.k, m.v + {alpha!r} * (s.x - m.v) FROM {name} m JOIN {source} s ON s.symbol = m.symbol AND s.k = m.k + 1)"""
+
+
+CLOSES = f"""{B1.replace('WITH', 'WITH RECURSIVE')}, r AS (SELECT symbol, "start", row_number() OVER (PARTITION BY symbol ORDER BY "start") AS k, "close" AS x FROM b)"""
+
+
+@query("macd", f"""{CLOSES}, {mean_cte('fast', 'r', 12, 2 / 13)}, {mean_cte('slow', 'r', 26, 2 / 27)},
+d AS (SELECT f.symbol, f.k AS place, row_number() OVER (PARTITION BY f.symbol ORDER BY f.k) AS k, f.v - s.v AS x FROM fast f JOIN slow s ON s.symbol = f.symbol AND s.k = f.k), {mean_cte('line', 'd', 9, 2 / 10)}
+SELECT r.symbol, r."start", round(d.x, 5) AS dif, round(line.v, 5) AS dea, round(2 * (d.x - line.v), 5) AS hist
+FROM r LEFT JOIN d ON d.symbol = r.symbol AND d.place = r.k LEFT JOIN line ON line.symbol = d.symbol AND line.k = d.k""")
 def macd(spark, d):
-    return I.macd(bars(spark, d))
+    return I.macd(bars(spark, d)).select("symbol", "start", *[F.round(c, 5).alias(c) for c in ("dif", "dea", "hist")])
 
 
-@query("rsi_14")
+@query("rsi_14", f"""{CLOSES}, w AS (SELECT symbol, k - 1 AS k, x - lag(x) OVER (PARTITION BY symbol ORDER BY k) AS c FROM r),
+u AS (SELECT symbol, k, greatest(c, 0) AS x FROM w WHERE k > 0), v AS (SELECT symbol, k, greatest(-c, 0) AS x FROM w WHERE k > 0), {mean_cte('up', 'u', 14, 1 / 14)}, {mean_cte('down', 'v', 14, 1 / 14)}
+SELECT r.symbol, r."start", round(CASE WHEN down.v = 0 THEN 100 ELSE 100 - 100 / (1 + up.v / down.v) END, 5) AS rsi
+FROM r LEFT JOIN up ON up.symbol = r.symbol AND up.k = r.k - 1 LEFT JOIN down ON down.symbol = r.symbol AND down.k = r.k - 1""")
 def rsi_14(spark, d):
-    return I.rsi(bars(spark, d), 14)
+    return I.rsi(bars(spark, d), 14).select("symbol", "start", F.round("rsi", 5).alias("rsi"))
 
 
 @query("atr14_settlement")

@@ -16,11 +16,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def without(name: str, *conditions: str) -> str:
-    """The SQL of a query less conditions on its rows, for the query over all rows."""
-    sql = ORACLES[name]
-    for condition in conditions:
-        if condition not in sql:
-            raise ValueError(f"{name} has no {condition}")
-        sql = sql.replace(condition, "")
-    return sql
+def alias(name: str, of: str) -> None:
+    """A further name of a query, with its SQL."""
+    QUERIES[name] = QUERIES[of]
+    if of in ORACLES:
+        ORACLES[name] = ORACLES[of]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,21 +10,17 @@ from quillbar.operators import ledger as L
 from quillbar.operators import rules, shapes
 from quillbar.operators import statistics as S
 from quillbar.plans.bar_plans import B1
-from quillbar.plans.catalog import query, without
+from quillbar.plans.catalog import alias, query
+from quillbar.session import shared_path, written
 from quillbar.sources import files
 from quillbar.sources.fixtures import LINE, bars, calls, fills, load, ticks
 from quillbar.streaming import watch
 
 NTZ = "timestamp_ntz"
 
-TENTH = " WHERE event_id % 10 = 0"
-# Claims on the bars: every tenth event is a rule on its type's price; queries over all events end in _all.
+# Claims on the bars: every event is a rule on its type's price.
 CLAIMS = """c AS (SELECT event_id AS claim_id, event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "start",
-  time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 25 HOUR AS through, value AS base, CASE WHEN event_id % 20 = 0 THEN 'S' ELSE 'L' END AS direction, value * 0.25 AS distance FROM events WHERE event_id % 10 = 0)"""
-
-
-def _tenth(spark, d):
-    return load(spark, d, "events").where("event_id % 10 = 0")
+  time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 25 HOUR AS through, value AS base, CASE WHEN event_id % 20 = 0 THEN 'S' ELSE 'L' END AS direction, value * 0.25 AS distance FROM events)"""
 
 
 def _claims(e):
@@ -42,12 +35,10 @@ def _claims(e):
 g AS (SELECT claim_id, max(high) FILTER (inside) AS h, min(low) FILTER (inside) AS l, min(s) FILTER (inside AND gained >= distance) AS threshold_at, count(*) FILTER (inside) AS n_bars, bool_or(NOT inside) AS crossed FROM m GROUP BY 1)
 SELECT c.claim_id, greatest(base, coalesce(h, base)) AS highest, least(base, coalesce(l, base)) AS lowest, threshold_at, coalesce(n_bars, 0) AS n_bars, coalesce(crossed, false) AS crossed FROM c LEFT JOIN g ON c.claim_id = g.claim_id""")
 def path_extremes(spark, d):
-    return rules.paths(_claims(_tenth(spark, d)), bars(spark, d))
+    return rules.paths(_claims(load(spark, d, "events")), bars(spark, d))
 
 
-@query("path_extremes_all", without("path_extremes", TENTH))
-def path_extremes_all(spark, d):
-    return rules.paths(_claims(load(spark, d, "events")), bars(spark, d))
+alias("path_extremes_all", "path_extremes")
 
 
 def _criteria(kind: str, **given):
@@ -58,17 +49,15 @@ def _criteria(kind: str, **given):
     return F.struct(*[values.get(n, none).alias(n) for n in names], trigger.alias("trigger"))
 
 
-@query("trigger_search", f"""{B1}, c AS (SELECT event_id AS claim_id, event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS "start", value AS base, event_id % 20 = 0 AS by_bar, value * 1.3 AS price FROM events WHERE event_id % 10 = 0),
+@query("trigger_search", f"""{B1}, c AS (SELECT event_id AS claim_id, event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS "start", value AS base, event_id % 20 = 0 AS by_bar, value * 1.3 AS price FROM events),
 t AS (SELECT claim_id, e.ts AS at_, e.value AS p FROM c JOIN events e ON NOT by_bar AND e.event_type = c.symbol AND e.ts > c."start" AND e.ts <= c."start" + INTERVAL 12 HOUR AND e.value >= c.price),
 k AS (SELECT claim_id, b."end" AS at_, b."close" AS p FROM c JOIN b ON by_bar AND b.symbol = c.symbol AND b."end" > c."start" AND b."end" <= c."start" + INTERVAL 12 HOUR AND b."close" >= c.price)
 SELECT claim_id, min(at_) AS trigger_at, arg_min(p, at_) AS trigger_price FROM (SELECT * FROM t UNION ALL SELECT * FROM k) GROUP BY 1""")
 def trigger_search(spark, d):
-    return _triggered(_tenth(spark, d), spark, d)
+    return _triggered(load(spark, d, "events"), spark, d)
 
 
-@query("trigger_search_all", without("trigger_search", TENTH))
-def trigger_search_all(spark, d):
-    return _triggered(load(spark, d, "events"), spark, d)
+alias("trigger_search_all", "trigger_search")
 
 
 def _triggered(e, spark, d):
@@ -196,17 +185,15 @@ def confidence_calibration(spark, d):
     return found.withColumn("rate", F.round("rate", 9))
 
 
-@query("baseline_rate", f"""{B1}, c AS (SELECT event_id AS claim_id, event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM events WHERE event_id % 10 = 0),
-x AS (SELECT claim_id, symbol, s, s - INTERVAL (k) DAY AS origin, s - INTERVAL (k) DAY + INTERVAL 6 HOUR AS until FROM c, range(1, 21) t(k)),
+@query("baseline_rate", f"""{B1}, c AS (SELECT event_id AS claim_id, event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM events),
+x AS (SELECT claim_id, symbol, s, s - INTERVAL (k) DAY AS origin, s - INTERVAL (k) DAY + INTERVAL 6 HOUR AS until FROM c, range(1, 251) t(k)),
 p AS (SELECT claim_id, a."close" AS base, z."close" AS last FROM x JOIN b a ON a.symbol = x.symbol AND a."end" = origin JOIN b z ON z.symbol = x.symbol AND z."end" = until WHERE until < s)
 SELECT claim_id, count(*) FILTER (last - base >= base * 0.05) AS wins, count(*) AS n, round(count(*) FILTER (last - base >= base * 0.05) / count(*), 9) AS rate FROM p GROUP BY 1""")
 def baseline_rate(spark, d):
-    return _baseline(_tenth(spark, d), spark, d, 20)
+    return _baseline(load(spark, d, "events"), spark, d)
 
 
-@query("baseline_rate_all", without("baseline_rate", TENTH).replace("range(1, 21)", "range(1, 251)"))
-def baseline_rate_all(spark, d):
-    return _baseline(load(spark, d, "events"), spark, d)
+alias("baseline_rate_all", "baseline_rate")
 
 
 def _baseline(e, spark, d, days=250):
@@ -254,10 +241,43 @@ def allocations_total(spark, d):
     return parts.groupBy("symbol").agg(n("close").alias("closed"), n("open").alias("opened"))
 
 
-@query("cycle_totals")
+# Parts of fills by cycle: a fill that ends a position closes its cycle; what is left of it opens the next.
+CYCLES = """f AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS trade_id,
+  l_shipdate AS moment, CAST(CAST(floor(l_extendedprice / l_quantity * 10000) AS DECIMAL(14, 0)) * 0.0001 AS DOUBLE) AS price,
+  CASE WHEN l_returnflag = 'A' OR (l_returnflag = 'N' AND l_linestatus = 'O') THEN l_quantity ELSE -l_quantity END AS delta FROM lineitem),
+p AS (SELECT *, sum(delta) OVER (PARTITION BY symbol ORDER BY trade_id ROWS UNBOUNDED PRECEDING) AS after FROM f),
+z AS (SELECT *, after - delta AS before, CASE WHEN after - delta <> 0 AND (after = 0 OR (after > 0) <> (after - delta > 0)) THEN 1 ELSE 0 END AS ends FROM p),
+c AS (SELECT *, CASE WHEN before <> 0 AND (before > 0) <> (delta > 0) THEN least(abs(delta), abs(before)) ELSE 0 END AS closing,
+  coalesce(sum(ends) OVER (PARTITION BY symbol ORDER BY trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cycle FROM z),
+parts AS (SELECT symbol, CAST(cycle AS INTEGER) AS ordinal, trade_id, moment, price, delta, closing AS closed, NULL AS opened, ends FROM c WHERE closing > 0
+  UNION ALL SELECT symbol, CAST(cycle + ends AS INTEGER), trade_id, moment, price, delta, NULL, abs(delta) - closing, 0 FROM c WHERE abs(delta) > closing)"""
+
+
+@query("cycle_totals", f"WITH {CYCLES} SELECT symbol, ordinal, CAST(sum(opened) AS DOUBLE) AS opened, CAST(sum(closed) AS DOUBLE) AS closed, round(sum(closed * price) / sum(closed), 6) AS exit_vwap FROM parts GROUP BY 1, 2")
 def cycle_totals(spark, d):
     f = fills(spark, d)
-    return L.cycle_totals(L.allocations(f), f)
+    return L.cycle_totals(L.allocations(f), f).withColumn("exit_vwap", F.round("exit_vwap", 6))
+
+
+SPANS = f"""WITH {CYCLES} SELECT symbol, ordinal, CASE WHEN arg_min(delta, trade_id) FILTER (opened > 0) > 0 THEN 'long' ELSE 'short' END AS direction,
+arg_min(moment, trade_id) FILTER (opened > 0) AS opened_at, max(moment) FILTER (ends = 1) AS closed_at, CASE WHEN max(ends) = 1 THEN 'closed' ELSE 'open' END AS status FROM parts GROUP BY 1, 2"""
+
+
+@query("cycle_spans", SPANS)
+def cycle_spans(spark, d):
+    return L.positions(fills(spark, d)).select("symbol", "ordinal", "direction", "opened_at", "closed_at", "status")
+
+
+@query("resumed_cycles", SPANS)
+def resumed_cycles(spark, d):
+    """The same cycles from two folds: fills up to a date, and later ones from the checkpoints of the first."""
+    f, edge = fills(spark, d), F.lit("1996-01-01").cast(NTZ)
+    first = written(L.books(f.where(F.col("at") < edge)), "books")
+    later = L.books(f.where(F.col("at") >= edge), L.checkpoints_of(first))
+    done = L.cycles_of(first).where("status = 'closed'").unionByName(L.cycles_of(later))
+    # Books without later fills keep the cycle that is open in the first fold.
+    still = L.cycles_of(first).where("status = 'open'").join(f.where(F.col("at") >= edge).select("symbol").distinct(), "symbol", "left_anti")
+    return done.unionByName(still).select("symbol", "ordinal", "direction", "opened_at", "closed_at", "status")
 
 
 ASSETS = """t AS (SELECT o_orderpriority AS asset, CASE WHEN o_orderkey % 997 = 0 AND o_orderpriority LIKE '1%' THEN NULL ELSE CAST(floor(o_totalprice * 100) AS BIGINT) END AS amount FROM orders)"""
@@ -314,7 +334,9 @@ def dtw_rerank(spark, d):
     return shapes.rerank(shape, rows).select("id", "score", "at", "length")
 
 
-@query("final_ranking")
+@query("final_ranking", """WITH r AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) + 0.6 AS score, (vec_id * 37) % 1000 AS "start", (vec_id * 37) % 1000 + 64 AS "end" FROM embeddings),
+k AS (SELECT * FROM r WHERE score >= 0.6 AND NOT isnan(score) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, id) = 1)
+SELECT *, CASE WHEN score >= 0.75 THEN 'sure' WHEN score >= 0.6 THEN 'likely' WHEN score >= 0.45 THEN 'weak' ELSE 'none' END AS level FROM k ORDER BY score DESC, id LIMIT 5""")
 def final_ranking(spark, d):
     e = load(spark, d, "embeddings")
     start = (F.col("vec_id") * 37) % 1000
@@ -341,32 +363,28 @@ def raster_chart(spark, d):
 
 @query("export_manifest", "SELECT count(*) AS rows FROM orders")
 def export_manifest(spark, d):
-    out = files.export(load(spark, d, "orders"), _shared(spark, "export"), 5000)
+    out = files.export(load(spark, d, "orders"), shared_path(spark, "export"), 5000)
     return out.groupBy().agg(F.sum("rows").cast("long").alias("rows"))
 
 
 @query("watch_stream")
 def watch_stream(spark, d):
     """Watches over the ticks of their symbol, fed in three batches of equal spans of time; the last result of each."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows, path = watch.rows_of(_watches(spark, d), ticks(spark, d)), _shared(spark, "trades")
+    rows, path = watch.rows_of(_watches(spark, d), ticks(spark, d)), shared_path(spark, "trades")
     micros = F.unix_micros(F.col("at").cast("timestamp"))
     span = ticks(spark, d).agg(F.coalesce(F.min(micros), F.lit(0)).alias("a"), F.coalesce(F.max(micros), F.lit(0)).alias("b")).first()
     first, second = (span["a"] + (span["b"] - span["a"]) * k // 3 for k in (1, 2))
+    out, state = shared_path(spark, "watched"), shared_path(spark, "state")
+    # Each span of time is written by many tasks and read by one run of the stream, which goes on from its checkpoint.
     for part in (F.col("at") < first, (F.col("at") >= first) & (F.col("at") < second), F.col("at") >= second):
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out, state = _shared(spark, "watched"), _shared(spark, "state")
-    watch.incremental(watch.watch_stream(stream), lambda batch, number: batch.write.mode("append").parquet(out), state, "update").awaitTermination()
-    return watch.latest(spark.read.parquet(out))
+        rows.where(part).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        with watch.state_store(spark):
+            watch.incremental(watch.watch_stream(stream), lambda batch, number: batch.write.mode("append").parquet(out), state, "update").awaitTermination()
+    return watch.latest(spark.read.schema(watch.RESULT).parquet(out))
 
 
 def _watches(spark, d):
     e = load(spark, d, "events")
     criteria = F.to_json(_criteria("T1", direction=F.lit("L"), threshold_ratio=F.lit("0.05"), horizon_hours=F.lit(200)))
     return e.select(F.col("event_id").cast("string").alias("watch_id"), F.col("event_type").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("submitted_at"), F.col("value").cast("string").alias("base"), criteria.alias("criteria"))
-
-
-def _shared(spark, name):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillbar-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

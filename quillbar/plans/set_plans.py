@@ -9,7 +9,7 @@ from quillbar.functions import decimals, text
 from quillbar.operators import relational as R
 from quillbar.operators import retrieval, shapes
 from quillbar.plans.bar_plans import B1
-from quillbar.plans.catalog import query, without
+from quillbar.plans.catalog import alias, query
 from quillbar.sources.fixtures import bars, calls, fills, load
 
 NTZ = "timestamp_ntz"
@@ -81,22 +81,17 @@ def json_fields(spark, d):
     return load(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("json_rows", "SELECT o_custkey, o_orderkey, len(o_orderpriority) AS n FROM orders WHERE o_orderkey % 10 = 0")
+@query("json_rows", "SELECT o_custkey, o_orderkey, len(o_orderpriority) AS n FROM orders")
 def json_rows(spark, d):
-    return _json_rows(load(spark, d, "orders").where("o_orderkey % 10 = 0"))
-
-
-@query("json_rows_all", without("json_rows", " WHERE o_orderkey % 10 = 0"))
-def json_rows_all(spark, d):
-    return _json_rows(load(spark, d, "orders"))
-
-
-def _json_rows(o):
+    o = load(spark, d, "orders")
     body = o.groupBy("o_custkey").agg(F.to_json(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("body"))
     rows = body.select("o_custkey", F.inline(F.from_json("body", "array<struct<o_orderkey:bigint,o_orderpriority:string>>")))
     return rows.select("o_custkey", "o_orderkey", F.length("o_orderpriority").cast("long").alias("n"))
 
 
+alias("json_rows_all", "json_rows")
+
+
 @query("text_preview", "SELECT doc_id, left(text, 500) AS preview FROM documents")
 def text_preview(spark, d):
     return load(spark, d, "documents").select("doc_id", retrieval.preview(F.col("text")).alias("preview"))
@@ -150,22 +145,15 @@ def either_join(spark, d):
     return R.either(c, s, ("c_custkey", "s_suppkey"), ("c_nationkey", "s_suppkey"), ["c_custkey", "s_suppkey"]).select("c_custkey", "s_suppkey")
 
 
-@query("interval_join", """WITH s AS (SELECT event_type AS k, event_id AS span_id, ts AS a, ts + INTERVAL 2 HOUR AS b FROM events WHERE event_id % 20 = 0)
+@query("interval_join", """WITH s AS (SELECT event_type AS k, event_id AS span_id, ts AS a, ts + INTERVAL 2 HOUR AS b FROM events)
 SELECT e.event_id, s.span_id FROM events e JOIN s ON e.event_type = s.k AND e.ts >= s.a AND e.ts <= s.b""")
 def interval_join(spark, d):
     e = load(spark, d, "events").select(F.col("event_type").alias("k"), "event_id", F.col("ts").alias("at"))
-    return _spans_met(e, e.where("event_id % 20 = 0"))
-
-
-@query("interval_join_all", without("interval_join", " WHERE event_id % 20 = 0"))
-def interval_join_all(spark, d):
-    e = load(spark, d, "events").select(F.col("event_type").alias("k"), "event_id", F.col("ts").alias("at"))
-    return _spans_met(e, e)
+    spans = e.select("k", F.col("event_id").alias("span_id"), F.col("at").alias("start"), (F.col("at") + F.expr("interval 2 hours")).alias("end"))
+    return R.interval_join(e, spans, ["k"], "at").select("event_id", "span_id")
 
 
-def _spans_met(e, begun):
-    spans = begun.select("k", F.col("event_id").alias("span_id"), F.col("at").alias("start"), (F.col("at") + F.expr("interval 2 hours")).alias("end"))
-    return R.interval_join(e, spans, ["k"], "at").select("event_id", "span_id")
+alias("interval_join_all", "interval_join")
 
 
 @query("overlap_join", """SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' AND coalesce(CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderdate + INTERVAL 30 DAY END, TIMESTAMP '9999-12-31') > TIMESTAMP '1997-06-01'""")
@@ -186,7 +174,7 @@ def asof_price(spark, d):
 
 
 @query("recursive_chain", """WITH RECURSIVE p AS (SELECT DISTINCT p_partkey AS node, p_partkey // 3 AS parent FROM part WHERE p_partkey // 3 > 0),
-a AS (SELECT node, parent AS ancestor, 1 AS level FROM p UNION ALL SELECT a.node, p.parent, a.level + 1 FROM a JOIN p ON a.ancestor = p.node WHERE a.level < 8) SELECT * FROM a""")
+a AS (SELECT node, parent AS ancestor, 1 AS level FROM p UNION ALL SELECT a.node, p.parent, a.level + 1 FROM a JOIN p ON a.ancestor = p.node) SELECT * FROM a""")
 def recursive_chain(spark, d):
     parent = F.floor(F.col("p_partkey") / 3)
     p = load(spark, d, "part").select(F.col("p_partkey").alias("node"), F.when(parent > 0, parent).alias("parent"))
@@ -335,11 +323,15 @@ def diversity_top3(spark, d):
 
 def greedy_sql(conflict: str) -> str:
     """SQL of a greedy selection: rows in order, each kept unless it conflicts with a kept one."""
-    return f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS n FROM ({RANKED})),
+    return f"""WITH RECURSIVE {greedy_rows(conflict)}
+SELECT label, unnest(ids) AS id FROM g QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC) = 1"""
+
+
+def greedy_rows(conflict: str) -> str:
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS n FROM ({RANKED})),
 g AS (SELECT label, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS kept, CAST([] AS BIGINT[]) AS ids FROM r GROUP BY label
 UNION ALL SELECT g.label, r.n, CASE WHEN len(list_filter(g.kept, lambda k: {conflict})) > 0 THEN g.kept ELSE list_append(g.kept, {{'s': r."start", 'e': r."end"}}) END,
-CASE WHEN len(list_filter(g.kept, lambda k: {conflict})) > 0 THEN g.ids ELSE list_append(g.ids, r.id) END FROM g JOIN r ON r.label = g.label AND r.n = g.n + 1)
-SELECT label, unnest(ids) AS id FROM g QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC) = 1"""
+CASE WHEN len(list_filter(g.kept, lambda k: {conflict})) > 0 THEN g.ids ELSE list_append(g.ids, r.id) END FROM g JOIN r ON r.label = g.label AND r.n = g.n + 1)"""
 
 
 @query("nms_half_width", greedy_sql("abs(k.s - r.\"start\") < 32"))
@@ -352,12 +344,18 @@ def nms_overlap(spark, d):
     return R.nms_overlap(_ranked(spark, d), ["label"]).select("label", "id")
 
 
-@query("runner_ups")
+@query("runner_ups", f"""WITH RECURSIVE {greedy_rows('k.s < r."end" AND k.e > r."start"')},
+k AS (SELECT label, unnest(ids[1:3]) AS id FROM g QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC) = 1)
+SELECT r.id, r.label, r.score, r."start", r."end" FROM k JOIN r ON r.label = k.label AND r.id = k.id""")
 def runner_ups(spark, d):
     return R.runner_ups(_ranked(spark, d), ["label"])
 
 
-@query("fetch_groups")
+@query("fetch_groups", f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY "start", "end") AS n FROM ({RANKED})),
+g AS (SELECT label, n, "start" AS s, "end" AS e, 1 AS part FROM r WHERE n = 1
+UNION ALL SELECT r.label, r.n, CASE WHEN greatest(g.e, r."end") - g.s <= 200 THEN g.s ELSE r."start" END, CASE WHEN greatest(g.e, r."end") - g.s <= 200 THEN greatest(g.e, r."end") ELSE r."end" END,
+CASE WHEN greatest(g.e, r."end") - g.s <= 200 THEN g.part ELSE g.part + 1 END FROM g JOIN r ON r.label = g.label AND r.n = g.n + 1)
+SELECT label, s AS "start", max(e) AS "end", count(*) AS n_ranges FROM g GROUP BY label, part, s""")
 def fetch_groups(spark, d):
     return R.fetch_groups(_ranked(spark, d), ["label"], 200)
 
@@ -435,24 +433,21 @@ def utf8_chunks(spark, d):
     return load(spark, d, "documents").select("doc_id", F.explode(text.utf8_chunks("text")).alias("c")).select("doc_id", "c.*")
 
 
-@query("decimal_text", "SELECT l_orderkey, l_linenumber, rtrim(rtrim(CAST(CAST(l_extendedprice AS DECIMAL(18, 4)) AS VARCHAR), '0'), '.') AS plain FROM lineitem WHERE l_orderkey % 50 = 0")
+@query("decimal_text", "SELECT l_orderkey, l_linenumber, rtrim(rtrim(CAST(CAST(l_extendedprice AS DECIMAL(18, 4)) AS VARCHAR), '0'), '.') AS plain FROM lineitem")
 def decimal_text(spark, d):
-    return _plain(load(spark, d, "lineitem").where("l_orderkey % 50 = 0"))
-
-
-@query("decimal_text_all", without("decimal_text", " WHERE l_orderkey % 50 = 0"))
-def decimal_text_all(spark, d):
-    return _plain(load(spark, d, "lineitem"))
+    price = F.col("l_extendedprice").cast("decimal(18,4)").cast("string")
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", decimals.trimmed(price).alias("plain"))
 
 
-def _plain(rows):
-    price = F.col("l_extendedprice").cast("decimal(18,4)").cast("string")
-    return rows.select("l_orderkey", "l_linenumber", decimals.trimmed(price).alias("plain"))
+alias("decimal_text_all", "decimal_text")
 
 
-@query("line_fit", "SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem GROUP BY 1")
+@query("line_fit", """SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept,
+round(sqrt(regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) / count(*)), 3) AS residual FROM lineitem GROUP BY 1""")
 def line_fit(spark, d):
-    return load(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 3).alias("intercept"))
+    y, x = "l_extendedprice", "l_quantity"
+    unexplained = F.regr_syy(y, x) * (1 - F.regr_r2(y, x)) / F.count(F.lit(1))  # root mean square of what the line leaves
+    return load(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.sqrt(unexplained), 3).alias("residual"))
 
 
 @query("fills_exit_vwap", """WITH f AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CASE WHEN l_returnflag = 'A' OR (l_returnflag = 'N' AND l_linestatus = 'O') THEN 'BUY' ELSE 'SELL' END AS side, CAST(CAST(floor(l_extendedprice / l_quantity * 10000) AS DECIMAL(14, 0)) * 0.0001 AS DECIMAL(18, 4)) AS p, CAST(l_quantity AS DECIMAL(18, 4)) AS q FROM lineitem)

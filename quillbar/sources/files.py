@@ -26,7 +26,7 @@ def _unzipped(header: tuple[str, ...], names: list[str]):
                     if len(members) != 1 or members[0].file_size > MOST_BYTES:
                         raise ValueError("archive_must_hold_one_csv")
                     with z.open(members[0]) as f:  # the CRC is proven when the member is read to its end
-                        first = True
+                        first, line = True, 0
                         for part in pd.read_csv(f, header=None, dtype=str, chunksize=50_000, keep_default_na=False):
                             if first and part.iloc[0, 0] in header:
                                 part = part.iloc[1:]
@@ -35,7 +35,8 @@ def _unzipped(header: tuple[str, ...], names: list[str]):
                                 raise ValueError("too_few_columns")
                             part = part.iloc[:, : len(names)]
                             part.columns = names
-                            yield part.assign(path=path)
+                            yield part.assign(path=path, line=[str(i) for i in range(line, line + len(part))])
+                            line += len(part)
 
     return run
 
@@ -44,9 +45,9 @@ def zipped_klines(spark: SparkSession, paths: str) -> DataFrame:
     """Bars of zipped kline files: one CSV a file, with or without header; times are milliseconds."""
     names = ["open_time", "open", "high", "low", "close", "volume", "close_time"]
     raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-    text = raw.mapInPandas(_unzipped(("open_time", "openTime"), names), ", ".join(f"{n} string" for n in [*names, "path"]))
+    text = raw.mapInPandas(_unzipped(("open_time", "openTime"), names), ", ".join(f"{n} string" for n in [*names, "path", "line"]))
     at = lambda c: F.timestamp_millis(F.col(c).cast("long")).cast("timestamp_ntz")
-    return text.select("path", at("open_time").alias("start"), F.timestamp_millis(F.col("close_time").cast("long") + 1).cast("timestamp_ntz").alias("end"), *[F.col(c).cast("decimal(38,18)").alias(c) for c in names[1:6]])
+    return text.select("path", F.col("line").cast("long").alias("line"), at("open_time").alias("start"), F.timestamp_millis(F.col("close_time").cast("long") + 1).cast("timestamp_ntz").alias("end"), *[F.col(c).cast("decimal(38,18)").alias(c) for c in names[1:6]])
 
 
 def kline_order_proof(klines: DataFrame) -> DataFrame:
@@ -58,8 +59,74 @@ def kline_order_proof(klines: DataFrame) -> DataFrame:
 def zipped_trades(spark: SparkSession, paths: str) -> DataFrame:
     names = ["id", "price", "quantity", "first_id", "last_id", "at", "maker"]
     raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-    text = raw.mapInPandas(_unzipped(("agg_trade_id", "id"), names), ", ".join(f"{n} string" for n in [*names, "path"]))
-    return text.select("path", F.col("id").cast("long").alias("trade_id"), F.timestamp_millis(F.col("at").cast("long")).cast("timestamp_ntz").alias("at"), F.col("price").cast("decimal(38,18)").alias("price"), F.col("quantity").cast("decimal(38,18)").alias("quantity"))
+    text = raw.mapInPandas(_unzipped(("agg_trade_id", "id"), names), ", ".join(f"{n} string" for n in [*names, "path", "line"]))
+    return text.select("path", F.col("line").cast("long").alias("line"), F.col("id").cast("long").alias("trade_id"), F.timestamp_millis(F.col("at").cast("long")).cast("timestamp_ntz").alias("at"), F.col("price").cast("decimal(38,18)").alias("price"), F.col("quantity").cast("decimal(38,18)").alias("quantity"))
+
+
+def proven_klines(klines: DataFrame, start: Column, end: Column, most: int = 50_000) -> DataFrame:
+    """Bars of zipped files wholly inside [start, end). A file whose opening times do not rise strictly in the
+    order of its rows, or more than `most` bars, fail the job. klines: as zipped_klines gives them."""
+    ordered = W.partitionBy("path").orderBy("line")
+    late = F.coalesce(F.lag("start").over(ordered) >= F.col("start"), F.lit(False))
+    n = F.count(F.lit(1)).over(W.partitionBy("path"))
+    fail = lambda code: F.raise_error(F.lit(code)).cast("boolean")
+    checked = klines.withColumn("_late", late).where(F.when(F.col("_late"), fail("kline_order_unproven")).otherwise(True))
+    inside = checked.where((F.col("start") >= start) & (F.col("end") <= end)).withColumn("_n", n)
+    return inside.where(F.when(F.col("_n") > most, fail("too_many_bars")).otherwise(True)).drop("_late", "_n")
+
+
+def proven_trades(trades: DataFrame, day: Column) -> DataFrame:
+    """Trades of zipped day files: ids rise by one, times do not fall and lie inside the day, price and quantity
+    are positive; anything else fails the job. day: the file's date, from its path."""
+    ordered = W.partitionBy("path").orderBy("line")
+    bad = F.coalesce(F.col("trade_id") != F.lag("trade_id").over(ordered) + 1, F.lit(False))
+    bad = F.when(bad, "trade_id_gap").when(F.col("at") < F.lag("at").over(ordered), "trade_time_order_unproven")
+    bad = bad.when(F.col("at").cast("date") != day, "trade_outside_day").when((F.col("price") <= 0) | (F.col("quantity") <= 0), "invalid_trade")
+    checked = trades.withColumn("_bad", bad)
+    return checked.where(F.when(F.col("_bad").isNull(), True).otherwise(F.raise_error(F.col("_bad")).cast("boolean"))).drop("_bad")
+
+
+def months_in_order(catalogue: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted months (symbol, segment, month) with their files and place, in order: what is missing has a null
+    path. Files are read in parallel and their rows sorted by place."""
+    found = wanted.join(catalogue, ["symbol", "segment", "month"], "left")
+    return found.withColumn("place", F.row_number().over(W.partitionBy("symbol", "segment").orderBy("month")) - 1)
+
+
+def ticker_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, turnover, trades of a stored 24-hour ticker list (a JSON array of objects, or one a line)."""
+    raw = spark.read.schema("symbol string, quoteVolume string, count long").option("multiLine", False).json(path)
+    return raw.select("symbol", F.col("quoteVolume").cast("double").alias("turnover"), F.col("count").alias("trades")).where("symbol is not null")
+
+
+def ledger_text(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of a ledger import as a map header -> text: `csv`, or `zip_csv` with exactly one CSV of 128 MB at most."""
+    if kind not in ("csv", "zip_csv"):
+        raise ValueError("unsupported_ledger_format")
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                if kind == "csv":
+                    files = [io.BytesIO(content)]
+                else:
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                    members = [m for m in archive.infolist() if not m.is_dir()]
+                    if len(members) != 1 or not members[0].filename.endswith(".csv") or members[0].file_size > MOST_BYTES:
+                        raise ValueError("archive_must_hold_one_csv")
+                    files = [archive.open(members[0])]
+                for f in files:
+                    for part in pd.read_csv(f, dtype=str, chunksize=50_000, keep_default_na=False):
+                        yield pd.DataFrame({"path": name, "line": part.index.to_numpy("int64"), "fields": part.to_dict("records")})
+
+    return raw.mapInPandas(run, "path string, line long, fields map<string,string>")
+
+
+def account_pages(spark: SparkSession, path: str, schema: str, pages_at_once: int = 100) -> DataFrame:
+    """Account pages that a client stored as NDJSON files, as a stream: the checkpoint of the query that reads it is
+    the resumable cursor, and a page that comes twice is one file name and read once."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", pages_at_once).json(path)
 
 
 def month_catalogue(paths: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 import pandas as pd
@@ -125,16 +126,40 @@ class Watch:
 
 
 RESULT = "watch_id string, through long, state string, reason string, mfe string, mae string, error string"
+HOUR = 3_600_000_000
 
 
 class WatchProcessor(StatefulProcessor):
-    """Rows: watch_id, at (microseconds), trade_id, price, and on the first row of a watch its
-    criteria (JSON) with submitted_at and base. A gap stops the watch with an error; nothing is dropped
-    in silence."""
+    """Rows: watch_id, at (microseconds), trade_id, price, and on the first row of a watch its criteria (JSON)
+    with submitted_at and base; or, instead of a trade, bar (start, end in microseconds, open, high, low, close
+    as text), whose `at` is its end. A gap stops the watch with an error; nothing is dropped in silence. With
+    timers (an event-time column `event_time` with a watermark) a watch whose deadline the watermark passes is
+    settled without waiting for later rows, and its state is removed."""
+
+    timers = False
 
     def init(self, handle) -> None:
+        self._handle = handle
         self._state = handle.getValueState("watch", StructType([StructField("json", StringType())]))
 
+    def _row(self, key, watch: Watch, state: dict) -> pd.DataFrame:
+        return pd.DataFrame([{"watch_id": key[0], "through": watch.through, "state": state["state"], "reason": state["reason"], "mfe": state["mfe"], "mae": state["mae"], "error": watch.error}])
+
+    def _found(self, watch: Watch) -> dict:
+        return watch.result(watch.last_price, watch.last_price is not None)
+
+    def _fed(self, watch: Watch, batch: pd.DataFrame) -> None:
+        bars = batch["bar"] if "bar" in batch.columns else [None] * len(batch)
+        for at, number, price, bar in zip(batch["at"].tolist(), batch["trade_id"].tolist(), batch["price"].tolist(), bars, strict=True):
+            if bar is not None:
+                bar = dict(bar.asDict() if hasattr(bar, "asDict") else bar)
+                if bar["end"] > watch.through and bar["end"] <= watch.deadline():
+                    watch.bars(bar["start"], bar["end"], [tuple(bar[k] for k in ("start", "end", "open", "high", "low", "close"))])
+                    watch.last_price = bar["close"]
+            elif price is not None and pd.notna(price):
+                watch.trade(int(at), int(number), price)
+        watch.through = max(watch.through, min(int(batch["at"].max()), watch.deadline()))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at", "trade_id"])
         if self._state.exists():
@@ -144,31 +169,67 @@ class WatchProcessor(StatefulProcessor):
             watch = Watch.begin(json.loads(head["criteria"]), int(head["submitted_at"]), head["base"])
         if watch.error is None:
             try:
-                for row in batch.itertuples():
-                    if pd.notna(row.price):
-                        watch.trade(int(row.at), int(row.trade_id), row.price)
-                watch.through = max(watch.through, min(int(batch["at"].max()), watch.deadline()))
+                self._fed(watch, batch)
             except ValueError as e:
                 watch.error = str(e)
         self._state.update((json.dumps(asdict(watch)),))
-        found = watch.result(watch.last_price, watch.last_price is not None)
-        yield pd.DataFrame([{"watch_id": key[0], "through": watch.through, "state": found["state"], "reason": found["reason"], "mfe": found["mfe"], "mae": found["mae"], "error": watch.error}])
+        if self.timers:
+            for old in list(self._handle.listTimers()):
+                self._handle.deleteTimer(old)
+            self._handle.registerTimer(watch.deadline() // 1000 + 1)
+        yield self._row(key, watch, self._found(watch))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watch = Watch(**json.loads(self._state.get()[0]))
+        if watch.error is None:
+            watch.through = watch.deadline()
+        self._state.clear()
+        yield self._row(key, watch, self._found(watch))
 
     def close(self) -> None:
         pass
 
 
+class TimedWatchProcessor(WatchProcessor):
+    timers = True
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_store(spark):
+    """The store that keeps state by column, which these processors need; the session's own is set again after."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+
+
 def watch_stream(rows: DataFrame) -> DataFrame:
     """The latest result of each watch after every batch (update mode)."""
     return rows.groupBy("watch_id").transformWithStateInPandas(WatchProcessor(), RESULT, "Update", "None")
 
 
+def timed_watch_stream(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """watch_stream that settles a watch as soon as the watermark of its rows' time passes its deadline."""
+    timed = rows.withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", late)
+    return timed.groupBy("watch_id").transformWithStateInPandas(TimedWatchProcessor(), RESULT, "Update", "EventTime")
+
+
 def rows_of(watches: DataFrame, trades: DataFrame) -> DataFrame:
     """Input rows of the processor: each watch (watch_id, symbol, submitted_at, base, criteria) with the
-    trades (symbol, tick_id, at, price) of its symbol from its submission on, numbered without gap."""
+    trades (symbol, tick_id, at, price) of its symbol from its submission to its latest deadline, numbered
+    without gap. Watches and trades meet by day."""
+    day = lambda micros: F.floor(micros / (24 * HOUR))
     number = F.row_number().over(W.partitionBy("symbol").orderBy("at", "tick_id"))
     numbered = trades.select("symbol", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), number.cast("long").alias("trade_id"), F.col("price").cast("string").alias("price"))
-    met = watches.join(numbered, "symbol").where(F.col("at") >= F.col("submitted_at"))
+    hours = F.from_json("criteria", "horizon_hours int, trigger struct<window_hours:int>")
+    last = F.col("submitted_at") + (F.coalesce(hours["horizon_hours"], F.lit(0)) + F.coalesce(hours["trigger"]["window_hours"], F.lit(0))) * F.lit(HOUR)
+    dealt = watches.withColumn("_last", last).withColumn("_day", F.explode(F.sequence(day(F.col("submitted_at")), day(F.col("_last")))))
+    met = dealt.join(numbered.withColumn("_day", day(F.col("at"))), ["symbol", "_day"]).where((F.col("at") >= F.col("submitted_at")) & (F.col("at") <= F.col("_last")))
     return met.select("watch_id", "at", "trade_id", "price", "criteria", "submitted_at", "base")
 
 
@@ -178,12 +239,27 @@ def latest(results: DataFrame) -> DataFrame:
     return results.groupBy("watch_id").agg(F.max("through").alias("through"), F.max_by(F.struct(*rest), "through").alias("r")).select("watch_id", "through", "r.*")
 
 
+def publishable(results: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Results of watches whose input is covered up to where they stand: a gap is retried later, never
+    published. coverage: watch_id, covered_through."""
+    return results.join(coverage, "watch_id").where(F.col("error").isNull() & (F.col("covered_through") >= F.col("through"))).drop("covered_through")
+
+
 def incremental(stream: DataFrame, apply, checkpoint: str, mode: str = "append"):
     """Runs apply(batch, number) for each micro-batch with its own checkpoint: projections that touch only
     the books a batch holds."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
+def advanced_books(stored: DataFrame, batch: DataFrame, key: str = "symbol") -> DataFrame:
+    """The fold of a batch of later fills from the stored checkpoints (key, checkpoint) of its books: steps of
+    ledger.books; nothing of the history is read again. Late fills raise; rebuilt_books serves those."""
+    from quillbar.operators.ledger import books
+
+    touched = stored.join(batch.select(key).distinct(), key, "left_semi")
+    return books(batch, touched, key)
+
+
 def rebuilt_books(batch: DataFrame, history: DataFrame, key: str = "symbol") -> DataFrame:
     """All fills of the books that a batch touches: late rows rebuild their own book, no other."""
     touched = batch.select(key).distinct()

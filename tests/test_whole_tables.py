@@ -1,10 +1,12 @@
 """Queries that once read a subset of the ids give results for every row."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillbar.plans.registry import QUERIES
-from quillbar.sources.fixtures import load
+from quillbar.sources.fixtures import bars, load
 
 WHOLE = [
     ("decimal_text_all", ["l_orderkey", "l_linenumber"], "lineitem", ["l_orderkey", "l_linenumber"]),
@@ -34,8 +36,15 @@ def test_watches_see_ticks_of_any_date(spark, sf, tmp_path):
 
 
 def test_baseline_has_samples_of_250_days(spark, sf):
-    """Samples reach beyond the first 20 days before a claim."""
-    got = {r.claim_id: r.n for r in QUERIES["baseline_rate_all"](spark, sf).collect()}
-    few = {r.claim_id: r.n for r in QUERIES["baseline_rate"](spark, sf).collect()}
-    assert all(got[k] >= n for k, n in few.items()) and len(got) > len(few)
-    assert sum(got[k] for k in few) > sum(few.values())
+    """Every event's samples, 1 to 250 days before it, counted one by one."""
+    hour, day = dt.timedelta(hours=1), dt.timedelta(days=1)
+    closes = {(r.symbol, r.end): r.close for r in bars(spark, sf).collect()}
+    want = {}
+    for e in load(spark, sf, "events").select("event_id", "event_type", "ts").collect():
+        at = e.ts.replace(minute=0, second=0, microsecond=0)
+        for k in range(1, 251):
+            base, last = (closes.get((e.event_type, at - k * day + x * hour)) for x in (0, 6))
+            if base is not None and last is not None:
+                n, wins = want.get(e.event_id, (0, 0))
+                want[e.event_id] = (n + 1, wins + (last - base >= base * 0.05))
+    assert {r.claim_id: (r.n, r.wins) for r in QUERIES["baseline_rate"](spark, sf).collect()} == want
