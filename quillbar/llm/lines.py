@@ -16,7 +16,7 @@ places, so a line of a million words costs a million rows and no more.
 Cases: null text has no lines; lines without words are never removed; a null doc_id takes no part and
 keeps all its lines; rows that repeat doc_id and text share their places, so neither loses lines to the
 other; rows of one doc_id with different texts are documents of their own, in the order of a hash of
-their texts; an empty table gives no rows; other columns, whatever their names, are kept by `marked` and
+their texts; an empty table gives no rows; other columns, whatever their names, are kept by
 `without_removed` and dropped by `removed_lines`.
 """
 
@@ -75,7 +75,7 @@ def _xor(values):
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc, pos, kept_doc, kept_pos of every line that goes, and the earliest line it repeats; for tables
-    where rows that share a key share their text (see `marked` for others)."""
+    where rows that share a key share their text (see `removals` for others)."""
     lines = lines_of(docs, key, text)
     numbered = lines.select("doc", "pos", F.xxhash64("words").alias("line"), F.size("words").alias("n"), "words")
     keys = F.when(F.col("n") >= min_words, _half_keys(F.col("n"), F.col("words")))
@@ -148,38 +148,39 @@ def within_one_edit(a, b):
     return (differ == 0) | F.when(differ > 0, same)
 
 
-def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Of every row of docs: whole (a struct of its columns), doc, text, removed (sorted places of the lines
-    that go), kept_in (sorted keys of the documents that keep them); both null where no line goes."""
-    named, apart = framed(docs, key, text)
+def removals(named: DataFrame, apart: bool, min_words: int = MIN_WORDS) -> DataFrame:
+    """named, apart: see common.framed. row, removed (sorted places of its lines that go), kept_in (sorted keys of the
+    documents that keep them) of each row of which any goes; copies of a row share theirs."""
     gone = removed_lines(named, "row", "text", min_words)
     if apart:
         gone = materialize(gone, "removed")
     by_row = gone.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("removed"), F.sort_array(F.collect_set("kept_doc")).alias("kept_in"))
-    if not apart:
-        return named.join(by_row.withColumnRenamed("doc", "row"), "row", "left").select("whole", "doc", "text", "removed", "kept_in")
-    keys = named.where("row is not null").select(F.col("row").alias("kept_doc"), F.col("doc").alias("kept_key")).distinct()
-    sources = gone.select("doc", "kept_doc").distinct().join(keys, "kept_doc").groupBy("doc").agg(F.sort_array(F.collect_set("kept_key")).alias("kept_in"))
-    by_row = by_row.drop("kept_in").join(sources, "doc").withColumnRenamed("doc", "row")
-    return named.join(by_row, "row", "left").select("whole", "doc", "text", "removed", "kept_in")
+    if apart:  # rows that keep lines are named by their keys
+        keys = named.where("row is not null").select(F.col("row").alias("kept_doc"), F.col("doc").alias("kept_key")).distinct()
+        sources = gone.select("doc", "kept_doc").distinct().join(keys, "kept_doc").groupBy("doc").agg(F.sort_array(F.collect_set("kept_key")).alias("kept_in"))
+        by_row = by_row.drop("kept_in").join(sources, "doc")
+    return by_row.select(F.col("doc").alias("row"), "removed", "kept_in")
 
 
 def without_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with their remaining lines as text; a document that had lines with words and lost them all goes."""
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("removed"), i))
-    found = marked(docs, key, text, min_words).withColumn("left", F.when(F.col("removed").isNotNull(), left))
+    named, apart = framed(docs, key, text)
+    gone = removals(named, apart, min_words).select("row", "removed")
+    given = F.col("whole").getField(text).cast("string")
+    left = F.filter(F.split(given, "\n"), lambda line, i: ~F.array_contains(F.col("removed"), i))
+    found = named.select("whole", "row").join(gone, "row", "left").withColumn("left", F.when(F.col("removed").isNotNull(), left))
     kept = found.where(F.col("removed").isNull() | F.exists("left", has_words))
-    shown = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join("left", "\n"))
-    columns = [shown.alias(c) if c == text else F.col("whole").getField(c).alias(c) for c in docs.columns]
-    return kept.select(*columns)
+    shown = F.when(F.col("removed").isNull(), given).otherwise(F.array_join("left", "\n"))
+    return kept.select(*[shown.alias(c) if c == text else F.col("whole").getField(c).alias(c) for c in docs.columns])
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    found = marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named, apart = framed(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    found = named.select("row", "whole.doc_id", lines.cast("long").alias("n_lines")).join(removals(named, apart), "row", "left")
     empty = F.array().cast("array<bigint>")
     removed = F.coalesce(F.col("removed").cast("array<bigint>"), empty)
-    return found.select("whole.doc_id", lines.cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), removed.alias("removed"), F.coalesce("kept_in", empty).alias("kept_in"))
+    return found.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), removed.alias("removed"), F.coalesce("kept_in", empty).alias("kept_in"))
 
 
 QUERIES = {"op2_line_dedup": op2}
