@@ -70,8 +70,9 @@ def _blocks(leading: np.ndarray, blocks: int) -> np.ndarray:
 
 def _block_ranges(source: DataFrame, width: int) -> dict[int, tuple[int, int]]:
     """(first block, blocks) of each band, so that a block holds about SIGNATURES_IN_BLOCK. A set sends to the
-    blocks of its bands only. Repeated shingles are counted each."""
-    n = F.greatest(F.lit(4), F.regexp_count("text", F.lit(r"[^ \t-\r]++")) - (width - 1))
+    blocks of its bands only. Words are counted by the white space between them, of whichever kind."""
+    spaces = F.length("text") - F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))
+    n = F.greatest(F.lit(4), spaces + 1 - (width - 1))
     own = F.length(F.bin(n)) - 1
     above = F.when(F.floor(4 * n / 3) >= F.pow(F.lit(2), own + 1), own + 1)
     sized = source.where("text is not null").select(F.explode(F.array_compact(F.array(own, above))).alias("band"))
@@ -338,7 +339,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     met = materialize(dealt.groupBy("block").applyInArrow(_meet, kinds), "meetings")
     rows = met.where("kind = 0").select(F.col("x").alias("at"), "nokey", F.when(F.col("nokey") == 0, F.col("x")).alias("key"), F.col("y").alias("s"), F.col("z").alias("n"), "own", "above")
 
-    names = rows.groupBy("s").agg(F.min("key").alias("key"), F.min("at").alias("at"), F.min("n").alias("n"), F.max("own").alias("own"), F.max("above").alias("above"))
+    names = materialize(rows.groupBy("s").agg(F.min("key").alias("key"), F.min("at").alias("at"), F.min("n").alias("n"), F.max("own").alias("own"), F.max("above").alias("above")), "names")
     often = met.where("kind = 1").groupBy(F.col("x").alias("s"), F.col("z").alias("band")).agg(F.sum("y").alias("met"))
     surely = F.when(F.col("band") < F.length(F.bin("n")), F.col("own")).otherwise(F.col("above"))
     able = often.join(names, "s").where(F.col("met") >= F.greatest(surely, F.lit(1)))
@@ -402,6 +403,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     smallest = materialize(linked_sets.groupBy("root").agg(F.min("key").alias("component_id")), "smallest")
     of_class = linked_sets.join(small(smallest), "root").select("s", "component_id")
     named = names.select("s", "key").join(small(of_class), "s", "left").select("s", F.coalesce("component_id", "key").alias("component_id"))
+    named = materialize(named, "named")  # so that the join can split the rows of one text with very many copies
     whole = rows.where("n > 0").join(named, "s").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
     return whole.unionByName(alone)
