@@ -5,16 +5,18 @@ columns estimate a whole distance. A bounded sample fits the centres of inverted
 indexed in the list of its nearest centre. A query probes its nearest lists: as many as hold the share
 `TARGET` of true neighbours within the sample, which is many lists where vectors have no clusters, and
 further ones until they hold k other rows. Its k-th distance within the sample bounds its k-th distance
-overall, and the k nearest of the sample are results to start from. In a list, candidates are scanned by column blocks: after each block a hypothesis test compares
+overall. In a list, candidates are scanned by column blocks: after each block a hypothesis test compares
 the scaled partial distance with that bound and abandons those that are very likely farther. Survivors
-are scored exactly, in double precision, on the original vectors.
+are scored exactly, in double precision, on the original vectors. Queries that end with fewer than k rows
+are scanned again in all lists without the test, which finds k rows if there are so many.
 
-Lists are dealt to blocks of bounded size by a hash, so a list that a third of all rows share is
-scanned by many tasks; queries are dealt to blocks as well.
+Lists are dealt to blocks of bounded size by a hash, so a list that a third of all rows share is scanned by
+many tasks; the queries of a list are dealt to groups, and a list is read once for each of its groups.
 
 Cases: rows without id or vector, with a null or non-finite component or without length take no part;
 vectors of unequal length count as zero where they have no component; a row never finds rows of its own
-id; rows that repeat id and vector count once; an empty table gives no rows.
+id; rows that repeat id and vector are one query, and as candidates each of them takes a place; rows of
+one id with different vectors are queries of their own, ranked each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbar.llm.common import materialize, table
-from quillbar.llm.vectors import clean, matrix, merged
+from quillbar.llm.common import bounded_count, materialize, table
+from quillbar.llm.vectors import clean, matrix, ranked_by_query
 
-SAMPLE = 20_000
+#: Rows and bytes (as double precision) of the sample.
+SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 MOST_LISTS = 1024
 BLOCK = 4096
 COLUMNS = 16
 #: Standard deviations by which a partial distance must exceed its expectation.
-EPSILON = 2.1
-TARGET = 0.97
+EPSILON = 2.4
+TARGET = 0.98
 QUERIES_TOGETHER = 4096
 SEED = 7
 
@@ -56,7 +59,8 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fit_lists(rows: DataFrame, count: int, width: int, k: int, sample: int = SAMPLE, target: float = TARGET) -> dict:
     """Rotation, centres, the turned sample with its ids, and how many lists to probe. The sample has at
-    most `sample` rows, chosen by a hash of id and vector."""
+    most `sample` rows and SAMPLE_BYTES bytes, chosen by a hash of id and vector."""
+    sample = max(k + 2, min(sample, SAMPLE_BYTES // (8 * width)))
     share = min(1.0, 0.9 * sample / max(count, 1))
     few = rows.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1_000_000)) < share * 1_000_000)
     got = few.select("vec_id", "vector").orderBy("vec_id").limit(sample).collect()
@@ -64,8 +68,7 @@ def fit_lists(rows: DataFrame, count: int, width: int, k: int, sample: int = SAM
     rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
     data, ids = np.zeros((len(got), width)), np.array([r["vec_id"] for r in got], np.int64)
     if got:
-        padded = padded_to(width, [r["vector"] for r in got])
-        data = unit(padded) @ rotation
+        data = unit(padded_to(width, [r["vector"] for r in got])) @ rotation
     lists = int(min(MOST_LISTS, max(1, round(count**0.5 / 2)), max(1, len(data))))
     centres = data[rng.choice(len(data), lists, replace=False)] if len(data) else np.zeros((1, width))
     near = np.zeros(len(data), np.int64)
@@ -86,17 +89,17 @@ def fit_lists(rows: DataFrame, count: int, width: int, k: int, sample: int = SAM
         true = np.argpartition(-likeness, k - 1, axis=1)[:, :k]
         place = np.argsort(np.argsort(-(data[asked] @ centres.T - (centres * centres).sum(1) / 2), axis=1), axis=1)
         probed = int(np.quantile(np.take_along_axis(place, near[true], 1), target)) + 1
-    return {"rotation": rotation, "centres": centres, "sample": data.astype(np.float32), "own": padded if got else data, "ids": ids, "probed": probed}
+    return {"rotation": rotation, "centres": centres, "sample": data.astype(np.float32), "ids": ids, "probed": probed}
 
 
-def within_sample(model: dict, turned: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(upper bound of each query's k-th squared distance, places of its k nearest in the sample)."""
+def within_sample(model: dict, turned: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Upper bound of each query's k-th squared distance: its k-th one to rows of other ids in the sample."""
     sample = model["sample"]
+    if len(sample) < k:
+        return np.full(len(turned), np.inf)
     distance = 2 - 2 * (turned.astype(np.float32) @ sample.T)
     distance[own[:, None] == model["ids"][None, :]] = np.inf
-    near = np.argpartition(distance, min(k, len(sample)) - 1, axis=1)[:, :k] if len(sample) else np.zeros((len(turned), 0), np.int64)
-    found = np.take_along_axis(distance, near, 1)
-    return (found.max(1) + 1e-4 if near.shape[1] == k else np.full(len(turned), np.inf)), np.where(np.isinf(found), -1, near)
+    return np.partition(distance, k - 1, axis=1)[:, k - 1] + 1e-4
 
 
 def scan(turned: np.ndarray, queries: np.ndarray, most: np.ndarray, epsilon: float = EPSILON, columns: int = COLUMNS) -> tuple[np.ndarray, np.ndarray]:
@@ -124,31 +127,17 @@ def scan(turned: np.ndarray, queries: np.ndarray, most: np.ndarray, epsilon: flo
 
 def search(rows: DataFrame, is_query, k: int) -> DataFrame:
     """rows: vec_id, vector. The k nearest other rows found for each row where is_query."""
-    # Copies would take the places of other neighbours, in the sample and in each block.
-    query = F.max(is_query).alias("is_query")
-    rows = materialize(rows.groupBy("vec_id", "vector").agg(query), "vectors")
-    is_query = F.col("is_query")
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("w")).first()
-    width, together = max(1, size["w"]), max(1, -(-size["q"] // QUERIES_TOGETHER))
+    # Copies would take the places of other neighbours within a block: they are counted here, and expanded at the end.
+    found = rows.groupBy("vec_id", "vector").agg(F.max(is_query).alias("is_query"), F.count(F.lit(1)).alias("copies"))
+    rows = materialize(found.withColumn("query", F.xxhash64("vec_id", "vector")), "vectors")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("w")).first()
+    width = max(1, size["w"])
     fitted = fit_lists(rows, size["n"], width, k)
     # width x width, at most MOST_LISTS x width and at most SAMPLE x width numbers
     model = rows.sparkSession.sparkContext.broadcast(fitted)
 
-    def padded(vectors) -> np.ndarray:
-        return padded_to(width, vectors)
-
     def turn(vectors) -> np.ndarray:
-        return unit(padded(vectors)) @ model.value["rotation"]
-
-    def first(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                some = pdf.iloc[lo : lo + 256]
-                ids, given = some["vec_id"].to_numpy(), padded(some["vector"].tolist())
-                near = within_sample(model.value, turn(some["vector"].tolist()), ids, k)[1]
-                q, at = np.nonzero(near >= 0)
-                row = near[q, at]
-                yield pd.DataFrame({"query_id": ids[q], "vec_id": model.value["ids"][row], "score": cosine(model.value["own"][row], given[q])})
+        return unit(padded_to(width, vectors)) @ model.value["rotation"]
 
     def index(batches):
         centre = model.value["centres"]
@@ -159,56 +148,70 @@ def search(rows: DataFrame, is_query, k: int) -> DataFrame:
                 pdf["turned"] = list(turned.astype(np.float32))
                 yield pdf
 
-    schema = "vec_id long, vector array<double>, list int, turned array<float>"
-    indexed = materialize(rows.select("vec_id", "vector").mapInPandas(index, schema), "lists")
+    schema = "vec_id long, vector array<double>, copies long, list int, turned array<float>"
+    indexed = materialize(rows.select("vec_id", "vector", "copies").mapInPandas(index, schema), "lists")
     held = np.zeros(len(fitted["centres"]), np.int64)
     for row in indexed.groupBy("list").count().collect():  # one row a list, MOST_LISTS at most
         held[row["list"]] = row["count"]
-    blocks = np.maximum(1, -(-held // BLOCK))
-    sizes = rows.sparkSession.sparkContext.broadcast((held, blocks))
 
     def probe(batches):
-        centre, (count, parts) = model.value["centres"], sizes.value
+        centre = model.value["centres"]
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
-                some = pdf.iloc[lo : lo + 256]
+                some = pdf.iloc[lo : lo + 256].copy()
                 turned = turn(some["vector"].tolist())
-                most = within_sample(model.value, turned, some["vec_id"].to_numpy(), k)[0]
+                some["most"] = within_sample(model.value, turned, some["vec_id"].to_numpy(), k).astype(np.float64)
                 order = np.argsort(-(turned @ centre.T - (centre * centre).sum(1) / 2), axis=1, kind="stable")
-                for query, vector, bound, lists in zip(some["vec_id"], some["vector"], most, order, strict=True):
-                    enough = int(np.searchsorted(np.cumsum(count[lists]), min(k + 1, count.sum()))) + 1
-                    lists = lists[: max(model.value["probed"], enough)]
-                    n = parts[lists]
-                    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    yield pd.DataFrame({"list": np.repeat(lists, n).astype(np.int32), "part": part.astype(np.int32), "query_id": query, "most": bound, "vector": [vector] * int(n.sum())})
-
-    together_of = F.pmod(F.xxhash64("query_id"), F.lit(together)).cast("int")
-    asked = rows.where(is_query).select("vec_id", "vector").mapInPandas(probe, "list int, part int, query_id long, most double, vector array<double>").withColumn("q", together_of)
-    deal = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list") + 1)
-    dealt = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), deal).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(together - 1))))
+                enough = [int(np.searchsorted(np.cumsum(held[x]), min(k + 1, held.sum()))) + 1 for x in order]
+                some["lists"] = [x[: max(model.value["probed"], n)].astype(np.int32) for x, n in zip(order, enough, strict=True)]
+                yield some
+
+    asked = rows.where("is_query").select("vec_id", "vector", "query").mapInPandas(probe, "vec_id long, vector array<double>, query long, most double, lists array<int>")
+    asked = materialize(asked, "queries")
+    best = materialize(scanned(indexed, asked, held, width, turn, k, EPSILON), "nearest")
+    full = best.groupBy("query_id", "query").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "query")
+    short = materialize(asked.join(full, ["vec_id", "query"], "left_anti").withColumn("lists", F.array(*[F.lit(int(x)) for x in np.flatnonzero(held)]).cast("array<int>")), "queries")
+    if bounded_count(short):
+        again = scanned(indexed, short, held, width, turn, k, np.inf)
+        best = best.join(short.select(F.col("vec_id").alias("query_id"), "query"), ["query_id", "query"], "left_anti").unionByName(again)
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def scanned(indexed: DataFrame, asked: DataFrame, held: np.ndarray, width: int, turn, k: int, epsilon: float) -> DataFrame:
+    """query_id, query, rank, vec_id, score: the k best rows of the lists that each query asks for."""
+    queries = np.zeros(len(held), np.int64)
+    for row in asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect():  # one row a list
+        queries[row["list"]] = row["count"]
+    per_list = lambda numbers: F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col("list") + 1)
+    parts, groups = per_list(np.maximum(1, -(-held // BLOCK))), per_list(-(-queries // QUERIES_TOGETHER))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    left = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), parts).cast("int")).where(groups > 0).withColumn("q", upto(groups))
+    right = asked.withColumn("list", F.explode("lists")).drop("lists").withColumn("q", F.pmod(F.col("query"), groups).cast("int")).withColumn("part", upto(parts))
+    kinds = "query_id long, query long, vec_id long, copies long, score double"
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "query": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "copies": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if len(left) and len(right):
-            ids, turned, own = left["vec_id"].to_numpy(np.int64), np.stack(left["turned"].to_list()), padded(left["vector"].tolist())
+            ids, copies, turned = left["vec_id"].to_numpy(np.int64), left["copies"].to_numpy(np.int64), np.stack(left["turned"].to_list())
+            own = padded_to(width, left["vector"].tolist())
             for lo in range(0, len(right), 512):
                 some = right.iloc[lo : lo + 512]
-                query, given = some["query_id"].to_numpy(np.int64), padded(some["vector"].tolist())
-                row, q = scan(turned, turn(some["vector"].tolist()).astype(np.float32), some["most"].to_numpy())
-                other = ids[row] != query[q]
+                asking, name, given = some["vec_id"].to_numpy(np.int64), some["query"].to_numpy(np.int64), padded_to(width, some["vector"].tolist())
+                row, q = scan(turned, turn(some["vector"].tolist()).astype(np.float32), some["most"].to_numpy(), epsilon)
+                other = ids[row] != asking[q]
                 row, q = row[other], q[other]
                 score = cosine(own[row], given[q])
                 order = np.lexsort((ids[row], -score, q))
                 row, q, score = row[order], q[order], score[order]
                 first = np.flatnonzero(np.diff(q, prepend=-1))
                 place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-                kept = place < k
-                out.append(pd.DataFrame({"query_id": query[q[kept]], "vec_id": ids[row[kept]], "score": score[kept]}))
+                row, q, score = row[place < k], q[place < k], score[place < k]
+                out.append(pd.DataFrame({"query_id": asking[q], "query": name[q], "vec_id": ids[row], "copies": copies[row], "score": score}))
         return pd.concat(out)
 
-    partial = dealt.groupBy("list", "part", "q").cogroup(asked.groupBy("list", "part", "q")).applyInPandas(run, "query_id long, vec_id long, score double")
-    start = rows.where(is_query).select("vec_id", "vector").mapInPandas(first, "query_id long, vec_id long, score double")
-    return merged(partial.unionByName(start).distinct(), k)
+    partial = left.groupBy("list", "part", "q").cogroup(right.groupBy("list", "part", "q")).applyInPandas(run, kinds)
+    ranked = ranked_by_query(partial, k).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    return ranked_by_query(ranked.drop("rank", "copies", "copy"), k)
 
 
 def with_length(rows: DataFrame) -> DataFrame:

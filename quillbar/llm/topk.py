@@ -7,7 +7,9 @@ keeps its k best of the block. Partial results meet by query. Sizes of blocks bo
 
 Cases: rows without id or vector, or with a null or non-finite component, take no part; vectors of
 unequal length count as zero where they have no component (an empty one scores 0 with all); a row never
-finds rows of its own id; repeated rows are separate candidates; an empty table gives no rows.
+finds rows of its own id; repeated rows are separate candidates and one query; rows of one id with
+different vectors are queries of their own, ranked each; components and scores beyond 64 bits become the
+nearest 64-bit number (scores are summed without overflow first); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillbar.llm.common import table
-from quillbar.llm.vectors import best, clean, merged
+from quillbar.llm.vectors import best, clean, ranked_by_query
 
-CANDIDATES = 4096
+CANDIDATES, GROUP_BYTES = 4096, 32 << 20
 QUERIES_TOGETHER = 1024
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def postings(vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -36,39 +39,55 @@ def postings(vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {int(d): (row[k], weight[k]) for d, k in zip(dims, np.split(kept, first[1:]), strict=True)} if len(dims) else {}
 
 
-def score_block(ids: np.ndarray, vectors, query_ids, query_vectors, k: int) -> pd.DataFrame:
-    lists, out = postings(vectors), []
-    for query, terms in zip(query_ids, query_vectors, strict=True):
-        scores = np.zeros(len(ids), np.int64)
+def score_block(ids: np.ndarray, vectors, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    lists = postings(vectors)
+    out = [pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []}, dtype=np.int64)]
+    heaviest = max((float(np.abs(w.astype(np.float64)).max()) for _, w in lists.values()), default=0.0)
+    for query, name, terms in zip(queries["vec_id"].tolist(), queries["query"].tolist(), queries["vector"].tolist(), strict=True):
+        # Sums that might pass 64 bits are kept as Python's integers.
+        exact = heaviest * float(np.abs(np.asarray(terms, np.float64)).sum()) >= 2.0**62
+        scores = np.zeros(len(ids), object if exact else np.int64)
         for d in np.flatnonzero(terms):
             if int(d) in lists:
                 rows, weights = lists[int(d)]
-                scores[rows] += weights * int(terms[d])
+                scores[rows] += (weights.astype(object) if exact else weights) * int(terms[d])
+        if exact:
+            scores = np.array([max(LEAST, min(MOST, x)) for x in scores], np.int64)
         other = np.flatnonzero(ids != query)
         top = other[best(scores[other], ids[other], k)]
-        out.append(pd.DataFrame({"query_id": query, "vec_id": ids[top], "score": scores[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+        out.append(pd.DataFrame({"query_id": query, "query": name, "vec_id": ids[top], "score": scores[top]}))
+    return pd.concat(out)
 
 
 def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:
     """rows: vec_id long, vector array<long>. The k best other rows for each row where is_query."""
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
-    blocks, groups = max(1, -(-total["n"] // CANDIDATES)), max(1, -(-total["q"] // QUERIES_TOGETHER))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n)).cast("int")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("w")).first()
+    together = max(64, min(CANDIDATES, GROUP_BYTES // (8 * max(1, total["w"]))))
+    blocks, groups = max(1, -(-total["n"] // together)), max(1, -(-total["q"] // QUERIES_TOGETHER))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = rows.select("vec_id", "vector", dealt(blocks).alias("c"), every(groups).alias("q"))
-    asked = rows.where(is_query).select("vec_id", "vector", dealt(groups).alias("q"), every(blocks).alias("c"))
+    # A number that is drawn once deals even many copies of one row evenly to blocks.
+    candidates = rows.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("c"), every(groups).alias("q"))
+    name = F.xxhash64("vec_id", "vector")
+    asked = rows.where(is_query).select("vec_id", "vector", name.alias("query")).dropDuplicates(["vec_id", "query"])
+    asked = asked.withColumn("q", F.pmod("query", F.lit(groups)).cast("int")).withColumn("c", every(blocks))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return score_block(left["vec_id"].to_numpy(np.int64), left["vector"].tolist(), right["vec_id"].tolist(), right["vector"].tolist(), k)
+        return score_block(left["vec_id"].to_numpy(np.int64), left["vector"].tolist(), right, k)
 
-    partial = candidates.groupBy("c", "q").cogroup(asked.groupBy("c", "q")).applyInPandas(run, "query_id long, vec_id long, score long")
-    return merged(partial, k)
+    partial = candidates.groupBy("c", "q").cogroup(asked.groupBy("c", "q")).applyInPandas(run, "query_id long, query long, vec_id long, score long")
+    return ranked_by_query(partial, k).select("query_id", "rank", "vec_id", "score")
+
+
+def whole_numbers(column):
+    """floor(1024 x) of each component, as the nearest 64-bit number."""
+    edge = F.lit(2.0**63)
+    scaled = lambda x: F.floor(x * 1024)
+    return F.transform(column, lambda x: F.when(x * 1024 >= edge, F.lit(MOST)).when(x * 1024 < -edge, F.lit(LEAST)).otherwise(scaled(x).cast("long")))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     found = clean(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    rows = found.withColumn("vector", F.transform("vector", lambda x: F.floor(x * 1024).cast("long")))
+    rows = found.withColumn("vector", whole_numbers("vector"))
     return top_k(rows, F.col("vec_id") % 100 == 0, 10)
 
 

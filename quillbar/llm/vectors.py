@@ -16,11 +16,11 @@ def clean(df: DataFrame, key: str, vector: str) -> DataFrame:
     return found.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite)
 
 
-def merged(partial: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query of (query_id, vec_id, score), equal scores by smaller vec_id."""
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+def ranked_by_query(partial: DataFrame, k: int) -> DataFrame:
+    """partial (query_id, query, vec_id, score, ...) with rank: the k best rows of each query, equal scores by
+    smaller vec_id. `query` tells apart queries that share an id."""
+    order = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    return partial.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
