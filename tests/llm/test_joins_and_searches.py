@@ -100,6 +100,96 @@ def test_rows_that_share_or_lack_a_key_are_kept(spark):
     assert kept == sorted([(0, "x y z"), (0, "u v w"), (5, "a b c d e f g"), (5, "h i j k l m n"), (3, many), (7, "p q r s t u")])
 
 
+def test_partenum_agreements(family):
+    """Similar sets share as many signatures as `agreed` promises, and subsets of two cells are enumerated."""
+    rng = np.random.default_rng(5)
+    for size in (9, 40, 100, 300):
+        x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        for gone in range(0, size // 8 + 1, max(1, size // 24)):
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, gone).astype(np.uint64)]))
+            a, b = ({c: partenum.signatures(z, c, d) for c, d in partenum.bands(len(z))} for z in (x, y))
+            for c in a.keys() & b.keys():
+                assert len(set(a[c][0].tolist()) & set(b[c][0].tolist())) >= a[c][1]
+                assert len(a[c][0]) <= partenum.parts(c) == 3 * partenum.groups(c)
+    assert all(partenum.agreed(c, partenum.bound(c)) > 0 for c in range(2, 25))
+
+
+def test_jaccard_of_rows_without_key(spark):
+    """They link like others and are named by the smallest key they reach."""
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:30], "x", *base[31:]]
+    rows = [(9, " ".join(base)), (None, " ".join(near)), (None, " ".join(base)), (4, "\t".join([*base[:-1], "y"])), (None, "alone and apart"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in jaccard.jaccard_components(docs).collect())
+    assert got == sorted([(9, 56, 4), (-1, 56, 4), (-1, 56, 4), (4, 56, 4), (-1, 1, -1), (-1, 0, -1), (-1, 0, -1)])
+
+
+def test_jaccard_of_one_star_and_of_tabs(spark):
+    """Many texts around one centre that are alike in pairs only, with tabs between all words."""
+    rng = np.random.default_rng(12)
+    passage, texts = [f"p{i}" for i in range(80)], {}
+    for i in range(240):
+        own = [f"o{i // 3}-{j}" for j in range(40)]
+        own[int(rng.integers(40))] = f"r{i}"
+        texts[i] = "\t".join([*passage, *own])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == brute_components(texts)
+    ranges = jaccard._block_ranges(docs.select("text"), 5)
+    assert set(ranges) <= {6, 7}
+
+
+HOSTILE = ["whole", "doc", "row", "h", "_gone", "_removed", "_left", "removed", "left", "kept_in", "score", "lang_pred", "known", "s", "key", "at", "nokey", "piece", "text.x"]
+
+
+def hostile(spark, rows):
+    names = ", ".join(f"`{c}` string" for c in HOSTILE)
+    return spark.createDataFrame([(*r, *HOSTILE) for r in rows], f"doc_id long, text string, lang string, {names}")
+
+
+def test_pipeline_stages_with_clashing_names_nulls_and_repeats(spark, tmp_path):
+    many = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"{many}\nown line of the first", "en"), (1, "z and more words", "en"), (0, "z and more words", None), (None, many, None), (2, many, "en"), (2, many, "en"), (3, None, None), (4, "", "en"), (5, "12 ½ ② ①", None), (None, "Nothing like it", "de")]
+    docs = hostile(spark, rows)
+    stages = dict(corpus_pipeline.STAGES)
+    languages = stages["language_id"](spark, docs, "")
+    assert languages.columns == docs.columns
+    assert sorted(r.text for r in languages.collect()) == sorted(t for _, t, _ in rows if t and any(c.isalpha() for c in t))
+    left = stages["line_dedup"](spark, languages, "")
+    assert left.columns == docs.columns
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in left.collect())
+    assert got == sorted([(1, f"{many}\nown line of the first"), (0, "z and more words"), (-1, many), (-1, "Nothing like it")])
+    one = stages["near_duplicates"](spark, languages, "")
+    assert one.columns == docs.columns
+    assert {tuple(r[c] for c in HOSTILE) for r in one.collect()} == {tuple(HOSTILE)}
+    found = stages["pack"](spark, one, "").collect()
+    assert len(found) == one.count() and sorted({r.doc_id for r in found if r.doc_id is not None}) == [0, 1]
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, "")
+        assert none.count() == 0
+    docs.drop(*HOSTILE).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 4
+
+
+def test_lines_of_repeated_ids_in_the_query(spark, tmp_path):
+    near = " ".join(f"n{i}" for i in range(9))
+    rows = [(1, f"S a\nunique words\n{near} one"), (1, "z"), (0, "z"), (1, f"{near} two"), (2, f"{near} two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_lines, r.removed, r.kept_in) for r in lines.op2(spark, str(tmp_path)).collect())
+    assert len(got) == 5 and sum(len(x[2]) for x in got) == 3
+    assert (0, 1, [], []) in got and (1, 1, [0], [0]) in got and (2, 1, [0], [1]) in got
+
+
+def test_very_common_lines_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(lines, "OFTEN", 7)
+    monkeypatch.setattr(lines, "MOST_HOT", 10)
+    texts = {i: "the common line\n" + (f"own {i}" if i % 2 else "another one") for i in range(90)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc, r.pos): (r.kept_doc, r.kept_pos) for r in lines.removed_lines(docs).collect()}
+    assert got == near_lines(texts)
+
+
 def test_lines_of_rows_that_share_a_key(spark):
     line = lambda c: " ".join(f"{c}{i}" for i in range(9))
     rows = [(1, line("a")), (2, line("b") + "\n" + line("a")), (2, line("c") + "\n" + line("d") + "\n" + line("e")), (2, line("f")), (None, line("a"))]
@@ -181,15 +271,62 @@ def test_nearest_odd_inputs(spark):
 
 @pytest.mark.parametrize("times", [2, 6])
 def test_nearest_of_repeated_rows(spark, times):
+    """Every row is a candidate of its own, so copies take places; a repeated query is one query."""
     rng = np.random.default_rng(8)
     once = [(i, rng.normal(size=8).round(3).tolist()) for i in range(400)]
     rows = [(i, v, 0) for i, v in once * times]
     frame = spark.createDataFrame(rows, "vec_id long, vector array<double>, other int").repartition(4)
     want, found = cosine_oracle(once, 5, 50), {}
     for r in nearest.search(frame, F.col("vec_id") % 50 == 0, 5).collect():
-        found.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
-    assert all(sorted(found[q]) == [1, 2, 3, 4, 5] and len(set(found[q].values())) == 5 for q in want)
-    assert sum(len({j for _, j in want[q]} & set(found[q].values())) for q in want) >= 0.9 * 5 * len(want)
+        assert r["rank"] not in found.setdefault(r.query_id, {})
+        found[r.query_id][r["rank"]] = r.vec_id
+    expect = {q: [j for _, j in near for _ in range(times)][:5] for q, near in want.items()}
+    assert all(sorted(found[q]) == [1, 2, 3, 4, 5] for q in want)
+    assert sum(found[q][k + 1] == expect[q][k] for q in want for k in range(5)) >= 0.9 * 5 * len(want)
+
+
+def test_nearest_recall_without_the_sample_holding_all(spark, monkeypatch):
+    """Recall of the lists and the scan themselves: the sample holds a fraction of the rows."""
+    monkeypatch.setattr(nearest, "SAMPLE", 800)
+    rng = np.random.default_rng(21)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.uniform(-1, 1, (8000, 32)).round(4))]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(4)
+    want, found = cosine_oracle(rows, 5, 50), {}
+    for r in nearest.search(frame, F.col("vec_id") % 50 == 0, 5).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(found[q]) == 5 for q in want)
+    assert sum(len({j for _, j in want[q]} & found[q]) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_short_queries_are_scanned_again(spark, monkeypatch):
+    """A test that abandons all it can still leaves k rows a query."""
+    monkeypatch.setattr(nearest, "EPSILON", -5.0)
+    rng = np.random.default_rng(22)
+    rows = [(i, rng.normal(size=24).tolist()) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(3)
+    want, found = cosine_oracle(rows, 5, 50), {}
+    for r in nearest.search(frame, F.col("vec_id") % 50 == 0, 5).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in found.items()} == dict.fromkeys(want, 5)
+
+
+def test_queries_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = sorted((r["rank"], r.vec_id) for r in nearest.search(frame, F.col("vec_id") % 50 == 0, 5).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    whole = frame.withColumn("vector", topk.whole_numbers("vector"))
+    got = sorted((r["rank"], r.vec_id) for r in topk.top_k(whole, F.col("vec_id") % 100 == 0, 10).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_top_k_of_repeated_rows_and_huge_components(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (5, [1.0, 1.0]), (5, [1.0, 1.0]), (6, [1e300, 0.0]), (7, [-1e300, -1e300]), (8, [4e15, -4e15])]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    whole = frame.withColumn("vector", topk.whole_numbers("vector"))
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.top_k(whole, F.col("vec_id") % 100 == 0, 10).orderBy("rank").collect()]
+    a, b = 1024, 2048
+    assert got == [(1, 6, topk.MOST), (2, 5, a * a + a * b), (3, 5, a * a + a * b), (4, 8, 4096 * 10**15 * (a - b)), (5, 7, topk.LEAST)]
 
 
 def test_adaptive_scan_keeps_the_nearest():
