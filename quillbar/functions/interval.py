@@ -144,19 +144,18 @@ def time_label(text: Column) -> Column:
     """(year, month, day, hour, minute) of a chart's time label, null where it has none: `MM-DD HH:mm`,
     `MM/DD HH:mm`, `YYYY/MM/DD HH:mm`, `MM-DD`, `HH:mm`, `DD MMM`, `MMM DD`, and labels that lost their month
     (`-04 22:00`) or their minutes (`09-10 05:`). Null for anything else."""
-    words = F.filter(F.split(F.trim(text), "[ \u00a0,]+"), lambda w: w != "")
-    name = rf"(?i)^({'|'.join(MONTHS)})[^a-zA-Z]*$"
-    clock, dated = r"^(\d{1,2}):(\d{0,2})(?::\d+)?$", r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$"
-    pair, late, lone = r"^(\d{1,2})[-/](\d{1,2})$", r"^[-/](\d{1,2})$", r"^\d{1,2}$"
-    first = lambda pattern: F.get(F.filter(words, lambda w: w.rlike(pattern)), F.lit(0))
-    part = lambda pattern, i: F.regexp_extract(first(pattern), pattern, i).try_cast("int")
-    number = F.lit(None).cast("int")
-    for i, m in enumerate(MONTHS, 1):
-        number = F.when(F.lower(F.regexp_extract(first(name), name, 1)) == m, i).otherwise(number)
-    month = F.coalesce(number, part(dated, 2), part(pair, 1))
-    day = F.coalesce(part(dated, 3), part(pair, 2), part(late, 1), first(lone).try_cast("int"))
-    hour, minute = part(clock, 1), F.coalesce(part(clock, 2), F.when(part(clock, 1).isNotNull(), 0))
-    known = F.forall(words, lambda w: w.rlike(name) | w.rlike(clock) | w.rlike(dated) | w.rlike(pair) | w.rlike(late) | w.rlike(lone))
+    name = rf"(?<![a-z0-9])({'|'.join(MONTHS)})[^a-z0-9 ,]*(?=[ ,]|$)"
+    clock, dated = r"(?<![^ ,])(\d{1,2}):(\d{0,2})(?::\d+)?(?=[ ,]|$)", r"(?<![^ ,])(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?=[ ,]|$)"
+    pair, late, lone = r"(?<![^ ,])(\d{1,2})[-/](\d{1,2})(?=[ ,]|$)", r"(?<![^ ,])[-/](\d{1,2})(?=[ ,]|$)", r"(?<![^ ,])(\d{1,2})(?=[ ,]|$)"
+    low = F.lower(F.regexp_replace(F.trim(text), "[ \u00a0,]+", " "))
+    part = lambda pattern, i: F.regexp_extract(low, pattern, i).try_cast("int")
+    month_name = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(low, name, 1))
+    month = F.coalesce(F.nullif(month_name.cast("int"), F.lit(0)), part(dated, 2), part(pair, 1))
+    day = F.coalesce(part(dated, 3), part(pair, 2), part(late, 1), part(lone, 1))
+    hour = part(clock, 1)
+    minute = F.coalesce(part(clock, 2), F.when(hour.isNotNull(), 0))
+    any_part = "|".join((name, clock, dated, pair, late, lone)).replace("(?<![^ ,])", "").replace("(?<![a-z0-9])", "")
+    known = low.rlike(rf"^(?:(?:{any_part}) ?)+$")
     sound = F.coalesce(month.between(1, 12), F.lit(True)) & F.coalesce(day.between(1, 31), F.lit(True)) & F.coalesce(hour <= 23, F.lit(True)) & F.coalesce(minute <= 59, F.lit(True))
     enough = (day.isNotNull() & (month.isNotNull() | hour.isNotNull())) | hour.isNotNull()
     found = F.struct(part(dated, 1).alias("year"), month.alias("month"), day.alias("day"), hour.alias("hour"), minute.alias("minute"))

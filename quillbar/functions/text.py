@@ -133,16 +133,20 @@ def falling_length(values: Column) -> Column:
 #: Fields of a JSON document that name other records, and the kind of record they name.
 REFERENCES = {"call_id": "call", "attachment_id": "attachment", "statistics_run_id": "job", "baseline_run_id": "job", "search_run_id": "job", "job_id": "job", "session_id": "session", "set_snapshot_id": "set", "export_id": "export"}
 REFERENCE_LISTS = {"call_ids": "call", "attachments": "attachment"}
-REFERENCE_ITEMS = {"call_id": "call", "attachment_id": "attachment"}
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
 def reference_ids(body: Column) -> Column:
     """Distinct (kind, id) of the records that JSON text refers to; what is no UUID is left out."""
     single = [F.struct(F.lit(kind).alias("kind"), F.get_json_object(body, f"$.{field}").alias("id")) for field, kind in REFERENCES.items()]
-    listed = [F.transform(F.coalesce(F.from_json(F.get_json_object(body, f"$.{field}"), "array<string>"), F.array().cast("array<string>")), lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), x.alias("id"))) for field, kind in REFERENCE_LISTS.items()]
+
+    def named(values: Column, kind: str, part) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), part(x).alias("id")))
+
+    none = F.array().cast("array<string>")
+    listed = [named(F.coalesce(F.from_json(F.get_json_object(body, f"$.{field}"), "array<string>"), none), kind, lambda x: x) for field, kind in REFERENCE_LISTS.items()]
     items = F.coalesce(F.from_json(F.get_json_object(body, "$.items"), "array<struct<call_id:string,attachment_id:string>>"), F.array().cast("array<struct<call_id:string,attachment_id:string>>"))
-    inside = [F.transform(items, lambda x, f=field, kind=kind: F.struct(F.lit(kind).alias("kind"), x[f].alias("id"))) for field, kind in REFERENCE_ITEMS.items()]
+    inside = [named(items, "call", lambda x: x["call_id"]), named(items, "attachment", lambda x: x["attachment_id"])]
     every = F.concat(F.array(*single), *listed, *inside)
     known = F.filter(every, lambda x: F.coalesce(x["id"].rlike(UUID), F.lit(False)))
     return F.array_distinct(F.transform(known, lambda x: F.struct(x["kind"].alias("kind"), F.lower(x["id"]).alias("id"))))

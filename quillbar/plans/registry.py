@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillbar.plans import bar_plans, domain_plans, record_plans, set_plans  # noqa: F401  they register their queries
+from quillbar.plans import bar_plans, domain_plans, kernel_plans, record_plans, set_plans  # noqa: F401  they register their queries
 from quillbar.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
