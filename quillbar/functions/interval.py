@@ -109,11 +109,10 @@ def session_close(calls, sessions, market: Column, submitted: Column, days: Colu
     are ranked in one window; calls meet the one session whose rank they ask for."""
     from pyspark.sql import Window as W
 
-    rank = F.row_number().over(W.orderBy("day"))
-    ranked = sessions.dropDuplicates(["day"]).select("day", "close", rank.alias("_rank"))
-    following = F.lead("day").over(W.orderBy("day"))
+    ordered = W.orderBy("day")
+    ranked = sessions.dropDuplicates(["day"]).select("day", "close", F.row_number().over(ordered).alias("_rank"), F.lead("day").over(ordered).alias("_next"))
     # Every date from a session to the next has that session's rank: at most one row a calendar day.
-    until = F.coalesce(F.date_sub(following, 1), F.col("day"))
+    until = F.coalesce(F.date_sub("_next", 1), F.col("day"))
     dates = ranked.select(F.explode(F.sequence("day", until)).alias("_day"), F.col("_rank").alias("_before"))
     edge = ranked.agg(F.max("day").alias("_last"), F.max("_rank").alias("_most"))
     local = F.from_utc_timestamp(submitted.cast("timestamp"), "America/New_York").cast("date")

@@ -73,11 +73,12 @@ def ancestry(df: DataFrame, node: str, parent: str) -> DataFrame:
         further = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("level").alias("_more"))
         longer = known.where(F.col("level") == reach).join(further, "ancestor")
         longer = written(longer.select("node", F.col("_next").alias("ancestor"), (F.col("level") + F.col("_more")).alias("level")), "ancestry")
-        if longer.isEmpty():
+        deepest = longer.agg(F.max("level").alias("level")).first()["level"]
+        if deepest is None:
             return known
-        known, reach = known.unionByName(longer), reach * 2
-        if reach > nodes:
+        if deepest > nodes:
             raise ValueError("ancestry_has_a_circle")
+        known, reach = known.unionByName(longer), reach * 2
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
