@@ -71,7 +71,8 @@ def deduplicated(bars: DataFrame, priority: Column, keys: tuple[str, ...] = ("sy
 
 def valid_ohlc() -> Column:
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    return (low > 0) & (h >= low) & o.between(low, h) & c.between(low, h) & (F.col("end") > F.col("start"))
+    finite = F.forall(F.array(o, h, low, c), lambda x: ~F.isnan(x.cast("double")) & (x.cast("double") < float("inf")))
+    return finite & (low > 0) & (h >= low) & o.between(low, h) & c.between(low, h) & (F.col("end") > F.col("start"))
 
 
 def sequence_proof(trades: DataFrame, key: str = "symbol", number: str = "trade_id") -> DataFrame:

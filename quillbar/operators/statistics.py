@@ -101,11 +101,12 @@ def rule_signature(criteria: dict[str, Column], instrument: Column, market: Colu
     return digest({"criteria": rule, "instrument": instrument, "market": market, "calendar": F.lit("natural_hours"), "price_policy": F.lit("asof_last_eligible_trade")})
 
 
-def freeze(calls: DataFrame, links: DataFrame, claims: DataFrame, heads: DataFrame, filters: SampleFilters | None = None, sources: SampleSources | None = None, grouping: str = "episode_rule") -> DataFrame:
+def freeze(calls: DataFrame, links: DataFrame, claims: DataFrame, heads: DataFrame | None, filters: SampleFilters | None = None, sources: SampleSources | None = None, grouping: str = "episode_rule") -> DataFrame:
     """Members of a sample: calls with their latest episode link and claims (claim 0 where there is none),
     the head outcome of each, eligibility and representatives. Calls: call_id, submitted_at, voided and, if
     known, historical and the columns that filters name. Links: call_id, episode_id, status, created_at,
-    link_id. Claims: call_id, claim_no, signature (null: no criteria). Heads: call_id, claim_no, state.
+    link_id. Claims: call_id, claim_no, signature (null: no criteria). Heads: call_id, claim_no, state; None where
+    claims carry their state.
     Groups are episodes that are not only suggested, or calls."""
     filters, sources = filters or SampleFilters(), sources or SampleSources()
     by_episode = F.lit(grouping == "episode_rule")
@@ -117,7 +118,7 @@ def freeze(calls: DataFrame, links: DataFrame, claims: DataFrame, heads: DataFra
         cases = formation_cases(chosen, filters.playbook_id, sources).distinct().withColumn("_formed", F.lit(True))
         base, formed = base.join(cases, "call_id", "left"), F.coalesce("_formed", F.lit(False))
     base = base.withColumn("claim_no", F.coalesce("claim_no", F.lit(0)))
-    joined = base.join(heads, ["call_id", "claim_no"], "left")
+    joined = base if heads is None else base.join(heads, ["call_id", "claim_no"], "left")
     confirmed = F.lit(True)
     if sources.assessments is not None:
         joined = joined.join(sources.assessments.select("call_id", "claim_no", F.col("state").alias("processing_state")), ["call_id", "claim_no"], "left")

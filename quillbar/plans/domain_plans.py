@@ -121,8 +121,7 @@ def _members(spark, d):
     number = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*LINE)) - 1
     line = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("call_id"), number.alias("claim_no"), (F.col("l_suppkey") % 5).cast("string").alias("signature"), F.col("l_returnflag"), F.col("l_discount").alias("mfe"), F.col("l_tax").alias("mae"))
     state = F.when(F.col("l_returnflag") == "A", "realized").when(F.col("l_returnflag") == "R", "unrealized").when(F.col("l_returnflag") == "N", "pending")
-    heads = line.select("call_id", "claim_no", state.alias("state"))
-    return S.freeze(base, old.unionByName(new), line.drop("l_returnflag"), heads)
+    return S.freeze(base, old.unionByName(new), line.withColumn("state", state).drop("l_returnflag"), None)
 
 
 @query("frozen_sample", f"WITH {MEMBERS} SELECT call_id, CAST(claim_no AS INTEGER) AS claim_no, signature, state, exclusion, eligible, selected, row_number() OVER (ORDER BY submitted_at, call_id, claim_no) AS ordinal FROM f")
