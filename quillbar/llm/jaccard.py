@@ -52,8 +52,8 @@ CHUNK = 2048
 PAIRED = 128
 #: Values of low bits by which a set's features are counted.
 MOST_VALUES = 4096
-#: Rows of up to 32 bytes that may be broadcast (16 MB); beyond it joins shuffle both sides.
-MOST_BROADCAST = 500_000
+#: Rows of up to 32 bytes that may be broadcast (8 MB); beyond it joins shuffle both sides.
+MOST_BROADCAST = 250_000
 
 
 def linked(shared, a, b):
