@@ -488,3 +488,27 @@ def test_windows_of_a_streamed_series(spark, sf):
             if all(x.end == y.start for x, y in zip(part[:-1], part[1:], strict=True)):
                 want.add((s, part[0].start, part[-1].end))
     assert got == want
+
+
+def test_late_fills_rebuild_only_their_books(spark, sf):
+    f = fills(spark, sf).where("symbol in ('1', '2', '3')")
+    late = f.where("symbol = '2' and trade_id = 5")
+    got = watch.rebuilt_books(late, f.where("not (symbol = '2' and trade_id = 5)"))
+    assert got.select("symbol").distinct().count() == 1 and got.count() == f.where("symbol = '2'").count()
+
+
+def test_event_time_counts(spark, tmp_path):
+    rows = [("a", T0 + i * dt.timedelta(minutes=20)) for i in range(9)] + [("b", T0)]
+    spark.createDataFrame(rows, "k string, at timestamp_ntz").write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("k string, at timestamp_ntz").parquet(f"file://{tmp_path}/in")
+    counted = watch.event_counts(stream, "at", "k", "1 hour", "10 minutes")
+    out = f"file://{tmp_path}/out"
+    watch.incremental(counted, lambda b, n: b.write.mode("append").parquet(out), f"file://{tmp_path}/state").awaitTermination()
+    assert sorted((r.k, r.n) for r in spark.read.parquet(out).collect()) == [("a", 3), ("a", 3), ("b", 1)]
+
+
+def test_published_results_of_another_version_fail(spark):
+    sources = spark.createDataFrame([(1, 2), (2, 5)], "document_id long, version int")
+    assert retrieval.source_by_version(sources, 1, 2).count() == 1
+    with pytest.raises(Exception, match="version_mismatch"):
+        retrieval.source_by_version(sources, 1, 3).collect()
