@@ -39,7 +39,7 @@ from quillbar.llm import partenum
 from quillbar.llm.bpe import then_unload
 from quillbar.llm.common import bounded_count, framed, materialize, slices, table
 from quillbar.llm.components import components
-from quillbar.llm.words import feature_sets, mix
+from quillbar.llm.words import feature_sets, mix, word_counts
 
 WIDTH = 5
 #: Signatures for each block of signatures, and features for each block of features.
@@ -68,15 +68,29 @@ def _blocks(leading: np.ndarray, blocks: int) -> np.ndarray:
     return (((leading >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int32)
 
 
+def _band_counts(width: int):
+    """Batches of texts -> (band, sets): how many sets send signatures to each band, repeated shingles counted."""
+
+    def run(batches):
+        total = np.zeros(64, np.int64)
+        for batch in batches:
+            texts = batch.column(0)
+            for lo, hi in slices(texts, 4 << 20):
+                words = word_counts([t or b"" for t in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()])
+                n = np.maximum(4, words - (width - 1))
+                own = np.frexp(n.astype(np.float64))[1] - 1
+                total += np.bincount(np.concatenate([own, own[4 * n // 3 >= 2 << own] + 1]), minlength=64)
+        band = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(band.astype(np.int32)), pa.array(total[band])], ["band", "sets"])
+
+    return run
+
+
 def _block_ranges(source: DataFrame, width: int) -> dict[int, tuple[int, int]]:
     """(first block, blocks) of each band, so that a block holds about SIGNATURES_IN_BLOCK. A set sends to the
-    blocks of its bands only. Words are counted by the white space between them, of whichever kind."""
-    spaces = F.length("text") - F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))
-    n = F.greatest(F.lit(4), spaces + 1 - (width - 1))
-    own = F.length(F.bin(n)) - 1
-    above = F.when(F.floor(4 * n / 3) >= F.pow(F.lit(2), own + 1), own + 1)
-    sized = source.where("text is not null").select(F.explode(F.array_compact(F.array(own, above))).alias("band"))
-    rows = sorted(sized.groupBy("band").count().collect())  # a row a band
+    blocks of its bands only."""
+    counted = source.where("text is not null").select("text").mapInArrow(_band_counts(width), "band int, sets long")
+    rows = sorted(counted.groupBy("band").agg(F.sum("sets")).collect())  # a row a band
     ranges, first = {}, 0
     for band, count in rows:
         ranges[band] = (first, -(-count * partenum.parts(band) // SIGNATURES_IN_BLOCK))

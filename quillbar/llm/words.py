@@ -46,6 +46,16 @@ def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.nd
     return mix(value + length.astype(np.uint64) * _STEP), begin - first[of], end - first[of], np.bincount(of, minlength=len(texts))
 
 
+def word_counts(texts: list[bytes], between: np.ndarray = _SPACE) -> np.ndarray:
+    """Number of words of each text."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    inside = ~between[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = np.cumsum(size + 1) - size - 1
+    return np.add.reduceat(begins, first, dtype=np.int64) if len(texts) else size
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of `width` words of one text; with fewer words, of the whole as one."""
     n = len(words)
