@@ -63,7 +63,8 @@ def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:
     """rows: vec_id long, vector array<long>. The k best other rows for each row where is_query."""
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("w")).first()
     together = max(64, min(CANDIDATES, GROUP_BYTES // (8 * max(1, total["w"]))))
-    blocks, groups = max(1, -(-total["n"] // together)), max(1, -(-total["q"] // QUERIES_TOGETHER))
+    asking = max(16, min(QUERIES_TOGETHER, GROUP_BYTES // (8 * max(1, total["w"]))))
+    blocks, groups = max(1, -(-total["n"] // together)), max(1, -(-total["q"] // asking))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # A number that is drawn once deals even many copies of one row evenly to blocks.
     candidates = rows.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("c"), every(groups).alias("q"))
