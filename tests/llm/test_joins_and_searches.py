@@ -1,12 +1,17 @@
 """Operators 1, 7 and 8 and the pipeline against brute force."""
 
+import unicodedata
+import zlib
+
 import numpy as np
 import pandas as pd
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillbar.llm import jaccard, language, lines, nearest, packing, partenum, topk, vectors, words
+from quillbar.llm import jaccard, lines, nearest, partenum, topk, vectors, words
 from quillbar.llm.components import components
 from quillbar.session import table
 
@@ -358,9 +363,8 @@ def test_top_k_odd_inputs_and_brute_force(spark):
 
 def test_pipeline_equals_brute_force(spark, sf):
     docs = table(spark, sf, "documents")
-    model = language.fit(docs, language.held_out())
-    kept = {r.doc_id for r in language.predict(docs, model).where("lang_pred <> 'und'").collect()}
-    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
+    letters = lambda t: any(unicodedata.category(c)[0] == "L" for c in t or "")
+    texts = {r.doc_id: r.text for r in docs.collect() if letters(r.text)}
     gone = near_lines(texts)
     left = {}
     for d, t in texts.items():
@@ -369,9 +373,18 @@ def test_pipeline_equals_brute_force(spark, sf):
             left[d] = "\n".join(rest)
     classes = brute_components(left)
     final = {d: t for d, t in left.items() if classes[d][1] == d}
-    frame = spark.createDataFrame(list(final.items()), "doc_id long, text string")
-    want = {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in packing.packed_documents(frame).collect()}
-    got = corpus_pipeline.run(spark, sf)
-    assert {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in got.collect()} == want
+    tokenizer, want = Tokenizer.from_file(P.path("word_bpe_49k.json")), set()
+    for d, t in final.items():
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[at : at + 4096], "<u4")
+            want.add((d, k, len(part), zlib.crc32(part.tobytes())))
+    got, bins = corpus_pipeline.run(spark, sf).collect(), {}
+    assert {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        ends = [0, *(a + n for a, n in sorted(parts))]
+        assert ends[:-1] == [a for a, _ in sorted(parts)] and ends[-1] <= 4096
     for _, stage in corpus_pipeline.STAGES[:2]:
         assert stage(spark, docs, sf).columns == docs.columns
