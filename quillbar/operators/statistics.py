@@ -219,9 +219,13 @@ def confidence_calibration(records: DataFrame, outcome: str, confidence: str) ->
 def baseline_origins(claims: DataFrame, bars: DataFrame, days: int = 250) -> DataFrame:
     """For each T1 claim the closes at the same minute 1 to `days` days before it and after the horizon:
     base and end price of samples that end before submission. claims: claim_id, symbol, submitted_at,
-    horizon_hours; bars: symbol, end, close."""
-    day = F.explode(F.sequence(F.lit(1), F.lit(days)))
-    asked = claims.withColumn("day", day).withColumn("origin", F.col("submitted_at") - F.make_dt_interval(F.col("day")))
+    horizon_hours; bars: symbol, end, close. Days before a symbol's first bar are not asked for."""
+    since = bars.groupBy("symbol").agg(F.min("end").alias("_first"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    back = F.least(F.lit(days), F.floor((micros("submitted_at") - micros("_first")) / 86_400_000_000).cast("int"))
+    known = claims.join(since, "symbol").withColumn("_back", back).where("_back >= 1").drop("_first")
+    day = F.explode(F.sequence(F.lit(1), F.col("_back")))
+    asked = known.withColumn("day", day).drop("_back").withColumn("origin", F.col("submitted_at") - F.make_dt_interval(F.col("day")))
     asked = asked.withColumn("until", F.col("origin") + F.make_dt_interval(F.lit(0), F.col("horizon_hours"))).where(F.col("until") < F.col("submitted_at"))
     price = bars.select("symbol", F.col("end").alias("_at"), F.col("close"))
     first = asked.join(price, (asked["symbol"] == price["symbol"]) & (F.col("origin") == F.col("_at"))).select(asked["claim_id"], asked["symbol"], "day", "until", F.col("close").alias("base"))
