@@ -63,15 +63,22 @@ class Node:
     __slots__ = ("children", "closed", "hidden", "parts", "shown", "spans", "start", "tag")
 
     def __init__(self, tag: str, attrs=(), shown: bool = True):
-        named = dict(attrs)
-        style = {n.lower(): v.lower() for n, v in _STYLE(named.get("style") or "")}
         self.tag, self.children = tag, []
+        self.hidden, self.shown = tag in UNSEEN or tag == "dialog", shown
+        self.closed, self.start, self.parts = tag == "details", None, False  # parts: holds parts of a table around it
+        self.spans = (1, 1) if tag in ("td", "th") else None
+        if attrs:
+            self._attributes(dict(attrs))
+
+    def _attributes(self, named: dict) -> None:
+        tag, shown = self.tag, self.shown
+        style = {n.lower(): v.lower() for n, v in _STYLE(named["style"] or "")} if "style" in named else {}
         self.hidden = tag in UNSEEN or "hidden" in named or style.get("display") == "none" or (tag == "dialog" and "open" not in named)
         self.shown = style["visibility"] == "visible" if style.get("visibility") in ("visible", "hidden", "collapse") else shown
         self.closed = tag == "details" and "open" not in named
         self.start = named.get("start") if tag == "ol" else None
-        self.parts = False  # holds parts of a table around it
-        self.spans = (_span(named.get("colspan"), 1, 1000), _span(named.get("rowspan"), 0, 65534)) if tag in ("td", "th") else None
+        if self.spans:
+            self.spans = _span(named.get("colspan"), 1, 1000), _span(named.get("rowspan"), 0, 65534)
         if tag == "input" and named.get("value") and (named.get("type") or "").lower() not in _NO_TEXT:
             self.children.append(named["value"])
 
@@ -92,9 +99,13 @@ class TreeBuilder(HTMLParser):
         self.held: Counter[str] = Counter()  # open elements of each name
 
     def _cut(self, at: int) -> None:
-        self.held.subtract(x.tag for x in self.open[at:])
+        for x in self.open[at:]:
+            self.held[x.tag] -= 1
         del self.open[at:]
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not asked for
+
     def _close(self, names, barriers) -> None:
         if not any(self.held[n] for n in names):
             return
@@ -154,7 +165,7 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if _SPACE.sub("", data):
+        if data.strip(" \t\n\r\f"):
             self._leave_head()
         if self.held["svg"] and not self.held["text"] and not self.held["foreignobject"]:
             return  # SVG draws the strings of these alone
