@@ -42,6 +42,8 @@ from quillbar.llm.components import components
 from quillbar.llm.words import feature_sets, mix, word_counts
 
 WIDTH = 5
+#: Least similarity of a link.
+PERCENT = 75
 #: Signatures for each block of signatures, and features for each block of features.
 SIGNATURES_IN_BLOCK = 800_000
 FEATURES_IN_BLOCK = 1_500_000
@@ -56,8 +58,8 @@ MOST_VALUES = 4096
 MOST_BROADCAST = 250_000
 
 
-def linked(shared, a, b):
-    return 100 * shared >= 75 * (a + b - shared)
+def linked(shared, a, b, percent: int = PERCENT):
+    return 100 * shared >= percent * (a + b - shared)
 
 
 def set_name(features: np.ndarray) -> int:
@@ -98,8 +100,17 @@ def _block_ranges(source: DataFrame, width: int) -> dict[int, tuple[int, int]]:
     return ranges
 
 
-def _sketch(ranges: dict[int, tuple[int, int]], width: int):
-    """Batches of (at, no key, text) -> rows of (block, docs, signatures)."""
+def _subsets(features: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], list[int]]:
+    """PartEnum: [(band, signatures)] of a set, and how many it surely shares with a similar set in its own band and the next."""
+    found, least = [], [0, 0]
+    for band, difference in partenum.bands(len(features)):
+        signature, least[band >= len(features).bit_length()] = partenum.signatures(features, band, difference)
+        found.append((band, signature))
+    return found, least
+
+
+def _sketch(ranges: dict[int, tuple[int, int]], width: int, sign=_subsets):
+    """Batches of (at, no key, text) -> rows of (block, docs, signatures). sign: as _subsets."""
     blocks = max(1, sum(n for _, n in ranges.values()))
 
     def flush(entries, found):
@@ -135,8 +146,8 @@ def _sketch(ranges: dict[int, tuple[int, int]], width: int):
                     sizes.append(len(features))
                     if name not in met and len(features):
                         met.add(name)
-                        for band, difference in partenum.bands(len(features)):
-                            signature, least[band >= len(features).bit_length()] = partenum.signatures(features, band, difference)
+                        signed, least = sign(features)
+                        for band, signature in signed:
                             entries.append((name, band, signature))
                             held += len(signature)
                     surely.append(least)
@@ -313,7 +324,7 @@ def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     return components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
-def _possible_pairs(batches):
+def _possible_pairs(batches, percent: int = PERCENT):
     """Rows of (centre, left, right): chunks of a centre's members, left those outside its class. Pairs of different classes that the bound of step 5 does not rule out."""
     for batch in batches:
         out = []
@@ -321,7 +332,7 @@ def _possible_pairs(batches):
             x, y = ({n: np.asarray(side.values.field(n)) for n in ("s", "n", "w", "a", "root")} for side in (left, right))
             s, n, w, a, root = ((x[f][:, None], y[f][None, :]) for f in ("s", "n", "w", "a", "root"))
             most = np.minimum(*a) + np.minimum(*w)
-            ok = (root[0] != root[1]) & (s[0] != s[1]) & (7 * most >= 3 * (n[0] + n[1])) & (4 * np.minimum(*n) >= 3 * np.maximum(*n))
+            ok = (root[0] != root[1]) & (s[0] != s[1]) & ((100 + percent) * most >= percent * (n[0] + n[1])) & (100 * np.minimum(*n) >= percent * np.maximum(*n))
             before = [[[c for c in cs if c < centre] for cs in side.values.field("centres").to_pylist()] for side in (left, right)]
             number = {c: m for m, c in enumerate({c for cs in before[0] for c in cs})}
             if number and ok.any():
@@ -333,7 +344,7 @@ def _possible_pairs(batches):
             i, j = np.nonzero(ok)
             if len(i):
                 most = _most_shared(left.values.field("counts").to_pylist(), right.values.field("counts").to_pylist(), i, j)
-                able = 7 * most >= 3 * (x["n"][i] + y["n"][j])
+                able = (100 + percent) * most >= percent * (x["n"][i] + y["n"][j])
                 i, j = i[able], j[able]
             if len(i):
                 p, q = x["s"][i], y["s"][j]
@@ -345,10 +356,15 @@ def _possible_pairs(batches):
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """key, n_shingles, component_id (smallest key of the component) of every row with a key."""
+    return set_components(docs, key, text, width, PERCENT, _subsets, lambda source: _block_ranges(source, width))
+
+
+def set_components(docs: DataFrame, key: str, text: str, width: int, percent: int, sign, ranges_of) -> DataFrame:
+    """The plan above for links of `percent` among the sets that share signatures. sign: as _subranges_of(source): as _block_ranges."""
     # A row without key goes by a hash of its text.
-    at, source = F.coalesce("key", F.xxhash64("text")), docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    at, source = F.coalesce("key", F.xxhash64("text")), docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     source = source.select(at.alias("at"), F.col("key").isNull().cast("int").alias("nokey"), "text")
-    dealt = source.mapInArrow(then_unload(_sketch(_block_ranges(source, width), width)), "block int, docs binary, signatures binary")
+    dealt = source.mapInArrow(then_unload(_sketch(ranges_of(source), width, sign)), "block int, docs binary, signatures binary")
     kinds = "kind int, x long, y long, z long, nokey int, own int, above int, members array<long>"
     met = materialize(dealt.groupBy("block").applyInArrow(_meet, kinds), "meetings")
     rows = met.where("kind = 0").select(F.col("x").alias("at"), "nokey", F.when(F.col("nokey") == 0, F.col("x")).alias("key"), F.col("y").alias("s"), F.col("z").alias("n"), "own", "above")
@@ -366,18 +382,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     feature_blocks = max(8, -(-total["features"] // FEATURES_IN_BLOCK))
     parts = wanted.mapInArrow(then_unload(_features(feature_blocks, width)), "block int, features binary").groupBy("block").applyInArrow(_common, "s long, part array<long>")
     common = parts.groupBy("s").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("common"))
-    sets = materialize(common.join(passing.select("s", "n"), "s").where(4 * F.size("common") >= 3 * F.col("n")).withColumn("counts", counts_by_bits("common")), "sets")
+    sets = materialize(common.join(passing.select("s", "n"), "s").where(100 * F.size("common") >= percent * F.col("n")).withColumn("counts", counts_by_bits("common")), "sets")
 
     held = small(sets.select("s", "n", F.size("common").alias("k")))
     members = met.where("kind = 2").select(F.col("x").alias("g"), F.explode("members").alias("s")).join(held, "s")
     least = members.groupBy("g").agg(F.min_by("s", _centre_order("s", "n", "k")).alias("l"), F.count(F.lit(1)).alias("m")).where("m > 1")
     grouped = materialize(members.join(least, "g"), "groups")
     sized = held.select(F.col("s").alias("l"), F.col("n").alias("nl"), F.col("k").alias("kl"))
-    possible = "4 * least(n, nl) >= 3 * greatest(n, nl) and 7 * least(k, kl) >= 3 * (n + nl)"
+    possible = f"100 * least(n, nl) >= {percent} * greatest(n, nl) and {100 + percent} * least(k, kl) >= {percent} * (n + nl)"
     star = grouped.where("s <> l").select("l", "s", "n", "k").distinct().join(sized, "l").where(possible)
     star = materialize(star.select(F.col("l").alias("a"), F.col("s").alias("b"), _centre_order("l", "nl", "kl").alias("order")), "star")
     checked = materialize(_verified(star.groupBy("b").agg(F.min_by("a", "order").alias("a")), sets), "checked")
-    similar = lambda df: df.where(linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
+    similar = lambda df: df.where(linked(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     classes = components(similar(checked))
     rooted_as = lambda x: classes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     apart = star.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(rooted_as("a"), "a", "left").join(rooted_as("b"), "b", "left")
@@ -403,13 +419,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     labelled = open_groups.join(counted, ["l", "s"], "left").select("s", "l", "m", "root", "root_l", F.col("n").cast("long").alias("n"), a.alias("a"), (F.col("k") - a).alias("w"))
     span = materialize(labelled.groupBy("l").agg(F.max("a").alias("most_a"), F.max("w").alias("most_w"), F.min("n").alias("least_n")), "span")
     reach = F.least("a", "most_a") + F.least("w", "most_w")
-    hopeful = labelled.join(small(span), "l").where(7 * reach >= 3 * (F.col("n") + F.greatest("least_n", F.ceil(0.75 * F.col("n")))))
+    hopeful = labelled.join(small(span), "l").where((100 + percent) * reach >= percent * (F.col("n") + F.greatest("least_n", F.ceil(percent * F.col("n") / 100))))
     hopeful = hopeful.join(centres, "s").join(sets.select("s", "counts"), "s").withColumn("outside", F.col("root") != F.col("root_l"))
     chunk = F.pmod(F.xxhash64("s"), F.ceil(F.col("m") / PAIRED)).alias("c")
     members = F.collect_list(F.struct("s", "n", "w", "a", "root", "centres", "counts", "outside")).alias("right")
     chunks = materialize(hopeful.groupBy("l", chunk).agg(members).select("l", "right"), "open")
     outside = chunks.select("l", F.filter("right", lambda x: x["outside"]).alias("left")).where(F.size("left") > 0)
-    pairs = outside.join(chunks, "l").select("l", "left", "right").mapInArrow(_possible_pairs, "a long, b long").distinct()
+    pairs = outside.join(chunks, "l").select("l", "left", "right").mapInArrow(lambda batches: _possible_pairs(batches, percent), "a long, b long").distinct()
     more = _verified(pairs, sets)
     classes = _joined(classes, materialize(similar(more), "links"))
 
