@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillbar.llm import byte_bpe, html, jaccard, language, licenses, lines, minhash, nearest, packing, resampling, topk, training_order
+from quillbar.llm import byte_bpe, html, jaccard, language, licenses, lines, minhash, negatives, nearest, packing, resampling, topk, training_order
 
-MODULES = [jaccard, lines, training_order, language, packing, html, nearest, topk, licenses, byte_bpe, minhash, resampling]
+MODULES = [jaccard, lines, training_order, language, packing, html, nearest, topk, licenses, byte_bpe, negatives, minhash, resampling]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
