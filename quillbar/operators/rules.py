@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from quillbar.functions import interval
 from quillbar.functions.decimals import dec, fmt, ratio, times
+from quillbar.operators.ordered import extremes, first_reached, micros, moment
 
 STATES = ["realized", "unrealized", "pending", "insufficient_data", "not_triggered", "no_criteria"]
 CRITERIA = "struct<version:string,template:string,selected_by:string,direction:string,horizon_hours:int,threshold_ratio:string,atr_multiple:string,invalidation:string,boundary:string,boundary_kind:string,trigger:struct<kind:string,comparator:string,price:string,window_hours:int,interval_seconds:int>>"
@@ -152,36 +153,34 @@ def levels(c: dict, base: str, atr: str | None) -> dict:
     return {"threshold": None if wanted is None else fmt(wanted), "target": target, "invalidation": c.get("invalidation"), "boundary": c.get("boundary"), "trigger": (c.get("trigger") or {}).get("price")}
 
 
-#: Steps by which a search for the first price that reaches a level is narrowed.
-STEPS = ("1d", "1h")
+#: Grid by which a search for the first price that reaches a level is narrowed, and by which points are dealt.
+STEP = "1d"
 
 
-def _narrowed(asked: DataFrame, points: DataFrame, step: str) -> DataFrame:
+def _narrowed(asked: DataFrame, points: DataFrame) -> DataFrame:
     """asked: claim_id, source, symbol, lo, hi, level, up. Each search (lo, hi] becomes two at most: the rest
     of its first interval of the grid, and the first later interval whose extreme reaches the level."""
-    extremes = points.groupBy("source", "symbol", interval.floor(F.col("at"), step).alias("slot")).agg(F.max("price").alias("_max"), F.min("price").alias("_min"))
-    width, tick = F.expr(f"interval {interval.SECONDS[step]} seconds"), F.expr("interval 1 microsecond")
-    own = interval.floor(F.col("lo"), step)
-    slots = F.explode(F.sequence(own, interval.floor(F.col("hi"), step), width))
-    met = asked.where("lo < hi").withColumn("slot", slots).join(extremes, ["source", "symbol", "slot"])
+    bounds = points.groupBy("source", "symbol", interval.floor(F.col("at"), STEP).alias("slot")).agg(F.max("price").alias("_max"), F.min("price").alias("_min"))
+    width, tick = F.expr(f"interval {interval.SECONDS[STEP]} seconds"), F.expr("interval 1 microsecond")
+    own = interval.floor(F.col("lo"), STEP)
+    slots = F.explode(F.sequence(own, interval.floor(F.col("hi"), STEP), width))
+    met = asked.where("lo < hi").withColumn("slot", slots).join(bounds, ["source", "symbol", "slot"])
     met = met.where(F.when(F.col("up"), F.col("_max") >= F.col("level")).otherwise(F.col("_min") <= F.col("level")))
     kept = met.groupBy("claim_id", "source", "symbol", "lo", "hi", "level", "up").agg(F.min(F.when(F.col("slot") == own, F.col("slot"))).alias("_own"), F.min(F.when(F.col("slot") > own, F.col("slot"))).alias("_later"))
     slot = kept.withColumn("slot", F.explode(F.array_compact(F.array("_own", "_later"))))
     lo, hi = F.greatest(F.col("lo"), F.col("slot") - tick), F.least(F.col("hi"), F.col("slot") + width - tick)
-    return slot.select("claim_id", "source", "symbol", lo.alias("lo"), hi.alias("hi"), "level", "up")
+    return slot.select("claim_id", "source", "symbol", "slot", lo.alias("lo"), hi.alias("hi"), "level", "up")
 
 
 def first_reaching(asked: DataFrame, points: DataFrame) -> DataFrame:
     """claim_id, trigger_at, trigger_price of the first point of (lo, hi] that reaches the level. Extremes by day
-    and by hour narrow each search to a few hours before it meets single points. points: source, symbol, at,
-    point_id, price."""
-    for step in STEPS:
-        asked = _narrowed(asked, points, step)
-    hour = points.withColumn("slot", interval.floor(F.col("at"), STEPS[-1]))
-    found = asked.withColumn("slot", interval.floor(F.col("hi"), STEPS[-1])).join(hour, ["source", "symbol", "slot"])
-    reached = F.when(F.col("up"), F.col("price") >= F.col("level")).otherwise(F.col("price") <= F.col("level"))
-    found = found.where((F.col("at") > F.col("lo")) & (F.col("at") <= F.col("hi")) & reached)
-    return found.groupBy("claim_id").agg(F.min("at").alias("trigger_at"), F.min_by("price", F.struct("at", "point_id")).alias("trigger_price"))
+    narrow each search to two days; there points and searches stream by in order, and no search is joined with
+    points. points: source, symbol, at, point_id, price."""
+    days = _narrowed(asked, points).select("source", "symbol", "slot", F.col("claim_id").alias("question"), micros(F.col("lo")).alias("at"), micros(F.col("hi")).alias("hi"), "level", "up")
+    dealt = points.select("source", "symbol", interval.floor(F.col("at"), STEP).alias("slot"), micros(F.col("at")).alias("at"), "point_id", "price")
+    found = first_reached(dealt, days, ["source", "symbol", "slot"])
+    best = found.groupBy("question").agg(F.min(F.struct("at", "point_id", "price")).alias("first"))
+    return best.select(F.col("question").alias("claim_id"), moment(F.col("first.at")).alias("trigger_at"), F.col("first.price").alias("trigger_price"))
 
 
 def triggers(claims: DataFrame, trades: DataFrame, bars: DataFrame) -> DataFrame:
@@ -203,6 +202,30 @@ def triggers(claims: DataFrame, trades: DataFrame, bars: DataFrame) -> DataFrame
     return at_once.unionByName(first_reaching(asked.where(~F.coalesce(reached, F.lit(False))), points))
 
 
+def traded(claims: DataFrame, trades: DataFrame) -> DataFrame:
+    """claim_id, most, least of the trades (symbol, at, price) after start and not after through; claims without any have no row.
+    Whole days count by their extremes, whole hours of the first and last day likewise, and what is left of the first and last
+    hour is asked while the trades of an hour stream by."""
+    grid = lambda c, step: interval.floor(F.col(c), step)
+    known = trades.where("price is not null").select("symbol", "at", grid("at", "1h").alias("_hour"), F.col("price").cast("double").alias("price"))
+    hours = known.groupBy("symbol", "_hour").agg(F.max("price").alias("most"), F.min("price").alias("least"))
+    days = hours.groupBy("symbol", grid("_hour", "1d").alias("_day")).agg(F.max("most").alias("most"), F.min("least").alias("least"))
+    day, hour, tick = F.expr("interval 1 day"), F.expr("interval 1 hour"), F.expr("interval 1 microsecond")
+    asked = claims.where("start < through").select("claim_id", "symbol", "start", "through")
+    spread = asked.withColumn("_day", F.explode(F.sequence(grid("start", "1d"), grid("through", "1d"), day)))
+    whole = (F.col("_day") > F.col("start")) & (F.col("_day") + day - tick <= F.col("through"))
+    by_day = spread.where(whole).join(days, ["symbol", "_day"]).select("claim_id", "most", "least")
+    first, last = F.greatest(F.col("_day"), grid("start", "1h")), F.least(F.col("_day") + day - hour, grid("through", "1h"))
+    edges = spread.where(~whole).withColumn("_hour", F.explode(F.sequence(first, last, hour))).drop("_day")
+    inside = (F.col("_hour") > F.col("start")) & (F.col("_hour") + hour - tick <= F.col("through"))
+    by_hour = edges.where(inside).join(hours, ["symbol", "_hour"]).select("claim_id", "most", "least")
+    left = edges.where(~inside)
+    left = left.select("symbol", "_hour", F.col("claim_id").alias("question"), micros(F.greatest(F.col("start"), F.col("_hour") - tick)).alias("at"), micros(F.least(F.col("through"), F.col("_hour") + hour - tick)).alias("hi"))
+    points = known.select("symbol", "_hour", micros(F.col("at")).alias("at"), F.lit(0).cast("long").alias("point_id"), "price")
+    single = extremes(points, left, ["symbol", "_hour"]).select(F.col("question").alias("claim_id"), "most", "least")
+    return by_day.unionByName(by_hour).unionByName(single).groupBy("claim_id").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+
+
 def paths(claims: DataFrame, bars: DataFrame, trades: DataFrame | None = None) -> DataFrame:
     """Highest, lowest, first bar at the threshold and whether a bar crosses an edge, of the bars within
     (start, through] of each claim; trades (symbol, at, price) there extend the extremes. claims: claim_id,
@@ -237,37 +260,111 @@ def paths(claims: DataFrame, bars: DataFrame, trades: DataFrame | None = None) -
     every = parts.unionByName(full.select("claim_id", "h", "l", "n", nothing.alias("at"), no.alias("crossed")))
     every = every.unionByName(reaching.select("claim_id", none.alias("h"), none.alias("l"), zero.alias("n"), "at", no.alias("crossed")))
     if trades is not None:
-        ticks = trades.select("symbol", F.col("at").alias("_at"), F.col("price").alias("_p")).withColumn("_day", day("_at"))
-        near = spread.join(ticks, ["symbol", "_day"]).where((F.col("_at") > F.col("start")) & (F.col("_at") <= F.col("through")))
-        every = every.unionByName(near.groupBy("claim_id").agg(F.max("_p").alias("h"), F.min("_p").alias("l"), zero.alias("n"), nothing.alias("at"), no.alias("crossed")))
+        seen = traded(claims, trades)
+        every = every.unionByName(seen.select("claim_id", F.col("most").alias("h"), F.col("least").alias("l"), zero.alias("n"), nothing.alias("at"), no.alias("crossed")))
     found = every.groupBy("claim_id").agg(F.max("h").alias("h"), F.min("l").alias("l"), F.min("at").alias("threshold_at"), F.sum("n").alias("n_bars"), F.bool_or("crossed").alias("crossed"))
     out = claims.join(found, "claim_id", "left")
     return out.select("claim_id", F.greatest("base", F.coalesce("h", "base")).alias("highest"), F.least("base", F.coalesce("l", "base")).alias("lowest"), "threshold_at", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), F.coalesce("crossed", F.lit(False)).alias("crossed"))
 
 
 RESULT = T.StructType([T.StructField(n, T.StringType()) for n in ("state", "reason", "mfe", "mae", "signed_return")])
+#: Numbers of up to ten digits before the point and six after it are judged as Spark decimals, whose sums, products and ratios
+#: are exact there; verdict() judges rows that hold longer ones.
+SHORT = r"^-?[0-9]{1,10}(\.[0-9]{1,6})?$"
 
 
 @F.pandas_udf(RESULT)
 def judged(criteria: pd.DataFrame, start: pd.Series, evaluated: pd.Series, prices: pd.DataFrame, covered: pd.Series, proven: pd.Series) -> pd.DataFrame:
-    """verdict() of reduced rows; prices: base, highest, lowest, atr, end_price as text."""
-    known = lambda pdf: pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-    out = []
-    for c, p, a, b, whole, end in zip(known(criteria.drop(columns="trigger")), known(prices), [x.to_pydatetime() for x in start], [x.to_pydatetime() for x in evaluated], covered.tolist(), proven.tolist(), strict=True):
+    """verdict() of reduced rows, nulls where the template is null; prices: base, highest, lowest, atr, end_price as text."""
+    out = pd.DataFrame(None, index=range(len(start)), columns=RESULT.names, dtype=object)
+    asked = criteria["template"].notna().to_numpy().nonzero()[0]
+    known = lambda pdf: pdf.iloc[asked].astype(object).where(pdf.iloc[asked].notna(), None).to_dict("records")
+    for i, c, p in zip(asked.tolist(), known(criteria.drop(columns="trigger")), known(prices), strict=True):
         c["horizon_hours"] = None if c["horizon_hours"] is None else int(c["horizon_hours"])
-        out.append(verdict(Reduced(c, a, b, p["base"], p["highest"], p["lowest"], bool(whole), bool(end), p["atr"], p["end_price"])))
-    return pd.DataFrame(out, columns=["state", "reason", "mfe", "mae", "signed_return"])
+        found = verdict(Reduced(c, start.iloc[i].to_pydatetime(), evaluated.iloc[i].to_pydatetime(), p["base"], p["highest"], p["lowest"], bool(covered.iloc[i]), bool(proven.iloc[i]), p["atr"], p["end_price"]))
+        out.iloc[i] = [found[n] for n in RESULT.names]
+    return out
+
+
+def _with_ratios(df: DataFrame, pairs: dict[str, Column], by: Column) -> DataFrame:
+    """df with, for each name, its column / by (decimal(18,6), by positive) as text, rounded half to even at twelve places."""
+    whole = lambda x: (x * 1_000_000).cast("decimal(18,0)")
+    least, one = F.col("_by").cast("decimal(38,0)"), F.lit(10**12).cast("decimal(13,0)")
+    df = df.withColumn("_by", whole(by)).withColumns({f"_most{n}": (whole(F.abs(x)) * one).cast("decimal(38,0)") for n, x in pairs.items()})
+    df = df.withColumns({f"_rest{n}": F.col(f"_most{n}") % least for n in pairs})
+    df = df.withColumns({f"_times{n}": ((F.col(f"_most{n}") - F.col(f"_rest{n}")) / least).cast("decimal(38,0)") for n in pairs})
+    up = lambda n: (2 * F.col(f"_rest{n}") > least) | ((2 * F.col(f"_rest{n}") == least) & (F.col(f"_times{n}") % 2 == 1))
+    df = df.withColumns({f"_text{n}": (F.col(f"_times{n}") + F.when(up(n), 1).otherwise(0)).cast("decimal(38,0)").cast("string") for n in pairs})
+    sign = lambda x: F.when(x < 0, "-").otherwise("")
+    # A number of at least thirteen digits, its point before the last twelve, without what says nothing.
+    digits = lambda n: F.lpad(f"_text{n}", F.greatest(F.length(f"_text{n}"), F.lit(13)), F.lit("0"))
+    return df.withColumns({n: F.when(F.col(f"_text{n}") == "0", "0").otherwise(F.concat(sign(x), F.regexp_replace(F.regexp_replace(digits(n), r"(\d{12})$", ".$1"), r"\.?0*$", ""))) for n, x in pairs.items()})
+
+
+def _with_verdict(df: DataFrame, c: Column) -> DataFrame:
+    """df with `_v`: verdict() as a column, of rows where `_short`. Numbers, ratios and the result are projections of their own, so that
+    none is written out twice."""
+    short = lambda text: F.when(F.col("_short") & F.col("_code").isNull(), text).try_cast("decimal(18,6)")
+    wide = lambda x: x.cast("decimal(38,12)")
+    given = {"base": F.col("base"), "high": F.col("highest"), "low": F.col("lowest"), "end": F.col("end_price"), "atr": F.col("atr"), "out": c["invalidation"], "edge": c["boundary"], "share": c["threshold_ratio"], "multiple": F.coalesce(c["atr_multiple"], F.when(c["template"] == "T5", "1.5").otherwise("1"))}
+    df = df.withColumns({f"_{n}": short(text) for n, text in given.items()})
+    base, high, low, end, atr, out_of, edge, share, multiple = (F.col(f"_{n}") for n in given)
+    selling, directional = F.coalesce(c["direction"] == "S", F.lit(False)), c["template"].isin(*DIRECTIONAL)
+    df = df.withColumns({"_best": F.when(selling, base - low).otherwise(high - base), "_worst": F.when(selling, base - high).otherwise(low - base), "_gained": F.when(selling, base - end).otherwise(end - base)})
+    told = F.when(directional & (base > 0), base)
+    df = _with_ratios(df, {"_mfe": F.col("_best"), "_mae": F.col("_worst"), "_gain": F.col("_gained")}, told)
+    touched = F.coalesce(F.when(selling, high >= out_of).otherwise(low <= out_of), F.lit(False))
+    touched = touched | F.coalesce((c["template"] == "T4") & F.when(c["boundary_kind"] == "lower_floor", low <= edge).otherwise(high >= edge), F.lit(False))
+    by_ratio = directional & c["threshold_ratio"].isNotNull()
+    wanted = F.when(by_ratio, wide(base * share)).otherwise(wide(atr * multiple))
+    bad_atr = F.when(F.col("atr").isNull(), "atr_missing").when(atr <= 0, "invalid_atr")
+    won = F.when(directional, wide(F.col("_gained")) >= wanted).when(c["template"] == "T5", wide(high - low) >= wanted).otherwise(True)
+    over = F.col("evaluated_at") >= F.col("start") + F.make_dt_interval(F.lit(0), c["horizon_hours"])
+    # In the order of the contract; a reason alone means that data are insufficient.
+    steps = [
+        (c["template"] == "T0", "no_explicit_criteria"),
+        (base <= 0, "invalid_base"),
+        (F.col("evaluated_at") < F.col("start"), "invalid_evaluation_time"),
+        ((high < base) | (low > base) | (low <= 0), "invalid_aggregate"),
+        (touched, "boundary_or_invalidation_touched"),
+        (~F.col("covered"), "path_coverage_unproven"),
+        (directional & ~by_ratio & bad_atr.isNotNull(), bad_atr),
+        (~over, "observing"),
+        (directional & ~F.col("endpoint_proven"), "endpoint_unproven"),
+        (directional & F.col("end_price").isNull(), "end_price_missing"),
+        (directional & (end <= 0), "invalid_endpoint"),
+        ((c["template"] == "T5") & bad_atr.isNotNull(), bad_atr),
+    ]
+    reason = F
+    for condition, value in steps:
+        reason = reason.when(condition, value)
+    df = df.withColumns({"_reason": reason.otherwise("window_completed"), "_won": won})
+    ends = {"no_explicit_criteria": "no_criteria", "boundary_or_invalidation_touched": "unrealized", "observing": "pending"}
+    state = F.when(F.col("_reason") == "window_completed", F.when(F.col("_won"), "realized").otherwise("unrealized"))
+    for code, name in ends.items():
+        state = state.when(F.col("_reason") == code, name)
+    seen, done = F.col("_reason").isin("observing", "window_completed"), F.col("_reason") == "window_completed"
+    return df.withColumn("_v", F.struct(state.otherwise("insufficient_data").alias("state"), F.col("_reason").alias("reason"), F.when(seen, F.col("_mfe")).alias("mfe"), F.when(seen, F.col("_mae")).alias("mae"), F.when(done, F.col("_gain")).alias("signed_return")))
 
 
 def settle(reduced: DataFrame) -> DataFrame:
     """Outcomes of claims whose paths are reduced: claim_id, criteria, start, evaluated_at, base, highest,
-    lowest, atr, end_price (text), covered, endpoint_proven."""
-    code = error_code(F.col("criteria"))
+    lowest, atr, end_price (text), covered, endpoint_proven. Other columns are kept."""
+    c = F.col("criteria")
+    numbers = [F.col(n) for n in ("base", "highest", "lowest", "atr", "end_price")] + [c[n] for n in ("threshold_ratio", "atr_multiple", "invalidation", "boundary")]
+    plain = F.col("base").isNotNull() & F.col("highest").isNotNull() & F.col("lowest").isNotNull()
+    for n in numbers:
+        plain = plain & F.coalesce(n.rlike(SHORT), F.lit(True))
     prices = F.struct("base", "highest", "lowest", "atr", "end_price")
-    found = reduced.withColumn("_code", code).withColumn("_r", judged(F.col("criteria"), F.col("start"), F.col("evaluated_at"), prices, F.col("covered"), F.col("endpoint_proven")))
+    found = reduced.withColumn("_code", error_code(c)).withColumn("_short", F.col("_code").isNotNull() | plain)
+    # Rows that Spark's decimals judge go through the function as nulls.
+    found = found.withColumn("_r", judged(F.when(~F.col("_short"), c), F.col("start"), F.col("evaluated_at"), F.when(~F.col("_short"), prices), F.col("covered"), F.col("endpoint_proven")))
+    found = _with_verdict(found, c)
     bad = F.col("_code").isNotNull()
-    pick = lambda f: F.when(~bad, F.col("_r")[f])
-    return found.select("claim_id", F.when(bad, "no_criteria").otherwise(F.col("_r")["state"]).alias("state"), F.when(bad, F.col("_code")).otherwise(F.col("_r")["reason"]).alias("reason"), pick("mfe").alias("mfe"), pick("mae").alias("mae"), pick("signed_return").alias("signed_return"))
+    pick = lambda f: F.when(bad, None).when(F.col("_short"), F.col("_v")[f]).otherwise(F.col("_r")[f])
+    taken = {"criteria", "start", "evaluated_at", "base", "highest", "lowest", "atr", "end_price", "covered", "endpoint_proven", "claim_id"}
+    rest = [F.col(f"`{x}`") for x in reduced.columns if x not in taken]
+    return found.select("claim_id", *rest, F.when(bad, "no_criteria").otherwise(pick("state")).alias("state"), F.when(bad, F.col("_code")).otherwise(pick("reason")).alias("reason"), pick("mfe").alias("mfe"), pick("mae").alias("mae"), pick("signed_return").alias("signed_return"))
 
 
 def outcome_heads(outcomes: DataFrame) -> DataFrame:

@@ -41,6 +41,15 @@ def path_extremes(spark, d):
 alias("path_extremes_all", "path_extremes")
 
 
+@query("traded_extremes", """WITH c AS (SELECT event_id AS claim_id, event_type AS symbol, ts + INTERVAL 10 MINUTE AS a, ts + INTERVAL 10 MINUTE + to_hours(CAST(event_id % 60 AS INTEGER)) AS b FROM events)
+SELECT claim_id, max(value) AS most, min(value) AS least FROM c JOIN events e ON e.event_type = c.symbol AND e.ts > c.a AND e.ts <= c.b GROUP BY 1""")
+def traded_extremes(spark, d):
+    start = F.col("ts").cast(NTZ) + F.expr("interval 10 minutes")
+    through = start + F.make_dt_interval(F.lit(0), (F.col("event_id") % 60).cast("int"))
+    claims = load(spark, d, "events").select(F.col("event_id").alias("claim_id"), F.col("event_type").alias("symbol"), start.alias("start"), through.alias("through"))
+    return rules.traded(claims, ticks(spark, d))
+
+
 def _criteria(kind: str, **given):
     names = ["version", "template", "selected_by", "direction", "horizon_hours", "threshold_ratio", "atr_multiple", "invalidation", "boundary", "boundary_kind"]
     values = {"version": F.lit("criteria-v1"), "template": F.lit(kind), "selected_by": F.lit("explicit"), "horizon_hours": F.lit(24)} | given
@@ -68,7 +77,20 @@ def _triggered(e, spark, d):
     return rules.triggers(claims, ticks(spark, d), bars(spark, d))
 
 
-@query("settle")
+@query("settle", f"""{B1}, {CLAIMS}, m AS (SELECT c.*, b.high, b.low, b."start" >= c."start" AND b."end" <= c.through AS inside
+  FROM c JOIN b ON b.symbol = c.symbol AND b."end" > c."start" AND b."start" < c.through),
+g AS (SELECT claim_id, max(high) FILTER (inside) AS h, min(low) FILTER (inside) AS l, count(*) FILTER (inside) AS n, bool_or(NOT inside) AS crossed FROM m GROUP BY 1),
+r AS (SELECT c.claim_id, direction = 'S' AS short, CAST(base AS DECIMAL(18,6)) AS base, CAST(greatest(base, coalesce(h, base)) AS DECIMAL(18,6)) AS hi, CAST(least(base, coalesce(l, base)) AS DECIMAL(18,6)) AS lo,
+  coalesce(n, 0) = 24 AND NOT coalesce(crossed, false) AS covered, CAST(b."close" AS DECIMAL(18,6)) AS e
+  FROM c LEFT JOIN g USING (claim_id) LEFT JOIN b ON b.symbol = c.symbol AND b."end" = c.through),
+k AS (SELECT *, CASE WHEN base <= 0 THEN 'invalid_base' WHEN lo <= 0 THEN 'invalid_aggregate' WHEN NOT covered THEN 'path_coverage_unproven' WHEN e IS NULL THEN 'endpoint_unproven' WHEN e <= 0 THEN 'invalid_endpoint' END AS code,
+  CASE WHEN short THEN base - lo ELSE hi - base END AS best, CASE WHEN short THEN base - hi ELSE lo - base END AS worst, CASE WHEN short THEN base - e ELSE e - base END AS gained FROM r),
+u AS (SELECT *, CAST(base * 1000000 AS HUGEINT) AS by_, list_transform([best, worst, gained], lambda x: CAST(abs(x) * 1000000 AS HUGEINT) * 1000000000000) AS w FROM k),
+t AS (SELECT *, list_transform(w, lambda x: x // by_ + CASE WHEN 2 * (x % by_) > by_ OR (2 * (x % by_) = by_ AND (x // by_) % 2 = 1) THEN 1 ELSE 0 END) AS z FROM u WHERE code IS NULL),
+x AS (SELECT claim_id, list_transform([1, 2, 3], lambda i: CASE WHEN z[i] = 0 THEN '0' ELSE CASE WHEN [best, worst, gained][i] < 0 THEN '-' ELSE '' END
+  || rtrim(rtrim(CAST(z[i] // 1000000000000 AS VARCHAR) || '.' || lpad(CAST(z[i] % 1000000000000 AS VARCHAR), 12, '0'), '0'), '.') END) AS p FROM t)
+SELECT k.claim_id, CASE WHEN code IS NOT NULL THEN 'insufficient_data' WHEN gained >= base * 0.05 THEN 'realized' ELSE 'unrealized' END AS state, coalesce(code, 'window_completed') AS reason, p[1] AS mfe, p[2] AS mae, p[3] AS signed_return
+FROM k LEFT JOIN x USING (claim_id)""")
 def settle(spark, d):
     claims = _claims(load(spark, d, "events"))
     found = bars(spark, d)
