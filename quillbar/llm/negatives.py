@@ -254,10 +254,12 @@ def _searching(k: int, same: bool):
 
 def searched(trees: DataFrame, packs: DataFrame, pairs: DataFrame, k: int, same: bool) -> DataFrame:
     """query_id, query, unit, vec_id, score, rank: the k best of each query and unit. pairs (tree, pack): what meets."""
-    left = trees.select(F.col("block").alias("tree"), "body").join(pairs, "tree")
-    right = packs.withColumnRenamed("block", "pack").join(pairs, "pack")
+    # Tree and pack as one key: each side is partitioned by one of them after its join, which would count as partitioned by both.
+    cell = F.concat_ws(":", "tree", "pack").alias("cell")
+    left = trees.select(F.col("block").alias("tree"), "body").join(pairs, "tree").select(cell, "body")
+    right = packs.select(F.col("block").alias("pack"), "body", "windows").join(pairs, "pack").select(cell, "body", "windows")
     kinds = "query_id long, query long, unit long, vec_id long, score long"
-    found = left.groupBy("tree", "pack").cogroup(right.groupBy("tree", "pack")).applyInArrow(_searching(k, same), kinds)
+    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_searching(k, same), kinds)
     order = W.partitionBy("query_id", "query", "unit").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 

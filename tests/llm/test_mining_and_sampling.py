@@ -122,6 +122,25 @@ def test_negatives_equal_brute_force(spark, case, monkeypatch):
     assert got == brute_negatives(rows) and len(got) > 20
 
 
+def test_negatives_do_not_depend_on_how_blocks_meet(spark, monkeypatch):
+    """Many blocks on both sides, joined by shuffles as large tables are."""
+    rng = np.random.default_rng(10)
+    rows = [(i, int(rng.integers(0, 6)), tuple(map(int, rng.integers(-50, 51, 4)))) for i in range(3000)]
+    monkeypatch.setattr(negatives, "ROWS", 200)
+    monkeypatch.setattr(negatives, "ANCHORS", 16)
+    apart = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in apart}
+    for k, v in apart.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame(rows, "vec_id long, label long, vector array<long>")
+        got = Counter(tuple(r) for r in negatives.mined(df, F.col("vec_id") % 50 == 0).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_negatives(rows)
+
+
 def test_tree_bounds_hold_and_prune():
     rng = np.random.default_rng(2)
     v = rng.integers(-300, 301, (10, 5))[rng.integers(0, 10, 3000)] + rng.integers(-9, 10, (3000, 5))
