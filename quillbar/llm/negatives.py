@@ -4,7 +4,7 @@ Rows are dealt to partitions by ranges of their label; each partition builds bal
 node holds the centre and radius of its rows, so the inner product of a query with any of them lies within
 <q, centre> +- |q| radius. A search asks a tree for the k best rows whose score is in a window and whose label is, or is not,
 the query's: nodes whose bounds lie outside the window, whose rows are all of the wrong label, or whose upper bound is strictly
-beneath the current k-th score are pruned; what is equal to it stays, for ties. The leaf with the best bound is read first.
+beneath the current k-th score are pruned; what is equal to it stays, for ties. Leaves with the best bounds are read first.
 
 Plan: the index (a row for each tree) and the anchors (packed by label in rows of a bounded size) are written once. The first search
 joins trees and packs that have a label in common, for the positives of each anchor; the second joins trees and packs that differ in
@@ -36,6 +36,8 @@ POSITIVES, NEGATIVES = 5, 3
 LEAST, MOST = 50, 95
 #: Rows and bytes of a tree, anchors and bytes of a pack, rows of a leaf.
 ROWS, BLOCK_BYTES, ANCHORS, LEAF = 16_384, 16 << 20, 1024, 32
+#: Leaves that a query reads by itself before leaves are read for all queries together.
+FIRST_LEAVES = 3
 #: Values of a hash by which labels are counted, so that rows of a label come to the same blocks.
 BUCKETS = 4096
 SCALE = 256
@@ -105,6 +107,7 @@ class Search:
         self.score = np.full((len(of), k), -np.inf) if self.exact else np.full((len(of), k), None, object)
         self.id = np.zeros((len(of), k), np.int64)
         self.points = tree.vectors.astype(np.float64) if self.exact else None
+        self.middle = self.queries @ tree.centre.T  # anchors of a pack x nodes of a tree
 
     def kth(self) -> np.ndarray:
         return self.score[:, -1]
@@ -112,7 +115,7 @@ class Search:
     def bounds(self, unit: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(least, most score, whether the node stays) of pairs of a unit and a node."""
         q, t = self.of[unit], self.tree
-        middle = np.concatenate([np.einsum("ij,ij->i", self.queries[q[i : i + 8192]], t.centre[node[i : i + 8192]]) for i in range(0, len(unit), 8192)]) if len(unit) else np.zeros(0)
+        middle = self.middle[q, node]
         around = self.length[q] * (t.radius[node] + SLACK * t.reach[node])
         least, most = middle - around, middle + around
         own = self.labels[q]
@@ -139,27 +142,24 @@ class Search:
             best = np.lexsort((ids, -score), axis=1)[:, : self.k]
             self.score[u], self.id[u] = np.take_along_axis(score, best, 1), np.take_along_axis(ids, best, 1)
 
-    def seed(self) -> np.ndarray:
-        """Reads for each unit the leaf that it reaches by the better bound at every turn; -1 where it reaches none."""
-        unit, node = np.arange(len(self.of)), np.zeros(len(self.of), np.int64)
-        unit = unit[self.bounds(unit, node)[2]]
-        node = node[unit]
-        while len(unit) and node[0] < self.tree.leaves:
-            found = [self.bounds(unit, 2 * node + side) for side in (1, 2)]
-            value = [np.where(ok, np.minimum(most, self.high[unit]), -np.inf) for _, most, ok in found]
-            node = 2 * node + 1 + (value[1] > value[0])
-            able = np.maximum(*value) > -np.inf
-            unit, node = unit[able], node[able]
-        done = np.full(len(self.of), -1)
-        done[unit] = node
-        self.read(unit, node)
-        return done
+    def read_by(self, unit: np.ndarray, leaf: int) -> None:
+        """Rows of one leaf for many units: units of one query share its scores."""
+        t = self.tree
+        rows = slice(t.first[leaf], t.last[leaf])
+        query, of = np.unique(self.of[unit], return_inverse=True)
+        score = self.queries[query] @ self.points[rows].T
+        score[((t.labels[rows][None, :] == self.labels[query][:, None]) != self.same) | (t.ids[rows][None, :] == self.ids[query][:, None])] = -np.inf
+        score = score[of]
+        ok = (score >= np.maximum(self.low[unit], self.kth()[unit])[:, None]) & (score <= self.high[unit][:, None]) & (score > -np.inf)
+        new = np.flatnonzero(ok.any(1))
+        if len(new):
+            u, score = unit[new], np.concatenate([self.score[unit[new]], np.where(ok[new], score[new], -np.inf)], 1)
+            ids = np.concatenate([self.id[u], np.broadcast_to(t.ids[rows], (len(u), score.shape[1] - self.k))], 1)
+            best = np.lexsort((ids, -score), axis=1)[:, : self.k]
+            self.score[u], self.id[u] = np.take_along_axis(score, best, 1), np.take_along_axis(ids, best, 1)
 
-    def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unit, id, score) of what is found."""
-        if not self.exact:
-            return self.plain()
-        done = self.seed()
+    def reaching(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, leaf, most score) of what the bounds leave, level by level."""
         unit, node = np.arange(len(self.of)), np.zeros(len(self.of), np.int64)
         _, most, able = self.bounds(unit, node)
         unit, node, most = unit[able], node[able], most[able]
@@ -167,17 +167,31 @@ class Search:
             unit, node = np.repeat(unit, 2), np.stack([2 * node + 1, 2 * node + 2], 1).ravel()
             _, most, able = self.bounds(unit, node)
             unit, node, most = unit[able], node[able], most[able]
-        rest = node != done[unit]
-        unit, node, most = unit[rest], node[rest], most[rest]
-        order = np.lexsort((-most, unit))
-        unit, node, most = unit[order], node[order], most[order]
-        first = np.flatnonzero(np.diff(unit, prepend=-1))
-        at, last = first.copy(), np.append(first[1:], len(unit))
-        while len(at):  # the next best leaf of each unit
-            worth = most[at] >= self.kth()[unit[at]]
-            at, last = at[worth], last[worth]
+        return unit, node, most
+
+    def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, id, score) of what is found."""
+        if not self.exact:
+            return self.plain()
+        unit, node, most = self.reaching()
+        # The leaves with the best bounds first, so that the k-th score is known early.
+        order = np.lexsort((-np.minimum(most, self.high[unit]), unit))
+        first = np.flatnonzero(np.diff(unit[order], prepend=-1))
+        size = np.diff(np.append(first, len(order)))
+        early = np.zeros(len(unit), bool)
+        for place in range(FIRST_LEAVES):
+            at = order[first[size > place] + place]
+            at = at[most[at] >= self.kth()[unit[at]]]
             self.read(unit[at], node[at])
-            at, last = at[at + 1 < last] + 1, last[at + 1 < last]
+            early[at] = True
+        # Then leaf by leaf, for the units whose bound still reaches their k-th score.
+        rest = np.flatnonzero(~early & (most >= self.kth()[unit]))
+        rest = rest[np.lexsort((-most[rest], node[rest]))]
+        edges = np.flatnonzero(np.diff(node[rest], prepend=-1))
+        for group in sorted(np.split(rest, edges[1:]) if len(rest) else [], key=lambda g: -most[g[0]]):
+            asking = group[most[group] >= self.kth()[unit[group]]]
+            if len(asking):
+                self.read_by(np.sort(unit[asking]), node[group[0]])
         at, place = np.nonzero(self.score > -np.inf)
         return at, self.id[at, place], self.score[at, place].astype(np.int64)
 

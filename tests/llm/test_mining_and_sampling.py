@@ -151,8 +151,9 @@ def test_tree_bounds_hold_and_prune():
         inside = q @ tree.vectors[tree.first[node] : tree.last[node]].astype(np.int64).T
         least, most, _ = search.bounds(np.arange(40), np.full(40, node))
         assert (inside >= least[:, None]).all() and (inside <= most[:, None]).all()
-    read, plain = [], search.read
+    read, plain, plain_by = [], search.read, search.read_by
     search.read = lambda unit, leaf: (read.append(len(unit)), plain(unit, leaf))[1]
+    search.read_by = lambda unit, leaf: (read.append(len(unit)), plain_by(unit, leaf))[1]
     search.run()
     assert sum(read) < 40 * (len(tree.first) - tree.leaves) / 4
 
