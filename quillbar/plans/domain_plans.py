@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillbar.operators import ledger as L
+from quillbar.operators import ordered as M
 from quillbar.operators import rules, shapes
 from quillbar.operators import statistics as S
 from quillbar.plans.bar_plans import B1
@@ -14,7 +15,7 @@ from quillbar.plans.catalog import alias, query
 from quillbar.session import shared_path, written
 from quillbar.sources import files
 from quillbar.sources.fixtures import LINE, bars, calls, fills, load, ticks
-from quillbar.streaming import watch
+from quillbar.streaming import crossings, pages, watch
 
 NTZ = "timestamp_ntz"
 
@@ -388,24 +389,63 @@ def export_manifest(spark, d):
     return out.groupBy().agg(F.sum("rows").cast("long").alias("rows"))
 
 
-@query("watch_stream")
+WATCHED = """WITH e AS (SELECT event_id, event_type AS symbol, epoch_us(ts) AS at_, CAST(value AS DECIMAL(18,6)) AS p FROM events),
+z AS (SELECT symbol, max(at_) AS at_ FROM e GROUP BY 1),
+w AS (SELECT CAST(event_id AS VARCHAR) AS watch_id, e.symbol, e.at_ AS a, least(e.at_ + 200 * 3600000000, z.at_) AS b, e.at_ + 200 * 3600000000 <= z.at_ AS over, p AS base FROM e JOIN z ON e.symbol = z.symbol),
+g AS (SELECT watch_id, max(p) AS h, min(p) AS l, arg_max(p, (at_, event_id)) AS e FROM w JOIN e ON e.symbol = w.symbol AND e.at_ > a AND e.at_ <= b GROUP BY 1),
+r AS (SELECT w.watch_id, b AS through, over, base, greatest(base, coalesce(h, base)) AS hi, least(base, coalesce(l, base)) AS lo, e FROM w LEFT JOIN g ON w.watch_id = g.watch_id),
+k AS (SELECT *, CASE WHEN base <= 0 THEN 'invalid_base' WHEN lo <= 0 THEN 'invalid_aggregate' WHEN NOT over THEN 'observing' WHEN e IS NULL THEN 'endpoint_unproven' WHEN e <= 0 THEN 'invalid_endpoint' ELSE 'window_completed' END AS code FROM r),
+u AS (SELECT *, CAST(base * 1000000 AS HUGEINT) AS by_, list_transform([hi - base, lo - base, e - base], lambda x: CAST(abs(x) * 1000000 AS HUGEINT) * 1000000000000) AS v FROM k WHERE code IN ('observing', 'window_completed')),
+t AS (SELECT *, list_transform(v, lambda x: x // by_ + CASE WHEN 2 * (x % by_) > by_ OR (2 * (x % by_) = by_ AND (x // by_) % 2 = 1) THEN 1 ELSE 0 END) AS q FROM u),
+x AS (SELECT watch_id, list_transform([1, 2, 3], lambda i: CASE WHEN q[i] = 0 THEN '0' ELSE CASE WHEN [hi - base, lo - base, e - base][i] < 0 THEN '-' ELSE '' END
+  || rtrim(rtrim(CAST(q[i] // 1000000000000 AS VARCHAR) || '.' || lpad(CAST(q[i] % 1000000000000 AS VARCHAR), 12, '0'), '0'), '.') END) AS n FROM t)
+SELECT k.watch_id, through, CAST(NULL AS VARCHAR) AS error, CASE code WHEN 'observing' THEN 'pending' WHEN 'window_completed' THEN CASE WHEN e - base >= base * 0.05 THEN 'realized' ELSE 'unrealized' END ELSE 'insufficient_data' END AS state,
+  code AS reason, n[1] AS mfe, n[2] AS mae, CASE WHEN code = 'window_completed' THEN n[3] END AS signed_return FROM k LEFT JOIN x ON k.watch_id = x.watch_id"""
+
+
+@query("watch_stream", WATCHED)
 def watch_stream(spark, d):
-    """Watches over the ticks of their symbol, fed in three batches of equal spans of time; the last result of each."""
-    rows, path = watch.rows_of(_watches(spark, d), ticks(spark, d)), shared_path(spark, "trades")
-    micros = F.unix_micros(F.col("at").cast("timestamp"))
-    span = ticks(spark, d).agg(F.coalesce(F.min(micros), F.lit(0)).alias("a"), F.coalesce(F.max(micros), F.lit(0)).alias("b")).first()
+    """Watches over the ticks of their symbol, fed in three batches of equal spans of time; the last result of each. The
+    stream reads each tick and each watch once."""
+    found = ticks(spark, d).select("symbol", M.micros(F.col("at")).alias("at"), "tick_id", F.col("price").cast("decimal(18,6)").alias("price"))
+    number = F.row_number().over(W.partitionBy("symbol").orderBy("at", "tick_id")).cast("long")
+    rows = crossings.rows_of(_watches(spark, d), found.withColumn("trade_id", number))
+    ends = found.groupBy("symbol").agg(F.max("at").alias("at"))
+    rows = written(rows.unionByName(ends, allowMissingColumns=True), "watch-rows")  # where a symbol's ticks end, its live watches are asked for
+    span = rows.agg(F.coalesce(F.min("at"), F.lit(0)).alias("a"), F.coalesce(F.max("at"), F.lit(0)).alias("b")).first()
     first, second = (span["a"] + (span["b"] - span["a"]) * k // 3 for k in (1, 2))
-    out, state = shared_path(spark, "watched"), shared_path(spark, "state")
+    path, out, state = shared_path(spark, "trades"), shared_path(spark, "watched"), shared_path(spark, "state")
     # Each span of time is written by many tasks and read by one run of the stream, which goes on from its checkpoint.
     for part in (F.col("at") < first, (F.col("at") >= first) & (F.col("at") < second), F.col("at") >= second):
         rows.where(part).write.mode("append").parquet(path)
         stream = spark.readStream.schema(rows.schema).parquet(path)
         with watch.state_store(spark):
-            watch.incremental(watch.watch_stream(stream), lambda batch, number: batch.write.mode("append").parquet(out), state, "update").awaitTermination()
-    return watch.latest(spark.read.schema(watch.RESULT).parquet(out))
+            watch.incremental(crossings.reduced_watches(stream), lambda batch, number: batch.write.mode("append").parquet(out), state, "update").awaitTermination()
+    return crossings.judged_watches(crossings.latest_reduced(spark.read.schema(crossings.REDUCED).parquet(out)))
+
+
+@query("paged_trades", """WITH n AS (SELECT event_type AS symbol, event_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS trade_id FROM events)
+SELECT symbol, count(*) AS trades, max(trade_id) AS last_id, epoch_us(max(ts)) AS through, sum(CAST(value AS DECIMAL(18,6))) AS total, CAST(0 AS BIGINT) AS misplaced, count(*) AS kept FROM n GROUP BY 1""")
+def paged_trades(spark, d):
+    """Ticks cut into pages of 100 that come shuffled over three batches, some of them twice; what the gap buffer passes on. misplaced: trades
+    that were passed on in an earlier batch than one before them; kept: different trades."""
+    number = F.row_number().over(W.partitionBy("symbol").orderBy("at", "tick_id")).cast("long")
+    found = ticks(spark, d).withColumn("trade_id", number).select("symbol", "trade_id", M.micros(F.col("at")).alias("at"), F.col("price").cast("decimal(18,6)").cast("string").alias("price"))
+    turn = F.pmod(F.xxhash64("symbol", F.floor(F.col("trade_id") / 100)), F.lit(4))
+    dealt = written(found.withColumn("turn", F.explode(F.when(turn == 3, F.array(F.lit(0), F.lit(2))).otherwise(F.array(turn)))), "pages")
+    path, out, state = shared_path(spark, "pages"), shared_path(spark, "ordered"), shared_path(spark, "state")
+    for k in (2, 0, 1):
+        dealt.where(F.col("turn") == k).drop("turn").write.mode("append").parquet(path)
+        stream = spark.readStream.schema(pages.PAGE).parquet(path)
+        with watch.state_store(spark):
+            watch.incremental(pages.in_order(stream), lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out), state, once=True).awaitTermination()
+    passed = spark.read.parquet(out).where("kind = 'trade'")
+    before = F.max("batch").over(W.partitionBy("symbol").orderBy("trade_id").rowsBetween(W.unboundedPreceding, -1))
+    checked = passed.withColumn("late", F.coalesce(F.col("batch") < before, F.lit(False)))
+    return checked.groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"), F.max("trade_id").alias("last_id"), F.max("at").alias("through"), F.sum(F.col("price").cast("decimal(18,6)")).alias("total"), F.count_if("late").alias("misplaced"), F.count_distinct("trade_id").alias("kept"))
 
 
 def _watches(spark, d):
     e = load(spark, d, "events")
     criteria = F.to_json(_criteria("T1", direction=F.lit("L"), threshold_ratio=F.lit("0.05"), horizon_hours=F.lit(200)))
-    return e.select(F.col("event_id").cast("string").alias("watch_id"), F.col("event_type").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("submitted_at"), F.col("value").cast("string").alias("base"), criteria.alias("criteria"))
+    return e.select(F.col("event_id").cast("string").alias("watch_id"), F.col("event_type").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("submitted_at"), F.col("value").cast("decimal(18,6)").cast("string").alias("base"), criteria.alias("criteria"))

@@ -250,10 +250,11 @@ def publishable(results: DataFrame, coverage: DataFrame) -> DataFrame:
     return results.join(coverage, "watch_id").where(F.col("error").isNull() & (F.col("covered_through") >= F.col("through"))).drop("covered_through")
 
 
-def incremental(stream: DataFrame, apply, checkpoint: str, mode: str = "append"):
+def incremental(stream: DataFrame, apply, checkpoint: str, mode: str = "append", **trigger):
     """Runs apply(batch, number) for each micro-batch with its own checkpoint: projections that touch only
-    the books a batch holds."""
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    the books a batch holds. Ends with the rows that are there, or as `trigger` says: states with processing-time timers ask for batches
+    without end otherwise."""
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode(mode).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def advanced_books(stored: DataFrame, batch: DataFrame, key: str = "symbol") -> DataFrame:
