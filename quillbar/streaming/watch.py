@@ -1,4 +1,4 @@
-"""Live watches: one constant-size state an assessment, fed by contiguous trades.
+"""Live watches: one constant-size state an assessment, fed by contiguous trades or bars. crossings.py keeps all watches of a symbol together.
 
 The state is kept by transformWithStateInPandas; the reduction and the verdict are those of the batch.
 """
@@ -13,7 +13,6 @@ from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StringType, StructField, StructType
@@ -219,24 +218,6 @@ def timed_watch_stream(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
     return timed.groupBy("watch_id").transformWithStateInPandas(TimedWatchProcessor(), RESULT, "Update", "EventTime")
 
 
-def rows_of(watches: DataFrame, trades: DataFrame) -> DataFrame:
-    """Input rows of the processor: each watch (watch_id, symbol, submitted_at, base, criteria) with the
-    trades (symbol, tick_id, at, price) of its symbol from its submission to its latest deadline, numbered
-    without gap, and one row without trade where the trades or the deadline end. Watches and trades meet by day."""
-    day = lambda micros: F.floor(micros / (24 * HOUR))
-    number = F.row_number().over(W.partitionBy("symbol").orderBy("at", "tick_id"))
-    numbered = trades.select("symbol", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), number.cast("long").alias("trade_id"), F.col("price").cast("string").alias("price"))
-    hours = F.from_json("criteria", "horizon_hours int, trigger struct<window_hours:int>")
-    last = F.col("submitted_at") + (F.coalesce(hours["horizon_hours"], F.lit(0)) + F.coalesce(hours["trigger"]["window_hours"], F.lit(0))) * F.lit(HOUR)
-    dealt = watches.withColumn("_last", last).withColumn("_day", F.explode(F.sequence(day(F.col("submitted_at")), day(F.col("_last")))))
-    met = dealt.join(numbered.withColumn("_day", day(F.col("at"))), ["symbol", "_day"]).where((F.col("at") >= F.col("submitted_at")) & (F.col("at") <= F.col("_last")))
-    found = met.select("watch_id", "at", "trade_id", "price", "criteria", "submitted_at", "base")
-    ends = numbered.groupBy("symbol").agg(F.max("at").alias("_end"))
-    closing = watches.withColumn("_last", last).join(ends, "symbol").where(F.col("_end") >= F.col("submitted_at"))
-    none = [F.lit(None).cast("long").alias("trade_id"), F.lit(None).cast("string").alias("price")]
-    return found.unionByName(closing.select("watch_id", F.least("_last", "_end").alias("at"), *none, "criteria", "submitted_at", "base"))
-
-
 def latest(results: DataFrame) -> DataFrame:
     """The last result of each watch; an error stops it where it stands."""
     rest = [c for c in results.columns if c not in ("watch_id", "through")]
