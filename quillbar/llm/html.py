@@ -10,6 +10,11 @@ browsers do. Tables are laid out from the innermost outwards, at any depth. One
 Visibility: attributes (hidden, style with display or visibility, open of dialog and details) decide, and
 `visibility: visible` shows again what an element around it hides; style sheets are not evaluated.
 
+Text is what a browser takes for text: an open comment or tag at the end of a page shows nothing, textarea, xmp and plaintext
+show their tags as text, list items count by start, value, reversed and type. Columns are as wide as their text on a screen of fixed
+width (wide characters count two, combining ones none); a column without text has no width, and a table whose alignment would be
+more than PADDED times its text is shown without it, so a page's text is at most a small multiple of its html.
+
 Cases: null html gives null text; empty or tagless html gives its own text; markup nested to any depth
 is walked with an explicit stack; repeated rows give repeated results; an empty table gives no rows;
 other columns are dropped first.
@@ -17,7 +22,10 @@ other columns are dropped first.
 
 from __future__ import annotations
 
+import html as entities
 import re
+import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -57,15 +65,51 @@ _STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I).fin
 #: Kinds of input whose value is no text on the screen.
 _NO_TEXT = frozenset("hidden checkbox radio password file image color range".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+#: Elements whose content is text, with character references but for the last two.
+TEXT_ONLY = frozenset("textarea title xmp plaintext".split())
+_COMMENT_END, _TAG_BEGIN = re.compile(r"--!?>"), re.compile(r"<[A-Za-z/!?]")
+#: Most characters of an aligned table for each character and cell of it.
+PADDED = 16
+# Roman numerals.
+_ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+
+
+def _numeral(n: int, kind: str) -> str:
+    """The marker of item n of a list of type 1, a, A, i or I."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, rest = divmod(n - 1, 26)
+            out = chr(ord(kind) + rest) + out
+        return out
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, letters in _ROMAN:
+            out += letters * (n // value)
+            n %= value
+        return out.upper() if kind == "I" else out
+    return str(n)
+
+
+def columns_wide(line: str) -> int:
+    """Columns that a line takes on a screen of fixed width."""
+    if line.isascii():
+        return len(line)
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.combining(c) else 1 for c in line)
+
+
+def _whole(value: str | None) -> int | None:
+    return int(value) if value and re.fullmatch(r"\s*[+-]?\d{1,9}\s*", value) else None
 
 
 class Node:
-    __slots__ = ("children", "closed", "hidden", "parts", "shown", "spans", "start", "tag")
+    __slots__ = ("children", "closed", "hidden", "kind", "parts", "shown", "spans", "start", "step", "tag")
 
     def __init__(self, tag: str, attrs=(), shown: bool = True):
         self.tag, self.children = tag, []
         self.hidden, self.shown = tag in UNSEEN or tag == "dialog", shown
         self.closed, self.start, self.parts = tag == "details", None, False  # parts: holds parts of a table around it
+        self.kind, self.step = None, 1
         self.spans = (1, 1) if tag in ("td", "th") else None
         if attrs:
             self._attributes(dict(attrs))
@@ -76,10 +120,13 @@ class Node:
         self.hidden = tag in UNSEEN or "hidden" in named or style.get("display") == "none" or (tag == "dialog" and "open" not in named)
         self.shown = style["visibility"] == "visible" if style.get("visibility") in ("visible", "hidden", "collapse") else shown
         self.closed = tag == "details" and "open" not in named
-        self.start = named.get("start") if tag == "ol" else None
+        if tag in ("ol", "li"):
+            self.start = _whole(named.get("start" if tag == "ol" else "value"))
+            self.kind = named["type"] if named.get("type") in ("1", "a", "A", "i", "I") else None
+            self.step = -1 if "reversed" in named else 1
         if self.spans:
             self.spans = _span(named.get("colspan"), 1, 1000), _span(named.get("rowspan"), 0, 65534)
-        if tag == "input" and named.get("value") and (named.get("type") or "").lower() not in _NO_TEXT:
+        if tag == "input" and self.shown and named.get("value") and (named.get("type") or "").lower() not in _NO_TEXT:
             self.children.append(named["value"])
 
 
@@ -106,6 +153,14 @@ class TreeBuilder(HTMLParser):
     def updatepos(self, i, j):
         return j  # line numbers are not asked for
 
+    def parse_comment(self, i, report=1):
+        raw = self.rawdata
+        for empty in (">", "->"):
+            if raw.startswith(empty, i + 4):
+                return i + 4 + len(empty)
+        end = _COMMENT_END.search(raw, i + 4)
+        return end.end() if end else len(raw)  # an open one takes the rest of the page
+
     def _close(self, names, barriers) -> None:
         if not any(self.held[n] for n in names):
             return
@@ -146,6 +201,8 @@ class TreeBuilder(HTMLParser):
         if tag not in VOID:
             self.open.append(node)
             self.held[tag] += 1
+        if tag in TEXT_ONLY:
+            self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -165,6 +222,8 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1].tag in ("textarea", "title") and self.cdata_elem:
+            data = entities.unescape(data)
         if data.strip(" \t\n\r\f"):
             self._leave_head()
         if self.held["svg"] and not self.held["text"] and not self.held["foreignobject"]:
@@ -253,36 +312,69 @@ def _cells(table_node: Node) -> tuple[list[list[Node]], list[Node], list[Node |
     return [r for r in rows if r], captions, before, after
 
 
-def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Lines of a table. rows: (lines, columns, rows) of each cell."""
-    placed, busy, width = [], {}, Counter()
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """(first column, columns, lines) of the cells of each row, beside what rows above hold. Columns that are held are
+    intervals (first, end, last row), in order, and those that hold alike are one."""
+    placed, held = [], []
     for r, row in enumerate(rows):
-        at, cells = 0, []
+        held = [x for x in held if x[2] >= r]
+        at, cells, fresh, i = 0, [], [], 0
         for lines, across, down in row:
-            while busy.get(at, -1) >= r:
-                at += 1
+            while i < len(held) and held[i][0] <= at:
+                at = max(at, held[i][1])
+                i += 1
             cells.append((at, across, lines))
             if down != 1:
-                busy |= dict.fromkeys(range(at, at + across), r + down - 1 if down else len(rows))
+                fresh.append((at, at + across, r + down - 1 if down else len(rows)))
             at += across
         placed.append(cells)
+        if fresh:
+            merged = []
+            for x in sorted(held + fresh):
+                if merged and merged[-1][2] == x[2] and merged[-1][1] >= x[0]:
+                    merged[-1] = (merged[-1][0], max(merged[-1][1], x[1]), x[2])
+                else:
+                    merged.append(x)
+            held = merged
+    return placed
+
+
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table. rows: (lines, columns, rows) of each cell."""
+    placed = _placed(rows)
+    # Columns in which some text begins; others have no width. A cell has those within its span.
+    begins = sorted({at for cells in placed for at, _, lines in cells if any(lines)})
+    cells_of = [[(bisect_left(begins, at), bisect_left(begins, at + across), lines) for at, across, lines in cells] for cells in placed]
+    width = [0] * len(begins)
     for wide in (False, True):  # cells that span columns widen the last of them if they must
-        for cells in placed:
-            for at, across, lines in cells:
-                if (across > 1) == wide:
-                    need = max(map(len, lines), default=0) - sum(width[at + i] + 3 for i in range(across - 1))
-                    width[at + across - 1] = max(width[at + across - 1], need)
+        for cells in cells_of:
+            for a, b, lines in cells:
+                if b > a and (b - a > 1) == wide and any(lines):
+                    need = max(map(columns_wide, lines)) - sum(width[a : b - 1]) - 3 * (b - a - 1)
+                    width[b - 1] = max(width[b - 1], need)
+    before = [0]
+    for w in width:
+        before.append(before[-1] + w + 3)
+    height = [max((len(lines) for _, _, lines in cells), default=0) for cells in cells_of]
+    said = sum(len(x) + 1 for cells in cells_of for _, _, lines in cells for x in lines)
+    last = [max((b for _, b, lines in cells if any(lines)), default=0) for cells in cells_of]
+    padded = sum(h * before[b] for h, b in zip(height, last, strict=True)) <= PADDED * (said + sum(map(len, cells_of))) + 4096
     out = []
-    for cells in placed:
-        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
+    for cells, tall in zip(cells_of, height, strict=True):
+        for i in range(tall):
             parts, free = [], 0
-            for at, across, lines in cells:
-                parts += [" " * width[c] for c in range(free, at)]
-                free = at + across
-                whole = sum(width[c] for c in range(at, free)) + 3 * (across - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(whole))
-            if (line := " | ".join(parts).rstrip()).strip(" |"):
-                out.append(line)
+            for a, b, lines in cells:
+                line = lines[i] if i < len(lines) else ""
+                if not padded:
+                    parts += [line] if line else []
+                elif b > free:
+                    parts += [" " * w for w in width[free:a]]
+                    a, free = max(a, free), b
+                    parts.append(line + " " * (before[b] - before[a] - 3 - columns_wide(line)))
+                elif line:
+                    parts.append(line)  # over a column that another cell holds
+            if (text := " | ".join(parts).rstrip()).strip(" |"):
+                out.append(text)
     return out
 
 
@@ -344,12 +436,15 @@ def render(nodes: list, laid: dict[int, tuple]) -> list[str]:
             page.end()
             page.blank |= tag in SPACED and not (tag in ("ul", "ol") and lists)
             if tag in ("ul", "ol"):
-                first = int(node.start) if node.start and re.fullmatch(r"-?\d{1,9}", node.start) else 1
-                lists.append([tag, first])
+                first = node.start
+                if first is None:
+                    first = 1 if node.step > 0 else sum(not isinstance(x, str) and x.tag == "li" and not x.hidden for x in node.children)
+                lists.append([tag, first, node.kind or "1", node.step])
             elif tag == "li":
-                kind = lists[-1] if lists else ["ul", 1]
-                page.marker = "  " * max(0, len(lists) - 1) + ("- " if kind[0] == "ul" else f"{kind[1]}. ")
-                kind[1] += 1
+                kind = lists[-1] if lists else ["ul", 1, "1", 1]
+                kind[1] = kind[1] if node.start is None else node.start
+                page.marker = "  " * max(0, len(lists) - 1) + ("- " if kind[0] == "ul" else f"{_numeral(kind[1], node.kind or kind[2])}. ")
+                kind[1] += kind[3]
             elif tag in ("pre", "textarea"):
                 pre += 1
             stack.append((node, True))
@@ -374,7 +469,9 @@ def _laid_out(table_node: Node, laid: dict[int, tuple]) -> tuple[list[str], list
 
 def extract(html: str) -> str:
     builder = TreeBuilder()
-    builder.feed(html)
+    # A tag that nothing ends shows nothing.
+    open_tag = _TAG_BEGIN.search(html, html.rfind(">") + 1)
+    builder.feed(html[: open_tag.start()] if open_tag else html)
     builder.close()
     laid: dict[int, tuple] = {}
     for node in reversed(_tables(builder.root)):  # the innermost first
