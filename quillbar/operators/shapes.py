@@ -270,24 +270,41 @@ def _nearest_of_slice(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     kinds = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"id {rows.schema['id'].dataType.simpleString()}", "distance double"]
 
     def run(batches):
+        by_model = {}
+        for q in shared.value:
+            by_model.setdefault((q["model"], len(q["embedding"])), []).append(q)
+        asks = {m: np.array([q["embedding"] for q in own], np.float64) for m, own in by_model.items()}
+        best = {}  # query -> ids and distances of its k best rows of this partition
         for pdf in batches:
-            data = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
-            size = np.sqrt((data * data).sum(1))
-            for q in shared.value:
-                vector = np.asarray(q["embedding"], np.float64)
-                ok = (pdf["model"] == q["model"]).to_numpy(bool) & (size > 0) & ~pdf["id"].isin(q.get("excluded") or []).to_numpy(bool)
-                for name in ("market", "symbol"):
-                    if q.get(name) is not None:
-                        ok &= (pdf[name] == q[name]).to_numpy(bool)
-                if q.get("cutoff") is not None:
-                    ok &= (pdf["end"] <= q["cutoff"]).to_numpy(bool)
-                at = np.flatnonzero(ok)
-                distance = 1 - data[at] @ vector / (size[at] * np.sqrt(vector @ vector))
-                ids = pdf["id"].to_numpy()[at]
-                first = np.lexsort((ids, distance))[:k]
-                yield pd.DataFrame({"query_id": [q["query_id"]] * len(first), "id": ids[first], "distance": distance[first]})
-
-    found = rows.select("id", "embedding", "model", "market", "symbol", "end").mapInPandas(run, ", ".join(kinds))
+            if not len(pdf):
+                continue
+            for (model, width), part in pdf.groupby(["model", pdf["embedding"].map(len)]):
+                if (model, width) not in by_model:
+                    continue
+                data, ids, end = np.array(part["embedding"].tolist(), np.float64), part["id"].to_numpy(), part["end"]
+                size = np.sqrt((data * data).sum(1))
+                near = data @ asks[model, width].T / np.where(size > 0, size, np.inf)[:, None]  # rows x queries, one product
+                for n, q in enumerate(by_model[model, width]):
+                    ok = (size > 0) & ~np.isin(ids, q.get("excluded") or [])
+                    for name in ("market", "symbol"):
+                        if q.get(name) is not None:
+                            ok &= (part[name] == q[name]).to_numpy(bool)
+                    if q.get("cutoff") is not None:
+                        ok &= (end <= q["cutoff"]).to_numpy(bool)
+                    at = np.flatnonzero(ok)
+                    if len(at) > k:  # what a product may confuse with the k-th stays
+                        at = at[near[at, n] >= np.partition(near[at, n], len(at) - k)[len(at) - k] - 1e-9 * abs(near[at, n]).max()]
+                    vector = asks[model, width][n]
+                    distance = 1 - (data[at] * vector).sum(1) / (size[at] * np.sqrt((vector * vector).sum()))
+                    old = best.get(q["query_id"], (ids[:0], np.zeros(0)))
+                    both = np.concatenate([old[0], ids[at]]), np.concatenate([old[1], distance])
+                    first = np.lexsort(both)[:k]
+                    best[q["query_id"]] = both[0][first], both[1][first]
+        for name, (found, distance) in best.items():
+            if len(found):
+                yield pd.DataFrame({"query_id": [name] * len(found), "id": found, "distance": distance})
+
+    found = rows.where("embedding is not null").select("id", "embedding", "model", "market", "symbol", "end").mapInPandas(run, ", ".join(kinds))
     order = W.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

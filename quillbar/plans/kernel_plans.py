@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillbar.functions import decimals, interval, text
 from quillbar.operators import bars as B
-from quillbar.operators import ledger, records, retrieval, shapes
+from quillbar.operators import ledger, records, retrieval, shapes, text_index, vector_index
 from quillbar.operators import relational as R
 from quillbar.operators import statistics as S
 from quillbar.plans.bar_plans import DAY
 from quillbar.plans.catalog import query
+from quillbar.session import shared_path
 from quillbar.sources.fixtures import bars, load
 
 NTZ = "timestamp_ntz"
@@ -350,3 +354,58 @@ def recall_distances(spark, d):
     first = found.orderBy("id").select("embedding").first()  # one query vector
     chosen, _ = shapes.public_candidates(found, first["embedding"] if first else [0.0] * 192, 64, ["symbol"], F.lit(1 << 60))
     return chosen.select("symbol", "id", F.round("score", 6).alias("score"))
+
+
+PHRASES = ["a", "th", "ing", "The ", "100%", "_", "ing of the", "über", "是", "xqzzkv", "nd onanor the ntanti reound"]
+
+
+@query("literal_index", "SELECT p AS phrase, doc_id FROM documents, (SELECT unnest([" + ", ".join("'" + p + "'" for p in PHRASES) + "]) AS p) WHERE contains(lower(text), lower(p))")
+def literal_index(spark, d):
+    """Documents that hold each of several phrases, found by the index of their grams."""
+    docs, path = load(spark, d, "documents"), shared_path(spark, "grams")
+    text_index.add(docs, path, "doc_id", "text")
+    parts = [text_index.search(docs, path, p, "doc_id", "text").select(F.lit(p).alias("phrase"), "doc_id") for p in PHRASES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _descriptors(spark, d):
+    """Vectors as chart descriptors of two models: the whole vector, and its first half."""
+    e = load(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("market"), F.concat(F.lit("S"), F.col("vec_id") % 3).alias("symbol"), F.col("vec_id").alias("end"))
+    return e.withColumn("model", F.lit("whole")).unionByName(e.withColumn("embedding", F.slice("embedding", 1, 32)).withColumn("model", F.lit("half")))
+
+
+def _charts_asked(rows):
+    """Every hundredth row as a query of both models: open, of its symbol, and of its market up to a cutoff."""
+    asked = rows.where("id % 100 = 0").withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    own = lambda k, column: F.when(F.col("kind") == k, F.col(column))
+    name = F.concat_ws(":", "model", "kind", "id").alias("query_id")
+    return asked.select(name, "embedding", "model", own(2, "market").alias("market"), own(1, "symbol").alias("symbol"), F.when(F.col("kind") == 2, F.col("id") + 300).alias("cutoff"), F.array("id").alias("excluded"))
+
+
+@query("chart_index", """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS VARCHAR) AS market, 'S' || (vec_id % 3) AS symbol FROM embeddings WHERE embedding IS NOT NULL),
+v AS (SELECT *, 'whole' AS model FROM e UNION ALL SELECT id, e[1:32], market, symbol, 'half' FROM e),
+q AS (SELECT v.*, kind, model || ':' || kind || ':' || id AS query_id FROM v, (SELECT unnest([0, 1, 2]) AS kind) WHERE id % 100 = 0),
+s AS (SELECT query_id, v.id, 1 - list_cosine_similarity(v.e, q.e) AS distance FROM q JOIN v ON v.model = q.model AND v.id <> q.id AND (kind <> 1 OR v.symbol = q.symbol) AND (kind <> 2 OR (v.market = q.market AND v.id <= q.id + 300)))
+SELECT query_id, id, round(distance, 9) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS "rank" FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 20""")
+def chart_index(spark, d):
+    """Two-stage search of the stored index, appended in two blocks: 3,000 candidates of each query sorted exactly."""
+    rows, path = _descriptors(spark, d), shared_path(spark, "charts")
+    vector_index.create(rows.where("id % 2 = 0"), path)
+    for part in (0, 1):
+        vector_index.add(rows.where(F.col("id") % 2 == part), path)
+    found = vector_index.search(_charts_asked(rows), path, 20)
+    return found.select("query_id", "id", F.round("distance", 9).alias("distance"), "rank")
+
+
+@query("chart_recall")
+def chart_recall(spark, d):
+    """Share of the 20 exactly nearest rows that the index finds with a tenth of the rows as candidates (200 at least), by model and filter."""
+    rows, path = _descriptors(spark, d), shared_path(spark, "charts")
+    vector_index.create(rows, path)
+    vector_index.add(rows, path)
+    asked = _charts_asked(rows)
+    pool = max(200, rows.count() // 20)  # rows are those of two models
+    found = vector_index.search(asked, path, 20, pool=pool).select("query_id", "id", F.lit(1).alias("hit"))
+    exact = shapes.nearest_of_many(rows, asked, 20).select("query_id", "id")
+    both = exact.join(found, ["query_id", "id"], "left")
+    return both.groupBy(F.split("query_id", ":")[0].alias("model"), F.split("query_id", ":")[1].alias("kind")).agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"), F.count(F.lit(1)).alias("n"))
