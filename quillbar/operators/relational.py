@@ -5,10 +5,12 @@ from __future__ import annotations
 import bisect
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillbar.operators.folds import folded, numbered
 from quillbar.session import written
@@ -44,12 +46,20 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: li
     return both.where("_side = 1").drop("_side")
 
 
+#: Widest and narrowest slot, in seconds, by which points and spans meet.
+SLOTS = (60, 86_400)
+
+
 def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Points inside spans [start, end] of the same key; spans are spread over days, so that a key with
-    many spans meets only those of the point's day."""
-    day = lambda c: F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
-    dealt = spans.withColumn("_day", F.explode(F.sequence(day(F.col("start")), day(F.col("end")))))
-    return points.withColumn("_day", day(F.col(at))).join(dealt, [*keys, "_day"]).where((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end"))).drop("_day")
+    """Points inside spans [start, end] of the same key. Both meet by slots of time as wide as the longest span, a minute at least and a
+    day at most, so a span lies in two slots or, if it is longer than a day, in those of its days."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    longest = spans.agg(F.max(micros(F.col("end")) - micros(F.col("start"))).alias("m")).first()["m"] or 0
+    width = min(max(-(-longest // 1_000_000), SLOTS[0]), SLOTS[1]) * 1_000_000
+    slot = lambda c: F.floor(micros(c) / width)
+    known = spans.where(F.col("start") <= F.col("end"))
+    dealt = known.withColumn("_slot", F.explode(F.sequence(slot(F.col("start")), slot(F.col("end")))))
+    return points.withColumn("_slot", slot(F.col(at))).join(dealt, [*keys, "_slot"]).where((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end"))).drop("_slot")
 
 
 def either(left: DataFrame, right: DataFrame, first: tuple[str, str], second: tuple[str, str], distinct: list[str]) -> DataFrame:
@@ -151,35 +161,65 @@ def diversity_cap(ranked: DataFrame, keys: list[str], order: list, most: int) ->
     return ranked.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
+#: Rows of a key that a block of time holds on average, if its spans are not wider.
+BLOCK_ROWS = 20_000
+
+
+def _decided(start: np.ndarray, end: np.ndarray, inside: np.ndarray, conflict) -> np.ndarray:
+    """1 kept, 0 undecided, -1 dropped, of the rows of a block, best first. A row stays if no better one that is kept or undecided
+    conflicts with it; whether rows beyond the block do is known of those inside only."""
+    out, widest = np.zeros(len(start), np.int8), (end - start).max()
+    near = {1: ([], []), 0: ([], [])}  # sorted starts, with the end of each beside it
+    for i in range(len(start)):
+        lo, hi = start[i] - widest, max(end[i], start[i] + widest)
+        for state, (starts, ends) in near.items():
+            a, b = bisect.bisect_left(starts, lo), bisect.bisect_right(starts, hi)
+            if any(conflict(start[i], end[i], x, y) for x, y in zip(starts[a:b], ends[a:b], strict=True)):
+                out[i] = -1 if state else 0
+                break
+        else:
+            out[i] = 1 if inside[i] else 0
+        if out[i] >= 0:
+            starts, ends = near[int(out[i])]
+            at = bisect.bisect_left(starts, start[i])
+            starts.insert(at, start[i])
+            ends.insert(at, end[i])
+    return out
+
+
 def _suppressed(ranked: DataFrame, keys: list[str], conflict) -> DataFrame:
-    """Greedy, best first: a row stays unless it conflicts with a kept one. Rows can conflict only if their
-    spans, widened by half, overlap; stretches of time that no widened span bridges are groups of their own, so
-    a key with very many rows is many small groups. conflict(start, end, starts, ends): of one row with others."""
-    half = (F.col("end") - F.col("start")) / 2
-    reach = F.greatest(F.col("end"), F.col("start") + half)
-    order = W.partitionBy(*keys).orderBy(F.col("start") - half, reach)
-    before = F.max(reach).over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.when(before.isNull() | (F.col("start") - half > before), 1).otherwise(0)
-    stretch = F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    dealt = ranked.withColumn("_fresh", fresh).withColumn("_stretch", stretch).drop("_fresh")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        start, end = rows["start"].to_numpy(), rows["end"].to_numpy()
-        widest = (end - start).max()
-        kept: list[int] = []
-        starts: list = []  # sorted, with the end of each beside it
-        ends: list = []
-        for i in range(len(rows)):
-            lo, hi = bisect.bisect_left(starts, start[i] - widest), bisect.bisect_right(starts, max(end[i], start[i] + widest))
-            if not any(conflict(start[i], end[i], a, b) for a, b in zip(starts[lo:hi], ends[lo:hi], strict=True)):
-                at = bisect.bisect_left(starts, start[i])
-                starts.insert(at, start[i])
-                ends.insert(at, end[i])
-                kept.append(i)
-        return rows.iloc[kept].drop(columns="_stretch")
-
-    return dealt.groupBy(*keys, "_stretch").applyInPandas(run, ranked.schema)
+    """Greedy, best first: a row stays unless it conflicts with a kept one, which only rows do whose starts are less than the
+    widest span of the key apart. Rounds over blocks of time, shifted by half a block each time: a block decides the rows that
+    depend on none beyond it, and what is left goes on. No group holds more than a block, however the spans bridge each other.
+    conflict(start, end, start, end): of two rows."""
+    stats = ranked.groupBy(*keys).agg(F.min("start").alias("_lo"), F.max("start").alias("_hi"), F.max(F.col("end") - F.col("start")).alias("_wide"), F.count(F.lit(1)).alias("_n"))
+    long = F.greatest(4 * F.col("_wide"), (F.col("_hi") - F.col("_lo")) * BLOCK_ROWS / F.col("_n"), F.lit(1e-9)).cast("double")
+    stats = stats.withColumn("_long", long).withColumn("_pair", F.struct(*keys)).select("_pair", "_lo", "_hi", "_wide", "_long")
+    left = written(ranked.join(stats, F.struct(*[ranked[k] for k in keys]).eqNullSafe(F.col("_pair"))).drop("_pair"), "undecided")
+    schema = T.StructType([*left.schema.fields, T.StructField("_state", T.ByteType())])
+
+    def block(shift: float):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
+            number = rows.pop("_block").iloc[0] - shift
+            lo, hi, wide, width = (rows[c].iloc[0] for c in ("_lo", "_hi", "_wide", "_long"))
+            start, end = rows["start"].to_numpy(), rows["end"].to_numpy()
+            begin, over = lo + number * width, lo + (number + 1) * width
+            inside = ((begin <= lo) | (start - wide >= begin)) & ((over > hi) | (start + wide < over))
+            state = _decided(start, end, inside, conflict)
+            return rows.assign(_state=state)[state >= 0]
+
+        return run
+
+    kept, shift = [], 0.0
+    while True:
+        number = F.floor((F.col("start") - F.col("_lo")) / F.col("_long") + shift).cast("long")
+        found = written(left.withColumn("_block", number).groupBy(*keys, "_block").applyInPandas(block(shift), schema), "decided")
+        kept.append(found.where("_state = 1").select(*ranked.columns))
+        left = found.where("_state = 0").drop("_state")
+        if not left.limit(1).count():
+            return reduce(DataFrame.unionByName, kept)
+        shift = 0.5 - shift
 
 
 def nms_half_width(ranked: DataFrame, keys: list[str]) -> DataFrame:
