@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from quillbar.operators import ledger as L
 from quillbar.operators import ordered as M
-from quillbar.operators import rules, shapes
+from quillbar.operators import dirty, rules, shapes
 from quillbar.operators import statistics as S
 from quillbar.plans.bar_plans import B1
 from quillbar.plans.catalog import alias, query
 from quillbar.session import shared_path, written
-from quillbar.sources import files
+from quillbar.sources import files, paged
 from quillbar.sources.fixtures import LINE, bars, calls, fills, load, ticks
 from quillbar.streaming import crossings, pages, watch
 
@@ -445,6 +445,43 @@ def paged_trades(spark, d):
     return checked.groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"), F.max("trade_id").alias("last_id"), F.max("at").alias("through"), F.sum(F.col("price").cast("decimal(18,6)")).alias("total"), F.count_if("late").alias("misplaced"), F.count_distinct("trade_id").alias("kept"))
 
 
+@query("paged_scan", "SELECT event_type AS symbol, count(*) AS n, count(DISTINCT event_id) AS ids, epoch_us(max(ts)) AS through, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def paged_scan(spark, d):
+    """Ticks served in pages that overlap in a moment, read by a stream that stops after the first half and goes on when the rest is there."""
+    found = ticks(spark, d).select("symbol", F.col("tick_id").alias("id"), M.micros(F.col("at")).alias("at"), "price")
+    place = F.row_number().over(W.partitionBy("symbol").orderBy("at", "id"))
+    size = F.count(F.lit(1)).over(W.partitionBy("symbol"))
+    early = written(found.withColumn("early", place * 2 <= size), "served")
+    path, out, state = shared_path(spark, "pages"), shared_path(spark, "scanned"), shared_path(spark, "state")
+    paged.register(spark)
+    for some in (early.where("early"), early):
+        paged.serve(some.drop("early"), path, 500)
+        stream = spark.readStream.format("paged_trades").option("path", path).load()
+        watch.incremental(stream, lambda batch, number: batch.write.mode("append").parquet(out), state).awaitTermination()
+    got = spark.read.schema(paged.SCHEMA).parquet(out)
+    return got.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.max("at").alias("through"), F.round(F.sum("price"), 4).alias("total"))
+
+
+@query("dirty_log", """WITH l AS (SELECT o_orderkey AS id, 1 + CAST(o_orderkey % 4 = 0 AS INTEGER) + CAST(o_orderkey % 12 = 0 AS INTEGER) AS revision, o_orderkey % 12 = 0 AS late FROM orders)
+SELECT count(*) FILTER (NOT late) AS shown, count(*) FILTER (NOT late AND revision = 2) AS revised, count(*) FILTER (late) AS waiting FROM l""")
+def dirty_log(spark, d):
+    """Orders as sources: all of them, then a quarter anew, and a twelfth once more while that run builds; what is shown then, and what waits."""
+    path, state = shared_path(spark, "log"), shared_path(spark, "state")
+    o = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("source_id"))
+    change = lambda where, revision: dirty.mark(o.where(where).withColumn("revision", F.lit(revision).cast("long")), path)
+
+    def build(claims, late: bool):
+        if late:
+            change("source_id % 12 = 0", 3)
+        return claims.withColumn("text", F.concat_ws(" ", "source_id", "revision"))
+
+    for where, revision, late in (("true", 1, False), ("source_id % 4 = 0", 2, True)):
+        change(where, revision)
+        dirty.follow(spark, path, state, lambda claims, late=late: build(claims, late)).awaitTermination()
+    shown = dirty.documents(spark, path, "source_id long, revision long, text string").agg(F.count(F.lit(1)).alias("shown"), F.count_if(F.col("revision") == 2).alias("revised"))
+    return shown.join(dirty.dirty(spark, path).agg(F.count(F.lit(1)).alias("waiting")))
+
+
 def _watches(spark, d):
     e = load(spark, d, "events")
     criteria = F.to_json(_criteria("T1", direction=F.lit("L"), threshold_ratio=F.lit("0.05"), horizon_hours=F.lit(200)))
