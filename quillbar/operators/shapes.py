@@ -152,11 +152,79 @@ def locate(query: np.ndarray, rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, {kind}")
 
 
-def best_window(query: np.ndarray, series: np.ndarray) -> tuple[float, int, int] | None:
-    """The best window of 85 to 115 per cent of the query's length, in either reading of colours."""
-    n = len(query)
-    found = [x for q in (query, flipped(query)) for x in sweep(q, series, n * 85 // 100, n * 115 // 100, 4)[:1]]
-    return max(found, key=lambda x: x[0], default=None)
+def normalize_all(series: np.ndarray, n: int, start: int = 0, count: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, shapes) of normalize() of the windows of n bars that begin at start and after it; those without shape are left out."""
+    last = len(series) - n + 1
+    starts = np.arange(start, last if count is None else min(last, start + count))
+    if not len(starts) or not 16 <= n <= 2000:
+        return starts[:0], np.zeros((0, POINTS, 4))
+    o, h, low, c = series.T
+    with np.errstate(invalid="ignore"):
+        bad = ~np.isfinite(series).all(1) | (h < np.maximum(o, c)) | (low > np.minimum(o, c))
+    spoilt = np.concatenate([[0], np.cumsum(bad)])
+    starts = starts[spoilt[starts + n] == spoilt[starts]]
+    if not len(starts):
+        return starts, np.zeros((0, POINTS, 4))
+    view = lambda x: np.lib.stride_tricks.sliding_window_view(x, n)[starts]
+    highs, lows = view(h), view(low)
+    top, bottom = np.quantile(highs, 0.98, axis=1), np.quantile(lows, 0.02, axis=1)
+    narrow = top - bottom <= EPS
+    top, bottom = np.where(narrow, highs.max(1), top), np.where(narrow, lows.min(1), bottom)
+    kept = top - bottom > EPS
+    starts, top, bottom = starts[kept], top[kept], bottom[kept]
+    at = np.arange(POINTS) * (n - 1) / (POINTS - 1)
+    i = np.minimum(at.astype(int), n - 2)
+    first = series[starts[:, None] + i]
+    points = first + (series[starts[:, None] + i + 1] - first) * (at - i)[None, :, None]
+    return starts, (points - bottom[:, None, None]) / (top - bottom)[:, None, None]
+
+
+def _most_scores(a: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Upper bounds of warped_all(a, many): each point of a candidate is matched with one of the band's, so it costs what it lies outside the
+    band's extremes at least; the first and the last points are matched with each other."""
+    ends = [(np.abs(many[:, j] - a[j]) * WEIGHTS).sum(1) for j in (0, POINTS - 1)]
+    band = [slice(max(0, j - WARP), min(POINTS, j + WARP + 1)) for j in range(POINTS)]
+    top, bottom = (np.stack([side(a[x], axis=0) for x in band]) for side in (np.max, np.min))
+    outside = (np.maximum(0, np.maximum(many - top, bottom - many)) * WEIGHTS).sum(2)
+    cost = ends[0] + outside[:, 1:-1].sum(1) + ends[1]
+    net = np.abs((a[-1, 3] - a[0, 0]) - (many[:, -1, 3] - many[:, 0, 0]))
+    return np.exp(-6 * (cost / POINTS + 0.15 * net))
+
+
+#: Windows that are normalised together, and warped together.
+WINDOWS, WARPED = 1024, 64
+
+
+def best_window(query: np.ndarray, series: np.ndarray, counted: list | None = None) -> tuple[float, int, int] | None:
+    """The best window of 85 to 115 per cent of the query's length, in either reading of colours: that of the whole sweep, but only windows
+    whose bound reaches the best score so far are warped. counted: gains (windows, warped)."""
+    n, best, seen, done = len(query), None, 0, 0
+    shapes = [normalize(query), normalize(flipped(query))]
+    for turn, q in enumerate(shapes):
+        found = None
+        for size in range(max(n * 85 // 100, 16), min(n * 115 // 100, len(series), 2000) + 1, 4):
+            for lo in range(0, len(series) - size + 1, WINDOWS):
+                starts, shaped = normalize_all(series, size, lo, WINDOWS)
+                seen += len(starts)
+                most = _most_scores(q, shaped) + 1e-12
+                for part in range(0, len(starts), WARPED):
+                    order = np.argsort(-most, kind="stable")[part : part + WARPED]
+                    least = max((x[0] for x in (best, found) if x), default=-1.0)
+                    order = order[most[order] >= least]
+                    if not len(order):
+                        break
+                    done += len(order)
+                    scores = warped_all(q, shaped[order])
+                    # Of equal scores the shortest and earliest window counts, as in the sweep.
+                    top = order[scores == scores.max()].min()
+                    candidate = (float(scores.max()), int(starts[top]), size)
+                    if found is None or (-candidate[0], candidate[2], candidate[1]) < (-found[0], found[2], found[1]):
+                        found = candidate
+        if found and (best is None or found[0] > best[0]):
+            best = found
+    if counted is not None:
+        counted.append((seen, done))
+    return best
 
 
 def recall_distance(query: np.ndarray, candidate: np.ndarray, bars: int, indexed: int) -> float:
