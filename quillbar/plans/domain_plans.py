@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillbar.operators import ledger as L
 from quillbar.operators import ordered as M
-from quillbar.operators import dirty, rules, shapes
+from quillbar.operators import dirty, rules, runs, shapes
 from quillbar.operators import statistics as S
 from quillbar.plans.bar_plans import B1
 from quillbar.plans.catalog import alias, query
@@ -482,6 +482,31 @@ def dirty_log(spark, d):
     return shown.join(dirty.dirty(spark, path).agg(F.count(F.lit(1)).alias("waiting")))
 
 
+@query("frozen_pages", """WITH f AS (SELECT l_suppkey AS symbol, count(*) AS fills, CAST(sum(l_quantity) AS BIGINT) AS quantity, epoch_us(CAST(max(l_shipdate) AS TIMESTAMP)) AS closed_at FROM lineitem WHERE l_shipdate < DATE '1996-01-01' GROUP BY 1),
+n AS (SELECT *, row_number() OVER (ORDER BY quantity DESC, symbol) AS place FROM f) SELECT CAST((place - 1) // 40 AS INTEGER) AS page, place, symbol, fills, quantity FROM n""")
+def frozen_pages(spark, d):
+    """Pages of a frozen run of totals by book, of which all but the first are read after a later run was made."""
+    from functools import reduce
+
+    path, filters = shared_path(spark, "runs"), {"venue": "all"}
+    line = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("symbol"), "l_quantity", F.col("l_shipdate").cast("date").alias("day"))
+    edge = lambda day: F.lit(day).cast("date")
+
+    def totals(day):
+        closed = F.max(M.micros(F.col("day"))).alias("closed_at")
+        return line.where(F.col("day") < edge(day)).groupBy("symbol").agg(F.count(F.lit(1)).alias("fills"), F.sum("l_quantity").cast("long").alias("quantity"), closed)
+
+    order = [F.desc("quantity"), "symbol"]
+    runs.freeze(totals("1996-01-01"), path, "early", order, filters, 820_454_400_000_000)
+    rows, cursor = runs.page(spark, path, filters, 40)
+    found = [rows.withColumn("page", F.lit(0))]
+    runs.freeze(totals("1998-01-01"), path, "late", order, filters, 883_612_800_000_000)
+    while cursor:
+        rows, cursor = runs.page(spark, path, filters, 40, cursor)
+        found.append(rows.withColumn("page", F.lit(len(found))))
+    return reduce(lambda a, b: a.unionByName(b), found).select("page", "place", "symbol", "fills", "quantity")
+
+
 def _watches(spark, d):
     e = load(spark, d, "events")
     criteria = F.to_json(_criteria("T1", direction=F.lit("L"), threshold_ratio=F.lit("0.05"), horizon_hours=F.lit(200)))
