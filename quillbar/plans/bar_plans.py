@@ -66,14 +66,13 @@ def gap_islands(spark, d):
     return B.merged(bars(spark, d).select("symbol", "start", "end"), ["symbol"])
 
 
-@query("gap_merge_seen", """WITH g AS (SELECT user_id % 7 AS symbol, ts AS "start", ts + INTERVAL (event_id % 5) HOUR AS "end", event_id AS seen FROM events WHERE event_id % 5 > 0),
-r AS (SELECT *, max("end") OVER (PARTITION BY symbol ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g),
+@query("gap_merge_seen", """WITH g AS (SELECT user_id % 7 AS symbol, ts AS "start", ts + INTERVAL (event_id % 5) HOUR AS "end", event_id AS seen FROM events),
+r AS (SELECT *, max("end") OVER (PARTITION BY symbol ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g WHERE "start" < "end"),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM r)
 SELECT symbol, min("start") AS "start", max("end") AS "end", max(seen) AS seen FROM i GROUP BY symbol, island""")
 def gap_merge_seen(spark, d):
-    e = load(spark, d, "events").where("event_id % 5 > 0")
-    spans = e.select((F.col("user_id") % 7).alias("symbol"), F.col("ts").alias("start"), (F.col("ts") + F.make_dt_interval(F.lit(0), (F.col("event_id") % 5).cast("int"))).alias("end"), F.col("event_id").alias("seen"))
-    return B.merged(spans, ["symbol"], "seen")
+    spans = load(spark, d, "events").select((F.col("user_id") % 7).alias("symbol"), F.col("ts").alias("start"), (F.col("ts") + F.make_dt_interval(F.lit(0), (F.col("event_id") % 5).cast("int"))).alias("end"), F.col("event_id").alias("seen"))
+    return B.merged(spans.where("start < end"), ["symbol"], "seen")
 
 
 @query("missing_ranges", f"""{B1}, c AS (SELECT symbol, greatest("start", TIMESTAMP '2024-01-05') AS "start", least("end", TIMESTAMP '2024-01-20') AS "end" FROM b WHERE "start" < TIMESTAMP '2024-01-20' AND "end" > TIMESTAMP '2024-01-05'),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillbar.functions import decimals, interval, text
 from quillbar.operators import bars as B
-from quillbar.operators import ledger, records, retrieval, shapes, text_index, vector_index
+from quillbar.operators import folds, ledger, records, retrieval, shapes, text_index, vector_index
 from quillbar.operators import relational as R
 from quillbar.operators import statistics as S
 from quillbar.plans.bar_plans import DAY
@@ -333,10 +333,13 @@ def model_pair(spark, d):
     return retrieval.model_pair(*lists, 20).select("call_id", "group_id", F.round("score", 9).alias("score"))
 
 
-@query("image_and_text", "SELECT vec_id AS id, round(1.0 / (61 + vec_id) + 1.0 / (60 + CASE WHEN vec_id % 3 = 0 THEN vec_id + 1 ELSE 120 END), 9) AS score FROM embeddings WHERE vec_id < 50")
+@query("image_and_text", """WITH i AS (SELECT vec_id AS id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) - 1 AS a FROM embeddings), t AS (SELECT vec_id AS id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) AS b FROM embeddings WHERE label < 4)
+SELECT i.id, round(1.0::DOUBLE / (61 + a) + 1.0::DOUBLE / (60 + coalesce(b, 120)), 9) AS score FROM i LEFT JOIN t ON i.id = t.id""")
 def image_and_text(spark, d):
-    e = load(spark, d, "embeddings").where("vec_id < 50")
-    images, texts = e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("rank0")), e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), (F.col("vec_id") + 1).alias("rank"))
+    """Every row has an image rank, those of four labels a text rank."""
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.get("embedding", F.lit(0)).alias("a"), F.get("embedding", F.lit(1)).alias("b"))
+    images = folds.numbered(e, [F.desc("a"), "id"], "n").select("id", (F.col("n") - 1).alias("rank0"))
+    texts = folds.numbered(e.where("label < 4"), [F.desc("b"), "id"], "rank").select("id", "rank")
     return retrieval.image_and_text(images, texts, "id").select("id", F.round("score", 9).alias("score"))
 
 

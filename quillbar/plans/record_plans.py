@@ -84,8 +84,11 @@ def event_log_page(spark, d):
     return P.keyset_events(e, 500, 100).select(F.col("sequence").alias("event_id"))
 
 
-@query("exploratory_set", "SELECT o_custkey AS call_id, CAST(0 AS INTEGER) AS claim_no, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS state FROM orders WHERE o_custkey <= 500 GROUP BY 1")
+@query("exploratory_set", """WITH c AS (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY count(*) DESC, o_custkey LIMIT 500)
+SELECT o_custkey AS call_id, CAST(0 AS INTEGER) AS claim_no, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS state FROM orders WHERE o_custkey IN (SELECT o_custkey FROM c) GROUP BY 1""")
 def exploratory_set(spark, d):
-    o = load(spark, d, "orders").where("o_custkey <= 500")
+    """The chosen set: the 500 customers with the most orders."""
+    o = load(spark, d, "orders")
+    chosen = o.groupBy(F.col("o_custkey").alias("call_id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "call_id").limit(500)
     outcomes = o.select(F.col("o_custkey").alias("call_id"), F.lit(0).alias("claim_no"), F.col("o_orderstatus").alias("state"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("outcome_id"))
-    return P.exploratory(outcomes, outcomes)
+    return P.exploratory(chosen, outcomes)
