@@ -138,7 +138,7 @@ def _sketch(ranges: dict[int, tuple[int, int]], width: int, sign=_subsets):
         entries, held, met = [], 0, set()
         for batch in batches:
             at, without, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            for lo, hi in slices(texts, 4 << 20):
+            for lo, hi in slices(texts, 2 << 20):
                 found, names, sizes, surely = [], [], [], []
                 for features in feature_sets([t or b"" for t in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()], width):
                     name, least = set_name(features), [0, 0]
@@ -229,7 +229,7 @@ def _features(blocks: int, width: int):
     def run(batches):
         for batch in batches:
             names, texts = batch.column(0).to_numpy(), batch.column(1)
-            for lo, hi in slices(texts, 8 << 20):
+            for lo, hi in slices(texts, 3 << 20):
                 sets = feature_sets([t or b"" for t in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()], width)
                 kept = [i for i, s in enumerate(sets) if set_name(s) == names[lo + i]]
                 if not kept:
