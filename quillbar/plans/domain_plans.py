@@ -10,6 +10,7 @@ from quillbar.operators import ledger as L
 from quillbar.operators import ordered as M
 from quillbar.operators import dirty, rules, runs, shapes
 from quillbar.operators import statistics as S
+from quillbar.operators import window_blocks as B
 from quillbar.plans.bar_plans import B1
 from quillbar.plans.catalog import alias, query
 from quillbar.session import shared_path, written
@@ -345,6 +346,22 @@ def window_index(spark, d):
     return shapes.windows(bars(spark, d), 64, 16)
 
 
+@query("window_blocks", f"""{B1}, n AS (SELECT symbol, "start", CAST(epoch_us("start") // 3600000000 AS BIGINT) AS n, high > low AS wide FROM b),
+w AS (SELECT symbol, n, count(*) OVER o AS m FROM n WINDOW o AS (PARTITION BY symbol ORDER BY n RANGE BETWEEN CURRENT ROW AND 47 FOLLOWING)),
+k AS (SELECT symbol, n FROM w WHERE m = 48 AND n % 12 = 0),
+r AS (SELECT *, max(n + 48) OVER (PARTITION BY symbol ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR n > reach THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY n ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT symbol, make_timestamp(min(n) * 3600000000) AS "start", make_timestamp((max(n) + 48) * 3600000000) AS "end" FROM i GROUP BY symbol, island""")
+def window_blocks(spark, d):
+    """What windows of 48 hourly bars cover, after a build over the first two thirds of the time and one over all of it."""
+    found, path = written(bars(spark, d), "bars"), shared_path(spark, "windows")
+    edge = found.agg(F.min(M.micros(F.col("start"))).alias("a"), F.max(M.micros(F.col("start"))).alias("b")).first()
+    early = M.micros(F.col("start")) < F.lit(((edge["a"] or 0) + 2 * (edge["b"] or 0)) // 3)
+    for part in (found.where(early), found):
+        B.build(part, path, 48, 12, 3600)
+    return B.coverage(B.windows(spark, path, 48, 3600))
+
+
 @query("dtw_rerank")
 def dtw_rerank(spark, d):
     rng = np.random.default_rng(0)
