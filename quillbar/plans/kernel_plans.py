@@ -324,12 +324,17 @@ def dense_fusion(spark, d):
     return retrieval.fused(both, "chunk_id", "document_id", 20).select("chunk_id", "document_id", F.round("score", 9).alias("score"))
 
 
-@query("model_pair", """WITH a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) - 1 AS r FROM embeddings QUALIFY r < 50), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) - 1 AS r FROM embeddings QUALIFY r < 50),
+@query("model_pair", """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT e FROM v WHERE id = 3),
+a AS (SELECT id, row_number() OVER (ORDER BY 1 - list_cosine_similarity(v.e, q.e), id) - 1 AS r FROM v, q QUALIFY r < 50), b AS (SELECT id, row_number() OVER (ORDER BY 1 - list_cosine_similarity(v.e[1:32], q.e[1:32]), id) - 1 AS r FROM v, q QUALIFY r < 50),
 s AS (SELECT id AS call_id, id // 4 AS group_id, sum(1.0::DOUBLE / (61 + r)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1),
 k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY score DESC, call_id) = 1) SELECT call_id, group_id, round(score, 9) AS score FROM k ORDER BY k.score DESC, call_id LIMIT 20""")
 def model_pair(spark, d):
-    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("call_id"), F.floor(F.col("vec_id") / 4).alias("group_id"), F.get("embedding", F.lit(0)).alias("g"), F.get("embedding", F.lit(1)).alias("v"))
-    lists = [retrieval.ranked(e.orderBy(F.desc(c), "call_id").limit(50), [F.desc(c), "call_id"]) for c in ("g", "v")]
+    """The hits of two models, of the whole vector and of its first half, fused."""
+    e = load(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), "embedding")
+    first = e.where("id = 3").first()  # one query vector
+    vector = list(first["embedding"]) if first else []
+    found = [shapes.nearest(e, vector, 50), shapes.nearest(e.withColumn("embedding", F.slice("embedding", 1, 32)), vector[:32], 50)]
+    lists = [retrieval.ranked(x.select(F.col("id").alias("call_id"), F.floor(F.col("id") / 4).alias("group_id"), "distance"), ["distance", "call_id"]) for x in found]
     return retrieval.model_pair(*lists, 20).select("call_id", "group_id", F.round("score", 9).alias("score"))
 
 
