@@ -2,12 +2,14 @@
 
 from bisect import bisect_left, bisect_right
 from decimal import Decimal, localcontext
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 
 from quillbar.operators import shapes
 from quillbar.plans.registry import QUERIES
+from quillbar.sources.fixtures import fills
 
 
 def bars_of(sf, rule):
@@ -67,3 +69,35 @@ def test_windows_of_every_symbol(spark, sf):
                     continue
     assert got.keys() == want.keys()
     assert all(got[k][0] == end and np.allclose(got[k][1], v, atol=1e-6) for k, (end, v) in want.items())
+
+
+def test_positions_of_every_book(spark, sf):
+    """Cycles of average cost, in exact fractions."""
+    want, books = {}, {}
+    for r in fills(spark, sf).collect():
+        books.setdefault(r.symbol, []).append((r.at, r.trade_id, r.side, Fraction(r.price), Fraction(r.quantity), Fraction(r.fee)))
+    for symbol, rows in books.items():
+        held, cost, pnl, fees, ordinal, opened, sign = Fraction(0), None, Fraction(0), Fraction(0), 0, None, 0
+        for at, _, side, price, quantity, fee in sorted(rows):
+            way, left = (1 if side == "BUY" else -1), quantity
+            if held and sign != way:
+                closed = min(quantity, held)
+                pnl += closed * (price - cost) * sign
+                fees += fee * closed / quantity
+                held, left = held - closed, quantity - closed
+                if not held:
+                    want[symbol, ordinal] = ("long" if sign > 0 else "short", opened, at, pnl, fees, "closed")
+                    pnl, fees, ordinal = Fraction(0), Fraction(0), ordinal + 1
+            if left:
+                cost = price if not held else (held * cost + left * price) / (held + left)
+                sign, opened = (way, at) if not held else (sign, opened)
+                held, fees = held + left, fees + fee * left / quantity
+        if held:
+            want[symbol, ordinal] = ("long" if sign > 0 else "short", opened, None, pnl, fees, "open")
+    got = {(r.symbol, r.ordinal): r for r in QUERIES["positions"](spark, sf).collect()}
+    first = min(k[1] for k in got)
+    assert {(s, n - first) for s, n in got} == want.keys() and len(want) > 100
+    for (symbol, ordinal), (direction, opened, closed, pnl, fees, status) in want.items():
+        r = got[symbol, ordinal + first]
+        assert (r.direction, r.opened_at, r.closed_at, r.status) == (direction, opened, closed, status)
+        assert abs(Fraction(r.pnl) - pnl) < Fraction(1, 10**20) and abs(Fraction(r.fees) - fees) < Fraction(1, 10**20)
