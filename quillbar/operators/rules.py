@@ -204,26 +204,31 @@ def triggers(claims: DataFrame, trades: DataFrame, bars: DataFrame) -> DataFrame
 
 def traded(claims: DataFrame, trades: DataFrame) -> DataFrame:
     """claim_id, most, least of the trades (symbol, at, price) after start and not after through; claims without any have no row.
-    Whole days count by their extremes, whole hours of the first and last day likewise, and what is left of the first and last
-    hour is asked while the trades of an hour stream by."""
+    A day is one row with the extremes of its 24 hours, so a claim meets its days once each, and whole hours count by slices of them; what
+    is left of the first and last hour is asked while the trades of an hour stream by. The days are no small side by the size of
+    the claims' file, so their join is one by shuffle: claims dealt to days are never broadcast."""
     grid = lambda c, step: interval.floor(F.col(c), step)
     known = trades.where("price is not null").select("symbol", "at", grid("at", "1h").alias("_hour"), F.col("price").cast("double").alias("price"))
     hours = known.groupBy("symbol", "_hour").agg(F.max("price").alias("most"), F.min("price").alias("least"))
-    days = hours.groupBy("symbol", grid("_hour", "1d").alias("_day")).agg(F.max("most").alias("most"), F.min("least").alias("least"))
+    entry = lambda c: F.map_from_entries(F.collect_list(F.struct(F.hour("_hour"), c)))
+    days = hours.groupBy("symbol", grid("_hour", "1d").alias("_day")).agg(entry("most").alias("_most"), entry("least").alias("_least"))
+    by_hour = lambda c: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.get(F.map_values(F.map_filter(c, lambda k, _: k == h)), F.lit(0))).alias(c)
+    days = days.select("symbol", "_day", by_hour("_most"), by_hour("_least"))
     day, hour, tick = F.expr("interval 1 day"), F.expr("interval 1 hour"), F.expr("interval 1 microsecond")
     asked = claims.where("start < through").select("claim_id", "symbol", "start", "through")
     spread = asked.withColumn("_day", F.explode(F.sequence(grid("start", "1d"), grid("through", "1d"), day)))
-    whole = (F.col("_day") > F.col("start")) & (F.col("_day") + day - tick <= F.col("through"))
-    by_day = spread.where(whole).join(days, ["symbol", "_day"]).select("claim_id", "most", "least")
-    first, last = F.greatest(F.col("_day"), grid("start", "1h")), F.least(F.col("_day") + day - hour, grid("through", "1h"))
-    edges = spread.where(~whole).withColumn("_hour", F.explode(F.sequence(first, last, hour))).drop("_day")
-    inside = (F.col("_hour") > F.col("start")) & (F.col("_hour") + hour - tick <= F.col("through"))
-    by_hour = edges.where(inside).join(hours, ["symbol", "_hour"]).select("claim_id", "most", "least")
-    left = edges.where(~inside)
+    # Hours begin after the start and end by the end of the claim.
+    first = F.when(F.col("_day") > F.col("start"), 0).otherwise(F.hour("start") + 1)
+    over = F.when(F.col("_day") + day - tick <= F.col("through"), 24).otherwise(F.hour(F.col("through") + tick))
+    some = spread.withColumn("_first", first).withColumn("_n", over - F.col("_first")).where("_n > 0").select("claim_id", "symbol", "_day", "_first", "_n")
+    cut = lambda c: F.slice(c, F.col("_first") + 1, F.col("_n"))
+    whole = some.join(days.hint("merge"), ["symbol", "_day"]).select("claim_id", F.array_max(cut("_most")).alias("most"), F.array_min(cut("_least")).alias("least")).where("most is not null")
+    edges = asked.withColumn("_hour", F.explode(F.array_distinct(F.array(grid("start", "1h"), grid("through", "1h")))))
+    left = edges.where((F.col("_hour") <= F.col("start")) | (F.col("_hour") + hour - tick > F.col("through")))
     left = left.select("symbol", "_hour", F.col("claim_id").alias("question"), micros(F.greatest(F.col("start"), F.col("_hour") - tick)).alias("at"), micros(F.least(F.col("through"), F.col("_hour") + hour - tick)).alias("hi"))
     points = known.select("symbol", "_hour", micros(F.col("at")).alias("at"), F.lit(0).cast("long").alias("point_id"), "price")
     single = extremes(points, left, ["symbol", "_hour"]).select(F.col("question").alias("claim_id"), "most", "least")
-    return by_day.unionByName(by_hour).unionByName(single).groupBy("claim_id").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+    return whole.unionByName(single).groupBy("claim_id").agg(F.max("most").alias("most"), F.min("least").alias("least"))
 
 
 def paths(claims: DataFrame, bars: DataFrame, trades: DataFrame | None = None) -> DataFrame:
