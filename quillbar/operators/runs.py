@@ -62,8 +62,8 @@ def _cursor(run: str, name: str, after: int) -> str:
     return base64.urlsafe_b64encode(json.dumps([run, name, after]).encode()).decode()
 
 
-def page(spark: SparkSession, path: str, filters: dict, size: int, cursor: str | None = None) -> tuple[DataFrame, str | None]:
-    """(rows, cursor of the next page or None). Without a cursor: the first page of the latest run of this filter."""
+def _opened(spark: SparkSession, path: str, filters: dict, cursor: str | None) -> tuple[dict, int]:
+    """The manifest of the run that a cursor names, or of the latest run of this filter, and the last number that was read."""
     name = digest(filters)
     if cursor is None:
         latest = _manifests(spark, path).where(F.col("filter") == name).orderBy(F.desc("made")).limit(1).collect()
@@ -80,5 +80,19 @@ def page(spark: SparkSession, path: str, filters: dict, size: int, cursor: str |
     known = manifest(spark, path, run)
     if known is None:
         raise ValueError("run_missing")
-    rows = spark.read.parquet(f"{path}/rows/{run}").where((F.col("place") > after) & (F.col("place") <= after + size)).orderBy("place")
-    return rows, _cursor(run, name, after + size) if after + size < known["rows"] else None
+    return known, after
+
+
+def page(spark: SparkSession, path: str, filters: dict, size: int, cursor: str | None = None) -> tuple[DataFrame, str | None]:
+    """(rows, cursor of the next page or None). Without a cursor: the first page of the latest run of this filter."""
+    known, after = _opened(spark, path, filters, cursor)
+    rows = spark.read.parquet(f"{path}/rows/{known['run']}").where((F.col("place") > after) & (F.col("place") <= after + size)).orderBy("place")
+    return rows, _cursor(known["run"], digest(filters), after + size) if after + size < known["rows"] else None
+
+
+def pages(spark: SparkSession, path: str, filters: dict, size: int, cursor: str | None = None) -> DataFrame:
+    """The rows of every page from a cursor on, as `page` gives them one after the other, with `page`: 0 for the first of them. One scan,
+    however many pages there are."""
+    known, after = _opened(spark, path, filters, cursor)
+    rows = spark.read.parquet(f"{path}/rows/{known['run']}").where(F.col("place") > after)
+    return rows.withColumn("page", F.floor((F.col("place") - after - 1) / size).cast("int"))
