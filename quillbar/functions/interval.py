@@ -10,6 +10,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillbar.functions.binding import once
+
 MINUTE, HOUR, DAY = 60, 3600, 86400
 #: Name -> seconds (None: calendar month).
 SECONDS = {"1m": MINUTE, "3m": 3 * MINUTE, "5m": 5 * MINUTE, "15m": 15 * MINUTE, "30m": 30 * MINUTE, "1h": HOUR, "2h": 2 * HOUR, "4h": 4 * HOUR, "6h": 6 * HOUR, "8h": 8 * HOUR, "12h": 12 * HOUR, "1d": DAY, "3d": 3 * DAY, "1w": 7 * DAY, "1M": None}
@@ -146,19 +148,30 @@ def time_label(text: Column) -> Column:
     name = rf"(?<![a-z0-9])({'|'.join(MONTHS)})[^a-z0-9 ,]*(?=[ ,]|$)"
     clock, dated = r"(?<![^ ,])(\d{1,2}):(\d{0,2})(?::\d+)?(?=[ ,]|$)", r"(?<![^ ,])(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?=[ ,]|$)"
     pair, late, lone = r"(?<![^ ,])(\d{1,2})[-/](\d{1,2})(?=[ ,]|$)", r"(?<![^ ,])[-/](\d{1,2})(?=[ ,]|$)", r"(?<![^ ,])(\d{1,2})(?=[ ,]|$)"
-    low = F.lower(F.regexp_replace(F.trim(text), "[ \u00a0,]+", " "))
-    part = lambda pattern, i: F.regexp_extract(low, pattern, i).try_cast("int")
-    month_name = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(low, name, 1))
-    month = F.coalesce(F.nullif(month_name.cast("int"), F.lit(0)), part(dated, 2), part(pair, 1))
-    day = F.coalesce(part(dated, 3), part(pair, 2), part(late, 1), part(lone, 1))
-    hour = part(clock, 1)
-    minute = F.coalesce(part(clock, 2), F.when(hour.isNotNull(), 0))
     any_part = "|".join((name, clock, dated, pair, late, lone)).replace("(?<![^ ,])", "").replace("(?<![a-z0-9])", "")
-    known = low.rlike(rf"^(?:(?:{any_part}) ?)+$")
-    sound = F.coalesce(month.between(1, 12), F.lit(True)) & F.coalesce(day.between(1, 31), F.lit(True)) & F.coalesce(hour <= 23, F.lit(True)) & F.coalesce(minute <= 59, F.lit(True))
-    enough = (day.isNotNull() & (month.isNotNull() | hour.isNotNull())) | hour.isNotNull()
-    found = F.struct(part(dated, 1).alias("year"), month.alias("month"), day.alias("day"), hour.alias("hour"), minute.alias("minute"))
-    return F.when(known & sound & enough & (F.length(F.trim(text)).between(1, 24)), found)
+
+    def read(low: Column) -> Column:
+        # What does not match is '', which a cast would answer by an exception.
+        part = lambda pattern, i: once(F.regexp_extract(low, pattern, i), lambda x: F.when(x != "", x.cast("int")))
+        month_name = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(low, name, 1))
+        found = F.struct(
+            part(dated, 1).alias("year"),
+            F.coalesce(F.nullif(month_name.cast("int"), F.lit(0)), part(dated, 2), part(pair, 1)).alias("month"),
+            F.coalesce(part(dated, 3), part(pair, 2), part(late, 1), part(lone, 1)).alias("day"),
+            part(clock, 1).alias("hour"),
+            F.coalesce(part(clock, 2), F.when(low.rlike(clock), 0)).alias("minute"),
+        )
+        return F.when(low.rlike(rf"^(?:(?:{any_part}) ?)+$"), found)
+
+    def sound(found: Column) -> Column:
+        month, day, hour, minute = (found[c] for c in ("month", "day", "hour", "minute"))
+        inside = F.coalesce(month.between(1, 12), F.lit(True)) & F.coalesce(day.between(1, 31), F.lit(True)) & F.coalesce(hour <= 23, F.lit(True)) & F.coalesce(minute <= 59, F.lit(True))
+        enough = (day.isNotNull() & (month.isNotNull() | hour.isNotNull())) | hour.isNotNull()
+        return F.when(inside & enough, found)
+
+    # Each pattern is matched once a label, however often its parts are named.
+    low = F.when(F.length(F.trim(text)).between(1, 24), F.lower(F.regexp_replace(F.trim(text), "[ \u00a0,]+", " ")))
+    return once(once(low, read), sound)
 
 
 def stamp(label: Column, near: Column, offset_minutes: Column) -> Column:
@@ -168,8 +181,8 @@ def stamp(label: Column, near: Column, offset_minutes: Column) -> Column:
     year = F.coalesce(label["year"], F.year(local))
     at = lambda y: F.try_make_timestamp_ntz(y, label["month"], label["day"], F.coalesce(label["hour"], F.lit(0)), F.coalesce(label["minute"], F.lit(0)), F.lit(0)) - F.make_dt_interval(F.lit(0), F.lit(0), offset_minutes.cast("int"))
     away = lambda x: F.abs(F.unix_micros(x.cast("timestamp")) - F.unix_micros(near.cast("timestamp")))
-    options = [F.struct(away(at(year + k)).alias("away"), F.lit(abs(k)).alias("k"), at(year + k).alias("at")) for k in (0, -1, 1)]
-    best = F.array_min(F.filter(F.array(*options), lambda x: x["at"].isNotNull()))
+    option = lambda k: once(at(year + k), lambda x: F.struct(away(x).alias("away"), F.abs(k).alias("k"), x.alias("at")))
+    best = F.array_min(F.filter(F.transform(F.array(F.lit(0), F.lit(-1), F.lit(1)), option), lambda x: x["at"].isNotNull()))
     return F.when(label["year"].isNotNull(), at(year)).otherwise(best["at"])
 
 
