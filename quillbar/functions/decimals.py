@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillbar.functions.binding import once
+
 CONTEXT = decimal.Context(prec=34, rounding=decimal.ROUND_HALF_EVEN, Emin=-6000, Emax=6000)
 _WIDE = decimal.Context(prec=400, rounding=decimal.ROUND_HALF_EVEN)
 
@@ -94,58 +96,107 @@ def label_number(text: Column) -> Column:
 
 
 #: Text of a signed plain decimal, as the exact operations below take it; others give null.
-_PLAIN = r"^\s*([+-]?)(\d*)(?:\.(\d*))?\s*$"
+_PLAIN = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)\s*\z"
+
+
+#: Numbers that Spark's decimals hold exactly, those from one on among them, and whole ones; the general forms are for the rest.
+_SHORT, _FROM_ONE, _WHOLE = r"^-?\d{1,18}(?:\.\d{1,6})?\z", r"^-?[1-9]\d{0,17}(?:\.\d{1,6})?\z", r"^-?[1-9]\d{0,17}\z"
+
+
+def _number(text: Column) -> Column:
+    return text.try_cast("decimal(24,6)")
+
+
+def _moved(number: Column, places: int) -> Column:
+    return (number * F.lit(Decimal(10).scaleb(places - 1))).cast(f"decimal(38,{max(0, 6 - places)})")
+
+
+def _shown(number: Column, scale: int) -> Column:
+    """Text of a decimal of this scale, which is six at most or of a number that is not small."""
+    text = number.cast("string")
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")) if scale > 0 else text
+
 
+def _parts(text: Column) -> Column:
+    """negative, whole and fraction of plain decimal text, null of any other."""
 
-def _parts(text: Column) -> tuple[Column, Column, Column]:
-    """(valid, sign, digits) and fraction of plain decimal text."""
-    whole, fraction = F.regexp_extract(text, _PLAIN, 2), F.regexp_extract(text, _PLAIN, 3)
-    return text.rlike(_PLAIN) & (F.concat(whole, fraction) != ""), whole, fraction
+    def split(text: Column) -> Column:
+        fraction = lambda bare: F.when(bare.contains("."), F.substring_index(bare, ".", -1)).otherwise("")
+        found = once(F.translate(text, "+- \t\n\x0b\f\r", ""), lambda bare: F.struct(text.contains("-").alias("negative"), F.substring_index(bare, ".", 1).alias("whole"), fraction(bare).alias("fraction")))
+        return F.when(text.rlike(_PLAIN), found)
+
+    return once(text, split)
 
 
 def _joined(negative: Column, whole: Column, fraction: Column) -> Column:
-    fraction = F.regexp_replace(fraction, r"0+$", "")
-    whole = F.regexp_replace(whole, r"^0+(?=\d)", "")
-    body = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
-    return F.concat(F.when(negative & body.rlike("[1-9]"), "-").otherwise(""), body)
+    def body(x: Column) -> Column:
+        whole, fraction = x["whole"], x["fraction"]
+        sign = F.when(negative & ((whole != "") | (fraction != "")), "-").otherwise("")
+        return F.concat(sign, F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+
+    return once(F.struct(F.ltrim(whole, F.lit("0")).alias("whole"), F.rtrim(fraction, F.lit("0")).alias("fraction")), body)
 
 
 def shifted(text: Column, places: int) -> Column:
     """The point moved `places` to the right (left, if negative), on digits: exact at any length."""
-    valid, whole, fraction = _parts(text)
-    negative, n = F.trim(text).startswith("-"), abs(places)
-    if places >= 0:
-        long = F.rpad(fraction, F.greatest(F.length(fraction), F.lit(n)), F.lit("0"))
-        whole, fraction = F.concat(whole, F.substring(long, F.lit(1), F.lit(n))), F.substring(long, F.lit(n + 1), F.length(long))
-    else:
-        long = F.lpad(whole, F.greatest(F.length(whole), F.lit(n)), F.lit("0"))
-        cut = F.length(long) - n
-        whole, fraction = F.substring(long, F.lit(1), cut), F.concat(F.substring(long, cut + 1, F.lit(n)), fraction)
-    return F.when(valid, _joined(negative, whole, fraction))
+    n = abs(places)
 
+    def moved(x: Column) -> Column:
+        whole, fraction = x["whole"], x["fraction"]
+        if places >= 0:
+            whole, fraction = F.concat(whole, F.rpad(fraction, n, "0")), F.substring(fraction, F.lit(n + 1), F.length(fraction))
+        else:
+            long = F.lpad(whole, F.greatest(F.length(whole), F.lit(n)), F.lit("0"))
+            cut = F.length(long) - n
+            whole, fraction = F.substring(long, F.lit(1), cut), F.concat(F.substring(long, cut + 1, F.lit(n)), fraction)
+        return F.when(x.isNotNull(), _joined(x["negative"], whole, fraction))
 
-@F.pandas_udf(T.StringType())
-def _half_up(text: pd.Series, places: pd.Series) -> pd.Series:
-    wide = decimal.Context(prec=10_000, rounding=decimal.ROUND_HALF_UP)
-    return pd.Series([None if x is None else plain(Decimal(x).quantize(Decimal(1).scaleb(-int(n)), context=wide)) for x, n in zip(text, places, strict=True)], dtype=object)
+    general = once(_parts(text), moved)
+    if n > 6:
+        return general
+    return F.when(text.rlike(_SHORT if places >= 0 else _FROM_ONE), _shown(_moved(_number(text), places), max(0, 6 - places))).otherwise(general)
+
+
+def _next(digits: Column) -> Column:
+    """The digits of the next whole number."""
+    kept = F.rtrim(digits, F.lit("9"))
+    last = (F.substring(kept, -1, 1).cast("int") + 1).cast("string")
+    more = F.when(kept == "", "1").otherwise(F.concat(F.substring(kept, F.lit(1), F.length(kept) - 1), last))
+    return F.concat(more, F.repeat(F.lit("0"), F.length(digits) - F.length(kept)))
 
 
 def rounded(text: Column, places: int) -> Column:
-    """Rounded half up to `places`, on digits."""
-    valid, whole, fraction = _parts(text)
-    return _half_up(F.when(valid, _joined(F.trim(text).startswith("-"), whole, fraction)), F.lit(places))
+    """Rounded half up to `places`, on digits: exact at any length."""
+    if places < 0:
+        return shifted(rounded(shifted(text, places), 0), -places)
+
+    def cut(x: Column) -> Column:
+        up = F.substring(x["fraction"], places + 1, 1) >= "5"
+        digits = once(F.concat(x["whole"], F.rpad(x["fraction"], places, "0")), lambda d: F.when(up, _next(d)).otherwise(d))
+        whole = lambda d: F.substring(d, F.lit(1), F.length(d) - places)
+        fraction = lambda d: F.substring(d, F.length(d) - places + 1, F.lit(places))
+        return F.when(x.isNotNull(), once(digits, lambda d: _joined(x["negative"], whole(d), fraction(d))))
+
+    general = once(_parts(text), cut)
+    return F.when(text.rlike(_SHORT), _shown(F.round(_number(text), places), places)).otherwise(general) if places <= 6 else general
 
 
 def grouped(text: Column) -> Column:
     """Thousands separators in the whole part; the fraction is left alone."""
-    valid, whole, fraction = _parts(text)
-    body = F.regexp_replace(F.when(whole == "", "0").otherwise(whole), r"\B(?=(\d{3})+(?!\d))", ",")
-    tail = F.when(text.contains(".") & (fraction != ""), F.concat(F.lit("."), fraction)).otherwise("")
-    return F.when(valid, F.concat(F.when(F.trim(text).startswith("-"), "-").otherwise(""), body, tail)).otherwise(text)
+
+    def shown(x: Column) -> Column:
+        body = F.reverse(F.regexp_replace(F.reverse(F.when(x["whole"] == "", "0").otherwise(x["whole"])), r"(\d{3})(?=\d)", "$1,"))
+        tail = F.when(x["fraction"] != "", F.concat(F.lit("."), x["fraction"])).otherwise("")
+        return F.when(x.isNotNull(), F.concat(F.when(x["negative"], "-").otherwise(""), body, tail)).otherwise(text)
+
+    return F.when(text.rlike(_WHOLE), F.format_number(text.try_cast("long"), 0)).otherwise(once(_parts(text), shown))
 
 
 def percent(text: Column, places: int = 2) -> Column:
     """A ratio as a signed percentage: the point moved, never multiplied."""
-    value = rounded(shifted(text, 2), places)
-    sign = F.when(value.startswith("-") | ~value.rlike("[1-9]"), "").otherwise("+")
-    return F.concat(sign, value, F.lit("%"))
+    sign = lambda v: F.when(v.startswith("-") | (v == "0"), "").otherwise("+")
+    general = once(once(shifted(text, 2), lambda v: rounded(v, places)), lambda v: F.concat(sign(v), v, F.lit("%")))
+    if not 0 <= places <= 6:
+        return general
+    short = F.round(_moved(_number(text), 2), places)
+    return F.when(text.rlike(_SHORT), F.concat(F.when(short > 0, "+").otherwise(""), _shown(short, min(places, 4)), F.lit("%"))).otherwise(general)
