@@ -34,7 +34,7 @@ def q(value: Decimal) -> Decimal:
 
 
 def times(a: Decimal, b: Decimal) -> Decimal:
-    return q(_WIDE.multiply(a, b))
+    return CONTEXT.multiply(a, b)
 
 
 def ratio(a: Decimal, b: Decimal) -> Decimal:

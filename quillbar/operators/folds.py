@@ -17,11 +17,29 @@ from pyspark.sql import functions as F
 from quillbar.session import written
 
 
-def folded(df: DataFrame, keys: list[str], order: list[str], begin: Callable, schema: str) -> DataFrame:
+#: Rows of lists that are passed on together.
+TOGETHER = 10_000
+
+
+def folded(df: DataFrame, keys: list[str], order: list[str], begin: Callable, schema: str, frame: Callable | None = None) -> DataFrame:
     """begin(key) gives an object whose push(rows) and done() return the next rows of the result, or None.
-    Rows come in `order` within their key; a null is a key like others."""
+    Rows come in `order` within their key; a null is a key like others. With `frame`, they return lists of rows, of
+    which those of many keys become one frame."""
 
     def run(batches):
+        if frame is None:
+            yield from each(batches)
+            return
+        held = []
+        for out in each(batches):
+            held += out
+            if len(held) >= TOGETHER:
+                yield frame(held)
+                held = []
+        if held:
+            yield frame(held)
+
+    def each(batches):
         now, fold = None, None
         for pdf in batches:
             if not len(pdf):

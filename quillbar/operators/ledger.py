@@ -41,12 +41,13 @@ def fill_error() -> Column:
     )
 
 
-PROTOCOL = "book-1"
+PROTOCOL, ZERO = "book-1", Decimal(0)
 
 
 class Book:
     """Folds one book's fills into cycles of a position that starts and ends flat. checkpoint() is its whole
-    state as text; resumed() goes on from there, as if the fills before had just been folded."""
+    state as text; resumed() goes on from there, as if the fills before had just been folded. Sums and differences are those of
+    Python's 28 digits, products and ratios have 34."""
 
     def __init__(self, quantity: Decimal | None = Decimal(0), cost: Decimal | None = None, multiplier: Decimal = Decimal(1), inverse: bool = False, hedge: int = 0):
         self.quantity, self.cost, self.multiplier, self.inverse, self.hedge = quantity, cost, multiplier, inverse, hedge
@@ -64,7 +65,7 @@ class Book:
         return q(sum(self.commissions.values(), Decimal(0)))
 
     def _charge(self, asset: str, fee: Decimal):
-        self.commissions[asset] = q(self.commissions.get(asset, Decimal(0)) + fee)
+        self.commissions[asset] = self.commissions.get(asset, ZERO) + fee
 
     def fill(self, at, trade_id: int, side: str, price: Decimal, quantity: Decimal, fee: Decimal, venue_pnl: Decimal | None = None, asset: str = ""):
         if self.last is not None and (at, trade_id) <= self.last:
@@ -77,18 +78,18 @@ class Book:
             self.allocations.append((self.ordinal, trade_id, "opening_unknown", quantity, fee, None))
             return
         closing = self.quantity != 0 and (self.quantity > 0) != (delta > 0)
-        closed = min(quantity, abs(self.quantity)) if closing else Decimal(0)
+        closed = min(quantity, abs(self.quantity)) if closing else ZERO
         opened = quantity - closed
         if self.hedge and closing and opened:
             raise ValueError("hedge_over_close")
-        closing_fee = ratio(times(fee, closed), quantity) if closed else Decimal(0)
+        closing_fee = ratio(times(fee, closed), quantity) if closed else ZERO
         sign = 1 if delta > 0 else -1
         if closed:
             self._close(trade_id, price, closed, closing_fee, venue_pnl, at, sign, asset)
         if opened:
             if not closed and venue_pnl:
                 raise ValueError("opening_fill_with_pnl")
-            self._open(at, trade_id, price, opened, q(fee - closing_fee), None if closed else venue_pnl, bool(closed), sign, asset)
+            self._open(at, trade_id, price, opened, fee - closing_fee, None if closed else venue_pnl, bool(closed), sign, asset)
 
     def _close(self, trade_id, price, closed, fee, venue_pnl, at, sign, asset):
         gained = None
@@ -96,12 +97,12 @@ class Book:
             if self.inverse:
                 gained = times(times(closed, self.multiplier), q(ratio(Decimal(1), self.cost) - ratio(Decimal(1), price))) * -sign
             else:
-                gained = times(times(closed, self.multiplier), q(price - self.cost)) * -sign
-        self.pnl = None if gained is None or self.pnl is None else q(self.pnl + gained)
-        self.venue = None if venue_pnl is None or self.venue is None else q(self.venue + venue_pnl)
+                gained = times(times(closed, self.multiplier), price - self.cost) * -sign
+        self.pnl = None if gained is None or self.pnl is None else self.pnl + gained
+        self.venue = None if venue_pnl is None or self.venue is None else self.venue + venue_pnl
         self._charge(asset, fee)
         self.allocations.append((self.ordinal, trade_id, "close", closed, fee, gained))
-        self.quantity = q(self.quantity + closed * sign)
+        self.quantity = self.quantity + (closed if sign > 0 else -closed)
         if not self.quantity:
             self.cycles.append(self._summary(at, "closed"))
             self.paid.append(self.commissions)
@@ -110,19 +111,19 @@ class Book:
 
     def _open(self, at, trade_id, price, opened, fee, venue_pnl, after_close, sign, asset):
         before = abs(self.quantity)
-        after = q(before + opened)
+        after = before + opened
         if not before:
             self.cost, self.direction, self.opened = price, sign, at
         elif self.cost is not None:
             if self.inverse:
                 self.cost = ratio(after, q(ratio(before, self.cost) + ratio(opened, price)))
             else:
-                self.cost = ratio(q(times(before, self.cost) + times(opened, price)), after)
+                self.cost = ratio(times(before, self.cost) + times(opened, price), after)
         if not after_close and venue_pnl is None and self.track_venue:
             self.venue = None
         self._charge(asset, fee)
         self.allocations.append((self.ordinal, trade_id, "open", opened, fee, None))
-        self.quantity = q(self.quantity + opened * sign)
+        self.quantity = self.quantity + (opened if sign > 0 else -opened)
 
     def _summary(self, closed_at, status: str) -> tuple:
         return (self.ordinal, self.direction, self.opened, closed_at, self.pnl, self.fees, self.venue, status)
@@ -158,11 +159,14 @@ class Book:
 STEPS = "row string, ordinal int, trade_id long, kind string, quantity string, fee string, direction string, opened_at timestamp_ntz, closed_at timestamp_ntz, pnl string, fees string, commissions map<string,string>, status string, checkpoint string"
 
 
-def books(fills: DataFrame, checkpoints: DataFrame | None = None, key: str = "symbol") -> DataFrame:
+KINDS = ("cycle", "allocation", "checkpoint")
+
+
+def books(fills: DataFrame, checkpoints: DataFrame | None = None, key: str = "symbol", kinds: tuple = KINDS) -> DataFrame:
     """One fold of every book in strict order of (time, trade id): rows of kind `cycle` (closed, and the one
     still open), `allocation` (parts of fills that opened or closed a cycle) and `checkpoint` (one a book).
     checkpoints: key, checkpoint of an earlier fold; fills before them must not come again. fills may have
-    fee_asset."""
+    fee_asset. kinds: the rows that are written out."""
     kind = fills.schema[key].dataType.simpleString()
     names = [key, *(x.split()[0] for x in STEPS.split(", "))]
     asset = F.col("fee_asset") if "fee_asset" in fills.columns else F.lit("")
@@ -171,6 +175,7 @@ def books(fills: DataFrame, checkpoints: DataFrame | None = None, key: str = "sy
         nulls = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:-1]]
         rows = rows.unionByName(checkpoints.select(key, *nulls, "checkpoint"))
     text = lambda x: None if x is None else plain(x)
+    nothing = [None] * 8
 
     class Fold:
         def __init__(self, found):
@@ -180,30 +185,38 @@ def books(fills: DataFrame, checkpoints: DataFrame | None = None, key: str = "sy
             ordinal, direction, opened, closed, pnl, fees, _, status = c
             return (self.key, "cycle", ordinal, None, None, None, None, "long" if direction > 0 else "short", opened, closed, text(pnl), text(fees), {k: plain(v) for k, v in commissions.items()}, status, None)
 
-        def _taken(self, rest=()) -> pd.DataFrame:
-            out = [self._cycle(*c) for c in zip(self.book.cycles, self.book.paid, strict=True)]
-            out += [(self.key, "allocation", o, t, k, plain(n), plain(fee), *[None] * 8) for o, t, k, n, fee, _ in self.book.allocations]
-            self.book.cycles, self.book.paid, self.book.allocations = [], [], []
-            found = pd.DataFrame([*out, *rest], columns=names)
-            for c in ("ordinal", "trade_id"):
-                found[c] = found[c].astype("Int64")
-            for c in ("opened_at", "closed_at"):
-                found[c] = pd.to_datetime(found[c])
-            return found
-
-        def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
-            for row in pdf.itertuples():
-                if row.checkpoint is not None:  # sorted before the fills
-                    self.book = Book.resumed(row.checkpoint)
+        def _taken(self) -> list[tuple]:
+            book, out = self.book, []
+            if "cycle" in kinds:
+                out += [self._cycle(*c) for c in zip(book.cycles, book.paid, strict=True)]
+            if "allocation" in kinds:
+                out += [(self.key, "allocation", o, t, k, plain(n), plain(fee), *nothing) for o, t, k, n, fee, _ in book.allocations]
+            book.cycles, book.paid, book.allocations = [], [], []
+            return out
+
+        def push(self, pdf: pd.DataFrame) -> list[tuple]:
+            columns = (pdf[c].tolist() for c in ("checkpoint", "at", "trade_id", "side", "price", "quantity", "fee", "fee_asset"))
+            for checkpoint, at, trade_id, side, price, quantity, fee, asset in zip(*columns, strict=True):
+                if checkpoint is not None:  # sorted before the fills
+                    self.book = Book.resumed(checkpoint)
                 else:
-                    self.book.fill(row.at, int(row.trade_id), row.side, row.price, row.quantity, row.fee, asset=row.fee_asset)
+                    self.book.fill(at, int(trade_id), side, price, quantity, fee, asset=asset)
             return self._taken()
 
-        def done(self) -> pd.DataFrame:
-            still = [self._cycle(c, self.book.commissions) for c in self.book.open_cycle()]
-            return self._taken([*still, (self.key, "checkpoint", *[None] * 12, self.book.checkpoint())])
+        def done(self) -> list[tuple]:
+            still = [self._cycle(c, self.book.commissions) for c in self.book.open_cycle()] if "cycle" in kinds else []
+            state = [(self.key, "checkpoint", *[None] * 12, self.book.checkpoint())] if "checkpoint" in kinds else []
+            return [*self._taken(), *still, *state]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        found = pd.DataFrame(rows, columns=names)
+        for c in ("ordinal", "trade_id"):
+            found[c] = found[c].astype("Int64")
+        for c in ("opened_at", "closed_at"):
+            found[c] = pd.to_datetime(found[c])
+        return found
 
-    return folded(rows, [key], ["at", "trade_id"], Fold, f"{key} {kind}, {STEPS}")
+    return folded(rows, [key], ["at", "trade_id"], Fold, f"{key} {kind}, {STEPS}", frame)
 
 
 def cycles_of(steps: DataFrame, key: str = "symbol") -> DataFrame:
@@ -220,12 +233,12 @@ def checkpoints_of(steps: DataFrame, key: str = "symbol") -> DataFrame:
 
 def positions(fills: DataFrame, key: str = "symbol") -> DataFrame:
     """Cycles of each book."""
-    return cycles_of(books(fills, key=key), key)
+    return cycles_of(books(fills, key=key, kinds=("cycle",)), key)
 
 
 def allocations(fills: DataFrame, key: str = "symbol") -> DataFrame:
     """Parts of fills that opened or closed each cycle."""
-    return allocations_of(books(fills, key=key), key)
+    return allocations_of(books(fills, key=key, kinds=("allocation",)), key)
 
 
 def cycle_totals(parts: DataFrame, fills: DataFrame, key: str = "symbol") -> DataFrame:
