@@ -46,20 +46,27 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: li
     return both.where("_side = 1").drop("_side")
 
 
-#: Widest and narrowest slot, in seconds, by which points and spans meet.
-SLOTS = (60, 86_400)
+#: Widest and narrowest slot, in seconds, by which points and spans meet; rows of spans that a task holds in its hash table, on average.
+SLOTS, HELD = (60, 86_400), 250_000
 
 
 def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Points inside spans [start, end] of the same key. Both meet by slots of time as wide as the longest span, a minute at least and a
-    day at most, so a span lies in two slots or, if it is longer than a day, in those of its days."""
+    day at most, so a span lies in two slots or, if it is longer than a day, in those of its days. Slots of more than HELD spans are
+    cut into parts, each of which meets the slot's points, so the tables that tasks hold stay small whatever the data."""
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     longest = spans.agg(F.max(micros(F.col("end")) - micros(F.col("start"))).alias("m")).first()["m"] or 0
     width = min(max(-(-longest // 1_000_000), SLOTS[0]), SLOTS[1]) * 1_000_000
     slot = lambda c: F.floor(micros(c) / width)
     known = spans.where(F.col("start") <= F.col("end"))
     dealt = known.withColumn("_slot", F.explode(F.sequence(slot(F.col("start")), slot(F.col("end")))))
-    return points.withColumn("_slot", slot(F.col(at))).join(dealt, [*keys, "_slot"]).where((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end"))).drop("_slot")
+    size = dealt.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
+    parts = max(1, -(-size["most"] // HELD))
+    tasks = max(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size["all"] // HELD))
+    by = [*keys, "_slot", "_part"]
+    held = dealt.withColumn("_part", F.pmod(F.xxhash64(*spans.columns), F.lit(parts)).cast("int")).repartition(tasks, *by).hint("shuffle_hash")
+    asked = points.withColumn("_slot", slot(F.col(at))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, *by)
+    return asked.join(held, by).where((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end"))).drop("_slot", "_part")
 
 
 def either(left: DataFrame, right: DataFrame, first: tuple[str, str], second: tuple[str, str], distinct: list[str]) -> DataFrame:
