@@ -73,10 +73,19 @@ def index_status(sources: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def to_repair(sources: DataFrame, indexed: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Documents of another version than indexed, or without vector."""
-    same = sources.join(indexed, ["document_id", "version"], "left_anti").select("document_id")
-    bare = sources.join(vectors.select("document_id").distinct(), "document_id", "left_anti").select("document_id")
-    return same.unionByName(bare).distinct()
+    """Documents of another version than indexed, or without vector. The three tables are dealt by document once, each task sorts its
+    part of them, and rows of a document are summed up as they pass: nothing of a task grows but what Spark spills."""
+    kind = sources.schema["document_id"].dataType
+    side = lambda df, name, version: df.select(F.col("document_id").cast(kind).alias("document_id"), version.alias("version"), F.lit(name).alias("_of"))
+    none = F.lit(None).cast(sources.schema["version"].dataType)
+    every = side(sources, 0, F.col("version")).unionByName(side(indexed, 1, F.col("version"))).unionByName(side(vectors, 2, none)).where("document_id is not null or _of = 0")
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = every.repartition(tasks, "document_id").sortWithinPartitions("document_id", "version")
+    has = lambda name: F.max(F.col("_of") == name)
+    # A null version equals no version, as in a join.
+    same = dealt.groupBy("document_id", "version").agg(has(0).alias("known"), (has(1) & F.col("version").isNotNull()).alias("indexed"), has(2).alias("vector"))
+    found = same.groupBy("document_id").agg(F.max("known").alias("known"), F.max(F.col("known") & ~F.col("indexed")).alias("stale"), F.max("vector").alias("vector"))
+    return found.where(F.col("known") & (F.col("stale") | ~F.col("vector"))).select("document_id")
 
 
 def source_by_version(sources: DataFrame, document_id, version) -> DataFrame:
