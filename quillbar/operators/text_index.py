@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -117,3 +118,39 @@ def search(rows: DataFrame, path: str, phrase: str, key: str, text: str) -> Data
     if len(few) <= LOOKED_UP:
         return rows.where(F.col(f"`{key}`").isin(few) & hit)
     return rows.join(found.withColumnRenamed("key", "_key"), F.col(f"`{key}`") == F.col("_key"), "left_semi").where(hit)
+
+
+def search_all(rows: DataFrame, path: str, phrases: list[str], key: str, text: str) -> DataFrame:
+    """phrase and the columns of rows: for each phrase the rows that search() finds. The grams of all phrases are read together, and every text that
+    some phrase may be in is met once, whatever the number of phrases."""
+    spark = rows.sparkSession
+    named = spark.createDataFrame(list(enumerate(phrases)), "i int, p string")
+    low = {r["i"]: r["p"] for r in named.select("i", F.lower("p").alias("p")).collect()}
+    some = sorted({g for p in low.values() for g in wanted(p)} - {""})
+    counts = {r["gram"]: r["n"] for r in postings(spark, path, some).groupBy("gram").agg(F.sum("n").alias("n")).collect()} if some else {}  # a row a gram of the phrases
+    rarest = {i: sorted(wanted(p), key=lambda g: (counts[g], g))[:RAREST] for i, p in low.items() if p and all(g in counts for g in wanted(p))}
+    asked: dict[str, list[tuple[int, int]]] = defaultdict(list)  # gram -> phrases, and the bit it has in each
+    for i, chosen in rarest.items():
+        for bit, g in enumerate(chosen):
+            asked[g].append((i, 1 << bit))
+
+    def keys(batches) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for gram, data in zip(pdf["gram"].tolist(), pdf["keys"].tolist(), strict=True):
+                found = unpacked(data)
+                for i, bit in asked[gram]:
+                    yield pd.DataFrame({"i": np.full(len(found), i, np.int32), "bit": np.full(len(found), bit, np.int32), "_key": found})
+
+    parts = []
+    if asked:
+        met = postings(spark, path, sorted(asked)).select("gram", "keys").mapInPandas(keys, "i int, bit int, _key long").repartition("_key")
+        whole = F.element_at(F.create_map(*[F.lit(x) for i, chosen in rarest.items() for x in (i, (1 << len(chosen)) - 1)]), F.col("i"))
+        may = met.groupBy("_key", "i").agg(F.bit_or("bit").alias("bits")).where(F.col("bits") == whole).groupBy("_key").agg(F.collect_list("i").alias("_may"))
+        both = rows.join(may, F.col(f"`{key}`") == F.col("_key"))
+        own = F.element_at(F.array(*[F.lit(p) for p in phrases]), F.col("_i") + 1)
+        parts.append(both.withColumn("_i", F.explode("_may")).withColumn("phrase", own).where(contains_literal(F.col(f"`{text}`"), F.col("phrase"))))
+    parts += [rows.withColumn("phrase", F.lit(phrases[i])).where(contains_literal(F.col(f"`{text}`"), F.lit(phrases[i]))) for i, p in low.items() if not p]
+    columns = ["phrase", *[f"`{c}`" for c in rows.columns]]
+    if not parts:
+        return rows.withColumn("phrase", F.lit("")).where(F.lit(False)).select(*columns)
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
