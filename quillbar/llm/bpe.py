@@ -9,7 +9,8 @@ import heapq
 import json
 import re
 import unicodedata
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -128,16 +129,15 @@ class PairTable:
         return np.array([x for x in ids if x >= 0], np.int32)
 
 
-class _Index(dict):
-    """piece -> number; a piece met for the first time gets the next number and is listed as new."""
+class _Index(defaultdict):
+    """piece -> number; a piece met for the first time gets the next number."""
 
     def __init__(self):
-        self.new: list[str] = []
+        super().__init__(count().__next__)
 
-    def __missing__(self, piece):
-        self[piece] = number = len(self)
-        self.new.append(piece)
-        return number
+    def since(self, have: int) -> list[str]:
+        """The pieces after the first `have`."""
+        return list(islice(self, have, None))
 
 
 def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -172,7 +172,6 @@ class Encoder:
         self.forget()
         for name in names:
             self.index[name]  # numbers it
-        self.index.new = []
         self._store(flat, np.cumsum(count) - count, count, 0)
 
     def _store(self, ids, start, count, have):
@@ -221,11 +220,10 @@ class Encoder:
         pieces -> what merge() returns."""
         if len(self.index) > REMEMBERED:
             self.thin()
+        have = len(self.index)
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        if new := self.index.new:
-            have = len(self.index) - len(new)
-            self._store(*ids_of_new(new), have)
-            self.index.new = []
+        if len(self.index) > have:
+            self._store(*ids_of_new(self.index.since(have)), have)
         self.met[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         count = self.count[at]
         return gather(self.flat, self.start[at], count), count
@@ -322,14 +320,18 @@ class WordBPE:
         return [x for x in self.spaces(text) if x] if self.odd(text) else text.split()
 
     def _new(self, names: list[str]):
-        parts = [[name] if name.isalpha() else (self.find if NOT_PLAIN(name) else self.find_plain)(name) for name in names]
-        number = _Index()
-        at = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64)
-        ids, start, count = self.encoder.merge([x.encode() for x in number])
-        each = np.concatenate([[0], np.cumsum(count[at])])
+        whole = np.fromiter(map(str.isalpha, names), bool, len(names))
+        parts = [(self.find if NOT_PLAIN(name) else self.find_plain)(name) for name in compress(names, ~whole)]
+        number, words = _Index(), int(whole.sum())
+        at = words + np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64)
+        ids, some_start, some_count = self.encoder.merge(list(map(str.encode, chain(compress(names, whole), number))))
+        each = np.concatenate([[0], np.cumsum(some_count[at])])
         ends = each[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]
         begins = np.concatenate([[0], ends[:-1]])
-        return gather(ids, start[at], count[at]), begins, ends - begins
+        start, n = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        start[whole], n[whole] = some_start[:words], some_count[:words]
+        start[~whole], n[~whole] = len(ids) + begins, ends - begins
+        return np.concatenate([ids, gather(ids, some_start[at], some_count[at])]), start, n
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each text)."""

@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillbar.llm import byte_bpe, html, language, licenses, lines, packing, training_order
+from quillbar.llm import bpe, byte_bpe, html, language, licenses, lines, packing, training_order
 from quillbar.session import table
 
 ODD = ["", " ", "\n\n \t x", "a" * 700, "ab" * 400 + " " * 300, "<|endoftext|> hi <|startoftext|>x", "don't I'LL we've 'S", "ΑΣ ΣΑΣ. İI é é 가 日本語 🙂👨‍👩‍👧", "_a__b 12 ½ ²①", "\x1c\x1d a\x85b", None, "½ ② ①", "Ⅷ ༳"]
@@ -396,3 +396,10 @@ def test_html_keeps_all_visible_text():
     assert html.extract("<select><option>one<option>two</select><textarea>x\n y</textarea>") == "one two\nx\n y"
     assert html.extract("<svg><title>t</title><defs><text>d</text></defs><text>a</text> z <text>b</text></svg>") == "a b"
     assert html.extract("<table><tr>" + "<div>" * 5000 + "<td>x</td>" + "</div>" * 5000 + "</table>") == "x"
+
+
+def test_pieces_are_numbered_without_a_call_of_python_each():
+    """A dictionary's own factory numbers new pieces, and words of letters only are merged without another list each."""
+    assert "__missing__" not in vars(bpe._Index)
+    index = bpe._Index()
+    assert [index[x] for x in ("a", "b", "a", "c")] == [0, 1, 0, 2] and index.since(1) == ["b", "c"]
