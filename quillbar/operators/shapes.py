@@ -315,8 +315,8 @@ def nearest(rows: DataFrame, query: list[float], k: int, excluded: tuple[int, ..
     return scored.orderBy(F.col("distance") + 0, "id").limit(k)
 
 
-#: Bytes of queries that are broadcast together.
-QUERY_BYTES = 4 << 20
+#: Bytes of queries that are broadcast together, and queries whose products with a batch of rows are held at once.
+QUERY_BYTES, TOGETHER = 4 << 20, 256
 
 
 def nearest_of_many(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -351,26 +351,39 @@ def _nearest_of_slice(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     continue
                 data, ids, end = np.array(part["embedding"].tolist(), np.float64), part["id"].to_numpy(), part["end"]
                 size = np.sqrt((data * data).sum(1))
-                near = data @ asks[model, width].T / np.where(size > 0, size, np.inf)[:, None]  # rows x queries, one product
-                for n, q in enumerate(by_model[model, width]):
-                    ok = (size > 0) & ~np.isin(ids, q.get("excluded") or [])
-                    for name in ("market", "symbol"):
-                        if q.get(name) is not None:
-                            ok &= (part[name] == q[name]).to_numpy(bool)
-                    if q.get("cutoff") is not None:
-                        ok &= (end <= q["cutoff"]).to_numpy(bool)
-                    at = np.flatnonzero(ok)
-                    if len(at) > k:  # what a product may confuse with the k-th stays
-                        at = at[near[at, n] >= np.partition(near[at, n], len(at) - k)[len(at) - k] - 1e-9 * abs(near[at, n]).max()]
-                    vector = asks[model, width][n]
-                    distance = 1 - (data[at] * vector).sum(1) / (size[at] * np.sqrt((vector * vector).sum()))
-                    old = best.get(q["query_id"], (ids[:0], np.zeros(0)))
-                    both = np.concatenate([old[0], ids[at]]), np.concatenate([old[1], distance])
-                    first = np.lexsort(both)[:k]
-                    best[q["query_id"]] = both[0][first], both[1][first]
-        for name, (found, distance) in best.items():
-            if len(found):
-                yield pd.DataFrame({"query_id": [name] * len(found), "id": found, "distance": distance})
+                unit = data / np.where(size > 0, size, np.inf)[:, None]
+                own, kinds = by_model[model, width], {}
+                for name in ("market", "symbol"):
+                    codes, names = pd.factorize(part[name])
+                    kinds[name] = codes, {v: i for i, v in enumerate(names)}
+                for lo in range(0, len(own), TOGETHER):
+                    near = asks[model, width][lo : lo + TOGETHER] @ unit.T  # queries x rows, one product
+                    for n, q in enumerate(own[lo : lo + TOGETHER], lo):
+                        vector = asks[model, width][n]
+                        norm = np.sqrt((vector * vector).sum())
+                        old = best.get(q["query_id"], (ids[:0], np.zeros(0)))
+                        # What a product may confuse with the k-th stays.
+                        full = len(old[0]) >= k and np.isfinite(old[1][-1])
+                        at = np.flatnonzero((near[n - lo] >= (1 - old[1][-1] - 1e-9) * norm) & (size > 0) if full else size > 0)
+                        if not len(at):
+                            continue
+                        ok = ~np.isin(ids[at], q.get("excluded") or [])
+                        for name, (codes, names) in kinds.items():
+                            if q.get(name) is not None:
+                                ok &= codes[at] == names.get(q[name], -2)
+                        if q.get("cutoff") is not None:
+                            ok &= (end.iloc[at] <= q["cutoff"]).to_numpy(bool)
+                        at = at[ok]
+                        if len(at) > k:
+                            some = near[n - lo][at]
+                            at = at[some >= np.partition(some, len(at) - k)[len(at) - k] - 1e-9 * max(norm, abs(some).max())]
+                        distance = 1 - (data[at] * vector).sum(1) / (size[at] * norm)
+                        both = np.concatenate([old[0], ids[at]]), np.concatenate([old[1], distance])
+                        first = np.lexsort(both)[:k]
+                        best[q["query_id"]] = both[0][first], both[1][first]
+        names = [n for n, (found, _) in best.items() for _ in found]
+        if names:
+            yield pd.DataFrame({"query_id": names, "id": np.concatenate([x for x, _ in best.values()]), "distance": np.concatenate([x for _, x in best.values()])})
 
     found = rows.where("embedding is not null").select("id", "embedding", "model", "market", "symbol", "end").mapInPandas(run, ", ".join(kinds))
     order = W.partitionBy("query_id").orderBy("distance", "id")
