@@ -14,6 +14,7 @@ import bisect
 import json
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,8 @@ from quillbar.streaming.watch import HOUR
 #: with neither says that the symbol is read up to `at`, and asks for the results of all its live watches.
 ROWS = "symbol string, at long, trade_id long, price string, watch_id string, criteria string, base string, atr string"
 REDUCED = "watch_id string, criteria string, start long, through long, base string, highest string, lowest string, end_price string, atr string, over boolean, error string"
-#: Watches of a block, and the span of ends that a block of started watches holds.
-BLOCK, SPAN = 2048, 6 * HOUR
+#: Watches of a block, the span of ends that a block of started watches holds, and results that are worked out together.
+BLOCK, SPAN, TOGETHER = 2048, 6 * HOUR, 50_000
 _LATER = 1 << 62
 
 
@@ -41,6 +42,12 @@ class Side:
     def __init__(self, sign: int, kept: list):
         self.sign, self.kept = sign, [tuple(x) for x in kept]
 
+    def since_all(self, starts: list[tuple[int, int]]) -> list[str | None]:
+        """since() of many moments."""
+        place = np.searchsorted(np.array([x[0] for x in self.kept], np.int64), np.array([k[0] for k in starts], np.int64), "right")
+        texts = [*(x[2] for x in self.kept), None]
+        return [texts[p] if k[1] == _LATER else self.since(k) for p, k in zip(place.tolist(), starts, strict=True)]
+
     def since(self, key: tuple[int, int]) -> str | None:
         """The extreme of all trades after (at, id)."""
         place = bisect.bisect_right(self.kept, key, key=lambda x: (x[0], x[1]))
@@ -75,6 +82,14 @@ class Batch:
         lo, hi = np.searchsorted(self.at, key[0], "left"), np.searchsorted(self.at, key[0], "right")
         return int(lo + np.searchsorted(self.id[lo:hi], key[1], "right"))
 
+    def after_all(self, starts: list[tuple[int, int]]) -> np.ndarray:
+        """after() of many moments."""
+        place = np.searchsorted(self.at, np.array([k[0] for k in starts], np.int64), "right")
+        for i, k in enumerate(starts):
+            if k[1] != _LATER:
+                place[i] = self.after(k)
+        return place
+
     def reached(self, start: int, up: Decimal | None, down: Decimal | None) -> int:
         """The first place from start at which the price is at least `up` or at most `down`."""
         place = len(self)
@@ -85,12 +100,17 @@ class Batch:
             place = min(place, int(self.least.first(np.array([start]), np.array([-least]))[0]))
         return place
 
-    def extremes(self, start: int, end: int) -> tuple[str | None, str | None]:
-        """Greatest and least price of [start, end) as text."""
-        if start >= end:
-            return None, None
-        lo, hi = np.array([start]), np.array([end])
-        return tuple(format(self.values[abs(int(side.greatest(lo, hi)[0]))], "f") for side in (self.most, self.least))
+    def extremes(self, start: np.ndarray, end: np.ndarray) -> tuple[list[str | None], list[str | None]]:
+        """Greatest and least price of each [start, end) as text."""
+        some = np.flatnonzero(start < end)
+        out = [None] * len(start), [None] * len(start)
+        if len(some):
+            for found, side in zip(out, (self.most, self.least), strict=True):
+                rank = np.abs(side.greatest(start[some], end[some]))
+                texts = {r: format(self.values[r], "f") for r in np.unique(rank).tolist()}
+                for i, r in zip(some.tolist(), rank.tolist(), strict=True):
+                    found[i] = texts[r]
+        return out
 
     def kept(self, sign: int) -> list[tuple[int, int, str]]:
         """Trades that no later one of the batch reaches."""
@@ -101,6 +121,13 @@ class Batch:
         return [(int(self.at[i]), int(self.id[i]), str(self.price[i])) for i in np.flatnonzero(value > later)]
 
 
+@lru_cache(maxsize=4096)
+def _read(text: str) -> tuple[dict, dict[bool, tuple]]:
+    """Criteria of a text, and their levels while a watch waits and after; many watches share a text."""
+    c = json.loads(text)
+    return c, {waiting: _levels(c, waiting) for waiting in ((True, False) if c.get("trigger") else (False,))}
+
+
 def _levels(c: dict, waiting: bool) -> tuple[str | None, str | None]:
     """Prices at or above, and at or below, which something happens to a watch."""
     up, down = [], []
@@ -124,16 +151,16 @@ class Live:
 
     def __init__(self, name, text, atr, at, number, base, waiting, seen):
         self.name, self.text, self.atr, self.at, self.number, self.base, self.waiting, self.seen = name, text, atr, at, number, base, waiting, seen
-        self.criteria = c = json.loads(text)
-        self.end = at + HOUR * (c["trigger"]["window_hours"] if waiting else c["horizon_hours"])
-        self.up, self.down = _levels(c, waiting)
+        self.criteria, levels = _read(text)
+        self.end = at + HOUR * (self.criteria["trigger"]["window_hours"] if waiting else self.criteria["horizon_hours"])
+        self.up, self.down = levels[waiting]
 
     @classmethod
     def begin(cls, row) -> Live:
-        c = json.loads(row.criteria)
+        c, levels = _read(row.criteria)
         waiting = c["template"] == "T3"
         if waiting:
-            up, down = _levels(c, True)
+            up, down = levels[True]
             base = dec(row.base)
             waiting = not (up is not None and base >= dec(up) or down is not None and base <= dec(down))
         return cls(row.watch_id, row.criteria, row.atr, int(row.at), _LATER, row.base, waiting, 0)
@@ -213,32 +240,39 @@ class SymbolProcessor(StatefulProcessor):
             self._stored(directory, name, left.pop(name, []))
             for other, watches in left.items():
                 moved.setdefault(other, []).extend(watches)
+            if len(out) >= TOGETHER:
+                yield from self._frames(step, out)
         for name, watches in moved.items():
             held = [w for number in range(directory.get(name, {}).get("blocks", 0)) for w in self._opened(name, number)]
             self._stored(directory, name, held + watches)
+        yield from self._frames(step, out)
         self._close(step, directory)
+
+    def _frames(self, step: _Step, out: list) -> Iterator[pd.DataFrame]:
+        """The rows of what was judged since the last frame."""
         if out:
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in REDUCED.split(", ")])
+            yield pd.DataFrame(step.rows(out), columns=[x.split()[0] for x in REDUCED.split(", ")])
+            out.clear()
 
     def _advance(self, step: _Step, watch: Live, asked: bool, out: list, stays: dict, new: bool) -> None:
         if new and step.before is not None and watch.at < step.before and (watch.waiting or watch.at < step.tape["from"]):
-            out.append(step.row(watch, watch.at, False, "watch_coverage_not_contiguous"))
+            out.append((watch, watch.at, False, "watch_coverage_not_contiguous", True))
             return
         if (code := step.gap(watch)) is not None:
-            out.append(step.row(watch, max(watch.at, step.before if step.before is not None else watch.at), False, code, whole=False))
+            out.append((watch, max(watch.at, step.before if step.before is not None else watch.at), False, code, False))
             return
         if watch.waiting:
             place = step.trades.reached(step.trades.after(watch.key()), *(None if x is None else dec(x) for x in (watch.up, watch.down)))
             if place < len(step.trades) and step.trades.at[place] <= watch.end:
                 watch = watch.started(int(step.trades.at[place]), int(step.trades.id[place]), str(step.trades.price[place]))
         if not watch.waiting and (at := step.touched(watch)) is not None:
-            out.append(step.row(watch, at, True))
+            out.append((watch, at, True, None, True))
             return
         if watch.end <= step.through:
-            out.append(step.row(watch, watch.end, True))
+            out.append((watch, watch.end, True, None, True))
             return
         if asked:
-            out.append(step.row(watch, max(watch.at, step.through), False))
+            out.append((watch, max(watch.at, step.through), False, None, True))
         stays.setdefault(watch.place(), []).append(watch)
 
     def _close(self, step: _Step, directory: dict) -> None:
@@ -288,22 +322,30 @@ class _Step:
         place = self.trades.reached(self.trades.after(watch.key()), up, down)
         return int(self.trades.at[place]) if place < len(self.trades) and self.trades.at[place] <= watch.end else None
 
-    def row(self, watch: Live, through: int, over: bool, error: str | None = None, whole: bool = True) -> tuple:
-        """The reduced path of a watch up to `through`; without the batch where it is not whole."""
-        high = low = watch.base
-        end_price = watch.base if watch.seen else None
-        if not watch.waiting:
-            start = self.trades.after(watch.key())
-            end = int(np.searchsorted(self.trades.at, through, "right")) if whole else 0
-            last = self.tape["last"]
-            if last and tuple(last[:2]) > watch.key():
-                end_price = last[2]
-            seen = [self.highs.since(watch.key()), self.lows.since(watch.key()), *self.trades.extremes(start, end)]
-            if start < end:
-                end_price = str(self.trades.price[end - 1])
-            high = max([high, *(x for x in seen[::2] if x is not None)], key=dec)
-            low = min([low, *(x for x in seen[1::2] if x is not None)], key=dec)
-        return (watch.name, watch.text, None if watch.waiting else watch.at, through, watch.base, high, low, end_price, watch.atr, over, error)
+    def rows(self, asked: list[tuple[Live, int, bool, str | None, bool]]) -> list[tuple]:
+        """The reduced paths of (watch, through, over, error, whole) up to `through`, all at once; without the batch where not whole."""
+        if not asked:
+            return []
+        keys = [w.key() for w, *_ in asked]
+        start = self.trades.after_all(keys)
+        whole = np.array([x[4] for x in asked])
+        end = np.where(whole, np.searchsorted(self.trades.at, np.array([x[1] for x in asked], np.int64), "right"), 0)
+        highs, lows = self.trades.extremes(start, end)
+        old_highs, old_lows = self.highs.since_all(keys), self.lows.since_all(keys)
+        last, number = self.tape["last"], lru_cache(maxsize=1 << 16)(dec)
+        out = []
+        for i, (watch, through, over, error, _) in enumerate(asked):
+            high = low = watch.base
+            end_price = watch.base if watch.seen else None
+            if not watch.waiting:
+                if last and tuple(last[:2]) > keys[i]:
+                    end_price = last[2]
+                if start[i] < end[i]:
+                    end_price = str(self.trades.price[end[i] - 1])
+                high = max([high, *(x for x in (old_highs[i], highs[i]) if x is not None)], key=number)
+                low = min([low, *(x for x in (old_lows[i], lows[i]) if x is not None)], key=number)
+            out.append((watch.name, watch.text, None if watch.waiting else watch.at, through, watch.base, high, low, end_price, watch.atr, over, error))
+        return out
 
 
 def reduced_watches(rows: DataFrame) -> DataFrame:
