@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillbar.functions.decimals import plain, q, ratio, times, trimmed
+from quillbar.functions.decimals import CONTEXT, plain, q, ratio, times, trimmed
 from quillbar.operators.bars import covers
 from quillbar.operators.folds import folded
 
@@ -93,6 +93,51 @@ class Book:
                 raise ValueError("opening_fill_with_pnl")
             self._open(at, trade_id, price, opened, fee - closing_fee, None if closed else venue_pnl, bool(closed), sign, asset)
 
+    def run(self, *columns: list):
+        """fill() of many fills (at, trade id, side, price, quantity, fee, asset) in order, without their allocations: the same operations on
+        decimals, in one loop, for books without venue results."""
+        if self.quantity is None or self.cost is None and self.quantity or self.inverse or self.hedge or not self.track_venue or self.pnl is None:
+            for at, trade_id, side, price, quantity, fee, asset in zip(*columns, strict=True):
+                self.fill(at, trade_id, side, price, quantity, fee, asset=asset)
+            self.allocations = []
+            return
+        multiply, divide = CONTEXT.multiply, CONTEXT.divide
+        held, cost, pnl, paid, last = self.quantity, self.cost, self.pnl, self.commissions, self.last
+        for at, trade_id, side, price, quantity, fee, asset in zip(*columns, strict=True):
+            if last is not None and (at, trade_id) <= last:
+                raise ValueError("fill_order_unproven")
+            last = (at, trade_id)
+            buys = (quantity if side == "BUY" else -quantity) > 0
+            if not quantity:
+                continue
+            left, rest, ends = quantity, fee, False
+            if held and (held > 0) != buys:
+                closed = min(quantity, abs(held))
+                left = quantity - closed
+                charged = divide(multiply(fee, closed), quantity) if left else fee
+                pnl = pnl + multiply(multiply(closed, self.multiplier), price - cost) * (-1 if buys else 1)
+                paid[asset] = paid.get(asset, ZERO) + charged
+                held = held + (closed if buys else -closed)
+                rest = fee - charged
+                if ends := not held:
+                    self.quantity, self.pnl, self.venue = held, pnl, None
+                    self.cycles.append(self._summary(at, "closed"))
+                    self.paid.append(paid)
+                    self.ordinal, cost = self.ordinal + 1, None
+                    self._clear()
+                    pnl, paid = self.pnl, self.commissions
+            if left:
+                before = abs(held)
+                if before:
+                    after = before + left
+                    cost = divide(multiply(before, cost) + multiply(left, price), after)
+                else:
+                    cost, self.direction, self.opened = price, 1 if buys else -1, at
+                paid[asset] = paid.get(asset, ZERO) + rest
+                held = held + (left if buys else -left)
+            self.venue = Decimal(0) if ends else None
+        self.quantity, self.cost, self.pnl, self.last = held, cost, pnl, last
+
     def _close(self, trade_id, price, closed, fee, venue_pnl, at, sign, asset):
         gained = None
         if self.cost is not None:
@@ -186,7 +231,8 @@ def books(fills: DataFrame, checkpoints: DataFrame | None = None, key: str = "sy
 
     def column(pdf: pd.DataFrame, name: str) -> list:
         if name in places:
-            return [None if x == ABSENT else Decimal(x).scaleb(-places[name]) for x in pdf[name].tolist()]
+            unit = Decimal(1).scaleb(-places[name])
+            return [None if x == ABSENT else Decimal(x) * unit for x in pdf[name].tolist()]
         return list(pdf[name].dt.to_pydatetime()) if pd.api.types.is_datetime64_any_dtype(pdf[name]) else pdf[name].tolist()
 
     class Fold:
@@ -207,6 +253,9 @@ def books(fills: DataFrame, checkpoints: DataFrame | None = None, key: str = "sy
             return out
 
         def push(self, pdf: pd.DataFrame) -> list[tuple]:
+            if "allocation" not in kinds and not pdf["checkpoint"].notna().any():
+                self.book.run(*(column(pdf, c) for c in ("at", "trade_id", "side", "price", "quantity", "fee", "fee_asset")))
+                return self._taken()
             columns = (column(pdf, c) for c in ("checkpoint", "at", "trade_id", "side", "price", "quantity", "fee", "fee_asset"))
             for checkpoint, at, trade_id, side, price, quantity, fee, asset in zip(*columns, strict=True):
                 if checkpoint is not None:  # sorted before the fills
