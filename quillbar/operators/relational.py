@@ -46,27 +46,48 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: li
     return both.where("_side = 1").drop("_side")
 
 
-#: Widest and narrowest slot, in seconds, by which points and spans meet; rows of spans that a task holds in its hash table, on average.
-SLOTS, HELD = (60, 86_400), 250_000
+#: Widest and narrowest slot, in seconds, by which points and spans meet; points, or spans, that a group holds on average at most; rows
+#: of a side that a task gets; rows of a chunk.
+SLOTS, HELD, DEALT, CHUNK = (60, 86_400), 250_000, 50_000, 72
 
 
 def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Points inside spans [start, end] of the same key. Both meet by slots of time as wide as the longest span, a minute at least and a
-    day at most, so a span lies in two slots or, if it is longer than a day, in those of its days. Slots of more than HELD spans are
-    cut into parts, each of which meets the slot's points, so the tables that tasks hold stay small whatever the data."""
+    day at most, so a span lies in two slots or, if it is longer than a day, in those of its days. Slots of more than HELD spans or points
+    are cut into parts, each of which meets all parts of the other side, so the tables that tasks hold stay small whatever the data. Chunks
+    of neighbours in time are joined, not rows: pairs come as rectangles, in which the same spans follow each point, so that written pairs
+    take a bit or two each."""
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     longest = spans.agg(F.max(micros(F.col("end")) - micros(F.col("start"))).alias("m")).first()["m"] or 0
     width = min(max(-(-longest // 1_000_000), SLOTS[0]), SLOTS[1]) * 1_000_000
     slot = lambda c: F.floor(micros(c) / width)
-    known = spans.where(F.col("start") <= F.col("end"))
-    dealt = known.withColumn("_slot", F.explode(F.sequence(slot(F.col("start")), slot(F.col("end")))))
-    size = dealt.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
-    parts = max(1, -(-size["most"] // HELD))
-    tasks = max(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size["all"] // HELD))
+    dealt = spans.where(F.col("start") <= F.col("end")).withColumn("_slot", F.explode(F.sequence(slot(F.col("start")), slot(F.col("end")))))
+    asked = points.withColumn("_slot", slot(F.col(at))).where("_slot is not null")
+
+    def size(df: DataFrame) -> tuple[int, int]:
+        """Parts of a slot, and all rows."""
+        n = df.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("n"))
+        most, every = n.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        return max(1, -(-most // HELD)), every
+
+    (span_parts, n_spans), (point_parts, n_points) = size(dealt), size(asked)
+    tasks = max(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(n_spans * point_parts, n_points * span_parts) // DEALT))
     by = [*keys, "_slot", "_part"]
-    held = dealt.withColumn("_part", F.pmod(F.xxhash64(*spans.columns), F.lit(parts)).cast("int")).repartition(tasks, *by).hint("shuffle_hash")
-    asked = points.withColumn("_slot", slot(F.col(at))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, *by)
-    return asked.join(held, by).where((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end"))).drop("_slot", "_part")
+
+    def chunks(df: DataFrame, rows: str, columns: list[str], parts: int, others: int, part, start: str, end: str) -> DataFrame:
+        """Each row is in one of its side's parts, meets every part of the other side, and lies there in a chunk by time."""
+        own = F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int") if parts > 1 else F.lit(0)
+        other = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        placed = other.withColumn("_part", part(own, F.col("_other"))).drop("_other").repartition(tasks, *by)
+        chunk = F.floor((F.row_number().over(W.partitionBy(*by).orderBy(start)) - 1) / CHUNK)
+        row = F.struct(*[c for c in columns if c not in keys])
+        return placed.withColumn("_chunk", chunk).groupBy(*by, "_chunk").agg(F.collect_list(row).alias(rows), F.min(start).alias(f"{rows}_from"), F.max(end).alias(f"{rows}_to")).drop("_chunk")
+
+    held = chunks(asked, "_points", points.columns, point_parts, span_parts, lambda own, other: other * point_parts + own, at, at).hint("shuffle_hash")
+    met = chunks(dealt, "_spans", spans.columns, span_parts, point_parts, lambda own, other: own * point_parts + other, "start", "end").join(held, by)
+    near = met.where((F.col("_points_to") >= F.col("_spans_from")) & (F.col("_points_from") <= F.col("_spans_to")))
+    pairs = near.select(*keys, F.inline("_points"), "_spans").withColumn("_span", F.explode("_spans")).drop("_spans")
+    return pairs.where((F.col(at) >= F.col("_span.start")) & (F.col(at) <= F.col("_span.end"))).select("*", "_span.*").drop("_span")
 
 
 def either(left: DataFrame, right: DataFrame, first: tuple[str, str], second: tuple[str, str], distinct: list[str]) -> DataFrame:
